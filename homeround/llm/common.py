@@ -93,11 +93,12 @@ def blocks(batch: pa.RecordBatch, at: int, limit: int = BLOCK_BYTES) -> Iterator
 
 def annotate(
     df: DataFrame,
-    compute: Callable[[TextBlock], list],
+    compute: Callable[..., list],
     fields: list[T.StructField],
     text_col: str = "text",
     keep: list[str] | None = None,
     limit: int = BLOCK_BYTES,
+    with_rows: bool = False,
 ) -> DataFrame:
     """``df`` with columns that ``compute`` derives from each block of texts; no shuffle, rows as they came.
 
@@ -114,7 +115,8 @@ def annotate(
         target = None
         for batch in batches:
             for part in blocks(batch, at, limit):
-                new = compute(TextBlock(part.column(at)))
+                texts = TextBlock(part.column(at))
+                new = compute(texts, part) if with_rows else compute(texts)
                 if target is None:
                     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -126,3 +128,32 @@ def annotate(
                 )
 
     return source.mapInArrow(run, schema)
+
+
+#: Lower-case A-Z and keep word bytes (digits, letters and all of 0x80 up); 0 elsewhere.
+WORD_BYTES = np.zeros(256, np.uint8)
+for _b in [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]:
+    WORD_BYTES[_b] = _b
+WORD_BYTES[0x41:0x5B] = WORD_BYTES[0x61:0x7B]
+
+
+class Words:
+    """The words of a block's texts, runs of word bytes after lower-casing A-Z.
+
+    ``norm``: the texts with two bytes after each, other bytes 0; ``start`` and ``end``: places of
+    the words in it; ``first``: for each text the number of its first word, then the total;
+    ``base``: where each text begins in ``norm``.
+    """
+
+    def __init__(self, block: TextBlock):
+        n = len(block)
+        base = block.off[:-1] + 2 * np.arange(n)
+        joined = np.frombuffer(b" \n".join([*block.raw(), b""]), np.uint8)
+        self.norm = WORD_BYTES[joined]
+        inside = self.norm != 0
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if len(inside) and inside[0]:
+            edge = np.concatenate([[0], edge])
+        self.start, self.end = edge[::2], edge[1::2]  # the bytes after a text close its last word
+        self.base = base
+        self.first = np.searchsorted(self.start, np.append(base, len(joined)))

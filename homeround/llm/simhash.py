@@ -175,14 +175,15 @@ def near_links(nodes: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFr
                     held = np.concatenate([held, new]) if len(held) else new
                     if not len(held):
                         continue
-                    whole = int(np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))[-1]) + 1 if (held[0, :2] != held[-1, :2]).any() else 0
+                    earlier = np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
+                    whole = int(earlier[-1]) + 1 if len(earlier) else 0  # the last group may go on
                 else:
                     whole = len(held)
                 rows, held = held[:whole], held[whole:]
                 if not len(rows):
                     continue
                 keys = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(axis=1))])
-                i, j = _links(keys, rows[:, 3].view(np.uint64) if rows[:, 3].flags.c_contiguous else np.ascontiguousarray(rows[:, 3]).view(np.uint64), near, pivots)
+                i, j = _links(keys, np.ascontiguousarray(rows[:, 3]).view(np.uint64), near, pivots)
                 root = _forest(len(rows), i, j, rows[:, 2])
                 moved = root != np.arange(len(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(rows[moved, 2]), pa.array(rows[root[moved], 2])], names=["a", "b"])
