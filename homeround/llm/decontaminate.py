@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -314,5 +313,3 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, max_cover
     return cut_bytes(left.select(*[F.col(f"`{c}`") for c in columns], "hit_bytes"), "hit_bytes", text_col)
 
 
-def digest(ids) -> str:
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

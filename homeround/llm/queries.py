@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, simhash, token_counts, url_filter
+from . import decontaminate, licenses, packing, pii, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -56,7 +56,12 @@ def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op5_best_fit_packing, op7_url_filter, op9_simhash_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs), keep=["doc_id"])
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op5_best_fit_packing, op7_url_filter, op9_simhash_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": f"""
