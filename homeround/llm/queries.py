@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, pii, simhash, token_counts, url_filter
+from . import decontaminate, language, licenses, packing, pii, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -33,6 +33,14 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = language.fit(docs, "lang", language.fold("doc_id") != 2)
+    held_out = F.coalesce(language.fold("doc_id") == 2, F.lit(False)).alias("held_out")
+    found = language.predict(docs, network, keep=["doc_id"])
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 2048)
 
@@ -61,7 +69,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.fit(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op5_best_fit_packing, op7_url_filter, op9_simhash_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op7_url_filter, op9_simhash_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": f"""
