@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, packing, pii, simhash, token_counts, url_filter
+from . import decontaminate, graph_ann, language, licenses, packing, pii, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -45,6 +45,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 2048)
 
 
+def op6_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0), 20)
+
+
 #: The rules of the query.
 URL_RULES = (
     ("net", "/", "block"),
@@ -69,7 +74,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.fit(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op7_url_filter, op9_simhash_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_graph_ann, op7_url_filter, op9_simhash_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": f"""
