@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_ann, language, licenses, packing, pii, simhash, token_counts, url_filter
+from . import decontaminate, graph_ann, language, licenses, packing, pii, repeats, simhash, token_counts, url_filter
 from .common import table
 
 
@@ -64,6 +64,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 200)
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -74,7 +78,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.fit(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_graph_ann, op7_url_filter, op9_simhash_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_graph_ann, op7_url_filter, op8_suffix_dedup, op9_simhash_dedup, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": f"""
