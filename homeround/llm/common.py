@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1_000_000
 _TEXT = "__homeround_text"
 
 
@@ -126,6 +126,7 @@ def annotate(
                     [pa.array(a, f.type) if not isinstance(a, pa.Array) else a for a, f in zip(arrays, target)],
                     names=target.names,
                 )
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
 

@@ -126,7 +126,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(norm: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial of each word's bytes; equal words have equal values."""
-    power, inverse = _powers(1 << max(22, int(len(norm)).bit_length()))
+    power, inverse = _powers(1 << max(20, int(len(norm)).bit_length()))
     total = np.zeros(len(norm) + 1, np.uint64)
     np.cumsum(norm * power[: len(norm)], out=total[1:])
     return (total[end] - total[start]) * inverse[start]
