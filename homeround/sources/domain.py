@@ -130,4 +130,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in views)
     body = sql.strip()
-    return f"WITH {head}{',' + body[4:] if body.upper().startswith('WITH') else body and chr(10) + body}"
+    start = re.match(r"WITH( RECURSIVE)?\b", body)
+    if not start:
+        return f"WITH {head}\n{body}"
+    return f"{start[0]} {head},{body[start.end():]}"
