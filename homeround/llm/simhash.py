@@ -218,5 +218,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     marked = near_duplicates(docs, id_col, text_col, **how)
     kept = marked.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__copies"))
     kept = written(kept, "kept")
-    out = docs.join(kept.select(id_col), id_col, "left_semi").select(*docs.columns)
+    # Always a sort-merge join: the ids grow with the documents, so the plan is the same at every size.
+    out = docs.join(kept.select(id_col).hint("merge"), id_col, "left_semi").select(*docs.columns)
     return out if kept.where("__copies > 1").isEmpty() else out.dropDuplicates([id_col])
