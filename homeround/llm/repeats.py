@@ -9,7 +9,9 @@ for windows of 200). Pieces meet by the hash of their anchor:
    pieces of its anchor, into a bucket. A task builds the run-length compressed Burrows-Wheeler transform of
    the bucket with sampled run ends, streams matching statistics and marks matches of ``length`` or more;
 3. an anchor with more different pieces than ``group`` (a short line in very many contexts) does not go
-   into one task: its windows are counted one by one by a 128-bit hash, pre-aggregated before the shuffle.
+   into one task: its windows get a second, third and fourth anchor under other hashes, which part most of
+   them, and each smaller group goes the same ways; windows that four anchors leave in a crowd are
+   counted one by one by a 128-bit hash, pre-aggregated before the shuffle.
 
 All three are exact but for hash collisions (128 bits for any pair of windows or pieces that are held to be equal).
 """
@@ -38,6 +40,7 @@ STRIDE = 8 << 20  # longer texts are scanned in strides that overlap by a window
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PLACE = 24
 WINDOWS = 1024
+SEEDS = (0x51ED270B0B4A1F63, 0x7C15F39CC0605CED, 0x2545F4914F6CDD1D)
 
 
 @functools.lru_cache(maxsize=4)
@@ -68,14 +71,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def pieces(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, off: np.ndarray, length: int, gram: int, seed: int = 0) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, anchor hash, piece hash) of the pieces of several texts side by side in ``data``."""
     none = tuple(np.zeros(0, np.int64) for _ in range(5))
     if len(data) < length:
         return none
     total, inverse = _prefix(data, BASES[0])
     n = len(data) - gram + 1
-    h = _mix((total[gram:] - total[:-gram]) * inverse[:n])
+    h = _mix(((total[gram:] - total[:-gram]) * inverse[:n]) ^ np.uint64(seed))
     tagged = (h >> np.uint64(PLACE) << np.uint64(PLACE)) | np.arange(n, dtype=np.uint64)
     anchor = (_sliding_min(tagged, length - gram + 1) & np.uint64((1 << PLACE) - 1)).astype(np.int64)
     m = len(anchor)
@@ -267,6 +270,42 @@ def _window_hashes(length: int):
     return run
 
 
+def _spans_of(rows: DataFrame) -> DataFrame:
+    first = F.expr(f"place div {WINDOWS}")
+    return rows.select("doc", first.alias("first"), (first + F.col("place") % WINDOWS).alias("last"))
+
+
+def _part_crowds(rows: DataFrame, seed: int, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(marks, what is still crowded): pieces of crowded anchors cut by one more anchor each, as on the first level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, batch.schema.get_field_index("text"), BLOCK):
+                block = TextBlock(part.column("text"))
+                above, n, doc, place = (np.asarray(part.column(c)) for c in ("anchor", "n", "doc", "place"))
+                text, first, count, anchor, piece = pieces(block.buf, block.off, length, gram, seed)
+                at, stop = block.off[text] + first, block.off[text] + first + count - 1 + length
+                joint = _mix(above[text].view(np.uint64) * np.uint64(BASES[1]) + anchor.view(np.uint64)).view(np.int64)
+                cut = [block.buf[a:b].tobytes() for a, b in zip(at.tolist(), stop.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(joint), pa.array(piece), pa.array(n[text]), pa.array(doc[text]), pa.array((place[text] // WINDOWS + first) * WINDOWS + count), pa.array(cut, pa.binary())],
+                    names=["anchor", "piece", "n", "doc", "place", "text"],
+                )
+
+    cut = written(rows.mapInArrow(run, "anchor long, piece long, n long, doc long, place long, text binary"), "cut-crowds")
+    different = cut.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "place", "text")).alias("at"))
+    different = written(different.select("anchor", "piece", "n", "at.*"), "different-crowds")
+    whole = cut.where("n = 1").join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi")
+    sizes = different.groupBy("anchor").agg(F.count("*").alias("__m")).where("__m > 1")
+    sized = written(different.join(sizes, "anchor"), "sized-crowds")
+    buckets = max(1, sized.count() * (length + 40) // BUCKET_BYTES)
+    small = sized.where(F.col("__m") <= group).select(F.pmod("anchor", F.lit(buckets)).alias("bucket"), "n", "doc", "place", "text")
+    small = small.repartition(max(1, min(buckets, 4096)), "bucket").sortWithinPartitions("bucket", "doc", "place")
+    indexed = small.mapInArrow(_mark_bucket(length), "doc long, first long, last long")
+    left = sized.where(F.col("__m") > group).select("anchor", "n", "doc", "place", "text")
+    return _spans_of(whole).union(indexed), left
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, spans): for each document with any, the windows that also start elsewhere, as runs (first, last + 1).
 
@@ -281,7 +320,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     different = mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("at"))
     different = written(different.select("anchor", "piece", "n", "at.doc", "at.place"), "different")
     whole = whole.union(mixed.join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("doc", "place"))
-    whole = whole.select("doc", F.expr(f"place div {WINDOWS}").alias("first"), (F.expr(f"place div {WINDOWS}") + F.col("place") % WINDOWS).alias("last"))
+    whole = _spans_of(whole)
 
     crowded = different.groupBy("anchor").agg(F.count("*").alias("__m")).where(F.col("__m") > group).select("anchor", F.lit(True).alias("crowded"))
     wanted = different.join(crowded, "anchor", "left").select("*")
@@ -315,12 +354,19 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     indexed = indexed.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "place")
     indexed = indexed.mapInArrow(_mark_bucket(length), "doc long, first long, last long")
 
-    windows = got.where("crowded").select("n", "doc", "place", "text").mapInArrow(_window_hashes(length), "w1 long, w2 long, n long, doc long, first long")
-    windows = written(windows, "windows")
-    often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
-    counted = windows.where("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc", "first", (F.col("first") + 1).alias("last"))
-
-    marks = whole.union(indexed).union(counted)
+    marks = whole.union(indexed)
+    rest = got.where("crowded").select(F.lit(0).cast("long").alias("anchor"), "n", "doc", "place", "text")
+    for seed in SEEDS:
+        if rest.isEmpty():
+            break
+        found, rest = _part_crowds(rest, seed, length, gram, group)
+        marks = marks.union(found)
+    else:
+        windows = rest.select("n", "doc", "place", "text").mapInArrow(_window_hashes(length), "w1 long, w2 long, n long, doc long, first long")
+        windows = written(windows, "windows")
+        often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
+        counted = windows.where("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc", "first", (F.col("first") + 1).alias("last"))
+        marks = marks.union(counted)
     return marks.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
