@@ -227,7 +227,7 @@ def nearest(
 
     def search(graph_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(graph_rows) or not len(query_rows):
-            return pd.DataFrame({"query_id": [], "ids": [], "score": []})
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
         graph_rows = graph_rows.sort_values("node").reset_index(drop=True)
         x = np.stack(graph_rows["vec"].to_numpy())
         graph = Graph(x, degree, beam)
