@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Abbreviation patterns and what they stand for, applied in this order.
 ABBREVIATIONS = (
@@ -35,12 +36,12 @@ KEY_ALIASES = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(s: pd.Series) -> pd.Series:
     """Casefold, decompose, drop combining marks."""
     return s.str.casefold().str.normalize("NFKD").map(

@@ -7,7 +7,7 @@ import importlib
 
 from homeround.sources.domain import view, with_views
 
-MODULES = ("intake_geocoding", "zoning_planning", "routing_history")
+MODULES = ("intake_geocoding", "zoning_planning", "routing_history", "streams_files")
 
 
 def _entries() -> dict:
