@@ -92,7 +92,7 @@ QUERIES = {
     "cluster_points": (lambda v: Z.label_clusters(Z.cluster_points(_features(v), 6)), None),
     "zone_hulls": (lambda v: Z.zone_hulls(Z.cluster_points(_features(v), 12)), None),
     "zone_occupancy": (lambda v: Z.occupancy(v("zones"), v("zone_history")).select("organization_id", "zone_id", "occupied", "over_capacity"),
-        "SELECT organization_id, zone_id, count(h.patient_id) AS occupied, count(h.patient_id) > max_visits AS over_capacity FROM zones z LEFT JOIN zone_history h USING (organization_id, zone_id) WHERE h.valid_to IS NULL GROUP BY organization_id, zone_id, max_visits"),
+        "SELECT organization_id, zone_id, count(h.patient_id) AS occupied, count(h.patient_id) > max_visits AS over_capacity FROM zones z LEFT JOIN (SELECT * FROM zone_history WHERE valid_to IS NULL) h USING (organization_id, zone_id) GROUP BY organization_id, zone_id, max_visits"),
     "accept_proposal": (lambda v: Z.accept_proposal(v("zone_history").where("valid_to is null"), _proposal(v)).select("organization_id", "patient_id", "old_zone", "new_zone", "action"),
         """WITH n AS (SELECT organization_id, patient_id, zone_id, source FROM zone_history WHERE valid_to IS NULL), p AS (SELECT organization_id, patient_id, CASE patient_id % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS zone_id FROM patients WHERE patient_id % 13 <> 0)
  SELECT organization_id, patient_id, n.zone_id AS old_zone, p.zone_id AS new_zone, CASE WHEN n.zone_id IS NULL THEN 'open' WHEN source = 'manual' THEN 'preserve_manual' WHEN p.zone_id IS NULL THEN 'close' WHEN n.zone_id = p.zone_id THEN 'keep' ELSE 'move' END AS action FROM n FULL JOIN p USING (organization_id, patient_id)"""),
