@@ -181,17 +181,41 @@ def tour(cost: np.ndarray) -> list[int]:
 
 
 def sequence_routes(matrix: DataFrame) -> DataFrame:
-    """Visiting order per route from its long matrix; node of least number is the depot. Routes run in parallel."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = np.unique(np.concatenate([part["i"], part["j"]]))
-        cost = np.zeros((len(nodes), len(nodes)))
-        cost[np.searchsorted(nodes, part["i"]), np.searchsorted(nodes, part["j"])] = part["duration_s"]
-        order = tour(cost)
-        return pd.DataFrame({"route_id": part["route_id"].iloc[0], "position": np.arange(len(order)), "node": nodes[order]})
+    """Visiting order per route from its long matrix; node of least number is the depot.
+
+    Routes are dealt by id and sorted; a task streams through many of them and holds one batch and one open route.
+    """
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        ids, i, j, s = (part[c].to_numpy() for c in ("route_id", "i", "j", "duration_s"))
+        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        routes, positions, found = [], [], []
+        for a, b in zip([0, *cut], [*cut, len(ids)]):
+            nodes = np.unique(np.concatenate([i[a:b], j[a:b]]))
+            cost = np.zeros((len(nodes), len(nodes)))
+            cost[np.searchsorted(nodes, i[a:b]), np.searchsorted(nodes, j[a:b])] = s[a:b]
+            order = tour(cost)
+            routes.append(np.repeat(ids[a], len(order)))
+            positions.append(np.arange(len(order)))
+            found.append(nodes[order])
+        return pd.DataFrame({"route_id": np.concatenate(routes), "position": np.concatenate(positions), "node": np.concatenate(found)})
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(held):
+                continue
+            last = held["route_id"] == held["route_id"].iloc[-1]  # it may go on in the next batch
+            if not last.all():
+                yield solve(held[~last])
+                held = held[last]
+        if held is not None and len(held):
+            yield solve(held)
 
     kind = matrix.schema["route_id"].dataType.simpleString()
-    return matrix.groupBy("route_id").applyInPandas(run, f"route_id {kind}, position int, node int")
+    rows = matrix.select("route_id", "i", "j", "duration_s").repartition("route_id").sortWithinPartitions("route_id", "i", "j")
+    return rows.mapInPandas(run, f"route_id {kind}, position int, node int")
 
 
 def navigation_link(points: Column, base: str = "https://maps.example/dir") -> Column:
