@@ -241,6 +241,44 @@ def holding_reference(published: DataFrame, reference: str) -> DataFrame:
     return published.where(F.exists("order", lambda s: s["external_ref"] == reference)).select("revision_id")
 
 
+def metrics_gate(metrics: DataFrame) -> DataFrame:
+    """Per revision the reason why its variants cannot be compared: one of original and optimized is missing, or stale; else null."""
+    there = lambda name: F.coalesce(F.bool_or(F.col("variant") == name), F.lit(False))
+    stale = F.bool_or(F.col("variant").isin("original", "optimized") & F.coalesce("stale", F.lit(False)))
+    reason = F.when(~(there("original") & there("optimized")), "METRICS_UNAVAILABLE").when(stale, "METRICS_STALE")
+    return metrics.groupBy("revision_id").agg(reason.alias("reason"))
+
+
+def publish_gate(requests: DataFrame, metrics: DataFrame, stops: DataFrame) -> DataFrame:
+    """Each request to publish a route with the first reason against it, null where it may be published.
+
+    ``requests`` join route and revision: null route_status means no such route, null revision_status no such revision.
+    ``stops`` counts with their own coordinates only. A request without revision_id asks for the current one.
+    """
+    gate = metrics_gate(metrics).select(F.col("revision_id").alias("target"), F.col("reason").alias("__metrics"), F.lit(True).alias("__measured"))
+    located = stops.groupBy(F.col("revision_id").alias("target")).agg(F.count("*").alias("__stops"), F.count_if(F.col("longitude").isNull() | F.col("latitude").isNull()).alias("__lost"))
+    rows = requests.withColumn("target", F.coalesce("revision_id", "current_revision")).join(gate, "target", "left").join(located, "target", "left")
+    status = F.col("route_status")
+    reason = (
+        F.when(status.isNull(), "ROUTE_NOT_FOUND")
+        .when(~F.col("version").eqNullSafe(F.col("expected_version")), "ROUTE_VERSION_CONFLICT")
+        .when(status == "published", "ROUTE_PUBLISHED")
+        .when(~status.isin("draft", "optimizing", "ready"), "ROUTE_NOT_PUBLISHABLE")
+        .when(F.col("target").isNull(), "REVISION_NOT_FOUND")
+        .when(F.col("target") != F.col("current_revision"), "REVISION_NOT_CURRENT")
+        .when(F.col("revision_status").isNull(), "REVISION_NOT_FOUND")
+        .when(F.col("revision_status") == "published", "REVISION_PUBLISHED")
+        .when(F.col("revision_status") != "draft", "REVISION_NOT_DRAFT")
+        .when(~F.col("solver_status").eqNullSafe("feasible"), "ROUTE_NOT_FEASIBLE")
+        .when(F.col("origin").isNull() | F.col("destination").isNull(), "ROUTE_ORIGIN_MISSING")
+        .when(F.col("__measured").isNull(), "METRICS_UNAVAILABLE")
+        .when(F.col("__metrics").isNotNull(), F.col("__metrics"))
+        .when(F.col("__stops").isNull(), "NO_STOPS_TO_PUBLISH")
+        .when(F.col("__lost") > 0, "STOP_LOCATION_MISSING")
+    )
+    return rows.withColumn("reason", reason).drop("target", "__metrics", "__measured", "__stops", "__lost")
+
+
 def history_page(revisions: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
     """Newest first after a cursor (published_at, id); one row more than the clamped limit tells whether more follow."""
     n = min(max(limit, 1), 100)

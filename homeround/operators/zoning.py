@@ -14,6 +14,9 @@ from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
 DENSITY_M, URBAN_DENSITY = 500.0, 4
 RURAL_EPS_M, WIDE_M = 2500.0, 12_000.0
 SPEED_KMH = {"urban": 20.0, "rural": 35.0}
+#: Side of the smallest square, and how many times four squares a side make the next larger one.
+SQUARE_M, SQUARE_LEVELS = 75.0, 6
+AREA_POINTS, AREA_ZONES, AREA_BORDER = 2_000, 500, 300
 
 
 def confirmed_points(addresses: DataFrame) -> DataFrame:
@@ -119,7 +122,7 @@ def admin_seeds(points: DataFrame, max_visits: int) -> DataFrame:
         return sized.join(wide, keys, "left").select(*keys, "n", (F.coalesce(F.col("diameter"), F.lit(0.0)) <= WIDE_M).alias("tight"))
 
     towns = ["organization_id", "municipality"]
-    by_town = points.join(fitting(points, towns), towns).withColumnRenamed("n", "town_n").withColumnRenamed("tight", "town_ok")
+    by_town = points.join(fitting(points, towns), towns, "left").withColumnRenamed("n", "town_n").withColumnRenamed("tight", "town_ok")
     large = by_town.where(F.col("town_n") > max_visits)
     codes = [*towns, "postal_code"]
     by_code = by_town.join(fitting(large, codes), codes, "left")
@@ -145,25 +148,153 @@ def capacity_clusters(points: np.ndarray, k: int, cap: int, rounds: int = 20) ->
     apart = ((points[:, None] - centres[None]) ** 2).sum(axis=2)
     labels, room = np.full(n, -1), np.full(k, cap)
     for i in np.lexsort((np.arange(n), apart.min(axis=1))):
-        j = min((j for j in range(k) if room[j]), key=lambda j: apart[i, j])
+        j = int(np.where(room > 0, apart[i], np.inf).argmin())
         labels[i], room[j] = j, room[j] - 1
     return labels
 
 
-def cluster_points(features: DataFrame, max_visits: int) -> DataFrame:
-    """Capacity-limited clusters per (organization, kind, 20 km cell): (organization, kind, point, cluster)."""
-    cells = features.withColumns({"gx": F.floor(F.col("x") / 20_000), "gy": F.floor(F.col("y") / 20_000)})
-    keys = ["organization_id", "kind", "gx", "gy"]
-    rows = cells.select(*keys, "point_id", "x", "y")
+def areas(rows: DataFrame, keys: list[str], limit: int, id_col: str, weight: Column | int = 1) -> DataFrame:
+    """``rows`` with ``area``, of which none weighs much over ``limit`` however large a group of ``keys`` is.
+
+    The area is the whole group if that is light enough, else the largest square of the grid that is. Rows of a smallest
+    square that is still too heavy are dealt by the hash of ``id_col``. Rows without coordinates are left out.
+    """
+    x, y = F.floor(F.col("x") / SQUARE_M).alias("__x"), F.floor(F.col("y") / SQUARE_M).alias("__y")
+    placed = rows.where("x is not null and y is not null").select("*", x, y)
+    squares = placed.groupBy(*keys, "__x", "__y").agg(F.sum(F.lit(weight) if isinstance(weight, int) else weight).alias("__n"))
+    larger = [F.struct(F.lit(k).alias("level"), F.floor(F.col("__x") / 4**k).alias("gx"), F.floor(F.col("__y") / 4**k).alias("gy")) for k in range(SQUARE_LEVELS)]
+    whole = F.struct(F.lit(SQUARE_LEVELS).alias("level"), F.lit(0).cast("long").alias("gx"), F.lit(0).cast("long").alias("gy"))
+    nested = squares.select("*", F.explode(F.array(*larger, whole)).alias("__s"))
+    sums = nested.groupBy(*keys, "__s").agg(F.sum("__n").alias("__total"))
+    fits = F.max(F.when(F.col("__total") <= limit, F.col("__s"))).alias("__s")
+    chosen = nested.join(sums, [*keys, "__s"]).groupBy(*keys, "__x", "__y").agg(fits, F.max("__n").alias("__n"))
+    dealt = F.pmod(F.xxhash64(id_col), F.ceil(F.col("__n") * 2 / limit))
+    heavy = F.concat_ws(":", F.lit("-"), "__x", "__y", dealt)
+    name = F.when(F.col("__s").isNull(), heavy).otherwise(F.concat_ws(":", "__s.level", "__s.gx", "__s.gy"))
+    return placed.join(chosen, [*keys, "__x", "__y"]).withColumn("area", name).drop("__x", "__y", "__s", "__n")
+
+
+def _split(rows: DataFrame, keys: list[str], max_visits: int, least: str | None = None) -> DataFrame:
+    """``rows`` with ``cluster``: each group of ``keys``, which is small, in clusters of at most ``max_visits``; ``least`` names how many at least."""
+    kept = ["organization_id", "kind", "point_id", "x", "y"]
+    fields = [rows.schema[c] for c in kept]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", cluster string"
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("point_id").reset_index(drop=True)
-        labels = capacity_clusters(part[["x", "y"]].to_numpy(), 1, max_visits)
-        part["cluster"] = [f"{a}:{b}:{c}" for a, b, c in zip(part["gx"], part["gy"], labels)]
-        return part[["organization_id", "kind", "point_id", "x", "y", "cluster"]]
+        name = ":".join(str(part[k].iloc[0]) for k in keys[1:])
+        labels = capacity_clusters(part[["x", "y"]].to_numpy(), int(part[least].iloc[0]) if least else 1, max_visits)
+        part["cluster"] = [f"{name}:{j}" for j in labels]
+        return part[[*kept, "cluster"]]
+
+    return rows.select(*dict.fromkeys([*kept, *keys, *([least] if least else [])])).groupBy(*keys).applyInPandas(run, schema)
+
+
+def cluster_points(features: DataFrame, max_visits: int) -> DataFrame:
+    """Capacity-limited clusters per (organization, kind): (organization, kind, point, x, y, cluster). More than 2,000 points are cut into areas first."""
+    keys = ["organization_id", "kind"]
+    points = _shared(features.select(*keys, "point_id", "x", "y"), "points")  # read twice; the density behind it is not cheap
+    return _split(areas(points, keys, AREA_POINTS, "point_id"), [*keys, "area"], max_visits)
+
+
+def _zones(members: DataFrame) -> DataFrame:
+    return members.groupBy("organization_id", "cluster").agg(F.count("*").alias("n"), F.bround(F.avg("x"), 3).alias("x"), F.bround(F.avg("y"), 3).alias("y"))
+
+
+def split_plan(zones: DataFrame, missing: DataFrame) -> DataFrame:
+    """(organization, cluster, pieces): into how many pieces each zone goes so that ``missing`` zones are made by halving the largest piece again and again.
+
+    A zone of n members has n - 1 halvings, the i-th of a piece of n / 2^floor(log2 i). The largest of an organization are
+    found from a histogram of piece sizes; only those of the last size taken are ranked.
+    """
+    halvings = zones.where("n > 1").join(missing, "organization_id").select("organization_id", "cluster", "missing", F.explode(F.expr("transform(sequence(1, int(n) - 1), i -> n / pow(2, floor(log2(i))))")).alias("piece"))
+    per = halvings.groupBy("organization_id", "cluster", "missing", "piece").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("organization_id").orderBy(F.desc("piece")))
+    rest = per.groupBy("organization_id", "missing", "piece").agg(F.sum("c").alias("c")).withColumn("rest", F.col("missing") - upto + F.col("c")).where("rest > 0")
+    per = per.join(rest.select("organization_id", "piece", F.col("c").alias("all"), "rest"), ["organization_id", "piece"])
+    whole = per.where("all <= rest").select("organization_id", "cluster", "c")
+    before = F.sum("c").over(Window.partitionBy("organization_id", "piece").orderBy("cluster")) - F.col("c")
+    part = per.where("all > rest").select("organization_id", "cluster", F.least("c", F.col("rest") - before).alias("c")).where("c > 0")
+    return whole.union(part).groupBy("organization_id", "cluster").agg((F.sum("c") + 1).alias("pieces"))
+
+
+def merge_nearest(n: np.ndarray, xy: np.ndarray, cap: int, merges: int) -> np.ndarray:
+    """For each zone the zone it ends in, after at most ``merges`` unions of the nearest two that fit together."""
+    n, xy, into = n.astype(float), xy.astype(float).copy(), np.arange(len(n))
+    apart = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    apart[np.tril_indices(len(n))] = np.inf
+    for _ in range(merges):
+        open_ = np.where(n[:, None] + n[None] <= cap, apart, np.inf)
+        i, j = np.unravel_index(open_.argmin(), open_.shape) if open_.size else (0, 0)
+        if not open_.size or not np.isfinite(open_[i, j]):
+            break
+        xy[i] = (n[i] * xy[i] + n[j] * xy[j]) / (n[i] + n[j])
+        n[i] += n[j]
+        into[into == j] = i
+        apart[j], apart[:, j] = np.inf, np.inf
+        far = ((xy - xy[i]) ** 2).sum(axis=1)
+        gone = into != np.arange(len(n))
+        far[gone] = np.inf
+        apart[i, i + 1 :], apart[:i, i] = far[i + 1 :], far[:i]
+    return into
+
+
+def merge_plan(zones: DataFrame, surplus: DataFrame, max_visits: int) -> DataFrame:
+    """(organization, cluster, merged): unions of the nearest zones that fit, ``surplus`` of them. Over 500 zones, areas share them by their zones."""
+    rows = areas(zones.join(surplus, "organization_id"), ["organization_id"], AREA_ZONES, "cluster")
+    sizes = rows.groupBy("organization_id", "surplus", "area").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("organization_id")
+    upto, total = F.sum("c").over(w.orderBy("area")), F.sum("c").over(w)
+    due = F.floor(F.col("surplus") * upto / total) - F.floor(F.col("surplus") * (upto - F.col("c")) / total)
+    rows = rows.join(sizes.select("organization_id", "area", due.alias("due")), ["organization_id", "area"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("cluster").reset_index(drop=True)
+        into = merge_nearest(part["n"].to_numpy(), part[["x", "y"]].to_numpy(), max_visits, int(part["due"].iloc[0]))
+        part["merged"] = part["cluster"].to_numpy()[into]
+        return part[["organization_id", "cluster", "merged"]]
+
+    org = zones.schema["organization_id"].dataType.simpleString()
+    return rows.select("organization_id", "area", "cluster", "n", "x", "y", "due").groupBy("organization_id", "area").applyInPandas(run, f"organization_id {org}, cluster string, merged string")
 
-    org, pid = features.schema["organization_id"].dataType.simpleString(), features.schema["point_id"].dataType.simpleString()
-    return rows.groupBy(*keys).applyInPandas(run, f"organization_id {org}, kind string, point_id {pid}, x double, y double, cluster string")
+
+def fit_target(members: DataFrame, targets: DataFrame, max_visits: int) -> DataFrame:
+    """Zones of one kind brought to the ``k`` zones an organization asks for: the largest split, or the nearest that fit joined. Capacity wins."""
+    zones = _zones(members)
+    gap = zones.groupBy("organization_id").agg(F.count("*").alias("c")).join(targets, "organization_id").withColumn("gap", F.col("k") - F.col("c"))
+    pieces = split_plan(zones, gap.where("gap > 0").select("organization_id", F.col("gap").alias("missing")))
+    merged = merge_plan(zones, gap.where("gap < 0").select("organization_id", (-F.col("gap")).alias("surplus")), max_visits)
+    rows = members.join(pieces, ["organization_id", "cluster"], "left").join(merged, ["organization_id", "cluster"], "left")
+    cut = _split(rows.where("pieces > 1"), ["organization_id", "kind", "cluster"], max_visits, "pieces")
+    return rows.where("pieces is null").select(*cut.columns[:-1], F.coalesce("merged", "cluster").alias("cluster")).unionByName(cut)
+
+
+def propose_zones(features: DataFrame, max_visits: int, target: int | None = None) -> DataFrame:
+    """(organization, kind, point, x, y, cluster) of all located points; lone rural points are outliers with a null cluster.
+
+    Rural points group by neighbourhood, urban ones by municipality or postal code where these fit, the others by distance;
+    the kinds never mix. ``target`` zones an organization are aimed at by its urban zones.
+    """
+    kept = ["organization_id", "kind", "point_id", "x", "y"]
+    located = _shared(features.where("x is not null and y is not null"), "features")
+    rural = located.where("kind <> 'urban'")
+    groups = _shared(rural.select(*kept).join(rural_groups(rural), ["organization_id", "point_id"]), "groups")
+    sized = groups.groupBy("organization_id", "group").agg(F.count("*").alias("n"))
+    grouped = groups.where("group is not null").join(sized, ["organization_id", "group"])
+    small = grouped.where(F.col("n") <= max_visits).select(*kept, F.concat(F.lit("r:"), "group").alias("cluster"))
+    large = areas(grouped.where(F.col("n") > max_visits), ["organization_id", "kind", "group"], AREA_POINTS, "point_id")
+    urban = located.where("kind = 'urban'")
+    seeded = urban.select(*kept).join(admin_seeds(urban, max_visits), ["organization_id", "point_id"])
+    zones = seeded.where("seed is not null").select(*kept, F.concat(F.lit("s:"), "seed").alias("cluster")).unionByName(cluster_points(seeded.where("seed is null"), max_visits))
+    country = _shared(small.unionByName(_split(large, ["organization_id", "kind", "group", "area"], max_visits)), "country")
+    if target is not None:
+        zones = _shared(zones, "zones")
+        there = country.groupBy("organization_id").agg(F.count_distinct("cluster").alias("there"))
+        floor = zones.groupBy("organization_id").agg(F.ceil(F.count("*") / max_visits).alias("floor"))
+        k = F.greatest("floor", F.lit(target) - F.coalesce("there", F.lit(0)))
+        zones = fit_target(zones, floor.join(there, "organization_id", "left").select("organization_id", k.alias("k")), max_visits)
+    lone = groups.where("group is null").select(*kept, F.lit(None).cast("string").alias("cluster"))
+    return zones.unionByName(country).unionByName(lone)
 
 
 def label_clusters(members: DataFrame) -> DataFrame:
@@ -269,24 +400,68 @@ def improve_cohesion(labels: list[int], seconds: np.ndarray, kinds: list[str], c
     """Greedy single moves to a zone of the same kind with room that lower the mean pair duration most, until none does."""
     labels, both = list(labels), (seconds + seconds.T) / 2
     zones = sorted(set(labels))
-    member = np.stack([np.array([x == z for x in labels], float) for z in zones], axis=1)
+    own = np.array([zones.index(x) for x in labels], int)
+    kind_of_zone = np.array([kinds[labels.index(z)] for z in zones])
+    same = np.array(kinds)[:, None] == kind_of_zone[None]
+    at = np.arange(len(labels))
+    near = both @ np.eye(len(zones))[own]
     while True:
-        near = both @ member
-        size = member.sum(axis=0)
-        pairs = (size * (size - 1) / 2).sum()
-        total = (near * member).sum() / 2
+        size = np.bincount(own, minlength=len(zones))
+        pairs = (size * (size - 1)).sum() / 2
+        total = near[at, own].sum() / 2
         mean = total / pairs if pairs else 0.0
-        best = None
-        for i in range(len(labels)):
-            a = int(member[i].argmax())
-            for z in range(len(zones)):
-                if z == a or size[z] >= cap or size[a] < 2 or kinds[i] != kinds[int(member[:, z].argmax())]:
-                    continue
-                new_pairs = pairs - (size[a] - 1) + size[z]
-                gain = mean - ((total - near[i, a] + near[i, z]) / new_pairs if new_pairs else 0.0)
-                if gain > 1e-9 and (best is None or gain > best[0] + 1e-12):
-                    best = (gain, i, z, a)
-        if best is None:
-            return [zones[int(k)] for k in member.argmax(axis=1)]
-        _, i, z, a = best
-        member[i, a], member[i, z] = 0, 1
+        left = pairs - (size[own] - 1)[:, None] + size[None]
+        moved = total - near[at, own][:, None] + near
+        gain = mean - np.divide(moved, left, out=np.zeros_like(moved), where=left > 0)
+        closed = ~same | (size >= cap)[None] | (size[own] < 2)[:, None]
+        closed[at, own] = True
+        gain[closed] = -np.inf
+        if not gain.size or gain.max() <= 1e-9:
+            return [zones[k] for k in own]
+        i, z = np.unravel_index(int((gain > gain.max() - 1e-12).argmax()), gain.shape)
+        near[:, own[i]] -= both[:, i]
+        near[:, z] += both[:, i]
+        own[i] = z
+
+
+def border_areas(members: DataFrame) -> DataFrame:
+    """``members`` with the ``area`` inside which they may change zone: whole zones together, about 300 points at most."""
+    members = _shared(members, "members")
+    zones = areas(_zones(members), ["organization_id"], AREA_BORDER, "cluster", F.col("n"))
+    return members.join(zones.select("organization_id", "cluster", "area"), ["organization_id", "cluster"])
+
+
+def apply_cohesion(members: DataFrame, pairs: DataFrame, max_visits: int) -> DataFrame:
+    """Members of each (organization, area) after border moves: ``cluster`` before, ``adjusted`` after, and mean minutes of both.
+
+    ``pairs`` holds durations of all ordered pairs (i, j) of an area. Where one is missing, negative or not finite nothing moves and ``reason`` says so.
+    """
+    types = {c: members.schema[c].dataType.simpleString() for c in ("organization_id", "point_id")}
+    schema = f"organization_id {types['organization_id']}, area string, point_id {types['point_id']}, kind string, cluster string, adjusted string, before_minutes double, after_minutes double, reason string"
+
+    def minutes(labels: list, seconds: np.ndarray) -> float:
+        of = np.array(labels)
+        together = (of[:, None] == of[None]) & ~np.eye(len(of), dtype=bool)
+        return round(float(seconds[together].mean() / 60), 6) if together.any() else 0.0
+
+    def run(part: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("point_id").reset_index(drop=True)
+        if not len(part):
+            return pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+        at = pd.Index(part["point_id"])
+        seconds = np.full((len(part), len(part)), np.nan)
+        i, j = at.get_indexer(times["i"]), at.get_indexer(times["j"])
+        known = (i >= 0) & (j >= 0)
+        seconds[i[known], j[known]] = times["duration_s"].to_numpy(float)[known]
+        np.fill_diagonal(seconds, 0.0)
+        sound = bool((np.isfinite(seconds) & (seconds >= 0)).all())
+        before = part["cluster"].tolist()
+        after = improve_cohesion(before, seconds, part["kind"].tolist(), max_visits) if sound else before
+        return part[["organization_id", "area", "point_id", "kind", "cluster"]].assign(
+            adjusted=after, before_minutes=minutes(before, seconds) if sound else None,
+            after_minutes=minutes(after, seconds) if sound else None, reason=None if sound else "ROUTER_TABLE_FAILED",
+        )
+
+    keys = ["organization_id", "area"]
+    rows = members.select(*keys, "point_id", "kind", "cluster")
+    return rows.groupBy(*keys).cogroup(pairs.select(*keys, "i", "j", "duration_s").groupBy(*keys)).applyInPandas(run, schema)

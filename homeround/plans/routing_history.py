@@ -50,6 +50,7 @@ ACT_SQL = TOT_SQL + """, z AS (SELECT *, CASE WHEN status <> 'pending' THEN ship
 DIAG_SQL = """s AS (SELECT route_id, sequence AS node, (patient_id * 7 % 300) * 60e0 AS st, (patient_id * 7 % 300) * 60e0 + 60e0 * (5 + patient_id % 90) AS en, service_minutes * 60e0 AS sv, patient_id % 9 * 300e0 AS o, patient_id % 7 * 300e0 AS bk FROM stops), d AS (
  SELECT *, CASE WHEN greatest(o, st) > en THEN 'ISOLATED_STOP' WHEN greatest(o, st) + sv + bk > 14400 THEN 'INSUFFICIENT_SHIFT' END AS code FROM s)"""
 SHARE_SQL = "sh AS (SELECT event_id AS share_id, user_id, event_id * 4 AS route_id, CASE WHEN event_id % 5 = 0 THEN 'revoked' WHEN event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-15' THEN 'expired' END AS reason FROM events)"
+GATE_SQL = "gate AS (SELECT revision_id, CASE WHEN count(*) FILTER (variant = 'original') = 0 OR count(*) FILTER (variant = 'optimized') = 0 THEN 'METRICS_UNAVAILABLE' WHEN count(*) FILTER (variant <> 'actual' AND stale) > 0 THEN 'METRICS_STALE' END AS reason FROM metrics GROUP BY 1)"
 
 QUERIES = {
     "patient_map": (lambda v: R.patient_map(v("patients"), v("addresses"), v("zone_history"), v("zones")), "SELECT p.*, a.address_id, a.postal_code, a.municipality, a.geocode_status, a.version, h.zone_id, h.source, z.kind FROM patients p JOIN addresses a ON a.patient_id = p.patient_id AND a.is_active LEFT JOIN zone_history h ON h.patient_id = p.patient_id AND h.valid_to IS NULL LEFT JOIN zones z ON z.organization_id = p.organization_id AND z.zone_id = h.zone_id"),
@@ -73,6 +74,12 @@ QUERIES = {
  SELECT route_id, i, j, CASE WHEN w1 OR w2 THEN 'INSUFFICIENT_SHIFT' ELSE 'INCOMPATIBLE_WINDOWS' END AS code FROM q WHERE NOT ((w1 AND s1) OR (w2 AND s2))"""),
     "sequence_routes": (lambda v: R.sequence_routes(v("arcs")), None),
     "navigation_links": (lambda v: v("stops").groupBy("route_id").agg(R.navigation_link(F.array_sort(F.collect_list(F.struct("sequence", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))))).alias("link")), "SELECT route_id, 'https://maps.example/dir/' || coalesce(string_agg(CASE WHEN longitude IS NOT NULL THEN printf('%.5f,%.5f', latitude, longitude) END, '/' ORDER BY sequence), '') AS link FROM stops GROUP BY 1"),
+    "metrics_gate": (lambda v: R.metrics_gate(v("metrics")), f"WITH {GATE_SQL} SELECT * FROM gate"),
+    "publish_gate": (lambda v: R.publish_gate(v("publish_requests"), v("metrics"), v("stops")).select("route_id", "reason"), f"""WITH {GATE_SQL}, lo AS (SELECT revision_id, count(*) AS n, count(longitude) AS located FROM stops GROUP BY 1)
+ SELECT q.route_id, CASE WHEN route_status IS NULL THEN 'ROUTE_NOT_FOUND' WHEN version <> expected_version THEN 'ROUTE_VERSION_CONFLICT' WHEN route_status = 'published' THEN 'ROUTE_PUBLISHED' WHEN route_status = 'cancelled' THEN 'ROUTE_NOT_PUBLISHABLE'
+  WHEN q.revision_id IS NULL AND current_revision IS NULL THEN 'REVISION_NOT_FOUND' WHEN q.revision_id <> current_revision THEN 'REVISION_NOT_CURRENT' WHEN revision_status IS NULL THEN 'REVISION_NOT_FOUND' WHEN revision_status = 'published' THEN 'REVISION_PUBLISHED' WHEN revision_status = 'superseded' THEN 'REVISION_NOT_DRAFT'
+  WHEN solver_status = 'infeasible' THEN 'ROUTE_NOT_FEASIBLE' WHEN origin IS NULL OR destination IS NULL THEN 'ROUTE_ORIGIN_MISSING' WHEN gate.revision_id IS NULL THEN 'METRICS_UNAVAILABLE' WHEN gate.reason IS NOT NULL THEN gate.reason WHEN n IS NULL THEN 'NO_STOPS_TO_PUBLISH' WHEN located < n THEN 'STOP_LOCATION_MISSING' END AS reason
+ FROM publish_requests q LEFT JOIN gate ON gate.revision_id = coalesce(q.revision_id, current_revision) LEFT JOIN lo ON lo.revision_id = coalesce(q.revision_id, current_revision)"""),
     "snapshot_stops": (lambda v: R.explode_snapshots(_published(v).select("revision_id", F.to_json("order").alias("document"))).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
     "reference_containment": (lambda v: R.holding_reference(_published(v), "PAC-77"), "SELECT DISTINCT revision_id FROM stops WHERE patient_id = 77"),
     "history_page": (lambda v: R.history_page(_published(v).select("revision_id", F.col("published_at")), 50).select("revision_id", F.date_format("published_at", "yyyy-MM-dd").alias("published")), "SELECT revision_id, CAST(CAST(max(service_date) AS DATE) AS STRING) AS published FROM stops GROUP BY revision_id ORDER BY max(service_date) DESC, revision_id DESC LIMIT 51"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from homeround.functions import geo
 from homeround.operators import planning as P
+from homeround.operators import routing as R
 from homeround.operators import zoning as Z
 
 _E2 = "(2e0 / 298.257222101e0 - 1e0 / (298.257222101e0 * 298.257222101e0))"
@@ -72,6 +73,19 @@ def _json_plans(v):
     )
 
 
+def _zone_rows(members):
+    named = Z.label_clusters(members.where("cluster is not null")).select("organization_id", "cluster", F.col("label").alias("zone"))
+    return members.join(named, ["organization_id", "cluster"], "left").select("organization_id", "point_id", "kind", "zone")
+
+
+def _cohesion(v):
+    members = Z.border_areas(Z.cluster_points(_features(v), 12))
+    where = v("points").select("organization_id", "point_id", "longitude", "latitude")
+    nodes = members.join(where, ["organization_id", "point_id"]).select(F.struct("organization_id", "area").alias("route_id"), F.col("point_id").alias("node"), "longitude", "latitude")
+    pairs = R.geodesic_matrix(nodes).where("i <> j").select("route_id.*", "i", "j", "duration_s")
+    return Z.apply_cohesion(members, pairs, 12)
+
+
 def _overrides(v):
     zones = Z.occupancy(v("zones"), v("zone_history"))
     current = v("zone_history").where("valid_to is null").withColumn("row_version", F.lit(1))
@@ -91,6 +105,9 @@ QUERIES = {
     "rural_groups": (lambda v: Z.rural_groups(_features(v).where("kind = 'rural'")), f"""WITH RECURSIVE {DENSE_SQL}, r AS (SELECT organization_id, point_id, x, y FROM feats WHERE kind = 'rural'), e AS (SELECT p.organization_id, p.point_id AS a, q.point_id AS b FROM r p JOIN r q ON p.organization_id = q.organization_id AND p.point_id <> q.point_id AND pow(p.x-q.x,2)+pow(p.y-q.y,2) <= 6250000), w AS (SELECT DISTINCT a, a AS l FROM e UNION SELECT e.a, w.l FROM w JOIN e ON e.b = w.a), g AS (SELECT a, min(l) AS l FROM w GROUP BY a) SELECT organization_id, point_id, g.l AS "group" FROM r LEFT JOIN g ON g.a = r.point_id"""),
     "cluster_points": (lambda v: Z.label_clusters(Z.cluster_points(_features(v), 6)), None),
     "zone_hulls": (lambda v: Z.zone_hulls(Z.cluster_points(_features(v), 12)), None),
+    "propose_zones": (lambda v: _zone_rows(Z.propose_zones(_features(v), 6)), None),
+    "fit_target_zones": (lambda v: _zone_rows(Z.propose_zones(_features(v), 12, 20)), None),
+    "border_cohesion": (_cohesion, None),
     "zone_occupancy": (lambda v: Z.occupancy(v("zones"), v("zone_history")).select("organization_id", "zone_id", "occupied", "over_capacity"),
         "SELECT organization_id, zone_id, count(h.patient_id) AS occupied, count(h.patient_id) > max_visits AS over_capacity FROM zones z LEFT JOIN (SELECT * FROM zone_history WHERE valid_to IS NULL) h USING (organization_id, zone_id) GROUP BY organization_id, zone_id, max_visits"),
     "accept_proposal": (lambda v: Z.accept_proposal(v("zone_history").where("valid_to is null"), _proposal(v)).select("organization_id", "patient_id", "old_zone", "new_zone", "action"),

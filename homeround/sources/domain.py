@@ -92,6 +92,19 @@ SELECT n_nationkey AS plan_id, '2026-' || lpad(CAST(1 + n_nationkey % 12 AS STRI
   CASE WHEN n_nationkey % 3 = 1 THEN 'rural' ELSE 'urban' END AS zone_kind,
   CASE WHEN n_nationkey % 4 = 0 THEN CAST(480 AS INT) END AS window_start, CASE WHEN n_nationkey % 4 = 0 THEN CAST(840 AS INT) END AS window_end
 FROM nation""",
+    "metrics": """
+SELECT o_orderkey AS revision_id, v.variant, (o_orderkey + length(v.variant)) % 23 = 0 AS stale
+FROM orders JOIN (VALUES ('original'), ('optimized'), ('actual')) AS v(variant) ON (o_orderkey * 7 + length(v.variant)) % 29 <> 0""",
+    "publish_requests": """
+SELECT o_orderkey AS route_id,
+  CASE o_orderkey % 19 WHEN 0 THEN 'published' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'ready' WHEN 3 THEN NULL ELSE 'draft' END AS route_status,
+  CAST(o_orderkey % 5 AS INT) AS version, CAST(CASE WHEN o_orderkey % 37 = 0 THEN 9 ELSE o_orderkey % 5 END AS INT) AS expected_version,
+  CASE WHEN o_orderkey % 41 <> 0 THEN o_orderkey END AS current_revision,
+  CASE WHEN o_orderkey % 43 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 2 = 0 THEN o_orderkey END AS revision_id,
+  CASE o_orderkey % 31 WHEN 0 THEN 'published' WHEN 1 THEN 'superseded' WHEN 2 THEN NULL ELSE 'draft' END AS revision_status,
+  CASE WHEN o_orderkey % 17 = 5 THEN 'infeasible' ELSE 'feasible' END AS solver_status,
+  CASE WHEN o_orderkey % 47 <> 0 THEN 'A' END AS origin, CASE WHEN o_orderkey % 53 <> 0 THEN 'B' END AS destination
+FROM orders""",
     "reports": """
 SELECT event_id, user_id AS stop_id, ts AS reported_at, CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'pending' END AS status,
   event_type, value, props FROM events""",

@@ -78,6 +78,59 @@ def test_cohesion_moves_the_border_point():
     assert zoning.improve_cohesion([0, 0, 0, 1, 1], seconds, ["urban"] * 5, 2) == [0, 0, 0, 1, 1]
 
 
+def test_areas_stay_light(spark):
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.normal(0, 30_000, (600, 2)), rng.normal(0, 5, (900, 2))])
+    rows = [(1 + (i % 5 == 0), i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(1, 9_999, None, None)]
+    points = spark.createDataFrame(rows, "organization_id int, point_id int, x double, y double")
+    got = zoning.areas(points, ["organization_id"], 100, "point_id").toPandas()
+    assert sorted(got.point_id) == list(range(1500)) and got.groupby(["organization_id", "area"]).size().max() <= 100
+    assert zoning.areas(points, ["organization_id"], 1500, "point_id").select("organization_id", "area").distinct().count() == 2
+
+
+def test_nearest_zones_that_fit_are_joined():
+    xy = np.array([[0, 0], [1, 0], [10, 0], [12, 0]])
+    assert zoning.merge_nearest(np.array([3, 3, 2, 2]), xy, 6, 1).tolist() == [0, 0, 2, 3]
+    assert zoning.merge_nearest(np.array([3, 4, 2, 2]), xy, 6, 9).tolist() == [0, 1, 2, 2]
+    assert zoning.merge_nearest(np.zeros(0), np.zeros((0, 2)), 6, 3).tolist() == []
+
+
+def test_largest_zones_are_split(spark):
+    zones = spark.createDataFrame([(1, "a", 8), (1, "b", 4), (1, "c", 1), (2, "d", 2)], "organization_id int, cluster string, n long")
+    need = spark.createDataFrame([(1, 3), (2, 9)], "organization_id int, missing long")
+    got = {r.cluster: r.pieces for r in zoning.split_plan(zones, need).collect()}
+    assert got == {"a": 4, "d": 2} or got == {"a": 3, "b": 2, "d": 2}  # 8, then two of the three pieces of 4
+
+
+@pytest.mark.parametrize("target", [None, 2, 9])
+def test_proposed_zones(spark, target):
+    rng = np.random.default_rng(1)
+    blobs = [(c, *(c * 3000 + rng.normal(0, 50, 2))) for c in range(3) for _ in range(10)]
+    rows = [(1, i, "urban", float(x), float(y), None, None) for i, (_, x, y) in enumerate(blobs)]
+    hamlets = [(1, 100 + 3 * h + j, "rural", 90_000.0 + 9_000 * h, 500.0 * j, "T", "1") for h in range(3) for j in range(3)]
+    lone = [(1, 200, "rural", 500_000.0, 0.0, "T", "1"), (1, 201, "rural", -500_000.0, 0.0, "T", "1")]
+    points = spark.createDataFrame(rows + hamlets + lone, "organization_id int, point_id int, kind string, x double, y double, municipality string, postal_code string")
+    got = zoning.propose_zones(points, 12, target).toPandas()
+    assert sorted(got.point_id) == sorted(r[1] for r in rows + hamlets + lone)
+    assert set(got[got.cluster.isna()].point_id) == {200, 201}
+    zones = got.dropna(subset=["cluster"]).groupby("cluster")
+    assert zones.size().max() <= 12 and zones.kind.nunique().max() == 1
+    assert (got[got.kind == "rural"].dropna().groupby("cluster").size() == 3).all()
+    assert got[got.kind == "urban"].cluster.nunique() == {None: 3, 2: 3, 9: 6}[target]
+    again = zoning.propose_zones(points.repartition(3), 12, target).toPandas()
+    assert sorted(map(tuple, again.fillna("").to_numpy())) == sorted(map(tuple, got.fillna("").to_numpy()))
+
+
+def test_cohesion_of_tables(spark):
+    members = spark.createDataFrame([(o, "w", p, "urban", z) for o in (1, 2) for p, z in zip("abcde", "xxxyy")], "organization_id int, area string, point_id string, kind string, cluster string")
+    near = {"ab", "cd", "ce", "de"}
+    pairs = [(o, "w", a, b, 60.0 if a + b in near or b + a in near else 600.0) for o in (1, 2) for a in "abcde" for b in "abcde" if a != b and not (o == 2 and a + b == "ae")]
+    got = zoning.apply_cohesion(members, spark.createDataFrame(pairs, "organization_id int, area string, i string, j string, duration_s double"), 3).toPandas().sort_values(["organization_id", "point_id"])
+    one, two = got[got.organization_id == 1], got[got.organization_id == 2]
+    assert "".join(one.adjusted) == "xxyyy" and (one.after_minutes < one.before_minutes).all() and one.reason.isna().all()
+    assert "".join(two.adjusted) == "xxxyy" and set(two.reason) == {"ROUTER_TABLE_FAILED"}
+
+
 def test_calendar(spark):
     mask = F.array(*[F.lit(i) for i in range(1, 6)])
     none = F.array().cast("array<date>")
