@@ -134,19 +134,20 @@ def cut_windows(block: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, label: Column | str = "lang", where: Column | None = None, text_col: str = "text", per_label: int = 600, per_text: int = 4) -> Network | None:
     """Train on a bounded sample of the labelled rows: about ``per_label`` texts of each label, ``per_text`` windows of each.
 
-    Texts are picked by a hash of the text against a threshold from the label's count, alike at every
-    size. The tasks cut the windows, so the driver gets at most labels x per_label x per_text x 256 bytes.
+    Texts are picked by a hash of the text against a threshold from the label's count of different texts,
+    alike at every size. The tasks cut the windows and equal ones collapse before the shuffle, so copies,
+    however many, count once and the driver gets about labels x per_label x per_text x 256 bytes.
     Some windows are shortened, so that short texts are learned too. None if there is no labelled text.
     """
     rows = docs.select(F.col(label).alias("label") if isinstance(label, str) else label.alias("label"), F.col(text_col).alias("text"), (where if where is not None else F.lit(True)).alias("use"))
-    rows = rows.where("use and label is not null and text is not null").drop("use")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # one row a language
+    rows = rows.where("use and label is not null and text is not null").drop("use").withColumn("h", F.xxhash64("text"))
+    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
     if not counts:
         return None
     labels = sorted(counts)
-    scale = 1 << 20
-    limits = F.create_map(*[F.lit(x) for k in labels for x in (k, int(min(1.0, per_label / counts[k]) * scale))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < limits[F.col("label")])
+    scale = 1 << 48
+    limits = F.create_map(*[f(x) for k in labels for f, x in ((F.lit, k), (lambda n: F.lit(n).cast("long"), scale * min(per_label, counts[k]) // counts[k]))])
+    sample = rows.where(F.pmod("h", F.lit(scale)) < limits[F.col("label")])
 
     def compute(block: TextBlock) -> list:
         windows, first = cut_windows(block)
@@ -157,7 +158,7 @@ def fit(docs: DataFrame, label: Column | str = "lang", where: Column | None = No
         return [out]
 
     got = annotate(sample, compute, [T.StructField("w", T.ArrayType(T.BinaryType()))], "text", keep=["label"])
-    got = got.select("label", F.explode("w").alias("w")).collect()
+    got = got.select("label", F.explode("w").alias("w")).distinct().collect()
     if not got:
         return None
     got.sort(key=lambda r: (r["label"], bytes(r["w"])))

@@ -116,6 +116,10 @@ def test_language(spark, empty):
     assert language.fit(empty) is None and language.predict(empty, None).count() == 0
     kept = language.keep_determined(table, net)
     assert kept.columns == table.columns and kept.where("doc_id >= 900").count() == 0
+    copies = spark.range(1000, 6000).select(F.col("id").alias("doc_id"), F.lit(rows[0][1]).alias("text"), F.lit("en").alias("lang"), F.lit("clash").alias("score"))
+    crowded = language.fit(table.union(copies), per_label=50)  # copies count once, so they do not push other texts out of the sample
+    found = language.predict(table, crowded).where("doc_id < 900").collect()
+    assert np.mean([r.lang == r.lang_pred for r in found]) > 0.95
 
 
 def test_packing(docs, empty):
