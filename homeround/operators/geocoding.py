@@ -136,6 +136,16 @@ def cached_lookup(requests: DataFrame, cache: DataFrame, as_of: str, days: int =
     return requests.join(fresh, keys), requests.select(*keys).distinct().join(fresh, keys, "left_anti")
 
 
+def municipality_retry(addresses: DataFrame, candidates: DataFrame, municipal: DataFrame) -> DataFrame:
+    """Candidates, and for addresses without any the candidates of their municipality, marked ``retried``.
+
+    ``municipal`` holds few rows a municipality, with ordinal; only addresses without a hit are joined to it.
+    """
+    missing = addresses.select("address_id", "municipality").join(candidates.select("address_id"), "address_id", "left_anti")
+    again = missing.join(municipal, "municipality").drop("municipality").withColumn("retried", F.lit(True))
+    return candidates.withColumn("retried", F.lit(False)).unionByName(again, allowMissingColumns=True)
+
+
 def latest_attempts(attempts: DataFrame) -> DataFrame:
     newest = Window.partitionBy("address_id").orderBy(F.desc("requested_at"), F.desc("id"))
     return attempts.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")

@@ -100,6 +100,15 @@ def accept_rows(rows: DataFrame, batches: DataFrame, accepted: DataFrame) -> Dat
     )
 
 
+def row_page(rows: DataFrame, after: int, limit: int, status: str | None = None) -> DataFrame:
+    """A page of every batch: its first ``limit`` rows after row ``after``, of one status if asked, and one row more where ``more`` follow."""
+    if status is not None:
+        rows = rows.where(F.col("validation_status") == status)
+    place = F.row_number().over(Window.partitionBy("batch_id").orderBy("row_number"))
+    page = rows.where(F.col("row_number") > after).withColumn("place", place).where(F.col("place") <= limit + 1)
+    return page.withColumn("more", F.col("place") > limit)
+
+
 def version_addresses(current: DataFrame, rows: DataFrame) -> DataFrame:
     """New address versions of a commit: per (organization, reference) the rows follow the highest version; only the last is active."""
     order = Window.partitionBy("organization_id", "external_ref").orderBy("batch_id", "row_number")

@@ -75,6 +75,27 @@ def route_totals(order: DataFrame, matrix: DataFrame, stops: DataFrame, per_km:
     return sums.join(service, "route_id")
 
 
+def tour_cost(order: DataFrame, matrix: DataFrame, per_km: float = 0.3, per_hour: float = 12.0) -> DataFrame:
+    """Cost of each route's closed tour: the arcs of the order and the one back to its first node; 0 for a single node."""
+    w = Window.partitionBy("route_id").orderBy("position")
+    start = F.first("node").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    arcs = order.select("route_id", F.col("node").alias("i"), F.coalesce(F.lead("node").over(w), start).alias("j"))
+    cost = arc_cost(F.col("distance_m"), F.col("duration_s"), F.lit(per_km), F.lit(per_hour))
+    rows = arcs.join(matrix, ["route_id", "i", "j"], "left")
+    return rows.groupBy("route_id").agg(F.bround(F.coalesce(F.sum(cost), F.lit(0.0)), 4).alias("cost"))
+
+
+def original_order(optimized: DataFrame, stops: DataFrame) -> DataFrame:
+    """Patients in the order before sequencing, from (route_id, nodes) of the tour and its stops in visiting order; empty where their numbers differ.
+
+    The stop at place p of the tour is the tour's p-th node; nodes count stops as they were before.
+    """
+    now = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "patient_id"))), lambda s: s["patient_id"])
+    both = stops.groupBy("route_id").agg(now.alias("now")).join(optimized.select("route_id", "nodes"), "route_id")
+    back = F.transform(F.array_sort(F.zip_with("nodes", "now", lambda n, p: F.struct(n.alias("node"), p.alias("patient_id")))), lambda s: s["patient_id"])
+    return both.select("route_id", F.when(F.size("nodes") == F.size("now"), back).otherwise(F.slice("now", 1, 0)).alias("patients"))
+
+
 def savings(original: DataFrame, optimized: DataFrame) -> DataFrame:
     o = optimized.select("route_id", F.col("travel_seconds").alias("t"), F.col("distance_m").alias("d"), F.col("cost").alias("c"))
     both = original.join(o, "route_id")
@@ -279,9 +300,20 @@ def publish_gate(requests: DataFrame, metrics: DataFrame, stops: DataFrame) -> D
     return rows.withColumn("reason", reason).drop("target", "__metrics", "__measured", "__stops", "__lost")
 
 
-def history_page(revisions: DataFrame, limit: int, before: tuple | None = None) -> DataFrame:
-    """Newest first after a cursor (published_at, id); one row more than the clamped limit tells whether more follow."""
+def history_page(revisions: DataFrame, limit: int, before: tuple | None = None, since=None, until=None, reference: str | None = None, **equal) -> DataFrame:
+    """Newest first after a cursor (published_at, id); one row more than the clamped limit tells whether more follow.
+
+    ``since`` and ``until`` bound published_at, both included; ``reference`` asks for documents that hold it; other arguments ask columns to be equal.
+    """
     n = min(max(limit, 1), 100)
+    if since is not None:
+        revisions = revisions.where(F.col("published_at") >= since)
+    if until is not None:
+        revisions = revisions.where(F.col("published_at") <= until)
+    if reference is not None:
+        revisions = revisions.where(F.exists("order", lambda s: s["external_ref"] == reference))
+    for name, value in equal.items():
+        revisions = revisions.where(F.col(name) == value)
     if before:
         revisions = revisions.where((F.col("published_at") < before[0]) | ((F.col("published_at") == before[0]) & (F.col("revision_id") < before[1])))
     return revisions.orderBy(F.desc("published_at"), F.desc("revision_id")).limit(n + 1)
@@ -315,6 +347,12 @@ def reorder(stops: DataFrame, requested: DataFrame) -> DataFrame:
     return rows.select("route_id", "patient_id", F.when(F.col("fits"), F.col("pos") + 1).otherwise(F.col("sequence")).alias("sequence"), F.when(~F.col("fits"), "NOT_A_PERMUTATION").alias("reason"))
 
 
+def foreign_patients(requested: DataFrame, patients: DataFrame) -> DataFrame:
+    """Requested (organization, patient) pairs that the organization does not have, once each."""
+    keys = ["organization_id", "patient_id"]
+    return requested.select(*keys).distinct().join(patients.select(*keys), keys, "left_anti")
+
+
 def ledger(requests: DataFrame) -> DataFrame:
     """First payload of a key creates, the same one replays, another conflicts."""
     w = Window.partitionBy("organization_id", "type", "idempotency_key").orderBy("created_at", "id")

@@ -63,7 +63,7 @@ def kind_of(density: Column, hint: Column) -> Column:
 
 def catalogue_hint(points: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The row's own hint, else the municipality catalogue: exact name first, then without case."""
-    exact = catalogue.select("municipality", F.col("kind").alias("__a"))
+    exact = catalogue.groupBy("municipality").agg(F.min("kind").alias("__a"))
     loose = catalogue.groupBy(F.lower("municipality").alias("__m")).agg(F.min("kind").alias("__b"))
     found = points.join(exact, "municipality", "left").join(loose, F.lower(points["municipality"]) == F.col("__m"), "left")
     return found.withColumn("municipality_kind", F.coalesce("municipality_kind", "__a", "__b")).drop("__a", "__b", "__m")
@@ -306,6 +306,25 @@ def label_clusters(members: DataFrame) -> DataFrame:
     return per.withColumn("label", F.concat_ws("-", "kind", F.row_number().over(order) - 1))
 
 
+def cluster_summary(members: DataFrame) -> DataFrame:
+    """Per cluster: members, centroid in degrees and metres, and kind, mixed where both occur. Rows without cluster are outliers and take no part."""
+    mean = lambda c, n: F.bround(F.avg(c), n)
+    return members.where("cluster is not null").groupBy("organization_id", "cluster").agg(
+        F.count("*").alias("n"), mean("longitude", 6).alias("longitude"), mean("latitude", 6).alias("latitude"), mean("x", 3).alias("x"), mean("y", 3).alias("y"),
+        F.when(F.min("kind") == F.max("kind"), F.min("kind")).otherwise("mixed").alias("kind"),
+    )
+
+
+def proposal_summary(members: DataFrame) -> DataFrame:
+    """Per organization: points, clusters, outliers and the size of the largest cluster (0 if all are outliers)."""
+    sizes = members.groupBy("organization_id", "cluster").agg(F.count("*").alias("n"))
+    inside = F.col("cluster").isNotNull()
+    return sizes.groupBy("organization_id").agg(
+        F.sum("n").alias("n_points"), F.count_if(inside).alias("n_clusters"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("n_outliers"), F.coalesce(F.max(F.when(inside, F.col("n"))), F.lit(0)).alias("max_size"),
+    )
+
+
 def hull_wkt(xs: np.ndarray, ys: np.ndarray) -> str | None:
     """Convex hull by monotone chain as POLYGON text; null unless it has three corners."""
     pts = sorted(set(zip(xs.tolist(), ys.tolist())))

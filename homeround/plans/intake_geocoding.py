@@ -72,6 +72,12 @@ def _lookup(v):
     return G.gazetteer_lookup(asked, v("gazetteer"))
 
 
+def _retry(v):
+    asked = v("addresses").where("is_active").select(F.col("patient_id").alias("address_id"), "municipality")
+    municipal = v("gazetteer").groupBy("municipality").agg(F.min("point_no").alias("point_no")).withColumn("ordinal", F.lit(1))
+    return G.municipality_retry(asked, v("candidates"), municipal).select("address_id", "ordinal", "point_no", "retried")
+
+
 QUERIES = {
     "import_summary": (import_summary, f"WITH {ERRORS_SQL} SELECT batch_id, count(*) AS total_rows, count(*) FILTER (errors = '') AS valid_rows, count(*) FILTER (errors <> '') AS invalid_rows, CASE WHEN count(*) FILTER (errors <> '') > 0 THEN 'requires_correction' ELSE 'validated' END AS status FROM rows_ GROUP BY batch_id"),
     "validate_rows": (lambda v: _flat(I.validate_rows(v("import_rows"))), f"WITH {ERRORS_SQL} SELECT batch_id, row_number, own AS errors FROM checked"),
@@ -101,6 +107,12 @@ QUERIES = {
     "augment_candidates": (lambda v: G.augment_candidates(v("candidates"), v("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("address_id"), F.concat(F.lit("Calle "), F.col("c_custkey") % 30).alias("street"), (F.col("c_custkey") % 25).cast("string").alias("house_number"), F.lit(43.2).alias("latitude"), F.lit(-2.9).alias("longitude"))).select("address_id", "ordinal", "place_class", "house_number"),
         """WITH p AS (SELECT c_custkey AS address_id, 'calle ' || CAST(c_custkey % 30 AS STRING) AS street, CAST(c_custkey % 25 AS STRING) AS no FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT c.*, p.street, max(coalesce(c.house_number = p.no AND contains(lower(display_label), p.street), false)) OVER (PARTITION BY c.address_id) AS there FROM candidates c LEFT JOIN p USING (address_id)), u AS (
 SELECT address_id, ordinal, place_class, house_number FROM j WHERE street IS NULL OR there OR house_number IS NOT NULL UNION ALL SELECT address_id, 0, 'house', no FROM p WHERE address_id NOT IN (SELECT address_id FROM j WHERE there)) SELECT address_id, CAST(row_number() OVER (PARTITION BY address_id ORDER BY ordinal) AS INT) AS ordinal, place_class, house_number FROM u"""),
+    "import_row_page": (lambda v: I.row_page(I.checked_rows(v("import_rows")), 2, 5, "valid").select("batch_id", "row_number", "place", "more"),
+        f"WITH {ERRORS_SQL}, pl AS (SELECT batch_id, row_number, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY row_number) AS INT) AS place FROM rows_ WHERE errors = '' AND row_number > 2) SELECT batch_id, row_number, place, place > 5 AS more FROM pl WHERE place <= 6"),
+    "address_keys": (lambda v: v("addresses").select("address_id", text.municipality_key(F.concat(F.lit(" "), F.col("municipality"), F.lit("Ñ "))).alias("municipality_key"), text.house_number_key(F.concat(F.lit(" "), F.col("patient_id") % 50, F.lit("B "))).alias("number_key")),
+        "SELECT address_id, strip_accents(lower(municipality || 'n')) AS municipality_key, CAST(patient_id % 50 AS STRING) || 'b' AS number_key FROM addresses"),
+    "municipality_retry": (_retry, """WITH asked AS (SELECT patient_id AS address_id, municipality FROM addresses WHERE is_active), m AS (SELECT municipality, min(point_no) AS point_no FROM gazetteer GROUP BY 1)
+ SELECT address_id, ordinal, CAST(NULL AS BIGINT) AS point_no, false AS retried FROM candidates UNION ALL SELECT address_id, CAST(1 AS INT), point_no, true FROM asked JOIN m USING (municipality) WHERE address_id NOT IN (SELECT address_id FROM candidates)"""),
     "cache_misses": (lambda v: G.cached_lookup(*_cache(v), "1997-06-01")[1], "SELECT DISTINCT CAST(user_id AS STRING) AS query_hash, 'v1' AS provider_version FROM events WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-06-01' - INTERVAL 30 DAY)"),
     "latest_attempts": (lambda v: G.latest_attempts(v("events").select(F.col("user_id").alias("address_id"), F.col("ts").alias("requested_at"), F.col("event_id").alias("id"))).select("address_id", "id"),
         "SELECT user_id AS address_id, event_id AS id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"),

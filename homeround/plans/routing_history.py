@@ -40,6 +40,13 @@ def _visible(v):
     return R.visible_routes(members, routes, _shares(v))
 
 
+def _tours(v):
+    """Tours that visit the stops backwards; every fifth one lost a node."""
+    n = v("stops").groupBy("route_id").agg(F.count("*").cast("int").alias("n"))
+    nodes = F.reverse(F.sequence(F.lit(1), F.col("n")))
+    return n.select("route_id", F.when(F.col("route_id") % 5 == 0, F.slice(nodes, 1, F.col("n") - 1)).otherwise(nodes).alias("nodes"))
+
+
 def _published(v):
     return R.snapshots(v("stops"), v("patients"))
 
@@ -62,6 +69,10 @@ QUERIES = {
     "matrix_hash": (lambda v: R.matrix_hash(v("stops").where("longitude is not null").withColumn("node", F.col("sequence")), "car", "v1"), "SELECT route_id, sha256('car|v1|' || string_agg(printf('%.5f,%.5f', latitude, longitude), ';' ORDER BY sequence)) AS matrix_hash FROM stops WHERE longitude IS NOT NULL GROUP BY 1"),
     "stop_fingerprint": (lambda v: R.stop_fingerprint(v("stops").where("longitude is not null")), "WITH k AS (SELECT route_id, printf('%d:%.5f,%.5f:%d', patient_id, latitude, longitude, service_minutes) AS x FROM stops WHERE longitude IS NOT NULL) SELECT route_id, sha256(string_agg(x, ';' ORDER BY x)) AS fingerprint FROM k GROUP BY 1"),
     "route_totals": (_totals, f"WITH {TOT_SQL} SELECT * FROM t JOIN sv USING (route_id)"),
+    "tour_cost": (lambda v: R.tour_cost(_order(v), v("arcs")), "WITH n AS (SELECT route_id, count(*) AS n FROM stops GROUP BY 1) SELECT n.route_id, round_even(coalesce(sum(distance_m / 1000 * 0.3e0 + duration_s / 3600 * 12), 0), 4) AS cost FROM n LEFT JOIN arcs a ON a.route_id = n.route_id AND (a.j = a.i + 1 OR (a.i = n AND a.j = 1)) GROUP BY 1"),
+    "original_order": (lambda v: R.original_order(_tours(v), v("stops")).select("route_id", F.array_join("patients", ",").alias("patients")),
+        "SELECT route_id, CASE WHEN route_id % 5 = 0 THEN '' ELSE string_agg(CAST(patient_id AS STRING), ',' ORDER BY sequence DESC) END AS patients FROM stops GROUP BY 1"),
+    "foreign_patients": (lambda v: R.foreign_patients(v("stops"), v("patients")), "SELECT DISTINCT s.organization_id, s.patient_id FROM stops s LEFT JOIN patients p ON p.organization_id = s.organization_id AND p.patient_id = s.patient_id WHERE p.patient_id IS NULL"),
     "route_savings": (lambda v: R.savings(_totals(v), _totals(v, True)), f"WITH {TOT_SQL} SELECT route_id, t.distance_m - b.distance_m AS distance_saved, t.travel_seconds - b.travel_seconds AS seconds_saved, round_even(t.cost - b.cost, 4) AS cost_saved, round_even((t.travel_seconds - b.travel_seconds) * 100e0 / t.travel_seconds, 2) AS percent FROM t JOIN b USING (route_id)"),
     "actual_metrics": (lambda v: R.actual_metrics(_done(v), _totals(v)).select("route_id", "completed", "failed", "pending", "visited", "service_seconds", "travel_seconds", "visited_order", "estimated_cost"),
         f"WITH {ACT_SQL} SELECT act.*, coalesce(round_even(t.cost * act.travel_seconds / t.travel_seconds, 4), 0) AS estimated_cost FROM act LEFT JOIN t USING (route_id)"),
@@ -83,6 +94,8 @@ QUERIES = {
     "snapshot_stops": (lambda v: R.explode_snapshots(_published(v).select("revision_id", F.to_json("order").alias("document"))).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
     "reference_containment": (lambda v: R.holding_reference(_published(v), "PAC-77"), "SELECT DISTINCT revision_id FROM stops WHERE patient_id = 77"),
     "history_page": (lambda v: R.history_page(_published(v).select("revision_id", F.col("published_at")), 50).select("revision_id", F.date_format("published_at", "yyyy-MM-dd").alias("published")), "SELECT revision_id, CAST(CAST(max(service_date) AS DATE) AS STRING) AS published FROM stops GROUP BY revision_id ORDER BY max(service_date) DESC, revision_id DESC LIMIT 51"),
+    "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("1997-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=4).select("revision_id"),
+        "SELECT revision_id FROM stops WHERE organization_id = 4 GROUP BY 1 HAVING max(service_date) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-12-31' AND bool_or(patient_id = 7) ORDER BY max(service_date) DESC, revision_id DESC LIMIT 21"),
     "active_shares": (lambda v: _shares(v).select("share_id", "reason", "active"), f"WITH {SHARE_SQL} SELECT share_id, reason, reason IS NULL AS active FROM sh"),
     "shared_minimal_view": (lambda v: _shares(v).where("active").select("share_id", "route_id").join(v("stops"), "route_id").groupBy("share_id", "route_id").agg(F.count("*").alias("n_stops"), F.array_join(F.sort_array(F.collect_list("sequence")), ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
     "route_visibility": (_visible, f"WITH {SHARE_SQL}, r AS (SELECT c_nationkey AS org, o_orderkey AS route_id, o_custkey AS assignee FROM orders JOIN customer ON o_custkey = c_custkey) SELECT c_custkey AS user_id, route_id FROM customer JOIN r ON org = c_nationkey WHERE c_custkey % 97 = 0 UNION SELECT assignee, route_id FROM r WHERE assignee % 97 <> 0 UNION SELECT user_id, route_id FROM sh WHERE reason IS NULL"),

@@ -86,6 +86,17 @@ def _cohesion(v):
     return Z.apply_cohesion(members, pairs, 12)
 
 
+def _catalogue(v):
+    """Kinds of two in three towns; half of the names in lower case."""
+    towns = v("points").groupBy("municipality").agg(F.substring_index(F.max("municipality"), " ", -1).cast("int").alias("no")).where("no % 3 <> 2")
+    return towns.select(F.when(F.col("no") % 2 == 0, F.col("municipality")).otherwise(F.lower("municipality")).alias("municipality"), F.when(F.col("no") % 3 == 0, "urban").otherwise("rural").alias("kind"))
+
+
+def _by_town(v):
+    """Points that have a neighbour belong to their town's cluster; lone ones are outliers."""
+    return _features(v).withColumn("cluster", F.when(F.col("density") > 1, F.col("municipality")))
+
+
 def _overrides(v):
     zones = Z.occupancy(v("zones"), v("zone_history"))
     current = v("zone_history").where("valid_to is null").withColumn("row_version", F.lit(1))
@@ -108,6 +119,12 @@ QUERIES = {
     "propose_zones": (lambda v: _zone_rows(Z.propose_zones(_features(v), 6)), None),
     "fit_target_zones": (lambda v: _zone_rows(Z.propose_zones(_features(v), 12, 20)), None),
     "border_cohesion": (_cohesion, None),
+    "catalogue_hints": (lambda v: Z.catalogue_hint(v("points"), _catalogue(v)).select("point_id", "municipality_kind"),
+        """SELECT point_id, coalesce(municipality_kind, CASE c % 3 WHEN 0 THEN 'urban' WHEN 1 THEN 'rural' END) AS municipality_kind FROM (SELECT *, CAST(substr(municipality, 6) AS INT) AS c FROM points)"""),
+    "cluster_summary": (lambda v: Z.cluster_summary(_by_town(v)), f"WITH {DENSE_SQL}, mem AS (SELECT f.*, p.municipality AS cluster FROM feats f JOIN points p USING (organization_id, point_id) WHERE density > 1) SELECT organization_id, cluster, count(*) AS n, round_even(avg(longitude), 6) AS longitude, round_even(avg(latitude), 6) AS latitude, round_even(avg(x), 3) AS x, round_even(avg(y), 3) AS y, CASE WHEN min(kind) = max(kind) THEN min(kind) ELSE 'mixed' END AS kind FROM mem GROUP BY 1, 2"),
+    "proposal_summary": (lambda v: Z.proposal_summary(_by_town(v)), f"WITH {DENSE_SQL}, sz AS (SELECT organization_id, CASE WHEN density > 1 THEN p.municipality END AS cluster, count(*) AS n FROM feats f JOIN points p USING (organization_id, point_id) GROUP BY 1, 2) SELECT organization_id, CAST(sum(n) AS BIGINT) AS n_points, count(cluster) AS n_clusters, CAST(coalesce(sum(n) FILTER (cluster IS NULL), 0) AS BIGINT) AS n_outliers, coalesce(max(n) FILTER (cluster IS NOT NULL), 0) AS max_size FROM sz GROUP BY 1"),
+    "mean_pair_minutes": (lambda v: Z.mean_pair_minutes(v("arcs"), v("stops").select("route_id", F.col("sequence").alias("node"), (F.col("patient_id") % 2).alias("cluster"))),
+        "WITH mem AS (SELECT route_id, sequence, patient_id % 2 AS c FROM stops), ins AS (SELECT e.route_id, sum(duration_s) / count(*) / 60 AS m FROM arcs e JOIN mem x ON x.route_id = e.route_id AND x.sequence = e.i JOIN mem y ON y.route_id = e.route_id AND y.sequence = e.j WHERE x.c = y.c GROUP BY 1) SELECT DISTINCT s.route_id, round_even(coalesce(m, 0), 6) AS minutes FROM stops s LEFT JOIN ins ON ins.route_id = s.route_id"),
     "zone_occupancy": (lambda v: Z.occupancy(v("zones"), v("zone_history")).select("organization_id", "zone_id", "occupied", "over_capacity"),
         "SELECT organization_id, zone_id, count(h.patient_id) AS occupied, count(h.patient_id) > max_visits AS over_capacity FROM zones z LEFT JOIN (SELECT * FROM zone_history WHERE valid_to IS NULL) h USING (organization_id, zone_id) GROUP BY organization_id, zone_id, max_visits"),
     "accept_proposal": (lambda v: Z.accept_proposal(v("zone_history").where("valid_to is null"), _proposal(v)).select("organization_id", "patient_id", "old_zone", "new_zone", "action"),
