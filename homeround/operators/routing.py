@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -221,6 +223,13 @@ def sequence_routes(matrix: DataFrame) -> DataFrame:
             found.append(nodes[order])
         return pd.DataFrame({"route_id": np.concatenate(routes), "position": np.concatenate(positions), "node": np.concatenate(found)})
 
+    rows = matrix.select("route_id", "i", "j", "duration_s").repartition("route_id").sortWithinPartitions("route_id", "i", "j")
+    return _route_by_route(rows, solve, "position int, node int")
+
+
+def _route_by_route(rows: DataFrame, solve, columns: str) -> DataFrame:
+    """``solve`` on whole routes of rows that are dealt and sorted by route_id: a task holds one batch and one open route."""
+
     def run(batches):
         held = None
         for batch in batches:
@@ -234,9 +243,129 @@ def sequence_routes(matrix: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield solve(held)
 
-    kind = matrix.schema["route_id"].dataType.simpleString()
-    rows = matrix.select("route_id", "i", "j", "duration_s").repartition("route_id").sortWithinPartitions("route_id", "i", "j")
-    return rows.mapInPandas(run, f"route_id {kind}, position int, node int")
+    kind = rows.schema["route_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"route_id {kind}, {columns}")
+
+
+def earliest_order(seconds: list, start: list, end: list, service: list, shift: float) -> list[int] | None:
+    """An order of nodes 1.. that keeps all windows and the shift, if there is one: the earliest time after each (set served, last node)."""
+    n = len(seconds)
+    reach = {(0, 0): (0.0, None)}
+    layer = [(0, 0)]
+    for _ in range(n - 1):
+        ahead: dict = {}
+        for state in layer:
+            served, at = state
+            for k in range(1, n):
+                if not served >> k & 1:
+                    t = max(reach[state][0] + seconds[at][k], start[k])
+                    key = (served | 1 << k, k)
+                    if t <= end[k] and t + service[k] < ahead.get(key, (math.inf,))[0]:
+                        ahead[key] = (t + service[k], state)
+        reach |= ahead
+        layer = list(ahead)
+    last = [s for s in layer if reach[s][0] + seconds[s[1]][0] <= shift]
+    if not last:
+        return None
+    state, out = min(last, key=lambda s: reach[s][0] + seconds[s[1]][0]), []
+    while state[0]:
+        out.append(state[1])
+        state = reach[state][1]
+    return out[::-1]
+
+
+def timed_tour(seconds: list, cost: list, start: list, end: list, service: list, shift: float, exact: int = 10) -> list[int] | None:
+    """Order of nodes 1.. from depot 0 and back within windows and shift, of low cost; None if none is found.
+
+    Stops enter one by one at their cheapest place that keeps every window, by closing time, opening time and slack in
+    turn; then stops and reversed stretches move while that lowers the cost. If no entry order works, up to ``exact``
+    stops are searched completely, so that None proves that no tour exists; beyond, None means none was found.
+    """
+    n = len(seconds)
+
+    def kept(order: list[int]) -> bool:
+        t, at = 0.0, 0
+        for k in order:
+            t = max(t + seconds[at][k], start[k])
+            if t > end[k]:
+                return False
+            t, at = t + service[k], k
+        return t + seconds[at][0] <= shift
+
+    def total(order: list[int]) -> float:
+        return sum(cost[a][b] for a, b in zip([0, *order], [*order, 0]))
+
+    found = []
+    for urgency in (lambda k: end[k], lambda k: start[k], lambda k: end[k] - start[k]):
+        order: list[int] = []
+        for k in sorted(range(1, n), key=lambda k: (urgency(k), k)):
+            ways = [new for p in range(len(order) + 1) if kept(new := [*order[:p], k, *order[p:]])]
+            if not ways:
+                break
+            order = min(ways, key=total)
+        if len(order) == n - 1:
+            found.append(order)
+    if not found and n - 1 <= exact and (order := earliest_order(seconds, start, end, service, shift)) is not None:
+        found.append(order)
+    if not found:
+        return None
+    order = min(found, key=total)
+    best, better = total(order), True
+    while better:
+        better = False
+        for i in range(n - 1):
+            for j in range(n - 1):
+                rest = order[:i] + order[i + 1 :]
+                moved = rest[:j] + [order[i]] + rest[j:]
+                turned = order[:i] + order[i : j + 1][::-1] + order[j + 1 :] if i < j else order
+                for new in (moved, turned):
+                    if (t := total(new)) < best - 1e-9 and kept(new):
+                        order, best, better = new, t, True
+    return order
+
+
+def sequence_timed_routes(matrix: DataFrame, stops: DataFrame, objective: str = "time", per_km: float = 0.3, per_hour: float = 12.0, depot: int = 0) -> DataFrame:
+    """Visiting order per route that keeps each stop's window and the shift, or status ``infeasible`` with null positions; never a tour that breaks one.
+
+    ``stops``: route_id, node, start_s, end_s, service_s, shift_s (null: no limit). ``matrix``: all arcs, those of node ``depot`` too; one that is missing cannot be used.
+    ``objective``: time (seconds) or cost (kilometres and hours at their rates). Stops and arcs of a route meet by one shuffle, without a join.
+    """
+    if objective not in ("time", "cost"):
+        raise ValueError("objective is time or cost")
+    limits = [F.lit(None).cast("double").alias(c) for c in ("start_s", "end_s", "service_s", "shift_s")]
+    weight = F.col("duration_s") if objective == "time" else arc_cost(F.col("distance_m"), F.col("duration_s"), F.lit(per_km), F.lit(per_hour))
+    arcs = matrix.select("route_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("duration_s").cast("double").alias("duration_s"), weight.cast("double").alias("weight"), *limits)
+    marks = stops.select("route_id", F.col("node").cast("long").alias("i"), F.col("node").cast("long").alias("j"), F.lit(0.0).alias("duration_s"), F.lit(0.0).alias("weight"), *[F.col(c).cast("double").alias(c) for c in ("start_s", "end_s", "service_s", "shift_s")])
+    rows = arcs.where("i <> j").union(marks).repartition("route_id").sortWithinPartitions("route_id", "i", "j")
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        ids = part["route_id"].to_numpy()
+        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        out = []
+        for a, b in zip([0, *cut], [*cut, len(ids)]):
+            route = part.iloc[a:b]
+            i, j = route["i"].to_numpy(), route["j"].to_numpy()
+            mark = route[i == j]
+            nodes = [depot, *(k for k in mark["i"].tolist() if k != depot)]
+            mark = mark[mark["i"] != depot]
+            if len(nodes) == 1:
+                continue
+            known = np.sort(nodes)
+            usable = np.isin(i, known) & np.isin(j, known) & (i != j)
+            place = np.argsort(nodes)  # known[p] is nodes[place[p]]
+            y, x = place[np.searchsorted(known, i[usable])], place[np.searchsorted(known, j[usable])]
+            seconds, weights = np.full((2, len(nodes), len(nodes)), np.inf)
+            seconds[y, x], weights[y, x] = route["duration_s"].to_numpy()[usable], route["weight"].to_numpy()[usable]
+            seconds, weights = np.nan_to_num(seconds, nan=np.inf, posinf=np.inf), np.nan_to_num(weights, nan=np.inf, posinf=np.inf)
+            column = lambda c, empty: [empty, *mark[c].fillna(empty).tolist()]
+            shift = mark["shift_s"].min()
+            order = timed_tour(seconds.tolist(), weights.tolist(), column("start_s", 0.0), column("end_s", math.inf), column("service_s", 0.0), math.inf if math.isnan(shift) else shift)
+            found = range(1, len(nodes)) if order is None else order
+            out += [(ids[a], None if order is None else p, nodes[k], "infeasible" if order is None else "feasible") for p, k in enumerate(found, 1)]
+        made = pd.DataFrame(out, columns=["route_id", "position", "node", "status"])
+        return made.astype({"route_id": part["route_id"].dtype, "position": "Int32", "node": "int64"})
+
+    return _route_by_route(rows, solve, "position int, node long, status string")
 
 
 def navigation_link(points: Column, base: str = "https://maps.example/dir") -> Column:

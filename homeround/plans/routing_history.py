@@ -29,6 +29,14 @@ def _timed(v):
     return R.stop_diagnostics(stops, depot)
 
 
+def _timed_matrix(v):
+    """The arcs of each route, with those from and to the depot as node 0."""
+    s = _timed(v).select("route_id", "node", "out_s", "back_s")
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("i"), F.col("node").alias("j"), F.col("out_s").alias("duration_s")), F.struct(F.col("node").alias("i"), F.lit(0).alias("j"), F.col("back_s").alias("duration_s"))))
+    depot = s.select("route_id", ends.alias("e")).select("route_id", "e.*").withColumn("distance_m", F.col("duration_s") * 8.0)
+    return v("arcs").unionByName(depot)
+
+
 def _shares(v):
     return R.active_shares(v("events").select(F.col("event_id").alias("share_id"), F.col("user_id"), (F.col("event_id") * 4).alias("route_id"),
         F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("revoked_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("expires_at")), F.to_timestamp_ntz(F.lit("2024-01-15")))
@@ -84,6 +92,7 @@ QUERIES = {
  FROM g x JOIN g y ON x.route_id = y.route_id AND x.node < y.node JOIN arcs m ON m.route_id = x.route_id AND m.i = x.node AND m.j = y.node JOIN arcs n ON n.route_id = x.route_id AND n.i = y.node AND n.j = x.node), q AS (SELECT *, greatest(t1, ys) <= ye AS w1, greatest(t1, ys) + yv + yb <= 14400 AS s1, greatest(t2, xs) <= xe AS w2, greatest(t2, xs) + xv + xb <= 14400 AS s2 FROM p)
  SELECT route_id, i, j, CASE WHEN w1 OR w2 THEN 'INSUFFICIENT_SHIFT' ELSE 'INCOMPATIBLE_WINDOWS' END AS code FROM q WHERE NOT ((w1 AND s1) OR (w2 AND s2))"""),
     "sequence_routes": (lambda v: R.sequence_routes(v("arcs")), None),
+    "sequence_timed_routes": (lambda v: R.sequence_timed_routes(_timed_matrix(v), _timed(v), "cost"), None),
     "navigation_links": (lambda v: v("stops").groupBy("route_id").agg(R.navigation_link(F.array_sort(F.collect_list(F.struct("sequence", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))))).alias("link")), "SELECT route_id, 'https://maps.example/dir/' || coalesce(string_agg(CASE WHEN longitude IS NOT NULL THEN printf('%.5f,%.5f', latitude, longitude) END, '/' ORDER BY sequence), '') AS link FROM stops GROUP BY 1"),
     "metrics_gate": (lambda v: R.metrics_gate(v("metrics")), f"WITH {GATE_SQL} SELECT * FROM gate"),
     "publish_gate": (lambda v: R.publish_gate(v("publish_requests"), v("metrics"), v("stops")).select("route_id", "reason"), f"""WITH {GATE_SQL}, lo AS (SELECT revision_id, count(*) AS n, count(longitude) AS located FROM stops GROUP BY 1)
@@ -94,8 +103,8 @@ QUERIES = {
     "snapshot_stops": (lambda v: R.explode_snapshots(_published(v).select("revision_id", F.to_json("order").alias("document"))).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
     "reference_containment": (lambda v: R.holding_reference(_published(v), "PAC-77"), "SELECT DISTINCT revision_id FROM stops WHERE patient_id = 77"),
     "history_page": (lambda v: R.history_page(_published(v).select("revision_id", F.col("published_at")), 50).select("revision_id", F.date_format("published_at", "yyyy-MM-dd").alias("published")), "SELECT revision_id, CAST(CAST(max(service_date) AS DATE) AS STRING) AS published FROM stops GROUP BY revision_id ORDER BY max(service_date) DESC, revision_id DESC LIMIT 51"),
-    "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("1997-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=4).select("revision_id"),
-        "SELECT revision_id FROM stops WHERE organization_id = 4 GROUP BY 1 HAVING max(service_date) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1997-12-31' AND bool_or(patient_id = 7) ORDER BY max(service_date) DESC, revision_id DESC LIMIT 21"),
+    "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("2000-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=5).select("revision_id"),
+        "SELECT revision_id FROM stops WHERE organization_id = 5 GROUP BY 1 HAVING max(service_date) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2000-12-31' AND bool_or(patient_id = 7) ORDER BY max(service_date) DESC, revision_id DESC LIMIT 21"),
     "active_shares": (lambda v: _shares(v).select("share_id", "reason", "active"), f"WITH {SHARE_SQL} SELECT share_id, reason, reason IS NULL AS active FROM sh"),
     "shared_minimal_view": (lambda v: _shares(v).where("active").select("share_id", "route_id").join(v("stops"), "route_id").groupBy("share_id", "route_id").agg(F.count("*").alias("n_stops"), F.array_join(F.sort_array(F.collect_list("sequence")), ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
     "route_visibility": (_visible, f"WITH {SHARE_SQL}, r AS (SELECT c_nationkey AS org, o_orderkey AS route_id, o_custkey AS assignee FROM orders JOIN customer ON o_custkey = c_custkey) SELECT c_custkey AS user_id, route_id FROM customer JOIN r ON org = c_nationkey WHERE c_custkey % 97 = 0 UNION SELECT assignee, route_id FROM r WHERE assignee % 97 <> 0 UNION SELECT user_id, route_id FROM sh WHERE reason IS NULL"),

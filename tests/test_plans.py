@@ -1,5 +1,6 @@
 """Each query with a SQL twin gives the twin's rows on the small tables; helpers meet literal expectations."""
 
+import itertools
 import math
 from datetime import date
 
@@ -169,6 +170,47 @@ def test_tours():
     assert sorted(routing.tour(np.random.default_rng(1).random((25, 25)))) == list(range(25))
 
 
+def test_timed_tours_keep_every_window():
+    rng = np.random.default_rng(4)
+    outcomes = []
+    for _ in range(150):
+        n = int(rng.integers(2, 7))
+        seconds = rng.integers(1, 40, (n, n)).astype(float)
+        start = rng.integers(0, 100, n).astype(float)
+        end, service, shift = start + rng.integers(0, 60, n), rng.integers(0, 15, n).astype(float), float(rng.integers(80, 200))
+
+        def fits(order):
+            t, at = 0.0, 0
+            for k in order:
+                t = max(t + seconds[at, k], start[k])
+                if t > end[k]:
+                    return False
+                t, at = t + service[k], k
+            return t + seconds[at, 0] <= shift
+
+        every = [o for o in itertools.permutations(range(1, n)) if fits(o)]
+        got = routing.timed_tour(seconds.tolist(), seconds.tolist(), start.tolist(), end.tolist(), service.tolist(), shift)
+        assert (got is None) == (not every) and (got is None or tuple(got) in every)
+        outcomes.append(got is None)
+    assert 20 < sum(outcomes) < 130
+
+
+def test_timed_routes(spark):
+    arcs = [(1, i, j, float(abs(i - j) * 10), 1.0) for i in range(4) for j in range(4) if i != j]
+    arcs += [(r, i, j, 10.0, 1.0) for r in (2, 3) for i in range(3) for j in range(3) if i != j and (r, i, j) != (3, 2, 0)]
+    stops = [(1, 1, None, None, 5, None), (1, 2, 0.0, 15.0, 5, 900.0), (1, 3, None, None, None, None), (2, 1, 0.0, 10.0, 0, None), (2, 2, 0.0, 10.0, 0, None), (3, 1, None, None, 0, None), (3, 2, None, None, 0, None)]
+    matrix = spark.createDataFrame(arcs, "route_id int, i int, j int, duration_s double, distance_m double")
+    timed = spark.createDataFrame([(a, b, c, d, None if e is None else float(e), f) for a, b, c, d, e, f in [*stops[:1], (1, 2, 0.0, 20.0, 5, 900.0), *stops[2:]]], "route_id int, node int, start_s double, end_s double, service_s double, shift_s double")
+    for objective in ("time", "cost"):
+        got = sorted((r.route_id, r.position or 0, r.node, r.status) for r in routing.sequence_timed_routes(matrix, timed, objective).collect())
+        first = {r[2]: r[1] for r in got if r[0] == 1}
+        assert sorted(first) == [1, 2, 3] and first[2] == 1  # its window closes before any detour
+        assert [r[1:] for r in got if r[0] == 2] == [(0, 1, "infeasible"), (0, 2, "infeasible")]
+        assert [r[1:3] for r in got if r[0] == 3] == [(1, 2), (2, 1)]  # the arc from 2 to the depot is missing
+    assert routing.sequence_timed_routes(matrix.where("1 = 0"), timed.where("1 = 0")).count() == 0
+    assert routing.sequence_timed_routes(matrix, timed.where("1 = 0")).count() == 0
+
+
 def test_actual_metrics(spark):
     rows = [(1, 1, "completed", "2026-01-01 10:00:00", 10), (1, 2, "completed", "2026-01-01 10:40:00", 10), (1, 3, "pending", None, 10)]
     stops = spark.createDataFrame(rows, "route_id int, sequence int, status string, at string, service_minutes int").withColumn("completed_at", F.col("at").cast("timestamp_ntz"))
