@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from homeround.llm import decontaminate, language, packing, pii, simhash
+from homeround.llm import decontaminate, language, near_copies, packing, pii
 from homeround.llm.common import table, written
 from homeround.llm.queries import tokenizer
 
@@ -24,8 +24,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (80 % or more of the five-word runs are common) the document of smallest id stays."""
+    return near_copies.keep_one(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -288,3 +288,36 @@ def test_field_is_a_distribution_over_segmentations():
     assert (p >= 0).all() and cover.max() <= 1 + 1e-9
     best = sum((lattice.rows @ weights.T)[[tuple(s) for s in lattice.spans.tolist()].index((i, j)), k] for k, i, j in pii.decode(lattice, weights))
     assert best <= total + 1e-9
+
+
+def test_near_copies_stage_agrees_with_brute_force(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    line = "this very common line stands at the end of many of the texts that are here"
+    texts = [None, "", " ", "one", "One ", "one two three four five six seven", "a b c d e f g h", "a b c d e f g h i", "x a b c d e f g h i"]
+    for k in range(40):
+        own = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(20, 160)))]
+        for change in (0, 1, 2, 3, 4, 8):
+            copy = list(own)
+            for at in rng.integers(0, len(copy), change):
+                copy[at] = f"new{rng.integers(0, 9999)}"
+            texts.append(" ".join(copy) + (" " + line if k % 2 else ""))
+    grown = [f"g{x}" for x in range(100)]  # a chain: its ends are not similar
+    texts += [" ".join(grown[i : i + 50]) for i in range(0, 51, 3)]
+    rows = [(int(i), t) for i, t in enumerate(rng.permutation(np.array(texts, object)).tolist())]
+
+    def runs(t):
+        w = (t or "").lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [runs(t) for _, t in rows]
+    label = list(range(len(rows)))
+    alike = [[j for j, b in enumerate(sets) if a == b or 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    for _ in rows:
+        label = [min(label[j] for j in alike[i]) for i in range(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.one_of_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and kept.columns == docs.columns
+    assert len(set(label)) < len(rows) - 60
+    assert corpus_pipeline.one_of_near_copies(spark, docs.where("1 = 0"), "").count() == 0
