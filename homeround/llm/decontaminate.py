@@ -159,8 +159,10 @@ def _match(words: Words, automaton: Automaton) -> list[list[tuple[int, int, froz
     for k in range(1, g):  # a triple never spans two texts
         across = words.first[1:-1] - k
         mask[across[(across >= 0) & (across < len(mask))]] = False
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
-    first, last = edge[::2], edge[1::2]
+    begins = np.zeros(len(words.start) + 1, bool)  # a run ends with its text, also where a single word is a window
+    begins[words.first] = True
+    first = np.flatnonzero(mask & (begins[: len(mask)] | ~np.concatenate([[False], mask[:-1]])))
+    last = np.flatnonzero(mask & (begins[1 : len(mask) + 1] | ~np.concatenate([mask[1:], [False]]))) + 1
     long = last - first >= least - g + 1
     norm, start, end = words.norm, words.start, words.end
     for a, b in zip(first[long].tolist(), (last[long] + g - 1).tolist()):

@@ -321,3 +321,15 @@ def test_near_copies_stage_agrees_with_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(label)) and kept.columns == docs.columns
     assert len(set(label)) < len(rows) - 60
     assert corpus_pipeline.one_of_near_copies(spark, docs.where("1 = 0"), "").count() == 0
+
+
+def test_windows_stay_inside_their_text_where_an_item_has_one_word(spark):
+    item = " ".join(f"k{i}" for i in range(12))
+    items = spark.createDataFrame([("a", item), ("one", "zz"), ("three", "k9 zz k0")], "item_id string, text string")
+    texts = [" ".join(item.split()[:6]), " ".join(item.split()[6:]), "zz", "zz k9", "zz", "k0 zz", None, "", "zz zz", item, "k9 zz k0", "plain zz"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in decontaminate.find_items(docs, items).collect()}
+    assert [got[i][1] for i in range(12)] == [0, 0, 1, 1, 1, 1, 0, 0, 2, 12, 3, 1]
+    assert [got[i][2] for i in (0, 1, 3, 9, 10)] == [[], [], ["one"], ["a"], ["one", "three"]]
+    clean = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
+    assert clean[0] == texts[0] and clean[1] == texts[1] and clean[3] == " k9" and 2 not in clean and 10 not in clean
