@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .common import TextBlock, annotate, written
 from .components import components
+from .simhash import one_of_each
 
 SHINGLE = 5
 PERCENT = 80
@@ -147,7 +148,7 @@ def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: s
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The document of smallest id of each group of near copies, with all its columns; one row of repeated rows.
+    """The document of smallest id of each group of near copies, with all its columns; see :func:`simhash.one_of_each`.
 
     Two texts are near copies if ``percent`` or more of their ``shingle``-word runs are common (Jaccard, on distinct runs);
     a group is linked directly or through others. Texts without words are copies of each other.
@@ -162,8 +163,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", LONGS)]
     marked = written(annotate(docs, compute, fields, text_col, [id_col]), "shingles")
     found = components(near_copy_links(docs, marked, id_col, text_col, shingle, percent))
-    labels = marked.select(id_col, "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    kept = labels.groupBy("component").agg(F.min(id_col).alias(id_col)).where(F.col(id_col).isNotNull()).select(id_col)
-    kept = written(kept, "kept")
-    # Always a sort-merge join: the ids grow with the documents, so the plan is the same at every size.
-    return docs.join(kept.distinct().hint("merge"), id_col, "left_semi").select(*docs.columns)
+
+    def mark(rows: DataFrame) -> DataFrame:
+        hashes = lambda block: [np.array([set_hash(shingle_set(t, shingle)) for t in block.raw()], np.int64)]
+        return annotate(rows, hashes, fields[:1], "text")
+
+    return one_of_each(docs, marked, found, mark, id_col, text_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -213,11 +213,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(labels, "fp", "left").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The document of smallest id of each group of near-duplicates, with all its columns; one row of repeated rows."""
-    marked = near_duplicates(docs, id_col, text_col, **how)
-    kept = marked.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("__copies"))
-    kept = written(kept, "kept")
-    # Always a sort-merge join: the ids grow with the documents, so the plan is the same at every size.
-    out = docs.join(kept.select(id_col).hint("merge"), id_col, "left_semi").select(*docs.columns)
-    return out if kept.where("__copies > 1").isEmpty() else out.dropDuplicates([id_col])
+def one_of_each(docs: DataFrame, marked: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """One document of each component, with all columns: of smallest id; if no id of the component is set, of smallest fingerprint.
+
+    ``marked`` holds (id, ``fp``) of each row, ``found`` the component of each fingerprint that has a link, and ``mark`` adds
+    ``fp`` to a table with column ``text``. Rows of one id are kept apart by their fingerprints; of rows with one id and
+    one fingerprint the one of smallest text stays.
+    """
+    labels = marked.select(F.col(id_col).alias("id"), "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("k")
+    kept = written(labels.groupBy(F.coalesce("component", "fp").alias("component")).agg(smallest).select("k.id", "k.fp"), "kept")
+    if kept.where("id is null").isEmpty() and marked.groupBy(id_col).count().where("count > 1").isEmpty():
+        # Always a sort-merge join: the ids grow with the documents, so the plan is the same at every size.
+        ids = kept.select(F.col("id").alias(id_col)).hint("merge")
+        return docs.join(ids, id_col, "left_semi").select(*docs.columns)
+    rows = mark(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.fp") == F.col("k.fp"))
+    left = rows.alias("r").join(kept.hint("merge").alias("k"), same, "left_semi")
+    one = left.groupBy("id", "fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, shingle: int = SHINGLE) -> DataFrame:
+    """One document of each group of near-duplicates, of smallest id, with all its columns; see :func:`one_of_each`."""
+    marked = written(fingerprints(docs, text_col, [id_col], shingle), "fingerprints")
+    nodes = written(marked.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
+    return one_of_each(docs, marked, components(near_links(nodes, near)), lambda rows: fingerprints(rows, shingle=shingle), id_col, text_col)

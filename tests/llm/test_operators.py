@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from homeround.llm import bpe, decontaminate, graph_ann, language, licenses, packing, pii, repeats, simhash, token_counts, url_filter
+from homeround.llm import bpe, decontaminate, graph_ann, language, licenses, near_copies, packing, pii, repeats, simhash, token_counts, url_filter
 from homeround.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -333,3 +333,13 @@ def test_windows_stay_inside_their_text_where_an_item_has_one_word(spark):
     assert [got[i][2] for i in (0, 1, 3, 9, 10)] == [[], [], ["one"], ["a"], ["one", "three"]]
     clean = {r.doc_id: r.text for r in decontaminate.decontaminate(docs, items).collect()}
     assert clean[0] == texts[0] and clean[1] == texts[1] and clean[3] == " k9" and 2 not in clean and 10 not in clean
+
+
+@pytest.mark.parametrize("keep_one", [simhash.keep_one, near_copies.keep_one])
+def test_rows_without_or_with_one_id_lose_no_text(spark, keep_one):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in "abcd"]
+    rows = [(None, texts[0], "x"), (None, texts[0], "x"), (None, texts[1], "x"), (7, texts[1], "x"), (8, texts[2], "x"), (8, texts[3], "x"), (8, texts[3], "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3], rows[4], rows[5], rows[7]], key=str)
