@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, annotate, written
+from .common import TextBlock, annotate, forget, written
 from .components import components
 from .simhash import one_of_each
 
 SHINGLE = 5
 PERCENT = 80
 SEED = 42
-SAMPLE, COMMON = 8_192, 100_000
+SAMPLE, COMMON = 8_192, 200_000
+SLOTS = 1 << 24
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -53,11 +54,11 @@ LONGS = T.ArrayType(T.LongType())
 
 
 def common_shingles(docs: DataFrame, text_col: str, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (sorted) and counts of those found in three or more of about 8,192 different texts. They only set the order: any order loses no pair."""
+    """Shingles (sorted) and counts of those found in two or more of about 8,192 different texts. They only set the order: any order loses no pair."""
     every = max(1, docs.count() // SAMPLE)
     text = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
     sets = annotate(text, lambda block: [_lists([shingle_set(t, shingle) for t in block.raw()])], [T.StructField("set", LONGS)], "text", [])
-    often = sets.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 2")
+    often = sets.select(F.explode("set").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
     rows = sorted((r.h, r.c) for r in often.orderBy(F.desc("c"), "h").limit(COMMON).collect())
     return np.array([h for h, _ in rows], np.int64), np.array([c for _, c in rows], np.int64)
 
@@ -109,42 +110,62 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(similar).select("a", "b")
 
 
-def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Edges (a, b) of nodes that connect all pairs of ``percent`` or more, straight or through others.
+def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(fp, set) of the nodes (``id``, null where no row has one). A bitmap of their ids' slots picks the texts, without a shuffle; others that it lets pass do no harm."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    taken = np.zeros(SLOTS, bool)
+    taken[[r.s for r in nodes.select(slot("id").alias("s")).distinct().toLocalIterator()]] = True
+    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
-    Nodes that share a prefix key are candidates. First each is compared with the leader of its keys; then, of the keys
-    that still hold several components, all pairs of different components are, if sizes and shared keys allow the similarity.
-    """
-    nodes = marked.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min(id_col).alias(id_col))
-    nodes = written(nodes, "nodes")
-    shared = written(_shared_keys(nodes.select(F.explode("prefix").alias("key"), "fp")), "shared")
-    there = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "n", F.col(id_col).alias("__id")), "candidates")
-    ids = there.where("__id is not null").select("__id").distinct()
-    text = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    rows = text.join(ids.hint("merge"), "__id", "left_semi").select("text").unionByName(text.where("__id is null").select("text"))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.asarray(batch.column(0))
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
 
     def compute(block: TextBlock) -> list:
         sets = [shingle_set(t, shingle) for t in block.raw()]
         return [np.array([set_hash(s) for s in sets], np.int64), _lists(sets)]
 
+    rows = docs.select(slot(id_col).alias("slot"), F.col(text_col).cast("string").alias("text")).mapInArrow(pick, "slot long, text string")
     sets = annotate(rows, compute, [T.StructField("fp", T.LongType()), T.StructField("set", LONGS)], "text", [])
-    sets = written(sets.join(there.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    return sets.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
+
+
+def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """Edges (a, b) of nodes that connect all pairs of ``percent`` or more, straight or through others.
+
+    Nodes that share a prefix key are candidates. First each is compared with leaders of its keys; then, of the keys
+    that still hold several components, all pairs of different components are, if sizes and shared keys allow the similarity.
+    """
+    nodes = written(marked.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min(id_col).alias("id")), "nodes")
+    shared = written(_shared_keys(nodes.select(F.explode("prefix").alias("key"), "fp")), "shared")
+    there = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "id"), "candidates")
+    forget(nodes)
     sizes_a, sizes_b = (there.select(F.col("fp").alias(c), F.col("n").alias("n" + c)) for c in "ab")
     near_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    stars = shared.where("fp <> leader").select(F.col("leader").alias("a"), F.col("fp").alias("b")).distinct()
-    stars = stars.join(sizes_a, "a").join(sizes_b, "b").where(near_size).select("a", "b")
-    found = written(_verified(stars, sets, percent), "star-links")
-    part = shared.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
-    part = written(part, "parts")
-    mixed = part.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = part.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    pairs = left.withColumnRenamed("fp", "a").join(right, "key").where("a < b and c <> cb").groupBy("a", "b").agg(F.count("*").alias("common"))
     # Beyond the prefix that ends first, at most need - 1 shingles of its set can be common.
     rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
-    able = (F.col("common") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    pairs = pairs.join(sizes_a, "a").join(sizes_b, "b").where(near_size & able).select("a", "b")
-    return found.union(_verified(pairs, sets, percent))
+    able = near_size & ((F.col("common") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
+
+    def similar(counted: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, common) that are similar enough, by their sets."""
+        pairs = written(counted.join(sizes_a, "a").join(sizes_b, "b").where(able).select("a", "b"), name)
+        ends = there.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+        sets = written(_sets_of(docs, written(ends, f"{name}-ends"), id_col, text_col, shingle), f"{name}-sets")
+        found = written(_verified(pairs, sets, percent), f"{name}-links")
+        forget(sets)
+        return found
+
+    # Here only keys of one leader are counted, so similar pairs may be left to the second step.
+    stars = shared.where("fp <> leader").groupBy(F.col("leader").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("common"))
+    found = similar(stars, "stars")
+    part = shared.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
+    part = written(part.join(there.select("fp", "n"), "fp"), "parts")
+    mixed = part.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    left = part.join(mixed, "key", "left_semi").select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+    right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
+    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size)
+    return found.union(similar(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "pairs"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
