@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
+from homeround.llm.components import components
 
 DENSITY_M, URBAN_DENSITY = 500.0, 4
 RURAL_EPS_M, WIDE_M = 2500.0, 12_000.0
@@ -88,23 +89,11 @@ def _shared(df: DataFrame, name: str) -> DataFrame:
 
 
 def rural_groups(points: DataFrame, eps: float = RURAL_EPS_M) -> DataFrame:
-    """(organization, point, group): connected components of points within ``eps``; a lone point has a null group.
-
-    Minimum labels spread over the edges and jump to their label's label, until nothing changes.
-    """
-    edges = _shared(near_pairs(points, eps).where("a <> b"), "near")
-    labels = points.select("organization_id", F.col("point_id").alias("a"), F.col("point_id").alias("label"))
-    for _ in range(60):
-        spread = edges.join(labels.withColumnRenamed("a", "b"), ["organization_id", "b"]).groupBy("organization_id", "a").agg(F.min("label").alias("m"))
-        new = labels.join(spread, ["organization_id", "a"], "left").select("organization_id", "a", "label", F.least("label", "m").alias("next"))
-        jump = new.select("organization_id", F.col("a").alias("next"), F.col("next").alias("further"))
-        new = _shared(new.join(jump, ["organization_id", "next"], "left").select("organization_id", "a", "label", F.least("next", "further").alias("next")), "labels")
-        moved = new.where("label <> next").isEmpty()
-        labels = new.select("organization_id", "a", F.col("next").alias("label"))
-        if moved:
-            break
-    sized = labels.withColumn("n", F.count("*").over(Window.partitionBy("organization_id", "label")))
-    return sized.select("organization_id", F.col("a").alias("point_id"), F.when(F.col("n") > 1, F.col("label")).alias("group"))
+    """(organization, point, group): connected components of points within ``eps``, named by their smallest point; a lone point has a null group."""
+    node = lambda c: F.struct("organization_id", F.col(c).alias("point_id"))
+    found = components(near_pairs(points, eps).where("a <> b").select(node("a").alias("a"), node("b").alias("b")))
+    groups = found.select("node.organization_id", "node.point_id", F.col("component.point_id").alias("group"))
+    return points.select("organization_id", "point_id").join(groups, ["organization_id", "point_id"], "left")
 
 
 def admin_seeds(points: DataFrame, max_visits: int) -> DataFrame:

@@ -264,3 +264,12 @@ def test_outcomes(spark):
     rows = [(1, 1, 0.9, None, None, 43.0, -2.0), (2, 1, 0.1, None, None, 43.0, -2.0), (3, 1, 0.7, None, None, 43.0, -2.0), (3, 2, 0.65, None, None, 43.5, -2.0), (4, 1, 0.7, None, None, 43.0, -2.0), (4, 2, 0.65, None, None, 43.0, -2.0), (5, 1, 0.9, None, None, 43.0, -2.0), (5, 2, 0.4, None, None, 43.9, -2.0)]
     got = geocoding.classify(spark.createDataFrame(rows, kind), spark.createDataFrame([(i,) for i in range(6)], "address_id int"))
     assert [r.outcome for r in got.orderBy("address_id").collect()] == ["not_found", "matched", "not_found", "ambiguous", "matched", "matched"]
+
+
+def test_long_chains_of_rural_points_are_one_group(spark):
+    order = np.random.default_rng(0).permutation(400)
+    rows = [(o, int(i), 2_000.0 * k, 0.0) for o in (1, 2) for k, i in enumerate(order)] + [(1, 900, 0.0, 50_000.0)]
+    points = spark.createDataFrame(rows, "organization_id int, point_id long, x double, y double")
+    got = zoning.rural_groups(points).collect()
+    assert len(got) == 801 and {(r.organization_id, r.group) for r in got if r.point_id < 400} == {(1, 0), (2, 0)}
+    assert [r.group for r in got if r.point_id == 900] == [None]
