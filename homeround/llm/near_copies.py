@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, annotate, forget, written
+from .common import TextBlock, annotate, blocks, forget, written
 from .components import components
 from .simhash import one_of_each
 
@@ -117,17 +117,17 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shin
     taken[[r.s for r in nodes.select(slot("id").alias("s")).distinct().toLocalIterator()]] = True
     bits = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # picks and hashes in one worker a task
         for batch in batches:
             at = np.asarray(batch.column(0))
-            yield batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
-
-    def compute(block: TextBlock) -> list:
-        sets = [shingle_set(t, shingle) for t in block.raw()]
-        return [np.array([set_hash(s) for s in sets], np.int64), _lists(sets)]
-
-    rows = docs.select(slot(id_col).alias("slot"), F.col(text_col).cast("string").alias("text")).mapInArrow(pick, "slot long, text string")
-    sets = annotate(rows, compute, [T.StructField("fp", T.LongType()), T.StructField("set", LONGS)], "text", [])
+            batch = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            for part in blocks(batch, 1):
+                rows = [shingle_set(t, shingle) for t in TextBlock(part.column(1)).raw()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_hash(r) for r in rows], pa.int64()), _lists(rows)], names=["fp", "set"])
+            pa.default_memory_pool().release_unused()
+
+    rows = docs.select(slot(id_col).alias("slot"), F.col(text_col).cast("string").alias("text"))
+    sets = rows.mapInArrow(run, "fp long, set array<long>")
     return sets.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
