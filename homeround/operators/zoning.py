@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
-from homeround.llm.components import components
+from homeround.operators.graphs import components
+from homeround.storage import written
 
 DENSITY_M, URBAN_DENSITY = 500.0, 4
 RURAL_EPS_M, WIDE_M = 2500.0, 12_000.0
@@ -78,16 +77,6 @@ def features(points: DataFrame) -> DataFrame:
     return rows.withColumns({"depot_distance_m": far, "depot_time_minutes": far / 1000 / speed * 60})
 
 
-def _shared(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that all executors share where one is set; else a reliable-enough local plan."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/homeround/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rural_groups(points: DataFrame, eps: float = RURAL_EPS_M) -> DataFrame:
     """(organization, point, group): connected components of points within ``eps``, named by their smallest point; a lone point has a null group."""
     node = lambda c: F.struct("organization_id", F.col(c).alias("point_id"))
@@ -182,7 +171,7 @@ def _split(rows: DataFrame, keys: list[str], max_visits: int, least: str | None
 def cluster_points(features: DataFrame, max_visits: int) -> DataFrame:
     """Capacity-limited clusters per (organization, kind): (organization, kind, point, x, y, cluster). More than 2,000 points are cut into areas first."""
     keys = ["organization_id", "kind"]
-    points = _shared(features.select(*keys, "point_id", "x", "y"), "points")  # read twice; the density behind it is not cheap
+    points = written(features.select(*keys, "point_id", "x", "y"), "points")  # read twice; the density behind it is not cheap
     return _split(areas(points, keys, AREA_POINTS, "point_id"), [*keys, "area"], max_visits)
 
 
@@ -265,9 +254,9 @@ def propose_zones(features: DataFrame, max_visits: int, target: int | None = Non
     the kinds never mix. ``target`` zones an organization are aimed at by its urban zones.
     """
     kept = ["organization_id", "kind", "point_id", "x", "y"]
-    located = _shared(features.where("x is not null and y is not null"), "features")
+    located = written(features.where("x is not null and y is not null"), "features")
     rural = located.where("kind <> 'urban'")
-    groups = _shared(rural.select(*kept).join(rural_groups(rural), ["organization_id", "point_id"]), "groups")
+    groups = written(rural.select(*kept).join(rural_groups(rural), ["organization_id", "point_id"]), "groups")
     sized = groups.groupBy("organization_id", "group").agg(F.count("*").alias("n"))
     grouped = groups.where("group is not null").join(sized, ["organization_id", "group"])
     small = grouped.where(F.col("n") <= max_visits).select(*kept, F.concat(F.lit("r:"), "group").alias("cluster"))
@@ -275,9 +264,9 @@ def propose_zones(features: DataFrame, max_visits: int, target: int | None = Non
     urban = located.where("kind = 'urban'")
     seeded = urban.select(*kept).join(admin_seeds(urban, max_visits), ["organization_id", "point_id"])
     zones = seeded.where("seed is not null").select(*kept, F.concat(F.lit("s:"), "seed").alias("cluster")).unionByName(cluster_points(seeded.where("seed is null"), max_visits))
-    country = _shared(small.unionByName(_split(large, ["organization_id", "kind", "group", "area"], max_visits)), "country")
+    country = written(small.unionByName(_split(large, ["organization_id", "kind", "group", "area"], max_visits)), "country")
     if target is not None:
-        zones = _shared(zones, "zones")
+        zones = written(zones, "zones")
         there = country.groupBy("organization_id").agg(F.count_distinct("cluster").alias("there"))
         floor = zones.groupBy("organization_id").agg(F.ceil(F.count("*") / max_visits).alias("floor"))
         k = F.greatest("floor", F.lit(target) - F.coalesce("there", F.lit(0)))
@@ -434,7 +423,7 @@ def improve_cohesion(labels: list[int], seconds: np.ndarray, kinds: list[str], c
 
 def border_areas(members: DataFrame) -> DataFrame:
     """``members`` with the ``area`` inside which they may change zone: whole zones together, about 300 points at most."""
-    members = _shared(members, "members")
+    members = written(members, "members")
     zones = areas(_zones(members), ["organization_id"], AREA_BORDER, "cluster", F.col("n"))
     return members.join(zones.select("organization_id", "cluster", "area"), ["organization_id", "cluster"])
 
