@@ -1,9 +1,8 @@
-"""Shared pieces of the corpus operators: text blocks inside tasks, and written tables between jobs."""
+"""Shared pieces of the corpus operators: text blocks and words inside tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homeround.storage import forget, written  # noqa: F401  the corpus operators take them from here
+
 BLOCK_BYTES = 1_000_000
 _TEXT = "__homeround_text"
 
@@ -21,34 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-homeround-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as a Parquet table in the shared folder and read it back.
-
-    A lost executor then costs a re-read of files, never a recomputation of what came before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/homeround/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = df.sparkSession.read.schema(df.schema).parquet(path)
-    back.written_path = path
-    return back
-
-
-def forget(df: DataFrame) -> None:
-    """Remove a table made by :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 class TextBlock:
     """A few megabytes of texts: one byte buffer with row offsets. A null text counts as empty."""
 
@@ -91,6 +64,19 @@ def blocks(batch: pa.RecordBatch, at: int, limit: int = BLOCK_BYTES) -> Iterator
         i = j
 
 
+@functools.cache
+def _malloc_trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def trim() -> None:
+    """Give memory that is not in use back to the machine: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def annotate(
     df: DataFrame,
     compute: Callable[..., list],
@@ -126,7 +112,7 @@ def annotate(
                     [pa.array(a, f.type) if not isinstance(a, pa.Array) else a for a, f in zip(arrays, target)],
                     names=target.names,
                 )
-            pa.default_memory_pool().release_unused()
+            trim()
 
     return source.mapInArrow(run, schema)
 

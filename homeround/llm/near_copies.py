@@ -1,4 +1,8 @@
-"""Near copies by the Jaccard similarity of word shingles: candidates by prefix filtering, which loses no pair, then verified."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash links first, then prefix filtering for what they miss, all verified.
+
+Three differing bits of a SimHash (``simhash``) miss most pairs at 0.8; prefix filtering loses none. The links that SimHash finds
+are cheap and join most of a group of copies, so that the prefix keys have to tell apart far fewer components.
+"""
 
 from __future__ import annotations
 
@@ -6,30 +10,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, annotate, blocks, forget, written
-from .components import components
-from .simhash import one_of_each
+from homeround.operators.graphs import components
+
+from .common import TextBlock, annotate, blocks, forget, trim, written
+from .simhash import SEED, majority, near_links, one_of_each, shingle_hashes, with_text_hash
 
 SHINGLE = 5
 PERCENT = 80
-SEED = 42
 SAMPLE, COMMON = 8_192, 200_000
 SLOTS = 1 << 24
+BITMAP = 8  # longs
+SIMHASH_GROUP = 4096  # fewer, larger groups than by default: fewer small jobs
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``shingle`` words (a shorter text is one run); words as in ``simhash``."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if len(words) <= shingle:
-        return np.array([xxh64_intdigest(b" ".join(words), SEED)] if words else [], np.uint64).view(np.int64)
-    runs = (xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(len(words) - shingle + 1))
-    return np.unique(np.fromiter(runs, np.uint64, len(words) - shingle + 1).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle).view(np.int64))
 
 
 def set_hash(hashes: np.ndarray) -> int:
@@ -38,6 +38,12 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 slots whether an odd number of the hashes falls in it. Two sets differ by at least as many hashes as their bitmaps do by bits."""
+    odd = np.bincount(hashes & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """How many of n shingles, in an order that all texts share, hold one of any set that is similar enough; 0 where only an equal set is."""
     need = -(-n * percent // 100)
@@ -71,16 +77,21 @@ def _rare_first(hashes: np.ndarray, known: np.ndarray, count: np.ndarray) -> np.
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, fp, leader) of the keys that two or more nodes hold; the leader is the key's smallest node. Streams sorted rows, one row held."""
+    """(key, n, fp, pos) of the keys that two or more nodes hold, n shingles each, the key at place pos of their prefix; and the same of a leader and of the node before.
+
+    The leader is the key's node of fewest shingles: where a passage makes texts alike, the one that holds the least besides.
+    The node before is the next smaller one (both are the node itself where it is the first). Streams sorted rows, one row held.
+    """
+    names = [f"{who}{c}" for who in ("", "leader_", "before_") for c in ("key", "n", "fp", "pos") if not who or c != "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leader = None, 0  # the last row waits for the next one; leader belongs to its key
+        held = leader = before = None  # the last row waits for the next one, with its leader and the node before it
 
-        def out(rows: np.ndarray, heads: np.ndarray, last: np.ndarray | None) -> pa.RecordBatch:
-            # rows: all with a known next row, except that ``last`` (the next row of the final one) may be missing
-            after = np.append(rows[1:, 0] == rows[:-1, 0], last is not None and last[0] == rows[-1, 0])
-            kept = after | (heads != rows[:, 1])
-            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (rows[:, 0], rows[:, 1], heads)], names=["key", "fp", "leader"])
+        def out(rows: np.ndarray, leaders: np.ndarray, befores: np.ndarray, following: int | None) -> pa.RecordBatch:
+            """Rows but those alone with their key; ``following`` is the key of the row after the last."""
+            after = np.append(rows[1:, 0] == rows[:-1, 0], following == rows[-1, 0])
+            kept = after | (leaders[:, 1] != rows[:, 2])
+            return pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (*rows.T, *leaders.T, *befores.T)], names=names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -89,16 +100,18 @@ def _shared_keys(keys: DataFrame) -> DataFrame:
             if held is not None:
                 rows = np.concatenate([held, rows])
             first = np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])
-            heads = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0)), 1]
+            at = np.arange(len(rows))
+            leaders = rows[np.maximum.accumulate(np.where(first, at, 0)), 1:]
+            befores = rows[np.where(first, at, at - 1), 1:]
             if held is not None:
-                heads[np.cumsum(first) == 1] = leader
+                leaders[np.cumsum(first) == 1], befores[0] = leader, before
             if len(rows) > 1:
-                yield out(rows[:-1], heads[:-1], rows[-1])
-            held, leader = rows[-1:], int(heads[-1])
+                yield out(rows[:-1], leaders[:-1], befores[:-1], rows[-1, 0])
+            held, leader, before = rows[-1:], leaders[-1], befores[-1]
         if held is not None:
-            yield out(held, np.array([leader]), None)
+            yield out(held, leader[None], before[None], None)
 
-    return keys.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "key long, fp long, leader long")
+    return keys.select("key", "n", "fp", "pos").repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,48 +137,67 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shin
             for part in blocks(batch, 1):
                 rows = [shingle_set(t, shingle) for t in TextBlock(part.column(1)).raw()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(r) for r in rows], pa.int64()), _lists(rows)], names=["fp", "set"])
-            pa.default_memory_pool().release_unused()
+            trim()
 
     rows = docs.select(slot(id_col).alias("slot"), F.col(text_col).cast("string").alias("text"))
     sets = rows.mapInArrow(run, "fp long, set array<long>")
     return sets.join(nodes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
+def simhash_links(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the nodes (fp, sim) within three bits of each other's SimHash; nodes of one SimHash hang on their smallest."""
+    alike = written(nodes.groupBy("sim").agg(F.min("fp").alias("node")), "alike")
+    same = nodes.join(alike, "sim").where("fp <> node").select(F.col("node").alias("a"), F.col("fp").alias("b"))
+    return same.union(near_links(alike.select("node", F.col("sim").alias("fp")), group=SIMHASH_GROUP))
+
+
 def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Edges (a, b) of nodes that connect all pairs of ``percent`` or more, straight or through others.
 
-    Nodes that share a prefix key are candidates. First each is compared with leaders of its keys; then, of the keys
-    that still hold several components, all pairs of different components are, if sizes and shared keys allow the similarity.
+    Nodes that share a prefix key are candidates. First those within three bits are compared, and each with its keys' leaders and
+    the nodes before it; then, of the keys that still hold several components, the pairs of different components. A key counts
+    for a pair only if what follows it on both sides can make them similar enough: of a similar pair the first common key always
+    does. Bitmaps with the parity of the shingles in each of 512 slots bound the difference of two sets from below.
     """
-    nodes = written(marked.groupBy("fp").agg(F.min("n").alias("n"), F.first("prefix").alias("prefix"), F.min(id_col).alias("id")), "nodes")
-    shared = written(_shared_keys(nodes.select(F.explode("prefix").alias("key"), "fp")), "shared")
-    there = written(nodes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "n", "id"), "candidates")
+    one = ("n", "prefix", "sim", "bits")
+    nodes = written(marked.groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in one]), "nodes")
+    shared = written(_shared_keys(nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))), "shared")
+    there = written(nodes.drop("prefix", "n").join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
     forget(nodes)
-    sizes_a, sizes_b = (there.select(F.col("fp").alias(c), F.col("n").alias("n" + c)) for c in "ab")
-    near_size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    # Beyond the prefix that ends first, at most need - 1 shingles of its set can be common.
-    rest = F.greatest(F.ceil(F.col("na") * percent / 100), F.ceil(F.col("nb") * percent / 100)) - 1
-    able = near_size & ((F.col("common") + rest) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
-
-    def similar(counted: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b, common) that are similar enough, by their sets."""
-        pairs = written(counted.join(sizes_a, "a").join(sizes_b, "b").where(able).select("a", "b"), name)
-        ends = there.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
-        sets = written(_sets_of(docs, written(ends, f"{name}-ends"), id_col, text_col, shingle), f"{name}-sets")
+    total = F.col("na") + F.col("nb")
+    need = F.ceil(total * percent / (100 + percent))  # common shingles that a similar pair has at least
+    ahead = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
+    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (ahead + 1 >= need)
+
+    def similar(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that are similar enough, by their sets."""
+        pairs = written(pairs.distinct(), name)
+        ends = written(there.select("fp", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), f"{name}-ends")
+        sets = written(_sets_of(docs, ends, id_col, text_col, shingle), f"{name}-sets")
         found = written(_verified(pairs, sets, percent), f"{name}-links")
-        forget(sets)
+        forget(pairs, ends, sets)
         return found
 
-    # Here only keys of one leader are counted, so similar pairs may be left to the second step.
-    stars = shared.where("fp <> leader").groupBy(F.col("leader").alias("a"), F.col("fp").alias("b")).agg(F.count("*").alias("common"))
-    found = similar(stars, "stars")
-    part = shared.join(components(found).withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
-    part = written(part.join(there.select("fp", "n"), "fp"), "parts")
+    def with_other(who: str) -> DataFrame:
+        pairs = shared.where(f"fp <> {who}_fp").select(*[F.col(x).alias(y) for x, y in zip((f"{who}_fp", f"{who}_n", f"{who}_pos", "fp", "n", "pos"), ("a", "na", "pa", "b", "nb", "pb"))])
+        return pairs.where(near).select("a", "na", "b", "nb", ahead.alias("ahead"))
+
+    # Of a pair's keys only some count here, so similar pairs may be left to the second step.
+    counted = with_other("leader").union(with_other("before")).groupBy("a", "na", "b", "nb").agg((F.count("*") + F.min("ahead")).alias("most"))
+    found = similar(counted.where(F.col("most") >= need).select("a", "b").union(simhash_links(there.select("fp", "sim"))), "first")
+    labels = there.select("fp", "bits").join(components(found).withColumnRenamed("node", "fp"), "fp", "left")
+    # A key that follows the same shared key in both texts finds no pair that that one has not found.
+    part = shared.select("key", "fp", "n", "pos").join(labels, "fp").withColumn("last", F.lag("key").over(Window.partitionBy("fp").orderBy("pos", "key")))
+    part = written(part.select("key", "fp", "n", "pos", "last", "bits", F.coalesce("component", "fp").alias("c")), "parts")
     mixed = part.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = part.join(mixed, "key", "left_semi").select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = left.select("key", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"))
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near_size)
-    return found.union(similar(pairs.groupBy("a", "b").agg(F.count("*").alias("common")), "pairs"))
+    columns = ("fp", "n", "pos", "c", "last", "bits")
+    left = part.join(mixed, "key", "left_semi").select("key", *[F.col(x).alias(y) for x, y in zip(columns, ("a", "na", "pa", "ca", "la", "ba"))])
+    right = left.select("key", *[F.col(x).alias(y) for x, y in zip(("a", "na", "pa", "ca", "la", "ba"), ("b", "nb", "pb", "cb", "lb", "bb"))])
+    apart = sum((F.bit_count(F.col("ba")[k].bitwiseXOR(F.col("bb")[k])) for k in range(1, BITMAP)), F.bit_count(F.col("ba")[0].bitwiseXOR(F.col("bb")[0])))
+    new = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))
+    more = similar(left.join(right, "key").where(new & near & (total - apart >= 2 * need)).select("a", "b"), "rest")
+    forget(shared, there, part)
+    return found.union(more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -177,16 +209,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
     def compute(block: TextBlock) -> list:
-        sets = [shingle_set(t, shingle) for t in block.raw()]
-        prefixes = [_rare_first(s, *known.value)[: prefix_size(len(s), percent)] for s in sets]
-        return [np.array([set_hash(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64), _lists(prefixes)]
-
-    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", LONGS)]
-    marked = written(annotate(docs, compute, fields, text_col, [id_col]), "shingles")
+        fp, n, prefix, sim, bits = [], [], [], [], []
+        for t in block.raw():
+            h = shingle_hashes(t, shingle)
+            own = np.unique(h.view(np.int64))
+            fp.append(set_hash(own))
+            n.append(len(own))
+            prefix.append(_rare_first(own, *known.value)[: prefix_size(len(own), percent)])
+            sim.append(majority(h))
+            bits.append(bitmap(own))
+        return [np.array(fp, np.int64), np.array(n, np.int64), _lists(prefix), np.array(sim, np.uint64).view(np.int64), _lists(bits)]
+
+    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", LONGS), T.StructField("sim", T.LongType()), T.StructField("bits", LONGS)]
+    marked = written(annotate(with_text_hash(docs, id_col, text_col), compute, fields, "text", ["id", "h"]), "shingles")
     found = components(near_copy_links(docs, marked, id_col, text_col, shingle, percent))
-
-    def mark(rows: DataFrame) -> DataFrame:
-        hashes = lambda block: [np.array([set_hash(shingle_set(t, shingle)) for t in block.raw()], np.int64)]
-        return annotate(rows, hashes, fields[:1], "text")
-
-    return one_of_each(docs, marked, found, mark, id_col, text_col)
+    return one_of_each(docs, marked.select("id", "h", "fp"), found, id_col, text_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from homeround.operators.graphs import components
+
 from .common import TextBlock, annotate, written
-from .components import components
 
 SHINGLE = 3
 SEED = 42
@@ -20,20 +21,25 @@ PIVOTS = 32
 GROUP = 256
 
 
-def _fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` words, repeats included; a shorter text is one run, one without words none."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # on bytes: lower-cases A-Z only, splits at \x20 and \x09-\x0D only
     n = len(words)
-    if not n:
-        return 0
     joined = b" ".join(words)
     if n <= shingle:
-        return xxh64_intdigest(joined, SEED)
+        return np.array([xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, n)
     ends = np.cumsum(sizes + 1) - 1
     first, last = (ends - sizes)[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, len(first))
+    return np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, len(first))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set."""
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(h), 65536):
         bits = np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -45,7 +51,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     """Adds ``fp``, the 64-bit fingerprint as a signed long; no shuffle. Null or wordless text: 0."""
 
     def compute(block: TextBlock) -> list:
-        return [np.array([_fingerprint(t, shingle) for t in block.raw()], np.uint64).view(np.int64)]
+        return [np.array([majority(shingle_hashes(t, shingle)) for t in block.raw()], np.uint64).view(np.int64)]
 
     return annotate(docs, compute, [T.StructField("fp", T.LongType())], text_col, keep)
 
@@ -213,29 +219,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(labels, "fp", "left").select(id_col, "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, marked: DataFrame, found: DataFrame, mark: Callable[[DataFrame], DataFrame], id_col: str, text_col: str) -> DataFrame:
+def with_text_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ``h``, text): what a row is known by in :func:`one_of_each`."""
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+
+
+def one_of_each(docs: DataFrame, marked: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One document of each component, with all columns: of smallest id; if no id of the component is set, of smallest fingerprint.
 
-    ``marked`` holds (id, ``fp``) of each row, ``found`` the component of each fingerprint that has a link, and ``mark`` adds
-    ``fp`` to a table with column ``text``. Rows of one id are kept apart by their fingerprints; of rows with one id and
-    one fingerprint the one of smallest text stays.
+    ``marked`` holds (``id``, ``h``, ``fp``) of each row, ``found`` the component of each fingerprint that has a link. A row is
+    known by its id, which may be null or repeated, and the 64-bit hash of its text; of rows alike in both one stays, chosen
+    by a hash of all columns. Always a sort-merge join: what stays grows with the documents, so the plan is the same at every size.
     """
-    labels = marked.select(F.col(id_col).alias("id"), "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left")
-    smallest = F.min(F.struct(F.col("id").isNull(), "id", "fp")).alias("k")
-    kept = written(labels.groupBy(F.coalesce("component", "fp").alias("component")).agg(smallest).select("k.id", "k.fp"), "kept")
-    if kept.where("id is null").isEmpty() and marked.groupBy(id_col).count().where("count > 1").isEmpty():
-        # Always a sort-merge join: the ids grow with the documents, so the plan is the same at every size.
-        ids = kept.select(F.col("id").alias(id_col)).hint("merge")
-        return docs.join(ids, id_col, "left_semi").select(*docs.columns)
-    rows = mark(docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    same = F.col("r.id").eqNullSafe(F.col("k.id")) & (F.col("r.fp") == F.col("k.fp"))
-    left = rows.alias("r").join(kept.hint("merge").alias("k"), same, "left_semi")
-    one = left.groupBy("id", "fp").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row"))
+    labels = marked.join(found.withColumnRenamed("node", "fp"), "fp", "left")
+    smallest = F.min(F.struct(F.col("id").isNull(), "id", "fp", "h")).alias("k")
+    name = F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).alias("name")
+    kept = labels.groupBy(F.coalesce("component", "fp").alias("component")).agg(smallest).select("k.id", "k.h").select(name, "h")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(*docs.columns).alias("all"))
+    left = rows.select("row", name, "h", "all").join(written(kept, "kept").hint("merge"), ["name", "h"], "left_semi")
+    one = left.groupBy("name", "h").agg(F.min_by("row", "all").alias("row"))
     return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, shingle: int = SHINGLE) -> DataFrame:
     """One document of each group of near-duplicates, of smallest id, with all its columns; see :func:`one_of_each`."""
-    marked = written(fingerprints(docs, text_col, [id_col], shingle), "fingerprints")
+    marked = written(fingerprints(with_text_hash(docs, id_col, text_col), "text", ["id", "h"], shingle), "fingerprints")
     nodes = written(marked.select("fp", F.col("fp").alias("node")).distinct(), "nodes")
-    return one_of_each(docs, marked, components(near_links(nodes, near)), lambda rows: fingerprints(rows, shingle=shingle), id_col, text_col)
+    return one_of_each(docs, marked, components(near_links(nodes, near)), id_col, text_col)
