@@ -4,16 +4,19 @@ A window is ``length`` consecutive bytes. Its anchor is the k-gram in it of leas
 equal anchors wherever they stand. Consecutive windows with one anchor form a piece (about 285 bytes
 for windows of 200). Pieces meet by the hash of their anchor:
 
-1. one anchor, one piece: nothing repeats; one anchor and only equal pieces: all their windows repeat;
+1. one anchor, one piece: nothing repeats. Equal pieces are counted before anything is shuffled by text: all their windows
+   repeat, and one copy stands for them from here on, so that a group of thousands of copies costs one piece;
 2. different pieces at one anchor (mostly at borders of repeats): one copy of each goes, with the other
    pieces of its anchor, into a bucket. A task builds the run-length compressed Burrows-Wheeler transform of
-   the bucket with sampled run ends, streams matching statistics and marks matches of ``length`` or more;
+   the bucket with sampled run ends, streams each piece through it by LF steps over the runs, gets its matching statistics
+   and marks matches of ``length`` or more;
 3. an anchor with more different pieces than ``group`` (a short line in very many contexts) does not go
    into one task: its windows get a second, third and fourth anchor under other hashes, which part most of
    them, and each smaller group goes the same ways; windows that four anchors leave in a crowd are
    counted one by one by a 128-bit hash, pre-aggregated before the shuffle.
 
-All three are exact but for hash collisions (128 bits for any pair of windows or pieces that are held to be equal).
+All three are exact but for hash collisions: 64 bits tell two pieces of one anchor apart. With 6e11 pieces (100 TB) and ten
+others at the anchor of each, the chance of any collision is below 10^-6.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, annotate, blocks, written
+from .common import TextBlock, annotate, blocks, forget, written
 
 LENGTH = 200
 GRAM = 32
@@ -39,7 +42,6 @@ BLOCK = 1 << 20
 STRIDE = 8 << 20  # longer texts are scanned in strides that overlap by a window less one byte
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 PLACE = 24
-WINDOWS = 1024
 SEEDS = (0x51ED270B0B4A1F63, 0x7C15F39CC0605CED, 0x2545F4914F6CDD1D)
 
 
@@ -102,8 +104,11 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int, gram: int, seed: int
     return text, start - off[text], end - start, h[anchor[start]].view(np.int64), content.view(np.int64)
 
 
+PLACED = "doc long, first long, count int"  # a piece: its first window, and how many
+
+
 def _scan(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -> DataFrame:
-    """(anchor, piece, doc, place): place holds the first window and the number of windows."""
+    """(anchor, piece, doc, first, count) of all pieces."""
     source = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,19 +121,19 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int) -
                     off = block.off if whole else np.array([0, len(data)])  # only a text alone is that long
                     text, first, count, anchor, piece = pieces(data, off, length, gram)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(piece), pa.array(ids[text]), pa.array((first + (0 if whole else lo)) * WINDOWS + count)],
-                        names=["anchor", "piece", "doc", "place"],
+                        [*map(pa.array, (anchor, piece, ids[text], first + (0 if whole else lo), count.astype(np.int32)))],
+                        names=["anchor", "piece", "doc", "first", "count"],
                     )
 
-    return source.mapInArrow(run, "anchor long, piece long, doc long, place long")
+    return source.mapInArrow(run, f"anchor long, piece long, {PLACED}")
 
 
 class RunLengthIndex:
     """Run-length Burrows-Wheeler transform of texts, each closed by an end mark of its own, with sampled run ends.
 
-    Kept per run: the suffix at its head, the one before it in order, and how far the two agree. Within
-    a run, all bytes before the suffixes are equal, so the neighbour and the agreement at any other
-    place follow from the nearest sampled place before it: the same distance back, that many bytes less.
+    Kept per run: where it starts, where its first row goes in an LF step, and of the suffix at its head the one before
+    it in order and how far the two agree. Within a run, all bytes before the suffixes are equal, so their neighbours
+    and agreements follow from those of the places one byte earlier: the same distance on, that many bytes less.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -141,19 +146,20 @@ class RunLengthIndex:
         symbols[inside] = np.frombuffer(b"".join(texts), np.uint8)
         symbols[inside] += len(texts)
         symbols[marks] = np.arange(len(texts))
+        self.n, self.sizes = n, sizes
         self.first = np.concatenate([[0], marks[:-1] + 1])
         order, ranks = self._suffixes(symbols)
         before = symbols[order - 1]
-        before[order == 0] = -1
         head = np.ones(n, bool)
         head[1:] = before[1:] != before[:-1]
-        rows = np.flatnonzero(head)
-        self.runs = len(rows)
-        place, neighbour = order[rows], np.where(rows > 0, order[rows - 1], -1)
-        agree = self._agreement([*[(1, symbols)] * (ranks[0][0] - 1), *ranks], place, neighbour, n)
-        by = np.argsort(place)
-        self.place, self.neighbour, self.agree = place[by], neighbour[by], agree[by]
-        self.n = n
+        self.start = np.flatnonzero(head)
+        self.runs = len(self.start)
+        size = np.diff(np.append(self.start, n))
+        by = np.argsort(before[self.start], kind="stable")  # runs in order of their bytes: so their rows lie in the first column
+        self.leads = np.empty(self.runs, np.int64)
+        self.leads[by] = np.cumsum(size[by]) - size[by]
+        place, self.neighbour = order[self.start], np.where(self.start > 0, order[self.start - 1], -1)
+        self.agree = self._agreement([*[(1, symbols)] * (ranks[0][0] - 1), *ranks], place, self.neighbour, n)
 
     @staticmethod
     def _suffixes(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
@@ -166,9 +172,9 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for k in range(span):
             key = (key << bits) | padded[k : k + n]
-        ranks = []
+        ranks, order = [], np.arange(n)
         while True:
-            order = np.argsort(key, kind="stable")
+            order = order[np.argsort(key[order], kind="stable")]  # in the order so far: what is sorted already costs one pass
             ordered = key[order]
             step = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if n else ordered
             rank = np.empty(n, np.int64)
@@ -192,11 +198,26 @@ class RunLengthIndex:
         return shared
 
     def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each place in turn: its neighbour in suffix order, and how many symbols both share."""
-        at = np.arange(self.n)
-        sample = np.searchsorted(self.place, at, "right") - 1
-        ahead = at - self.place[sample]
-        return self.neighbour[sample] + ahead, self.agree[sample] - ahead
+        """For each place its neighbour in suffix order, and how many symbols both share.
+
+        Every text is streamed from its end mark, whose row is the text's number, by LF steps over the runs, all texts in
+        step; places whose row heads a run take the sample, the others go on from the place before them.
+        """
+        sample = np.full(self.n, -1, np.int64)
+        order = np.argsort(-self.sizes, kind="stable")
+        row, size = order.copy(), self.sizes[order]
+        at = self.first[order] + size
+        ending = np.searchsorted(-size, -np.arange(int(size.max(initial=0)) + 1), "right")  # texts of at least so many symbols
+        for done in range(len(ending)):
+            live = ending[done]
+            run = np.searchsorted(self.start, row[:live], "right") - 1
+            ahead = row[:live] - self.start[run]
+            heads = ahead == 0
+            sample[at[:live][heads] - done] = run[heads]
+            row[:live] = self.leads[run] + ahead
+        known = np.maximum.accumulate(np.where(sample >= 0, np.arange(self.n), 0))  # the first place of a text heads a run
+        ahead, run = np.arange(self.n) - known, sample[known]
+        return self.neighbour[run] + ahead, self.agree[run] - ahead
 
     def repeated(self, length: int) -> np.ndarray:
         """Places where at least ``length`` symbols begin that also begin elsewhere."""
@@ -219,13 +240,13 @@ def _mark_bucket(length: int):
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             texts = rows.column("text").to_pylist()
-            count, doc, place = (np.asarray(rows.column(c)) for c in ("n", "doc", "place"))
+            count, doc, place = (np.asarray(rows.column(c)) for c in ("n", "doc", "first"))
             index = RunLengthIndex(texts)
             begin, end = _runs(index.repeated(length))
             which = np.searchsorted(index.first, begin, "right") - 1
             single = count[which] == 1  # others are wholly marked already
             begin, end, which = begin[single], end[single], which[single]
-            first = place[which] // WINDOWS + begin - index.first[which]
+            first = place[which] + begin - index.first[which]
             yield pa.RecordBatch.from_arrays([pa.array(doc[which]), pa.array(first), pa.array(first + end - begin)], names=["doc", "first", "last"])
 
         size, now = 0, None
@@ -253,26 +274,27 @@ def _window_hashes(length: int):
         for batch in batches:
             for part in blocks(batch, batch.schema.get_field_index("text"), BLOCK):
                 block = TextBlock(part.column("text"))
-                doc, place, times = (np.asarray(part.column(c)) for c in ("doc", "place", "n"))
-                count = place % WINDOWS
+                doc, first, count, times = (np.asarray(part.column(c)) for c in ("doc", "first", "count", "n"))
                 text = np.repeat(np.arange(len(block)), count)
-                turn = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+                turn = np.arange(len(text)) - np.repeat(np.cumsum(count, dtype=np.int64) - count, count)
                 at = block.off[text] + turn
                 both = []
                 for base in BASES:
                     total, inverse = _prefix(block.buf, base)
                     both.append(_mix((total[at + length] - total[at]) * inverse[at]).view(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, both), pa.array(times[text]), pa.array(doc[text]), pa.array((place // WINDOWS)[text] + turn)],
-                    names=["w1", "w2", "n", "doc", "first"],
-                )
+                yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(times[text]), pa.array(doc[text]), pa.array(first[text] + turn)], names=["w1", "w2", "n", "doc", "first"])
 
     return run
 
 
 def _spans_of(rows: DataFrame) -> DataFrame:
-    first = F.expr(f"place div {WINDOWS}")
-    return rows.select("doc", first.alias("first"), (first + F.col("place") % WINDOWS).alias("last"))
+    return rows.select("doc", "first", (F.col("first") + F.col("count")).alias("last"))
+
+
+def _in_buckets(rows: DataFrame, buckets: int, length: int) -> DataFrame:
+    """Marks of the pieces (bucket, n, doc, first, text), bucket by bucket."""
+    rows = rows.select("bucket", "n", "doc", "first", "text").repartition(max(1, min(buckets, 4096)), "bucket").sortWithinPartitions("bucket", "doc", "first")
+    return rows.mapInArrow(_mark_bucket(length), "doc long, first long, last long")
 
 
 def _part_crowds(rows: DataFrame, seed: int, length: int, gram: int, group: int) -> tuple[DataFrame, DataFrame]:
@@ -282,91 +304,90 @@ def _part_crowds(rows: DataFrame, seed: int, length: int, gram: int, group: int)
         for batch in batches:
             for part in blocks(batch, batch.schema.get_field_index("text"), BLOCK):
                 block = TextBlock(part.column("text"))
-                above, n, doc, place = (np.asarray(part.column(c)) for c in ("anchor", "n", "doc", "place"))
+                above, n, doc, place = (np.asarray(part.column(c)) for c in ("anchor", "n", "doc", "first"))
                 text, first, count, anchor, piece = pieces(block.buf, block.off, length, gram, seed)
                 at, stop = block.off[text] + first, block.off[text] + first + count - 1 + length
                 joint = _mix(above[text].view(np.uint64) * np.uint64(BASES[1]) + anchor.view(np.uint64)).view(np.int64)
                 cut = [block.buf[a:b].tobytes() for a, b in zip(at.tolist(), stop.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(joint), pa.array(piece), pa.array(n[text]), pa.array(doc[text]), pa.array((place[text] // WINDOWS + first) * WINDOWS + count), pa.array(cut, pa.binary())],
-                    names=["anchor", "piece", "n", "doc", "place", "text"],
+                    [*map(pa.array, (joint, piece, n[text], doc[text], place[text] + first, count.astype(np.int32))), pa.array(cut, pa.binary())],
+                    names=["anchor", "piece", "n", "doc", "first", "count", "text"],
                 )
 
-    cut = written(rows.mapInArrow(run, "anchor long, piece long, n long, doc long, place long, text binary"), "cut-crowds")
-    different = cut.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "place", "text")).alias("at"))
+    cut = written(rows.mapInArrow(run, f"anchor long, piece long, n long, {PLACED}, text binary"), "cut-crowds")
+    different = cut.groupBy("anchor", "piece").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "first", "count", "text")).alias("at"))
     different = written(different.select("anchor", "piece", "n", "at.*"), "different-crowds")
     whole = cut.where("n = 1").join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi")
+    whole = written(_spans_of(whole), "whole-crowds")
+    forget(cut)
     sizes = different.groupBy("anchor").agg(F.count("*").alias("__m")).where("__m > 1")
     sized = written(different.join(sizes, "anchor"), "sized-crowds")
+    forget(different)
     buckets = max(1, sized.count() * (length + 40) // BUCKET_BYTES)
-    small = sized.where(F.col("__m") <= group).select(F.pmod("anchor", F.lit(buckets)).alias("bucket"), "n", "doc", "place", "text")
-    small = small.repartition(max(1, min(buckets, 4096)), "bucket").sortWithinPartitions("bucket", "doc", "place")
-    indexed = small.mapInArrow(_mark_bucket(length), "doc long, first long, last long")
-    left = sized.where(F.col("__m") > group).select("anchor", "n", "doc", "place", "text")
-    return _spans_of(whole).union(indexed), left
+    small = sized.where(F.col("__m") <= group).withColumn("bucket", F.pmod("anchor", F.lit(buckets)))
+    left = sized.where(F.col("__m") > group).select("anchor", "n", "doc", "first", "count", "text")
+    return whole.union(_in_buckets(small, buckets, length)), left
 
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, spans): for each document with any, the windows that also start elsewhere, as runs (first, last + 1).
 
-    ``id_col`` holds a long that is unique and not null (see :func:`remove_repeats`).
+    ``id_col`` holds a long that is unique and not null (see :func:`remove_repeats`). The texts are scanned once; marks found by
+    a join are written by themselves, so that a key with very many rows is a skewed join that the adaptive planner splits.
     """
-    found = _scan(docs, id_col, text_col, length, gram)
+    if not 1 <= gram <= length or length > 1 << 20:
+        raise ValueError("gram is from 1 to length, length up to 2^20 bytes")
+    found = written(_scan(docs, id_col, text_col, length, gram), "found")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("n"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
     anchors = written(anchors.where("n > 1").select("anchor", (F.col("lo") == F.col("hi")).alias("equal")), "anchors")
     met = written(found.join(anchors, "anchor"), "met")
-    whole = met.where("equal").select("doc", "place")
+    forget(found, anchors)
     mixed = met.where("not equal")
-    different = mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("at"))
-    different = written(different.select("anchor", "piece", "n", "at.doc", "at.place"), "different")
-    whole = whole.union(mixed.join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select("doc", "place"))
-    whole = _spans_of(whole)
+    different = mixed.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "count")).alias("at"))
+    different = written(different.select("anchor", "piece", "n", "at.*"), "different")
+    often = mixed.join(different.where("n > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi")
+    marks = written(_spans_of(met.where("equal")).union(_spans_of(often)), "whole")
+    forget(met)
 
     crowded = different.groupBy("anchor").agg(F.count("*").alias("__m")).where(F.col("__m") > group).select("anchor", F.lit(True).alias("crowded"))
-    wanted = different.join(crowded, "anchor", "left").select("*")
+    wanted = different.join(crowded, "anchor", "left")
     size = max(1, different.count() * (length + 80) // BUCKET_BYTES)
     per_doc = wanted.groupBy("doc").agg(
-        F.collect_list(F.struct("place", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.pmod("anchor", F.lit(size)).alias("bucket"))).alias("cuts")
+        F.collect_list(F.struct("first", "count", "n", F.coalesce("crowded", F.lit(False)).alias("crowded"), F.pmod("anchor", F.lit(size)).alias("bucket"))).alias("cuts")
     )
     texts = docs.select(F.col(id_col).alias("doc"), F.encode(F.col(text_col), "UTF-8").alias("raw"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in kinds]
             docs_, raws, lists = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
             for i, doc in enumerate(docs_):
                 raw = raws[i].as_py()
                 for c in lists[i].as_py():
-                    first, count = divmod(c["place"], WINDOWS)
-                    row = (c["bucket"], c["crowded"], c["n"], doc, c["place"], raw[first : first + count - 1 + length])
+                    row = (c["bucket"], c["crowded"], c["n"], doc, c["first"], c["count"], raw[c["first"] : c["first"] + c["count"] - 1 + length])
                     for column, x in zip(out, row):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                names=["bucket", "crowded", "n", "doc", "place", "text"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["bucket", "crowded", "n", "doc", "first", "count", "text"])
 
     got = texts.join(per_doc, "doc").select("doc", "raw", "cuts")
-    got = got.mapInArrow(cut, "bucket long, crowded boolean, n long, doc long, place long, text binary")
-    got = written(got, "pieces")
-    parts = max(1, min(size, 4096))
-    indexed = got.where("not crowded").select("bucket", "n", "doc", "place", "text")
-    indexed = indexed.repartition(parts, "bucket").sortWithinPartitions("bucket", "doc", "place")
-    indexed = indexed.mapInArrow(_mark_bucket(length), "doc long, first long, last long")
-
-    marks = whole.union(indexed)
-    rest = got.where("crowded").select(F.lit(0).cast("long").alias("anchor"), "n", "doc", "place", "text")
+    got = written(got.mapInArrow(cut, f"bucket long, crowded boolean, n long, {PLACED}, text binary"), "pieces")
+    forget(different)
+
+    marks = marks.union(_in_buckets(got.where("not crowded"), size, length))
+    rest = got.where("crowded").select(F.lit(0).cast("long").alias("anchor"), "n", "doc", "first", "count", "text")
     for seed in SEEDS:
         if rest.isEmpty():
             break
-        found, rest = _part_crowds(rest, seed, length, gram, group)
-        marks = marks.union(found)
+        more, rest = _part_crowds(rest, seed, length, gram, group)
+        marks = marks.union(more)
     else:
-        windows = rest.select("n", "doc", "place", "text").mapInArrow(_window_hashes(length), "w1 long, w2 long, n long, doc long, first long")
+        windows = rest.select("n", "doc", "first", "count", "text").mapInArrow(_window_hashes(length), "w1 long, w2 long, n long, doc long, first long")
         windows = written(windows, "windows")
         often = windows.groupBy("w1", "w2").agg(F.sum("n").alias("all")).where("all > 1").select("w1", "w2")
         counted = windows.where("n = 1").join(often, ["w1", "w2"], "left_semi").select("doc", "first", (F.col("first") + 1).alias("last"))
-        marks = marks.union(counted)
+        marks = marks.union(written(counted, "counted"))
+        forget(windows)
     return marks.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
