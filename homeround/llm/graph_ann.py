@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,8 +14,10 @@ from pyspark.sql import types as T
 from .common import written
 
 SHARD = 4096
-QUERY_BLOCK = 2048
+RACK, RACKS = 16, 256  # at most so many shards a task, once there are so many tasks
+QUERY_BLOCK = 1 << 18
 DEGREE = 24
+BUILD_BEAM = 48
 BEAM = 64
 RELAX = 1.2
 ENTRIES = 16
@@ -27,23 +32,23 @@ class Graph:
     a query with 0 there is then the one of largest inner product.
     """
 
-    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: float = RELAX):
+    def __init__(self, x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, relax: float = RELAX):
         x = x.astype(np.float32)
         norm = (x * x).sum(axis=1)
         extra = np.sqrt(np.maximum(norm.max() - norm, 0))[:, None] if len(x) else np.zeros((0, 1), np.float32)
         self.x = np.ascontiguousarray(np.hstack([x, extra]), np.float32)
+        self.plain = np.ascontiguousarray(x)  # without the added coordinate, which is 0 in a query
         self.norm = (self.x * self.x).sum(axis=1)
         self.degree, self.beam, self.relax = degree, beam, relax
         n = len(x)
         self.out = np.full((n, 2 * degree), -1, np.int32)
         self.size = np.zeros(n, np.int64)
-        self.entries = np.unique(np.linspace(0, max(n - 1, 0), min(n, ENTRIES)).astype(np.int32))
+        self.entries = _entries(n)
 
     def build(self) -> Graph:
         """Insert in random order, in steps that grow: a greedy search proposes neighbours, pruning keeps diverse ones, and edges back are added."""
         n = len(self.x)
-        order = np.random.default_rng(n).permutation(n)
-        self.entries = order[: min(n, ENTRIES)].astype(np.int32)
+        order = np.random.default_rng(n).permutation(n)  # it begins with the entries
         done, size = 0, 64
         while done < n:
             new = order[done : done + size].astype(np.int32)
@@ -117,58 +122,111 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Beam search of many queries in step: (ids, inner products), best first, -1 where fewer are reached."""
         n, m = len(self.x), len(q)
-        if q.shape[1] < self.x.shape[1]:
-            q = np.hstack([q, np.zeros((m, 1))])
-        q = q.astype(np.float32)
-        seen = np.zeros((m, n + 1), bool)  # the last place stands for -1
-        seen[:, n] = True
+        x, half = self.plain if q.shape[1] < self.x.shape[1] else self.x, 0.5 * self.norm
+        q = np.ascontiguousarray(q, np.float32)
+        seen = np.zeros(m * n, bool)  # by query and node
+        owner = np.empty(m * n, np.int32)
         e = self.entries
         ids = np.full((m, beam), -1, np.int32)
         key = np.full((m, beam), np.inf, np.float32)  # half the distance, less what is fixed for a query
         k = min(beam, len(e))
-        d = 0.5 * self.norm[e][None] - q @ self.x[e].T
+        d = half[e][None] - q @ x[e].T
         pick = np.argsort(d, axis=1)[:, :k]
         ids[:, :k], key[:, :k] = e[pick], np.take_along_axis(d, pick, axis=1)
-        seen[:, e] = True
+        seen.reshape(m, n)[:, e] = True
         open_ = ids >= 0
         live = np.arange(m)
         while len(live):
             first = np.argsort(~open_[live], axis=1, kind="stable")[:, :WIDTH]
             usable = np.take_along_axis(open_[live], first, axis=1)
-            going = usable.any(axis=1)
+            going = usable[:, 0]
             live, first, usable = live[going], first[going], usable[going]
             if not len(live):
                 break
             at = np.where(usable, np.take_along_axis(ids[live], first, axis=1), -1)
             state = open_[live]
             np.put_along_axis(state, first, False, axis=1)
-            near = np.where((at >= 0)[:, :, None], self.out[at], -1).reshape(len(live), -1)
-            near = np.sort(near, axis=1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            near[seen[live[:, None], near]] = -1
-            seen[live[:, None], near] = True
-            some = np.argsort(near < 0, axis=1, kind="stable")[:, : max(1, int((near >= 0).sum(axis=1).max()))]
-            near = np.take_along_axis(near, some, axis=1)
-            d = 0.5 * self.norm[near] - np.einsum("mcd,md->mc", self.x[near], q[live])
-            d = np.where(near >= 0, d, np.inf)
-            all_ids = np.hstack([ids[live], near])
-            all_key = np.hstack([key[live], d])
-            all_open = np.hstack([state, near >= 0])
+            open_[live] = state
+            near = np.where((at >= 0)[:, :, None], self.out[at], -1).ravel()
+            row = np.repeat(live, at.shape[1] * self.out.shape[1])
+            flat = (row * n + near)[near >= 0]
+            flat = flat[~seen[flat]]
+            turn = np.arange(len(flat), dtype=np.int32)
+            owner[flat] = turn
+            flat = flat[owner[flat] == turn]  # each once
+            seen[flat] = True
+            row, near = np.divmod(flat, n)
+            d = half[near] - np.einsum("nd,nd->n", x[near], q[row])
+            closer = d < key[row, -1]
+            row, near, d = row[closer], near[closer], d[closer]
+            if not len(row):
+                continue
+            count = np.bincount(row, minlength=m)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            more_ids, more_key = np.full((m, int(count.max())), -1, np.int32), np.full((m, int(count.max())), np.inf, np.float32)
+            more_ids[row, place], more_key[row, place] = near, d
+            some = np.flatnonzero(count)
+            all_ids, all_key = np.hstack([ids[some], more_ids[some]]), np.hstack([key[some], more_key[some]])
+            all_open = np.hstack([open_[some], more_ids[some] >= 0])
             best = np.argsort(all_key, axis=1, kind="stable")[:, :beam]
-            ids[live] = np.take_along_axis(all_ids, best, axis=1)
-            key[live] = np.take_along_axis(all_key, best, axis=1)
-            open_[live] = np.take_along_axis(all_open, best, axis=1)
+            ids[some], key[some], open_[some] = (np.take_along_axis(c, best, axis=1) for c in (all_ids, all_key, all_open))
         return np.where(np.isfinite(key), ids, -1), key
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec as doubles) of rows that take part: id and vector not null, no null or non-finite component, not all zero, of the commonest size."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    """(id, vec, n) of rows that take part: id and vector not null, no null or non-finite component, not all zero; n is the vector's size."""
+    kind = vectors.schema[vec_col].dataType.elementType
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast(T.ArrayType(kind if isinstance(kind, T.FloatType) else T.DoubleType())).alias("vec"))
     odd = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rows = rows.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
-    rows = rows.where(~F.exists("vec", odd) & F.exists("vec", lambda v: v != 0))
-    size = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vec") == (size["n"] if size else 0))
+    return rows.where(~F.exists("vec", odd) & F.exists("vec", lambda v: v != 0)).withColumn("n", F.size("vec"))
+
+
+class Rack:
+    """The shards of one task: their graphs, and a number for each node that follows its smallest id."""
+
+    def __init__(self, shards: list[pa.Table], size: int, beam: int):
+        self.beam, self.graphs, self.first = beam, [], []
+        self.ids = pa.concat_arrays([c for t in shards for c in t.column("ids").chunks])
+        self.x = np.concatenate([_flat(t.column("vec")).reshape(-1, size) for t in shards]).astype(np.float64)
+        smallest = self.ids.flatten().take(pa.array(np.asarray(self.ids.offsets)[:-1] - self.ids.offsets[0].as_py())).to_numpy(zero_copy_only=False)
+        self.rank = np.empty(len(smallest), np.int64)
+        self.rank[np.argsort(smallest, kind="stable")] = np.arange(len(smallest))
+        at = 0
+        for t in shards:
+            graph = Graph(self.x[at : at + len(t)])
+            edges = t.column("out").combine_chunks()
+            count = np.diff(np.asarray(edges.offsets))
+            graph.out[np.repeat(np.arange(len(t)), count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] = np.asarray(edges.flatten())
+            self.graphs.append(graph)
+            self.first.append(at)
+            at += len(t)
+
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, node, score) of the best k nodes found for each query; ties go to the smaller first id."""
+        found = []
+        for first, graph in zip(self.first, self.graphs):
+            near, _ = graph.search(q, max(self.beam, k))
+            found.append(np.where(near >= 0, near + first, -1))
+        node = np.concatenate(found, axis=1)
+        score = np.full(node.shape, -np.inf)
+        for lo in range(0, node.shape[1], 64):  # some columns at a time, to hold few vectors
+            part = node[:, lo : lo + 64]
+            score[:, lo : lo + 64] = np.where(part >= 0, np.einsum("mcd,md->mc", self.x[part], q), -np.inf)
+        by = np.argsort(np.where(node >= 0, self.rank[node], len(self.rank)), axis=1)
+        node, score = np.take_along_axis(node, by, axis=1), np.take_along_axis(score, by, axis=1)
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        node, score = np.take_along_axis(node, best, axis=1), np.take_along_axis(score, best, axis=1)
+        row, place = np.nonzero(node >= 0)
+        return row, node[row, place], score[row, place]
+
+
+def _flat(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.concatenate([np.asarray(c.flatten()) for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column])])
+
+
+def _entries(n: int) -> np.ndarray:
+    return np.random.default_rng(n).permutation(n)[: min(n, ENTRIES)].astype(np.int32)
 
 
 def nearest(
@@ -186,68 +244,72 @@ def nearest(
     Equal vectors become one node with its k + 1 smallest ids, which is all that a result can show of
     them; the ranking that picks them keeps at most k + 1 rows a task before the shuffle. Nodes are
     dealt by hash into shards of about ``shard``; each shard's graph is built in one task and written.
-    Every query searches each shard: queries and graphs meet by (shard, block of queries), both sides
-    bounded. Scores are computed in double precision on the original vectors, ties go to the smaller id.
+    Every query searches each shard. Graph rows and queries meet by the rack (up to 16 shards, one where there are few) in a
+    sorted stream: a task loads a rack's graphs once and lets the queries pass in batches, so that its memory does not grow
+    with them, and hands on k + 1 rows a query. Graphs are copied once per 262,144 queries, queries once a rack.
+    Scores are computed in double precision on the original vectors, ties go to the smaller id.
 
-    Vectors that are null, all zero, hold a null or non-finite component or differ in size from
-    most take no part, on either side; nor do rows without an id. Fewer rows than k: all of them.
+    Vectors that are null, all zero or hold a null or non-finite component take no part, on either side; nor do rows
+    without an id. Vectors of different sizes have no inner product: each size is searched by itself. Fewer rows than k: all of them.
     """
     rows = usable(vectors, id_col, vec_col)
-    id_type = rows.schema["id"].dataType
+    id_type, vec_type = rows.schema["id"].dataType, rows.schema["vec"].dataType
     few = rows.withColumn("__k", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("__k") <= k + 1)
-    nodes = few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    nodes = written(nodes, "vectors")
+    nodes = written(few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.first("n").alias("n")), "vectors")
     asked = written(usable(queries, id_col, vec_col), "queries")
-    shards = max(1, -(-nodes.count() // shard))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    nodes = nodes.withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(shards)).cast("int"))
-
-    linked = T.StructType(
-        [
-            T.StructField("shard", T.IntegerType()),
-            T.StructField("node", T.IntegerType()),
-            T.StructField("vec", T.ArrayType(T.DoubleType())),
-            T.StructField("ids", T.ArrayType(id_type)),
-            T.StructField("out", T.ArrayType(T.IntegerType())),
-        ]
-    )
+    shards = F.ceil(F.col("c") / shard)
+    sizes = nodes.groupBy("n").agg(F.count("*").alias("c")).select("n", shards.cast("int").alias("shards"), F.least(F.lit(RACK), F.greatest(F.lit(1), F.ceil(shards / RACKS))).cast("int").alias("per"))
+    blocks = asked.groupBy("n").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    sizes = sizes.join(blocks, "n")
+    dealt = nodes.join(sizes, "n").withColumn("shard", F.pmod(F.xxhash64(F.element_at("ids", 1)), F.col("shards")).cast("int"))
+    keys = [T.StructField(c, T.IntegerType()) for c in ("n", "rack", "blocks", "shard", "node")]
+    linked = T.StructType([*keys, T.StructField("vec", vec_type), T.StructField("ids", T.ArrayType(id_type)), T.StructField("out", T.ArrayType(T.IntegerType()))])
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda s: s.map(lambda i: i[0])).reset_index(drop=True)
-        graph = Graph(np.stack(part["vec"].to_numpy()), degree, beam).build()
-        out = [row[row >= 0] for row in graph.out]
-        return pd.DataFrame({"shard": part["shard"], "node": np.arange(len(part), dtype=np.int32), "vec": part["vec"], "ids": part["ids"], "out": out})
-
-    graphs = written(nodes.groupBy("shard").applyInPandas(build, linked), "graphs")
-    to_blocks = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    to_shards = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+        graph = Graph(np.stack(part["vec"].to_numpy()), degree).build()
+        part["node"], part["out"] = np.arange(len(part), dtype=np.int32), [row[row >= 0] for row in graph.out]
+        return part[linked.names]
+
+    dealt = dealt.select("n", F.expr("cast(floor(shard / per) as int)").alias("rack"), "blocks", "shard", "vec", "ids")
+    graphs = written(dealt.groupBy("n", "shard").applyInPandas(build, linked), "graphs")
+    one = F.sequence(F.lit(0), F.col("blocks") - 1)
+    racks = F.sequence(F.lit(0), F.expr("cast(floor((shards - 1) / per) as int)"))
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    left = graphs.select("n", "rack", F.explode(one).alias("block"), "shard", "node", "vec", "ids", "out")
+    right = asked.join(sizes, "n").select(
+        "n", F.explode(racks).alias("rack"), block.alias("block"), F.lit((1 << 31) - 1).alias("shard"), F.lit(0).alias("node"), "vec", F.array("id").alias("ids"), F.lit(None).cast("array<int>").alias("out")
     )
+    order = ["n", "rack", "block", "shard", "node"]
+    meet = left.union(right).repartition("n", "rack", "block").sortWithinPartitions(*order)
     found = T.StructType([T.StructField("query_id", id_type), T.StructField("ids", T.ArrayType(id_type)), T.StructField("score", T.DoubleType())])
 
-    def search(graph_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        if not len(graph_rows) or not len(query_rows):
-            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype=float)})
-        graph_rows = graph_rows.sort_values("node").reset_index(drop=True)
-        x = np.stack(graph_rows["vec"].to_numpy())
-        graph = Graph(x, degree, beam)
-        for i, row in enumerate(graph_rows["out"]):
-            graph.out[i, : len(row)] = row
-        graph.entries = np.random.default_rng(len(x)).permutation(len(x))[: min(len(x), ENTRIES)].astype(np.int32)
-        q = np.stack(query_rows["vec"].to_numpy())
-        names, ids = query_rows["id"].to_numpy(), graph_rows["ids"].to_numpy()
-        out_q, out_ids, out_s = [], [], []
-        for i in range(0, len(q), STEP):
-            near, _ = graph.search(q[i : i + STEP], max(beam, k + 1))
-            near = near[:, : k + 1]
-            r, c = np.nonzero(near >= 0)
-            picked = near[r, c]
-            out_q.append(names[i + r])
-            out_ids += ids[picked].tolist()
-            out_s.append(np.einsum("nd,nd->n", x[picked], q[i + r]))
-        return pd.DataFrame({"query_id": np.concatenate(out_q), "ids": out_ids, "score": np.concatenate(out_s)})
-
-    hits = to_blocks.groupBy("shard", "block").cogroup(to_shards.groupBy("shard", "block")).applyInPandas(search, found)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rack, parts = None, None, []
+        for batch in batches:
+            at = np.stack([np.asarray(batch.column(i)) for i in range(4)], axis=1)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1).tolist(), len(at)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if (key := tuple(at[a, :3])) != now:
+                    now, rack, parts = key, None, []
+                here, shard_no = batch.slice(a, b - a), int(at[a, 3])
+                if shard_no < (1 << 31) - 1:
+                    if not parts or parts[-1][0] != shard_no:
+                        parts.append((shard_no, []))
+                    parts[-1][1].append(here)
+                    continue
+                if rack is None:
+                    rack = Rack([pa.Table.from_batches(x) for _, x in parts], int(at[a, 0]), beam)
+                    parts = []
+                q = _flat(here.column(5)).reshape(b - a, -1).astype(np.float64)
+                names = here.column(6).flatten()
+                for i in range(0, len(q), STEP):
+                    row, node, score = rack.nearest(q[i : i + STEP], k + 1)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row + i)), rack.ids.take(pa.array(node)), pa.array(score)], names=found.names)
+
+    hits = meet.mapInArrow(search, found)
     hits = hits.select("query_id", F.explode("ids").alias(id_col), "score").where(F.col("query_id") != F.col(id_col))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
