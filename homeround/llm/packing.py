@@ -27,10 +27,12 @@ PIECE = T.StructType(
 def cut(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: a document's ids, then ``end_id``; only documents over ``limit`` are cut, the first piece takes the remainder."""
 
+    outside = bpe.exceptions(tokenizer_path)
+
     def compute(block: TextBlock) -> list:
         out, counts = [], []
         for text in block.strings():
-            ids = np.append(np.asarray(bpe.ids(tokenizer_path, text), "<u4"), np.uint32(end_id)).astype("<u4")
+            ids = np.append(np.asarray(bpe.ids(tokenizer_path, text, outside), "<u4"), np.uint32(end_id)).astype("<u4")
             n = len(ids)
             k = -(-n // limit)
             ends = [n - limit * i for i in range(k - 1, -1, -1)]

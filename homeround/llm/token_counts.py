@@ -17,7 +17,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", k
     ``tokenizer_path``: a ``tokenizers`` .json with byte-level pre-tokens, or a sentencepiece .model.
     For the .json, the driver proves once which vocabulary strings encode alone as one token; a task
     splits a text into pre-tokens, counts the proven ones directly, and merges each other distinct
-    pre-token once. Special strings inside a text count as the library counts them. The proven set is
+    pre-token once, in any script. Special strings inside a text count as the library counts them. The proven set is
     bounded by the vocabulary.
 
     Null or empty text: 0 bytes, 0 tokens. Repeated rows each get their row. An input column named
@@ -37,9 +37,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", k
         return annotate(docs, compute, fields, text_col, keep)
 
     whole = docs.sparkSession.sparkContext.broadcast(bpe.whole_tokens(tokenizer_path))
+    outside = bpe.exceptions(tokenizer_path)
 
     def compute(block: TextBlock) -> list:
-        count = bpe.counter(tokenizer_path, whole.value).count
+        count = bpe.counter(tokenizer_path, whole.value, outside).count
         return [np.diff(block.off), np.fromiter(map(count, block.strings()), np.int64, len(block))]
 
     return annotate(docs, compute, fields, text_col, keep)
