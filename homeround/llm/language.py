@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,22 +15,23 @@ from .common import TextBlock, annotate
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-CLASSES = 64
+CLASSES = 128
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 CHUNK = 64  # windows at a time, so that activations stay in the cache
 _PAD, _SPACE, _DIGIT, _OTHER, _CONTROL = 30, 26, 27, 28, 29
 
 
 def _byte_classes() -> np.ndarray:
-    """64 classes: letters with case folded, space, digits, other ASCII, controls, padding; bytes from 0x80 by their low five bits."""
+    """128 classes: letters with case folded, space, digits, other ASCII, controls, padding; 64 for bytes inside a character, 32 for those that begin one."""
     out = np.full(256, _OTHER, np.uint8)
     out[:32], out[127] = _CONTROL, _CONTROL
     out[[9, 10, 11, 12, 13, 32]] = _SPACE
     out[48:58] = _DIGIT
     for k in range(26):
         out[65 + k] = out[97 + k] = k
-    out[128:] = 32 + (np.arange(128) & 31)
+    out[128:192] = 32 + np.arange(64)
+    out[192:] = 96 + (np.arange(64) & 31)
     return out
 
 
