@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeround.functions.geo import haversine_m
-from homeround.functions.text import house_number_key, municipality_key, street_key
+from homeround.functions.text import fold, house_number_key, municipality_key, street_key
 
 MATCH, AMBIGUOUS, MARGIN, SAME_M = 0.55, 0.3, 0.15, 50.0
 
@@ -115,13 +115,18 @@ def first_candidates(candidates: DataFrame, n: int = 5) -> DataFrame:
 def augment_candidates(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """Where a gazetteer point exists and no candidate is that house: the point comes first, candidates without a number go.
 
-    ``found``: address_id, street, house_number, and the point's latitude and longitude.
+    ``found``: address_id, street, aliases (parted by bars), house_number, and the point's latitude and longitude. A candidate is that
+    house if it has the number and its label, folded, holds the street or an alias, folded or as a key.
     """
+    names = F.concat(F.array("street"), F.split(F.coalesce("aliases", F.lit("")), r"\|"))
+    spelled = found.select("address_id", F.explode(names).alias("name")).where("trim(name) <> ''")
+    spelled = spelled.select("address_id", F.array(fold(F.col("name")), street_key(F.col("name"))).alias("n"))
+    spelled = spelled.groupBy("address_id").agg(F.flatten(F.collect_list("n")).alias("__names"))
     point = found.select("address_id", F.col("street").alias("__street"), F.col("house_number").alias("__no"), F.col("latitude").alias("__lat"), F.col("longitude").alias("__lon"))
-    label = F.lower("display_label")
-    is_it = (house_number_key(F.col("house_number")) == house_number_key(F.col("__no"))) & label.contains(F.lower("__street"))
-    own = Window.partitionBy("address_id")
-    joined = candidates.join(point, "address_id", "left").withColumn("__there", F.max(F.coalesce(is_it, F.lit(False))).over(own))
+    joined = candidates.join(point.join(spelled, "address_id", "left"), "address_id", "left").withColumn("__label", fold(F.col("display_label")))
+    named = F.exists("__names", lambda n: (n != "") & F.col("__label").contains(n))
+    is_it = (house_number_key(F.col("house_number")) == house_number_key(F.col("__no"))) & named
+    joined = joined.withColumn("__there", F.max(F.coalesce(is_it, F.lit(False))).over(Window.partitionBy("address_id")))
     plain = joined.where(F.col("__street").isNull() | F.col("__there") | F.col("house_number").isNotNull())
     there = joined.where("__there").select("address_id").distinct()
     new = point.join(there, "address_id", "left_anti").select("address_id", F.lit(0).alias("ordinal"), F.col("__lat").alias("latitude"), F.col("__lon").alias("longitude"), F.lit(1.0).alias("importance"), F.lit("house").alias("place_class"), F.col("__no").alias("house_number"))

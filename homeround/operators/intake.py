@@ -38,10 +38,11 @@ def validate_rows(rows: DataFrame) -> DataFrame:
     )
 
 
-def mark_duplicates(rows: DataFrame) -> DataFrame:
+def mark_duplicates(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Adds DUPLICATE_IN_BATCH (a later row of the batch with that reference), else DUPLICATE_IN_PERIOD.
 
-    The second: the reference is in a valid row of another, not cancelled batch of the period. Blank references are
+    The second: the reference is in a valid row of another, not cancelled batch of the period, among ``rows`` or ``stored`` (rows checked
+    before, with validation_status). Blank references are
     set apart by their own row, so that they form no skewed key. Both windows share one exchange by (organization, period, hash).
     """
     key = F.coalesce("reference_hash", F.concat(F.lit("row|"), F.col("batch_id"), F.lit("|"), F.col("row_number")))
@@ -56,6 +57,11 @@ def mark_duplicates(rows: DataFrame) -> DataFrame:
             "__nth": F.row_number().over(in_batch),
         }
     )
+    if stored is not None:
+        held = stored.where(F.col("validation_status").isin("valid", "corrected") & ~F.col("cancelled"))
+        before = held.groupBy("organization_id", "period", "reference_hash").agg(F.min("batch_id").alias("__first"), F.max("batch_id").alias("__last"))
+        marked = marked.join(before, ["organization_id", "period", "reference_hash"], "left")
+        marked = marked.withColumns({"__low": F.least("__low", "__first"), "__high": F.greatest("__high", "__last")}).drop("__first", "__last")
     known = F.col("reference_hash").isNotNull()
     elsewhere = (F.col("__low") != F.col("batch_id")) | (F.col("__high") != F.col("batch_id"))
     code = F.when(known & (F.col("__nth") > 1), "DUPLICATE_IN_BATCH").when(known & elsewhere, "DUPLICATE_IN_PERIOD")
@@ -122,5 +128,25 @@ def version_addresses(current: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def checked_rows(rows: DataFrame) -> DataFrame:
-    return with_status(mark_duplicates(validate_rows(rows)))
+def commit_addresses(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """Addresses after a commit, by (organization, reference): earlier active ones closed, one new version a row, the last of them active and pending."""
+    keys = ["organization_id", "external_ref"]
+    new = version_addresses(current.where("is_active"), rows)
+    touched = rows.select(*keys, F.lit(True).alias("__new")).distinct()
+    old = current.join(touched, keys, "left").withColumn("is_active", F.col("is_active") & F.col("__new").isNull()).drop("__new")
+    fresh = new.select(*keys, "version", "is_active", F.lit("pending").alias("geocode_status"), *[c for c in ("batch_id", "row_number", "address", "postal_code", "municipality", "province") if c in new.columns])
+    return old.unionByName(fresh, allowMissingColumns=True)
+
+
+def upsert_patients(patients: DataFrame, rows: DataFrame) -> DataFrame:
+    """Patients by (organization, reference) after a commit: the last row's display reference, or the reference itself; new ones name the first row's batch."""
+    keys = ["organization_id", "external_ref"]
+    shown = F.coalesce(F.when(F.trim("display_ref") != "", F.trim("display_ref")), F.col("external_ref"))
+    place = F.struct("batch_id", "row_number")
+    new = rows.groupBy(*keys).agg(F.max_by(shown, place).alias("__shown"), F.min("batch_id").alias("__batch"))
+    both = patients.select(*keys, "display_ref", F.col("source_batch_id").cast("string").alias("source_batch_id"), F.lit(True).alias("__old")).join(new, keys, "full_outer")
+    return both.select(*keys, F.coalesce("__shown", "display_ref").alias("display_ref"), F.when(F.col("__old"), F.col("source_batch_id")).otherwise(F.col("__batch")).alias("source_batch_id"))
+
+
+def checked_rows(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    return with_status(mark_duplicates(validate_rows(rows), stored))

@@ -168,12 +168,20 @@ def route_groups(placed: DataFrame) -> DataFrame:
 
 
 def resolve_assignees(groups: DataFrame, chosen: DataFrame, members: DataFrame, creators: DataFrame) -> DataFrame:
-    """Per (plan, zone): the explicit assignee if a member, else the plan's creator if a member, else a reason."""
-    m = members.select("plan_id", F.col("user_id").alias("assignee"), F.lit(True).alias("__member"))
-    rows = groups.select("plan_id", "zone_id").distinct().join(chosen, ["plan_id", "zone_id"], "left").join(creators, "plan_id", "left")
+    """Per (plan, zone): the explicit assignee if a member, else the plan's creator if a member, else a reason.
+
+    A zone chosen twice, or one that the plan does not visit, gets its row with the reason and no assignee.
+    """
+    m = members.select("plan_id", F.col("user_id").alias("assignee"), F.lit(True).alias("__member")).distinct()
+    asked = chosen.groupBy("plan_id", "zone_id").agg(F.count("*").alias("__times"), F.min("chosen").alias("chosen"))
+    there = groups.select("plan_id", "zone_id", F.lit(True).alias("__there")).distinct()
+    rows = there.join(asked, ["plan_id", "zone_id"], "full_outer").join(creators, "plan_id", "left")
     rows = rows.withColumn("assignee", F.coalesce("chosen", "creator")).join(m, ["plan_id", "assignee"], "left")
-    reason = F.when(F.col("__member").isNotNull(), F.lit(None)).when(F.col("chosen").isNotNull(), "ASSIGNEE_NOT_MEMBER").otherwise("ASSIGNEE_REQUIRED")
-    return rows.select("plan_id", "zone_id", F.when(F.col("__member"), F.col("assignee")).alias("assignee"), reason.alias("reason"))
+    reason = (
+        F.when(F.col("__times") > 1, "DUPLICATE_ZONE_ASSIGNEE").when(F.col("__there").isNull(), "UNKNOWN_ZONE").when(F.col("__member").isNotNull(), F.lit(None))
+        .when(F.col("chosen").isNotNull(), "ASSIGNEE_NOT_FOUND").otherwise("ASSIGNEE_REQUIRED")
+    )
+    return rows.withColumn("reason", reason).select("plan_id", "zone_id", F.when(F.col("reason").isNull(), F.col("assignee")).alias("assignee"), "reason")
 
 
 def publish_payload(groups: DataFrame, assignees: DataFrame) -> DataFrame:
@@ -184,11 +192,36 @@ def publish_payload(groups: DataFrame, assignees: DataFrame) -> DataFrame:
     )
 
 
-def move_visits(placed: DataFrame, moves: DataFrame, visits: DataFrame, days: DataFrame) -> DataFrame:
-    """What-if: each plan with its moves applied and validated again; a plan's moves count only if it has no conflict and the version holds."""
-    ok = placed.where("code is null").drop("code")
-    m = moves.select("plan_id", "patient_id", F.col("date").alias("__date"), "expected_version")
-    moved = ok.join(m, ["plan_id", "patient_id"], "left").withColumn("date", F.coalesce("__date", "date"))
-    checked = validate_assignments(moved.select("plan_id", "patient_id", "date", "zone_id"), visits, days)
-    bad = checked.groupBy("plan_id").agg(F.count("code").alias("conflicts"))
-    return bad.join(moves.groupBy("plan_id").agg(F.count("*").alias("moves"), F.min("expected_version").alias("expected_version")), "plan_id", "left")
+#: Why a plan's moves cannot be made, in the order in which it is asked.
+MOVE_REASONS = ("PLAN_NOT_FOUND", "PLAN_PUBLISHED", "PLAN_NOT_DRAFT", "PLAN_VERSION_CONFLICT", "ZONE_NOT_FOUND", "PATIENT_NOT_IN_PLAN")
+
+
+def move_visits(plans: DataFrame, placed: DataFrame, moves: DataFrame, zones: DataFrame, visits: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(outcome per plan with moves, assignments after them).
+
+    ``plans``: plan_id, status, version. ``moves``: plan_id, patient_id, date, zone_id, expected_version, confirm. ``zones``: plan_id,
+    zone_id and kind, which a moved visit takes. A plan's moves are validated together with its other assignments. Without confirm they are
+    tried only; with it they are made, and the version rises, if nothing speaks against them: ``reason`` is null and ``applied`` true.
+    """
+    keys = ["plan_id", "patient_id"]
+    now = placed.where("code is null").select(*keys, "date", "zone_id")
+    asked = moves.join(plans.select("plan_id", "status", "version"), "plan_id", "left")
+    asked = asked.join(zones.select("plan_id", "zone_id", F.col("kind").alias("__kind"), F.lit(True).alias("__zone")), ["plan_id", "zone_id"], "left")
+    asked = asked.join(now.select(*keys, F.col("zone_id").alias("__there")), keys, "left")
+    against = (
+        F.col("status").isNull(), F.col("status") == "published", F.col("status") != "draft", ~F.col("version").eqNullSafe(F.col("expected_version")), F.col("__zone").isNull(), F.col("__there").isNull()
+    )
+    code = F.coalesce(*[F.when(c, F.lit(name)) for c, name in zip(against, MOVE_REASONS)])
+    asked = asked.withColumn("__code", code).withColumn("__rank", F.when(F.col("__code").isNotNull(), F.array_position(F.array(*map(F.lit, MOVE_REASONS)), F.col("__code"))))
+    per = asked.groupBy("plan_id").agg(F.min_by("__code", "__rank").alias("reason"), F.bool_and("confirm").alias("confirm"), F.max("version").alias("version"), F.count("*").alias("moves"))
+    sound = per.where("reason is null").select("plan_id")
+    m = asked.join(sound, "plan_id", "left_semi").select(*keys, F.col("date").alias("__date"), F.col("zone_id").alias("__to"), "__kind")
+    moved = now.join(sound, "plan_id", "left_semi").join(m, keys, "left")
+    moved = moved.select(*keys, F.coalesce("__date", "date").alias("date"), F.coalesce("__to", "zone_id").alias("zone_id"))
+    kinds = visits.join(m.select(*keys, "__kind"), keys, "left").withColumn("kind", F.coalesce("__kind", "kind")).drop("__kind")
+    bad = validate_assignments(moved, kinds, days).groupBy("plan_id").agg(F.count("code").alias("conflicts"))
+    out = per.join(bad, "plan_id", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("confirm") & (F.col("conflicts") > 0), "PLAN_MOVE_CONFLICT")))
+    out = out.withColumn("applied", F.col("confirm") & F.col("reason").isNull())
+    out = out.select("plan_id", "moves", "conflicts", "reason", "applied", (F.col("version") + F.col("applied").cast("int")).alias("version"))
+    made = out.where("applied").select("plan_id")
+    return out, now.join(made, "plan_id", "left_anti").unionByName(moved.join(made, "plan_id", "left_semi"))

@@ -184,6 +184,12 @@ def pair_diagnostics(checked: DataFrame, matrix: DataFrame) -> DataFrame:
     return rows.select("route_id", "i", "j", code.alias("code")).where("code is not null").withColumn("actions", actions[F.col("code")])
 
 
+def proven_infeasible(checked: DataFrame, pairs: DataFrame, vehicles: int = 1) -> DataFrame:
+    """Routes that the diagnostics prove to have no solution: a stop that fails alone, or with a single vehicle two that no order serves."""
+    alone = checked.where(F.col("code").isin("ISOLATED_STOP", "INSUFFICIENT_SHIFT")).select("route_id")
+    return alone.union(pairs.select("route_id")).distinct() if vehicles == 1 else alone.distinct()
+
+
 def tour(cost: np.ndarray) -> list[int]:
     """Order of all nodes from 0 and back: nearest arc from the depot, then 2-opt moves while they help."""
     n = len(cost)
@@ -383,8 +389,8 @@ def snapshots(stops: DataFrame, patients: DataFrame) -> DataFrame:
 
 def explode_snapshots(published: DataFrame) -> DataFrame:
     """Stops of published documents in order, bad patient ids left out; never joined to live patients."""
-    kind = "array<struct<sequence:int,patient_id:bigint,external_ref:string,service_minutes:int>>"
-    return published.select("revision_id", F.explode(F.from_json("document", kind)).alias("s")).where("s.patient_id is not null").select("revision_id", "s.*")
+    kind = "order array<struct<sequence:int,patient_id:bigint,external_ref:string,service_minutes:int>>"
+    return published.select("revision_id", F.explode(F.from_json("document", kind)["order"]).alias("s")).where("s.patient_id is not null").select("revision_id", "s.*")
 
 
 def holding_reference(published: DataFrame, reference: str) -> DataFrame:
@@ -467,13 +473,36 @@ def next_revisions(revisions: DataFrame) -> DataFrame:
 
 
 def reorder(stops: DataFrame, requested: DataFrame) -> DataFrame:
-    """Sequence 1..n in requested order where the request is a permutation of the route's patients, else unchanged with a reason."""
-    asked = requested.select("route_id", F.posexplode("patients").alias("pos", "patient_id"))
+    """Sequence 1..n in requested order and a version more where the request is a permutation of the route's patients, else unchanged with a reason; other columns stay."""
+    asked = requested.select("route_id", F.posexplode("patients").alias("__pos", "patient_id"))
     have = stops.groupBy("route_id").agg(F.array_sort(F.collect_list("patient_id")).alias("have"))
-    fits = requested.join(have, "route_id").select("route_id", ((F.array_sort("patients") == F.col("have")) & (F.size(F.array_distinct("patients")) == F.size("patients"))).alias("fits"))
-    asked = asked.join(fits.where("fits"), "route_id", "left_semi")
+    fits = requested.join(have, "route_id").select("route_id", ((F.array_sort("patients") == F.col("have")) & (F.size(F.array_distinct("patients")) == F.size("patients"))).alias("__fits"))
+    asked = asked.join(fits.where("__fits"), "route_id", "left_semi")
     rows = stops.join(fits, "route_id", "left").join(asked, ["route_id", "patient_id"], "left")
-    return rows.select("route_id", "patient_id", F.when(F.col("fits"), F.col("pos") + 1).otherwise(F.col("sequence")).alias("sequence"), F.when(~F.col("fits"), "NOT_A_PERMUTATION").alias("reason"))
+    new = {"sequence": F.when(F.col("__fits"), F.col("__pos") + 1).otherwise(F.col("sequence")), "version": F.col("version") + F.coalesce(F.col("__fits").cast("int"), F.lit(0)), "reason": F.when(~F.col("__fits"), "STOP_ORDER_NOT_PERMUTATION")}
+    return rows.withColumns(new).select(*stops.columns, "reason")
+
+
+def mark_stale(metrics: DataFrame, reordered: DataFrame) -> DataFrame:
+    """Metrics (revision_id) whose route was reordered are stale until they are computed again."""
+    return metrics.join(reordered.select("revision_id", F.lit(True).alias("__new")).distinct(), "revision_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)) | F.coalesce("__new", F.lit(False))).drop("__new")
+
+
+def published_documents(order: DataFrame, metrics: DataFrame, revisions: DataFrame) -> DataFrame:
+    """The whole published document a revision as JSON: order, origin, destination, objective, dataset version, and the original and optimized metrics.
+
+    ``order`` from :func:`snapshots`; ``metrics``: revision_id, variant, travel_seconds, distance_m, cost; ``revisions``: revision_id, origin, destination, objective, dataset_version.
+    """
+    value = F.struct("travel_seconds", "distance_m", "cost")
+    of = lambda name: F.max(F.when(F.col("variant") == name, value)).alias(name)
+    measured = metrics.groupBy("revision_id").agg(of("original"), of("optimized")).select("revision_id", F.struct("original", "optimized").alias("metrics"))
+    rows = order.join(revisions, "revision_id").join(measured, "revision_id", "left")
+    return rows.select("organization_id", "revision_id", "published_at", F.to_json(F.struct("dataset_version", "origin", "destination", "objective", "order", "metrics")).alias("document"))
+
+
+def shared_view(shares: DataFrame, stops: DataFrame) -> DataFrame:
+    """What an active share shows of its route: stops in order with service minutes and status, no patient."""
+    return shares.where("active").select("share_id", "route_id").join(stops.select("route_id", "sequence", "service_minutes", "status"), "route_id")
 
 
 def foreign_patients(requested: DataFrame, patients: DataFrame) -> DataFrame:

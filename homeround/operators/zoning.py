@@ -351,11 +351,26 @@ def accept_proposal(current: DataFrame, proposed: DataFrame, reset_manual: bool
     return both.withColumn("action", action)
 
 
+def apply_proposal(history: DataFrame, proposed: DataFrame, at: Column, reset_manual: bool = False) -> DataFrame:
+    """The assignment history after a proposal is accepted at ``at``: rows of moved and left patients closed, new ones opened."""
+    keys = ["organization_id", "patient_id"]
+    actions = accept_proposal(history.where("valid_to is null"), proposed, reset_manual)
+    ends = actions.where(F.col("action").isin("move", "close")).select(*keys, F.lit(True).alias("__end"))
+    kind = history.schema["valid_to"].dataType
+    rows = history.join(ends, keys, "left").withColumn("valid_to", F.coalesce("valid_to", F.when(F.col("__end"), at.cast(kind)))).drop("__end")
+    opened = actions.where(F.col("action").isin("move", "open")).select(
+        *keys, F.col("new_zone").alias("zone_id"), at.cast(history.schema["valid_from"].dataType).alias("valid_from"), F.lit(None).cast(kind).alias("valid_to"), F.lit("cluster").alias("source")
+    )
+    return rows.unionByName(opened, allowMissingColumns=True)
+
+
 def upsert_zones(current: DataFrame, clusters: DataFrame) -> DataFrame:
-    keys = ["organization_id", "name"]
-    both = current.select(*keys, "version", F.col("kind").alias("__k"), F.col("max_visits").alias("__m")).join(clusters.select(*keys, "kind", "max_visits"), keys, "full_outer")
-    known = F.col("kind").isNotNull()
-    return both.select(*keys, F.coalesce("kind", "__k").alias("kind"), F.coalesce("max_visits", "__m").alias("max_visits"), (F.coalesce("version", F.lit(0)) + known.cast("int")).alias("version"))
+    """Zones by (organization, name) with the clusters' kind (mixed if it is none of the three), capacity and centroid; the version rises where there is a cluster."""
+    keys, taken = ["organization_id", "name"], ["kind", "max_visits", "longitude", "latitude"]
+    new = clusters.select(*keys, F.lit(True).alias("__new"), F.when(F.col("kind").isin("urban", "rural", "mixed"), F.col("kind")).otherwise("mixed").alias("__kind"), *[F.col(c).alias(f"__{c}") for c in taken[1:]])
+    both = current.select(*keys, "version", *taken).join(new, keys, "full_outer")
+    kept = [F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in taken]
+    return both.select(*keys, *kept, (F.coalesce("version", F.lit(0)) + F.coalesce("__new", F.lit(False)).cast("int")).alias("version"))
 
 
 def override_batch(requests: DataFrame, current: DataFrame, zones: DataFrame) -> DataFrame:
@@ -369,19 +384,61 @@ def override_batch(requests: DataFrame, current: DataFrame, zones: DataFrame) ->
     return rows.withColumn("rejected", F.coalesce("rejected", F.when((entering == 1) & (F.col("occupied") + before > F.col("max_visits")), "CAPACITY_EXCEEDED")))
 
 
+def spread_split(longitude: np.ndarray, latitude: np.ndarray, cap: int) -> np.ndarray:
+    """Labels of compact parts of at most ``cap`` points: seeds far from each other, then the points nearest to any seed choose first, each the nearest with room."""
+    n = len(longitude)
+    k = -(-n // cap)
+    lam, phi = np.radians(longitude), np.radians(latitude)
+
+    def to(i: int) -> np.ndarray:
+        h = np.sin((phi - phi[i]) / 2) ** 2 + np.cos(phi) * np.cos(phi[i]) * np.sin((lam - lam[i]) / 2) ** 2
+        return np.arcsin(np.minimum(1, np.sqrt(h)))
+
+    seeds, apart = [0], np.empty((n, k))
+    apart[:, 0] = to(0)
+    for j in range(1, k):
+        nearest = apart[:, :j].min(axis=1)
+        nearest[seeds] = -1
+        seeds.append(int(nearest.argmax()))
+        apart[:, j] = to(seeds[-1])
+    labels, room = np.full(n, -1), np.full(k, cap - 1)
+    labels[seeds] = np.arange(k)
+    for i in np.lexsort((np.arange(n), apart.min(axis=1))):
+        if labels[i] < 0:
+            j = int(np.where(room > 0, apart[i], np.inf).argmin())
+            labels[i], room[j] = j, room[j] - 1
+    return labels
+
+
 def geodesic_split(points: DataFrame, max_visits: int) -> DataFrame:
-    """Administrative fallback: municipality if it fits, else postal code, else a split inside it; neither known: outlier (null)."""
-    town = Window.partitionBy("organization_id", "municipality")
-    code = Window.partitionBy("organization_id", "municipality", "postal_code")
-    rows = points.withColumns({"tn": F.count("*").over(town), "cn": F.count("*").over(code), "nth": F.row_number().over(code.orderBy("longitude", "latitude", "point_id"))})
-    part = F.floor((F.col("nth") - 1) / max_visits).cast("string")
-    zone = (
-        F.when(F.col("municipality").isNull() & F.col("postal_code").isNull(), F.lit(None).cast("string"))
-        .when(F.col("tn") <= max_visits, F.col("municipality"))
-        .when(F.col("cn") <= max_visits, F.concat_ws("/", "municipality", "postal_code"))
-        .otherwise(F.concat_ws("/", "municipality", "postal_code", part))
+    """Administrative fallback: (organization, point, zone) of the points with coordinates; neither municipality nor postal code: outlier (null).
+
+    A municipality that fits is a zone, else its postal codes are; points without municipality go by postal code. What is still
+    too large is split by far seeds, over 2,000 points in areas first, so that no task holds a whole large place.
+    """
+    known = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    rows = points.where("longitude is not null and latitude is not null").select("organization_id", "point_id", "longitude", "latitude", known("municipality").alias("town"), known("postal_code").alias("code"))
+    towns = rows.where("town <> ''").groupBy("organization_id", "town").agg(F.count("*").alias("tn"))
+    rows = rows.join(towns, ["organization_id", "town"], "left")
+    place = (
+        F.when((F.col("town") == "") & (F.col("code") == ""), F.lit(None)).when(F.col("tn") <= max_visits, F.col("town")).otherwise(F.concat("town", F.lit("/"), "code"))
     )
-    return rows.select("organization_id", "point_id", zone.alias("zone"))
+    rows = written(rows.withColumn("place", place), "places")
+    sizes = rows.where("place is not null").groupBy("organization_id", "place").agg(F.count("*").alias("n"))
+    sized = rows.join(sizes, ["organization_id", "place"], "left")
+    whole = sized.where(F.col("n").isNull() | (F.col("n") <= max_visits)).select("organization_id", "point_id", F.col("place").alias("zone"))
+    keys = ["organization_id", "place"]
+    large = areas(projected(sized.where(F.col("n") > max_visits)), keys, AREA_POINTS, "point_id")
+    types = {c: points.schema[c].dataType.simpleString() for c in ("organization_id", "point_id")}
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["latitude", "longitude", "point_id"])
+        labels = spread_split(part["longitude"].to_numpy(float), part["latitude"].to_numpy(float), max_visits)
+        name = f"{part['place'].iloc[0]}/{part['area'].iloc[0]}:"
+        return pd.DataFrame({"organization_id": part["organization_id"], "point_id": part["point_id"], "zone": [f"{name}{k}" for k in labels]})
+
+    cut = large.select(*keys, "area", "point_id", "longitude", "latitude").groupBy(*keys, "area").applyInPandas(run, f"organization_id {types['organization_id']}, point_id {types['point_id']}, zone string")
+    return whole.unionByName(cut)
 
 
 def mean_pair_minutes(pairs: DataFrame, members: DataFrame) -> DataFrame:

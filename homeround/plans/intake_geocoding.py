@@ -87,6 +87,10 @@ QUERIES = {
     "accept_rows": (lambda v: _accepted(v).select("batch_id", "row_number"), f"WITH {ERRORS_SQL} SELECT batch_id, row_number FROM rows_ WHERE errors = '' AND row_number % 3 <> 0"),
     "version_addresses": (lambda v: I.version_addresses(v("patients").select("organization_id", "external_ref", F.lit(2).alias("version")), _accepted(v).withColumn("external_ref", F.upper(F.trim("external_ref")))).select("batch_id", "row_number", "version", "is_active"),
         f"WITH {ERRORS_SQL} SELECT batch_id, row_number, CAST(2 + row_number() OVER w AS INT) AS version, lead(batch_id) OVER w IS NULL AS is_active FROM rows_ WHERE errors = '' AND row_number % 3 <> 0 WINDOW w AS (PARTITION BY organization_id, upper(trim(external_ref)) ORDER BY batch_id, row_number)"),
+    "commit_addresses": (lambda v: I.commit_addresses(v("patients").select("organization_id", "external_ref", F.lit(2).alias("version"), F.lit(True).alias("is_active"), F.lit("matched").alias("geocode_status")), _accepted(v).withColumn("external_ref", F.upper(F.trim("external_ref")))).select("organization_id", "external_ref", "version", "is_active", "geocode_status"),
+        f"WITH {ERRORS_SQL}, acc AS (SELECT *, upper(trim(external_ref)) AS ref FROM rows_ WHERE errors = '' AND row_number % 3 <> 0) SELECT p.organization_id, p.external_ref, CAST(2 AS INT) AS version, NOT EXISTS (SELECT 1 FROM acc WHERE ref = p.external_ref AND acc.organization_id = p.organization_id) AS is_active, 'matched' AS geocode_status FROM patients p UNION ALL SELECT organization_id, ref, CAST(2 + row_number() OVER w AS INT), lead(batch_id) OVER w IS NULL, 'pending' FROM acc WINDOW w AS (PARTITION BY organization_id, ref ORDER BY batch_id, row_number)"),
+    "upsert_patients": (lambda v: I.upsert_patients(v("patients").where("patient_id % 3 = 0"), _accepted(v).withColumns({"external_ref": F.upper(F.trim("external_ref")), "display_ref": F.when(F.col("row_number") % 2 == 0, F.concat(F.lit(" "), "display_ref"))})),
+        f"WITH {ERRORS_SQL}, acc AS (SELECT *, upper(trim(external_ref)) AS ref FROM rows_ WHERE errors = '' AND row_number % 3 <> 0), n AS (SELECT organization_id, ref AS external_ref, arg_max(CASE WHEN row_number % 2 = 0 THEN display_ref ELSE ref END, (batch_id, row_number)) AS shown, min(batch_id) AS b FROM acc GROUP BY 1, 2), o AS (SELECT organization_id, external_ref, display_ref, CAST(source_batch_id AS STRING) AS sb FROM patients WHERE patient_id % 3 = 0) SELECT organization_id, external_ref, coalesce(shown, display_ref) AS display_ref, coalesce(sb, b) AS source_batch_id FROM o FULL JOIN n USING (organization_id, external_ref)"),
     "normalize_address": (lambda v: v("addresses").select("address_id", text.normalize_address(F.col("address")).alias("normalized")),
         "SELECT address_id, trim(regexp_replace(replace(replace(replace(address, 'C/ ', 'Calle '), 'Avda. ', 'Avenida '), 'Pl. ', 'Plaza. '), '\\s+', ' ', 'g')) AS normalized FROM addresses"),
     "address_parts": (lambda v: v("addresses").withColumn("p", text.street_number(text.strip_floor_door(F.col("address")))).select("address_id", "p.street", "p.number"),
@@ -104,8 +108,8 @@ QUERIES = {
         f"WITH {SCORED_SQL} SELECT address_id % 25 AS organization_id, round_even(avg(CASE WHEN outcome = 'matched' THEN 1e0 ELSE 0e0 END), 6) AS rate, count(*) FILTER (outcome <> 'matched') AS failures FROM outcomes WHERE address_id % 2 = 0 AND address_id % 14 <> 0 GROUP BY 1"),
     "first_candidates": (lambda v: G.first_candidates(v("candidates"), 5).select("address_id", F.size("candidates").cast("long").alias("kept"), F.element_at("candidates", -1)["class"].alias("last_class")),
         "SELECT address_id, count(*) AS kept, arg_max(place_class, ordinal) AS last_class FROM candidates WHERE ordinal <= 5 GROUP BY address_id"),
-    "augment_candidates": (lambda v: G.augment_candidates(v("candidates"), v("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("address_id"), F.concat(F.lit("Calle "), F.col("c_custkey") % 30).alias("street"), (F.col("c_custkey") % 25).cast("string").alias("house_number"), F.lit(43.2).alias("latitude"), F.lit(-2.9).alias("longitude"))).select("address_id", "ordinal", "place_class", "house_number"),
-        """WITH p AS (SELECT c_custkey AS address_id, 'calle ' || CAST(c_custkey % 30 AS STRING) AS street, CAST(c_custkey % 25 AS STRING) AS no FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT c.*, p.street, max(coalesce(c.house_number = p.no AND contains(lower(display_label), p.street), false)) OVER (PARTITION BY c.address_id) AS there FROM candidates c LEFT JOIN p USING (address_id)), u AS (
+    "augment_candidates": (lambda v: G.augment_candidates(v("candidates"), v("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("address_id"), F.concat(F.lit("Calle "), F.col("c_custkey") % 30).alias("street"), F.when(F.col("c_custkey") % 2 == 0, "Vía MÚNI 7").alias("aliases"), (F.col("c_custkey") % 25).cast("string").alias("house_number"), F.lit(43.2).alias("latitude"), F.lit(-2.9).alias("longitude"))).select("address_id", "ordinal", "place_class", "house_number"),
+        """WITH p AS (SELECT c_custkey AS address_id, 'calle ' || CAST(c_custkey % 30 AS STRING) AS street, CAST(c_custkey % 25 AS STRING) AS no FROM customer WHERE c_custkey % 3 = 0), j AS (SELECT c.*, p.street, max(coalesce(c.house_number = p.no AND (contains(lower(display_label), p.street) OR contains(lower(display_label), substr(p.street, 7)) OR (c.address_id % 2 = 0 AND contains(lower(display_label), 'muni 7'))), false)) OVER (PARTITION BY c.address_id) AS there FROM candidates c LEFT JOIN p USING (address_id)), u AS (
 SELECT address_id, ordinal, place_class, house_number FROM j WHERE street IS NULL OR there OR house_number IS NOT NULL UNION ALL SELECT address_id, 0, 'house', no FROM p WHERE address_id NOT IN (SELECT address_id FROM j WHERE there)) SELECT address_id, CAST(row_number() OVER (PARTITION BY address_id ORDER BY ordinal) AS INT) AS ordinal, place_class, house_number FROM u"""),
     "import_row_page": (lambda v: I.row_page(I.checked_rows(v("import_rows")), 2, 5, "valid").select("batch_id", "row_number", "place", "more"),
         f"WITH {ERRORS_SQL}, pl AS (SELECT batch_id, row_number, CAST(row_number() OVER (PARTITION BY batch_id ORDER BY row_number) AS INT) AS place FROM rows_ WHERE errors = '' AND row_number > 2) SELECT batch_id, row_number, place, place > 5 AS more FROM pl WHERE place <= 6"),

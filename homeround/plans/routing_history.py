@@ -59,11 +59,20 @@ def _published(v):
     return R.snapshots(v("stops"), v("patients"))
 
 
+def _documents(v):
+    metrics = _totals(v).withColumn("variant", F.lit("original")).union(_totals(v, True).withColumn("variant", F.lit("optimized"))).withColumnRenamed("route_id", "revision_id")
+    revisions = v("orders").select(F.col("o_orderkey").alias("revision_id"), F.lit("A").alias("origin"), F.lit("B").alias("destination"), F.when(F.col("o_orderkey") % 2 == 0, "time").otherwise("cost").alias("objective"), F.lit("v1").alias("dataset_version"))
+    return R.published_documents(_published(v), metrics, revisions)
+
+
 TOT_SQL = "t AS (SELECT a.route_id, CAST(round_even(sum(duration_s), 0) AS BIGINT) AS travel_seconds, CAST(round_even(sum(distance_m), 0) AS BIGINT) AS distance_m, round_even(sum(distance_m / 1000 * 0.3e0 + duration_s / 3600 * 12), 4) AS cost FROM arcs a WHERE j = i + 1 GROUP BY 1), b AS (SELECT a.route_id, CAST(round_even(sum(duration_s), 0) AS BIGINT) AS travel_seconds, CAST(round_even(sum(distance_m), 0) AS BIGINT) AS distance_m, round_even(sum(distance_m / 1000 * 0.3e0 + duration_s / 3600 * 12), 4) AS cost FROM arcs a WHERE i = j + 1 GROUP BY 1), sv AS (SELECT route_id, sum(service_minutes) * 60 AS service_seconds FROM stops GROUP BY 1)"
 ACT_SQL = TOT_SQL + """, z AS (SELECT *, CASE WHEN status <> 'pending' THEN shipped + to_minutes(sequence * 40) END AS done FROM stops), act AS (SELECT route_id, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, count(done) AS visited,
  coalesce(sum(service_minutes * 60) FILTER (status = 'completed'), 0) AS service_seconds, CASE WHEN count(done) >= 2 THEN greatest(CAST(epoch(max(done)) - epoch(min(done)) AS BIGINT) - coalesce(sum(service_minutes * 60) FILTER (status = 'completed'), 0), 0) ELSE 0 END AS travel_seconds, coalesce(array_to_string(list(sequence ORDER BY done, sequence) FILTER (done IS NOT NULL), ','), '') AS visited_order FROM z GROUP BY route_id)"""
 DIAG_SQL = """s AS (SELECT route_id, sequence AS node, (patient_id * 7 % 300) * 60e0 AS st, (patient_id * 7 % 300) * 60e0 + 60e0 * (5 + patient_id % 90) AS en, service_minutes * 60e0 AS sv, patient_id % 9 * 300e0 AS o, patient_id % 7 * 300e0 AS bk FROM stops), d AS (
  SELECT *, CASE WHEN greatest(o, st) > en THEN 'ISOLATED_STOP' WHEN greatest(o, st) + sv + bk > 14400 THEN 'INSUFFICIENT_SHIFT' END AS code FROM s)"""
+PAIR_SQL = DIAG_SQL.replace("SELECT route_id, sequence AS node,", "SELECT route_id, patient_id AS pid, sequence AS node,") + """, g AS MATERIALIZED (SELECT * FROM d WHERE code IS NULL), p AS (SELECT x.route_id, x.node AS i, y.node AS j, greatest(x.o, x.st) + x.sv + 60 + (x.pid * 13 + y.pid * 29) % 900 AS t1, greatest(y.o, y.st) + y.sv + 60 + (y.pid * 13 + x.pid * 29) % 900 AS t2, x.st AS xs, x.en AS xe, x.sv AS xv, x.bk AS xb, y.st AS ys, y.en AS ye, y.sv AS yv, y.bk AS yb
+ FROM g x JOIN g y ON x.route_id = y.route_id AND x.node < y.node), q AS (SELECT *, greatest(t1, ys) <= ye AS w1, greatest(t1, ys) + yv + yb <= 14400 AS s1, greatest(t2, xs) <= xe AS w2, greatest(t2, xs) + xv + xb <= 14400 AS s2 FROM p), pairs_ AS (
+ SELECT route_id, i, j, CASE WHEN w1 OR w2 THEN 'INSUFFICIENT_SHIFT' ELSE 'INCOMPATIBLE_WINDOWS' END AS code FROM q WHERE NOT ((w1 AND s1) OR (w2 AND s2)))"""
 SHARE_SQL = "sh AS (SELECT event_id AS share_id, user_id, event_id * 4 AS route_id, CASE WHEN event_id % 5 = 0 THEN 'revoked' WHEN event_id % 3 = 0 AND ts <= TIMESTAMP '2024-01-15' THEN 'expired' END AS reason FROM events)"
 GATE_SQL = "gate AS (SELECT revision_id, CASE WHEN count(*) FILTER (variant = 'original') = 0 OR count(*) FILTER (variant = 'optimized') = 0 THEN 'METRICS_UNAVAILABLE' WHEN count(*) FILTER (variant <> 'actual' AND stale) > 0 THEN 'METRICS_STALE' END AS reason FROM metrics GROUP BY 1)"
 
@@ -88,9 +97,8 @@ QUERIES = {
     "route_status": (lambda v: R.route_status(v("stops")), "SELECT route_id, count(*) FILTER (status = 'pending') AS pending, CASE WHEN count(*) FILTER (status = 'pending') = 0 THEN 'completed' WHEN order_status = 'P' THEN 'in_progress' ELSE order_status END AS route_status FROM stops GROUP BY route_id, order_status"),
     "double_bookings": (lambda v: R.double_bookings(v("stops")).select("patient_id", "route_id", "other_route"), "WITH o AS (SELECT DISTINCT organization_id, CAST(service_date AS DATE) AS day, patient_id, route_id FROM stops WHERE order_status <> 'F') SELECT a.patient_id, a.route_id, b.route_id AS other_route FROM o a JOIN o b USING (organization_id, day, patient_id) WHERE a.route_id <> b.route_id"),
     "stop_diagnostics": (lambda v: _timed(v).select("route_id", "node", "code"), f"WITH {DIAG_SQL} SELECT route_id, node, code FROM d"),
-    "pair_diagnostics": (lambda v: R.pair_diagnostics(_timed(v), v("arcs")).select("route_id", "i", "j", "code"), f"""WITH {DIAG_SQL}, g AS (SELECT * FROM d WHERE code IS NULL), p AS (SELECT x.route_id, x.node AS i, y.node AS j, greatest(x.o, x.st) + x.sv + m.duration_s AS t1, greatest(y.o, y.st) + y.sv + n.duration_s AS t2, x.st AS xs, x.en AS xe, x.sv AS xv, x.bk AS xb, y.st AS ys, y.en AS ye, y.sv AS yv, y.bk AS yb
- FROM g x JOIN g y ON x.route_id = y.route_id AND x.node < y.node JOIN arcs m ON m.route_id = x.route_id AND m.i = x.node AND m.j = y.node JOIN arcs n ON n.route_id = x.route_id AND n.i = y.node AND n.j = x.node), q AS (SELECT *, greatest(t1, ys) <= ye AS w1, greatest(t1, ys) + yv + yb <= 14400 AS s1, greatest(t2, xs) <= xe AS w2, greatest(t2, xs) + xv + xb <= 14400 AS s2 FROM p)
- SELECT route_id, i, j, CASE WHEN w1 OR w2 THEN 'INSUFFICIENT_SHIFT' ELSE 'INCOMPATIBLE_WINDOWS' END AS code FROM q WHERE NOT ((w1 AND s1) OR (w2 AND s2))"""),
+    "pair_diagnostics": (lambda v: R.pair_diagnostics(_timed(v), v("arcs")).select("route_id", "i", "j", "code"), f"WITH {PAIR_SQL} SELECT route_id, i, j, code FROM pairs_"),
+    "infeasible_routes": (lambda v: R.proven_infeasible(_timed(v), R.pair_diagnostics(_timed(v), v("arcs"))), f"WITH {PAIR_SQL} SELECT route_id FROM d WHERE code IS NOT NULL UNION SELECT route_id FROM pairs_"),
     "sequence_routes": (lambda v: R.sequence_routes(v("arcs")), None),
     "sequence_timed_routes": (lambda v: R.sequence_timed_routes(_timed_matrix(v), _timed(v), "cost"), None),
     "navigation_links": (lambda v: v("stops").groupBy("route_id").agg(R.navigation_link(F.array_sort(F.collect_list(F.struct("sequence", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"))))).alias("link")), "SELECT route_id, 'https://maps.example/dir/' || coalesce(string_agg(CASE WHEN longitude IS NOT NULL THEN printf('%.5f,%.5f', latitude, longitude) END, '/' ORDER BY sequence), '') AS link FROM stops GROUP BY 1"),
@@ -100,17 +108,19 @@ QUERIES = {
   WHEN q.revision_id IS NULL AND current_revision IS NULL THEN 'REVISION_NOT_FOUND' WHEN q.revision_id <> current_revision THEN 'REVISION_NOT_CURRENT' WHEN revision_status IS NULL THEN 'REVISION_NOT_FOUND' WHEN revision_status = 'published' THEN 'REVISION_PUBLISHED' WHEN revision_status = 'superseded' THEN 'REVISION_NOT_DRAFT'
   WHEN solver_status = 'infeasible' THEN 'ROUTE_NOT_FEASIBLE' WHEN origin IS NULL OR destination IS NULL THEN 'ROUTE_ORIGIN_MISSING' WHEN gate.revision_id IS NULL THEN 'METRICS_UNAVAILABLE' WHEN gate.reason IS NOT NULL THEN gate.reason WHEN n IS NULL THEN 'NO_STOPS_TO_PUBLISH' WHEN located < n THEN 'STOP_LOCATION_MISSING' END AS reason
  FROM publish_requests q LEFT JOIN gate ON gate.revision_id = coalesce(q.revision_id, current_revision) LEFT JOIN lo ON lo.revision_id = coalesce(q.revision_id, current_revision)"""),
-    "snapshot_stops": (lambda v: R.explode_snapshots(_published(v).select("revision_id", F.to_json("order").alias("document"))).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
+    "snapshot_stops": (lambda v: R.explode_snapshots(_documents(v)).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
+    "published_documents": (lambda v: _documents(v).select("revision_id", *[F.get_json_object("document", f"$.{c}").alias(n) for n, c in (("origin", "origin"), ("objective", "objective"), ("dataset_version", "dataset_version"))], F.get_json_object("document", "$.metrics.original.travel_seconds").cast("long").alias("original_s"), F.get_json_object("document", "$.metrics.optimized.distance_m").cast("long").alias("optimized_m")),
+        f"WITH {TOT_SQL} SELECT t.route_id AS revision_id, 'A' AS origin, CASE WHEN t.route_id % 2 = 0 THEN 'time' ELSE 'cost' END AS objective, 'v1' AS dataset_version, t.travel_seconds AS original_s, b.distance_m AS optimized_m FROM t JOIN b USING (route_id)"),
     "reference_containment": (lambda v: R.holding_reference(_published(v), "PAC-77"), "SELECT DISTINCT revision_id FROM stops WHERE patient_id = 77"),
     "history_page": (lambda v: R.history_page(_published(v).select("revision_id", F.col("published_at")), 50).select("revision_id", F.date_format("published_at", "yyyy-MM-dd").alias("published")), "SELECT revision_id, CAST(CAST(max(service_date) AS DATE) AS STRING) AS published FROM stops GROUP BY revision_id ORDER BY max(service_date) DESC, revision_id DESC LIMIT 51"),
     "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("2000-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=5).select("revision_id"),
         "SELECT revision_id FROM stops WHERE organization_id = 5 GROUP BY 1 HAVING max(service_date) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2000-12-31' AND bool_or(patient_id = 7) ORDER BY max(service_date) DESC, revision_id DESC LIMIT 21"),
     "active_shares": (lambda v: _shares(v).select("share_id", "reason", "active"), f"WITH {SHARE_SQL} SELECT share_id, reason, reason IS NULL AS active FROM sh"),
-    "shared_minimal_view": (lambda v: _shares(v).where("active").select("share_id", "route_id").join(v("stops"), "route_id").groupBy("share_id", "route_id").agg(F.count("*").alias("n_stops"), F.array_join(F.sort_array(F.collect_list("sequence")), ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
+    "shared_minimal_view": (lambda v: R.shared_view(_shares(v), v("stops")).groupBy("share_id", "route_id").agg(F.count("*").alias("n_stops"), F.array_join(F.sort_array(F.collect_list("sequence")), ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
     "route_visibility": (_visible, f"WITH {SHARE_SQL}, r AS (SELECT c_nationkey AS org, o_orderkey AS route_id, o_custkey AS assignee FROM orders JOIN customer ON o_custkey = c_custkey) SELECT c_custkey AS user_id, route_id FROM customer JOIN r ON org = c_nationkey WHERE c_custkey % 97 = 0 UNION SELECT assignee, route_id FROM r WHERE assignee % 97 <> 0 UNION SELECT user_id, route_id FROM sh WHERE reason IS NULL"),
     "revisions": (lambda v: R.next_revisions(v("orders").select(F.col("o_custkey").alias("route_id"), F.row_number().over(R.Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("revision_no"))), "WITH r AS (SELECT o_custkey AS route_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS revision_no FROM orders) SELECT *, revision_no = max(revision_no) OVER (PARTITION BY route_id) AS is_current, max(revision_no) OVER (PARTITION BY route_id) + 1 AS next_no FROM r"),
-    "reorder_stops": (lambda v: R.reorder(v("stops").select("route_id", "patient_id", "sequence"), v("stops").groupBy("route_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("sequence", "patient_id")))), lambda s: s["patient_id"]).alias("p"), F.count("*").alias("n")).select("route_id", F.when(F.col("n") % 3 == 0, F.slice("p", 1, 1)).otherwise(F.col("p")).alias("patients"))).groupBy("route_id", "reason").agg(F.sum(F.col("sequence") * F.col("patient_id")).alias("checksum")),
-        "WITH n AS (SELECT *, count(*) OVER w AS n FROM stops WINDOW w AS (PARTITION BY route_id)), d AS (SELECT route_id, count(DISTINCT patient_id) AS d FROM stops GROUP BY 1) SELECT route_id, CASE WHEN NOT (n % 3 <> 0 AND d = n OR n = 1) THEN 'NOT_A_PERMUTATION' END AS reason, CAST(sum(CASE WHEN n % 3 <> 0 AND d = n THEN (n + 1 - sequence) * patient_id ELSE sequence * patient_id END) AS BIGINT) AS checksum FROM n JOIN d USING (route_id) GROUP BY route_id, n, d"),
+    "reorder_stops": (lambda v: R.reorder(v("stops").select("route_id", "patient_id", "sequence", "service_minutes", F.lit(1).alias("version")), v("stops").groupBy("route_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("sequence", "patient_id")))), lambda s: s["patient_id"]).alias("p"), F.count("*").alias("n")).select("route_id", F.when(F.col("n") % 3 == 0, F.slice("p", 1, 1)).otherwise(F.col("p")).alias("patients"))).groupBy("route_id", "reason").agg(F.sum(F.col("sequence") * F.col("patient_id")).alias("checksum"), F.sum(F.col("version") * F.col("service_minutes")).alias("minutes")),
+        "WITH n AS (SELECT *, count(*) OVER w AS n FROM stops WINDOW w AS (PARTITION BY route_id)), d AS (SELECT route_id, count(DISTINCT patient_id) AS d FROM stops GROUP BY 1) SELECT route_id, CASE WHEN NOT (n % 3 <> 0 AND d = n OR n = 1) THEN 'STOP_ORDER_NOT_PERMUTATION' END AS reason, CAST(sum(CASE WHEN n % 3 <> 0 AND d = n THEN (n + 1 - sequence) * patient_id ELSE sequence * patient_id END) AS BIGINT) AS checksum, CAST(sum(service_minutes * CASE WHEN n % 3 <> 0 AND d = n OR n = 1 THEN 2 ELSE 1 END) AS BIGINT) AS minutes FROM n JOIN d USING (route_id) GROUP BY route_id, n, d"),
     "idempotency_ledger": (lambda v: R.ledger(v("events").select(F.col("event_id").alias("id"), (F.col("user_id") % 9).alias("organization_id"), F.col("event_type").alias("type"), F.col("user_id").alias("idempotency_key"), F.col("props").alias("request_hash"), F.col("ts").alias("created_at"))).select("id", "outcome"),
         "SELECT event_id AS id, CASE WHEN row_number() OVER w = 1 THEN 'create' WHEN props = first_value(props) OVER w THEN 'replay' ELSE 'conflict' END AS outcome FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts, event_id)"),
     "first_per_stratum": (lambda v: R.first_per_stratum(v("visits"), "kind", "patient_id", 15).select("kind", "patient_id"), "SELECT kind, patient_id FROM visits QUALIFY row_number() OVER (PARTITION BY kind ORDER BY patient_id) <= 15"),

@@ -57,13 +57,18 @@ def _proposal(v):
 
 def _assignees(v):
     chosen = v("visits").where("patient_id % 3 = 0").groupBy("plan_id", "zone_id").agg(F.max("patient_id").alias("chosen"))
+    plans = v("nation").select(F.col("n_nationkey").alias("plan_id"))
+    twice = plans.where("plan_id % 5 = 0").select("plan_id", F.lit("2-HIGH").alias("zone_id"), F.explode(F.array(F.lit(2).cast("long"), F.lit(4).cast("long"))).alias("chosen"))
+    chosen = chosen.where("plan_id % 5 <> 0 or zone_id <> '2-HIGH'").union(twice).union(plans.select("plan_id", F.lit("9-NONE").alias("zone_id"), F.lit(2).cast("long").alias("chosen")))
     members = v("customer").where("c_custkey % 2 = 0").select(F.col("c_nationkey").alias("plan_id"), F.col("c_custkey").alias("user_id"))
     creators = v("customer").groupBy(F.col("c_nationkey").alias("plan_id")).agg(F.min("c_custkey").alias("creator"))
     return P.resolve_assignees(v("visits"), chosen, members, creators)
 
 
-ASSIGNEES_SQL = """g AS (SELECT DISTINCT plan_id, zone_id FROM visits), ch AS (SELECT plan_id, zone_id, max(patient_id) AS chosen FROM visits WHERE patient_id % 3 = 0 GROUP BY ALL), cr AS (SELECT c_nationkey AS plan_id, min(c_custkey) AS creator FROM customer GROUP BY ALL),
- asg AS (SELECT plan_id, zone_id, CASE WHEN coalesce(chosen, creator) % 2 = 0 THEN coalesce(chosen, creator) END AS assignee, CASE WHEN coalesce(chosen, creator) % 2 = 0 THEN NULL WHEN chosen IS NOT NULL THEN 'ASSIGNEE_NOT_MEMBER' ELSE 'ASSIGNEE_REQUIRED' END AS reason FROM g LEFT JOIN ch USING (plan_id, zone_id) LEFT JOIN cr USING (plan_id))"""
+ASSIGNEES_SQL = """g AS (SELECT DISTINCT plan_id, zone_id, true AS there FROM visits), ch AS (SELECT plan_id, zone_id, max(patient_id) AS chosen, 1 AS times FROM visits WHERE patient_id % 3 = 0 AND (plan_id % 5 <> 0 OR zone_id <> '2-HIGH') GROUP BY 1, 2
+ UNION ALL SELECT n_nationkey, '2-HIGH', 2, 2 FROM nation WHERE n_nationkey % 5 = 0 UNION ALL SELECT n_nationkey, '9-NONE', 2, 1 FROM nation), cr AS (SELECT c_nationkey AS plan_id, min(c_custkey) AS creator FROM customer GROUP BY ALL),
+ asg0 AS (SELECT plan_id, zone_id, coalesce(chosen, creator) AS a, CASE WHEN times > 1 THEN 'DUPLICATE_ZONE_ASSIGNEE' WHEN there IS NULL THEN 'UNKNOWN_ZONE' WHEN coalesce(chosen, creator) IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey = plan_id) THEN NULL WHEN chosen IS NOT NULL THEN 'ASSIGNEE_NOT_FOUND' ELSE 'ASSIGNEE_REQUIRED' END AS reason
+  FROM g FULL JOIN ch USING (plan_id, zone_id) LEFT JOIN cr USING (plan_id)), asg AS (SELECT plan_id, zone_id, CASE WHEN reason IS NULL THEN a END AS assignee, reason FROM asg0)"""
 
 
 def _json_plans(v):
@@ -86,6 +91,23 @@ def _cohesion(v):
     return Z.apply_cohesion(members, pairs, 12)
 
 
+def _gaps(v):
+    """Points, some without municipality, postal code or place."""
+    lost = lambda k, c: F.when(F.col("point_id") % k != 0, F.col(c))
+    return v("points").withColumns({"municipality": lost(17, "municipality"), "postal_code": lost(34, "postal_code"), "longitude": lost(19, "longitude")})
+
+
+def _moves(v):
+    """What-if and confirmed moves of one visit a plan, of plans in several states."""
+    plans = v("constraints").select("plan_id", F.when(F.col("plan_id") % 9 == 4, "published").otherwise("draft").alias("status"), (1 + F.col("plan_id") % 3).alias("version"))
+    moves = v("visits").groupBy("plan_id").agg(F.min("patient_id").alias("patient_id")).select(
+        "plan_id", "patient_id", F.make_date(F.lit(2026), (1 + F.col("plan_id") % 12).cast("int"), F.lit(15)).alias("date"), F.when(F.col("plan_id") % 7 == 5, "9-NONE").otherwise("2-HIGH").alias("zone_id"),
+        F.when(F.col("plan_id") % 5 == 3, 0).otherwise(1 + F.col("plan_id") % 3).alias("expected_version"), (F.col("plan_id") % 2 == 0).alias("confirm"),
+    )
+    zones = plans.select("plan_id", F.explode(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))).alias("zone_id"), F.lit("urban").alias("kind"))
+    return P.move_visits(plans, _placed(v), moves, zones, v("visits"), _days(v))[0]
+
+
 def _catalogue(v):
     """Kinds of two in three towns; half of the names in lower case."""
     towns = v("points").groupBy("municipality").agg(F.substring_index(F.max("municipality"), " ", -1).cast("int").alias("no")).where("no % 3 <> 2")
@@ -130,14 +152,20 @@ QUERIES = {
     "accept_proposal": (lambda v: Z.accept_proposal(v("zone_history").where("valid_to is null"), _proposal(v)).select("organization_id", "patient_id", "old_zone", "new_zone", "action"),
         """WITH n AS (SELECT organization_id, patient_id, zone_id, source FROM zone_history WHERE valid_to IS NULL), p AS (SELECT organization_id, patient_id, CASE patient_id % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS zone_id FROM patients WHERE patient_id % 13 <> 0)
  SELECT organization_id, patient_id, n.zone_id AS old_zone, p.zone_id AS new_zone, CASE WHEN n.zone_id IS NULL THEN 'open' WHEN source = 'manual' THEN 'preserve_manual' WHEN p.zone_id IS NULL THEN 'close' WHEN n.zone_id = p.zone_id THEN 'keep' ELSE 'move' END AS action FROM n FULL JOIN p USING (organization_id, patient_id)"""),
-    "upsert_zones": (lambda v: Z.upsert_zones(v("zones").where("organization_id % 2 = 0"), v("zones").where("organization_id % 3 = 0").withColumn("kind", F.lit("mixed"))),
-        "SELECT organization_id, name, CASE WHEN organization_id % 3 = 0 THEN 'mixed' ELSE kind END AS kind, max_visits, CAST((CASE WHEN organization_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN organization_id % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS version FROM zones WHERE organization_id % 2 = 0 OR organization_id % 3 = 0"),
+    "apply_proposal": (lambda v: Z.apply_proposal(v("zone_history"), _proposal(v), F.to_timestamp_ntz(F.lit("2024-01-01"))).select("organization_id", "patient_id", "zone_id", "source", F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"), F.date_format("valid_to", "yyyy-MM-dd").alias("valid_to")),
+        """WITH p AS (SELECT organization_id, patient_id, CASE patient_id % 4 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' ELSE '5-LOW' END AS new_zone FROM patients WHERE patient_id % 13 <> 0), j AS (SELECT h.*, p.new_zone, h.valid_to IS NULL AND source <> 'manual' AND (new_zone IS NULL OR new_zone <> zone_id) AS ends FROM zone_history h LEFT JOIN p USING (organization_id, patient_id))
+ SELECT organization_id, patient_id, zone_id, source, strftime(valid_from, '%Y-%m-%d') AS valid_from, CASE WHEN ends THEN '2024-01-01' ELSE strftime(valid_to, '%Y-%m-%d') END AS valid_to FROM j UNION ALL
+ SELECT organization_id, patient_id, new_zone, 'cluster', '2024-01-01', NULL FROM j WHERE ends AND new_zone IS NOT NULL UNION ALL
+ SELECT organization_id, patient_id, new_zone, 'cluster', '2024-01-01', NULL FROM p WHERE NOT EXISTS (SELECT 1 FROM zone_history h WHERE h.patient_id = p.patient_id AND h.organization_id = p.organization_id AND valid_to IS NULL)"""),
+    "upsert_zones": (lambda v: Z.upsert_zones(*[v("zones").withColumns({"kind": kind, "longitude": F.lit(0.0) + F.col("organization_id") + x, "latitude": F.lit(43.0)}).where(f"organization_id % {k} = 0") for k, x, kind in ((2, 0, F.col("kind")), (3, 1, F.lit("odd")))]),
+        "SELECT organization_id, name, CASE WHEN organization_id % 3 = 0 THEN 'mixed' ELSE kind END AS kind, max_visits, CAST(organization_id + CASE WHEN organization_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS longitude, 43e0 AS latitude, CAST((CASE WHEN organization_id % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN organization_id % 3 = 0 THEN 1 ELSE 0 END) AS INT) AS version FROM zones WHERE organization_id % 2 = 0 OR organization_id % 3 = 0"),
     "override_batch": (lambda v: _overrides(v).select("patient_id", "zone_id", "rejected"),
         """WITH cur AS (SELECT organization_id, patient_id, zone_id AS from_zone FROM zone_history WHERE valid_to IS NULL), occ AS (SELECT organization_id, zone_id, count(*) AS n FROM zone_history WHERE valid_to IS NULL GROUP BY ALL), q AS (SELECT p.organization_id, p.patient_id, CASE p.patient_id % 3 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' ELSE '9-NONE' END AS zone_id FROM patients p WHERE p.patient_id % 4 = 1), r AS (
  SELECT q.*, from_zone, z.max_visits, coalesce(occ.n, 0) AS n, CASE WHEN q.patient_id % 5 = 0 THEN 'REASON_REQUIRED' WHEN from_zone IS NULL OR q.patient_id % 7 = 0 THEN 'STALE_VERSION' WHEN z.max_visits IS NULL THEN 'ZONE_UNKNOWN' END AS bad FROM q LEFT JOIN cur USING (organization_id, patient_id) LEFT JOIN zones z ON z.organization_id = q.organization_id AND z.zone_id = q.zone_id LEFT JOIN occ ON occ.organization_id = q.organization_id AND occ.zone_id = q.zone_id), s AS (
  SELECT *, CASE WHEN bad IS NULL AND zone_id <> from_zone THEN 1 ELSE 0 END AS ent, sum(CASE WHEN bad IS NULL AND zone_id <> from_zone THEN 1 ELSE 0 END) OVER (PARTITION BY organization_id, zone_id ORDER BY patient_id) AS run FROM r) SELECT patient_id, zone_id, coalesce(bad, CASE WHEN ent = 1 AND n + run > max_visits THEN 'CAPACITY_EXCEEDED' END) AS rejected FROM s"""),
-    "admin_fallback": (lambda v: Z.geodesic_split(v("points"), 1), """WITH w AS (SELECT *, count(*) OVER (PARTITION BY organization_id, municipality) AS tn, count(*) OVER (PARTITION BY organization_id, municipality, postal_code) AS cn, row_number() OVER (PARTITION BY organization_id, municipality, postal_code ORDER BY longitude, latitude, point_id) AS nth FROM points)
- SELECT organization_id, point_id, CASE WHEN tn <= 1 THEN municipality WHEN cn <= 1 THEN municipality || '/' || postal_code ELSE municipality || '/' || postal_code || '/' || CAST(nth - 1 AS STRING) END AS zone FROM w"""),
+    "admin_fallback": (lambda v: Z.geodesic_split(_gaps(v), 12).withColumn("zone", F.regexp_replace("zone", "/[0-9:-]*:[0-9]+$", "/part")), """WITH q AS (SELECT organization_id, point_id, CASE WHEN point_id % 17 = 0 THEN '' ELSE municipality END AS town, CASE WHEN point_id % 34 = 0 THEN '' ELSE postal_code END AS code FROM points WHERE point_id % 19 <> 0), t AS (
+ SELECT *, CASE WHEN town <> '' THEN count(*) OVER (PARTITION BY organization_id, town) END AS tn, count(*) OVER (PARTITION BY organization_id, town, code) AS cn FROM q)
+ SELECT organization_id, point_id, CASE WHEN town = '' AND code = '' THEN NULL WHEN tn <= 12 THEN town WHEN cn <= 12 THEN town || '/' || code ELSE town || '/' || code || '/part' END AS zone FROM t"""),
     "polygon_wkt": (lambda v: v("points").select("point_id", geo.polygon_wkt(F.array(F.expr("transform(sequence(1, cast(2 + point_id % 3 as int)), i -> struct(cast(i * point_id as int) as lon, cast(i * i as int) as lat))"))).alias("wkt")),
         "SELECT point_id, CASE point_id % 3 WHEN 1 THEN format('MULTIPOLYGON ((({0} 1, {1} 4, {2} 9, {0} 1)))', point_id, 2 * point_id, 3 * point_id) WHEN 2 THEN format('MULTIPOLYGON ((({0} 1, {1} 4, {2} 9, {3} 16, {0} 1)))', point_id, 2 * point_id, 3 * point_id, 4 * point_id) END AS wkt FROM points"),
     "working_days": (lambda v: _days(v).select("plan_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "capacity_minutes", "capacity_visits"),
@@ -162,5 +190,5 @@ QUERIES = {
     "resolve_assignees": (_assignees, f"WITH {ASSIGNEES_SQL} SELECT * FROM asg"),
     "publish_payload": (lambda v: P.publish_payload(P.route_groups(_assigned(v).withColumn("code", F.lit(None).cast("string"))), _assignees(v)),
         f"WITH {ASSIGNED_SQL}, {ASSIGNEES_SQL}, gr AS (SELECT DISTINCT plan_id, date, zone_id FROM assigned) SELECT plan_id, count(*) AS routes, coalesce(array_to_string(list_sort(list(DISTINCT assignee) FILTER (assignee IS NOT NULL)), ','), '') AS assignees, count(DISTINCT date) AS dates, count(DISTINCT zone_id) AS zones FROM gr LEFT JOIN asg USING (plan_id, zone_id) GROUP BY plan_id"),
-    "move_visits": (lambda v: P.move_visits(_assigned(v).withColumn("code", F.lit(None).cast("string")), v("visits").where("patient_id % 10 = 0").select("plan_id", "patient_id", F.make_date(F.lit(2026), 1 + F.col("plan_id") % 12, F.lit(15)).alias("date"), F.lit(1).alias("expected_version")), v("visits"), _days(v)), None),
+    "move_visits": (_moves, None),
 }

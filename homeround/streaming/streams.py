@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from homeround.operators import intake, routing
+from homeround.sources import files
 
 OUTCOME = "stop_id long, event_id long, outcome string, status string, version int"
 STATE = "status string, version int, completed_at string, reason string"
@@ -67,37 +69,71 @@ def replay_reports(reports: DataFrame) -> DataFrame:
     return reports.groupBy("stop_id").applyInPandas(run, OUTCOME)
 
 
+def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What other batches have stored; None before the first."""
+    try:
+        return spark.read.option("basePath", path).parquet(path).where(F.col("load_id") != batch_id)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
+def _store(rows: DataFrame, path: str, batch_id: int, *by: str) -> None:
+    """A batch has a folder of its own, which a retry replaces."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/load_id={batch_id}")
+
+
 def notify(types: dict[str, str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: new (event, recipient) rows go to the table once, so a rerun changes nothing."""
+    """foreachBatch sink: (event, recipient) rows that no other batch holds, so a rerun changes nothing. Of the table only files with these events are read."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = routing.notifications(batch, types)
-        try:
-            done = batch.sparkSession.read.parquet(path).select("event_id", "recipient_id")
+        if (done := _stored(batch.sparkSession, path, batch_id)) is not None:
+            low, high = batch.agg(F.min("event_id"), F.max("event_id")).first()
+            done = done.where(F.col("event_id").between(low, high)).select("event_id", "recipient_id")
             rows = rows.join(done, ["event_id", "recipient_id"], "left_anti")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(path)
+        _store(rows, path, batch_id)
 
     return sink
 
 
 def live_metrics(stops: DataFrame, planned: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: metrics of the routes that a batch of reports touches, from the table of stops."""
+    """foreachBatch sink: metrics of the routes that a batch of reports (stop_id, route_id, status, completed_at, reported_at, event_id) touches.
+
+    The last report of a stop, of this batch or an earlier one, overlays the table of stops (stop_id, route_id, ...). Reports and
+    metrics are stored by batch under ``path``.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        columns = ["stop_id", "route_id", "status", "completed_at", "reported_at", "event_id"]
+        reports = batch.select(*columns)
+        if (earlier := _stored(batch.sparkSession, f"{path}/reports", batch_id)) is not None:
+            reports = reports.unionByName(earlier.where(F.col("load_id") < batch_id).select(*columns))
         touched = batch.select("route_id").distinct()
-        routing.actual_metrics(stops.join(touched, "route_id", "left_semi"), planned).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+        last = last_report_per_stop(reports.join(touched, "route_id", "left_semi")).select("stop_id", F.col("status").alias("__status"), F.col("completed_at").alias("__at"))
+        known = stops.join(touched, "route_id", "left_semi").join(last, "stop_id", "left")
+        now = known.withColumns({"status": F.coalesce("__status", "status"), "completed_at": F.when(F.col("__status").isNotNull(), F.col("__at")).otherwise(F.col("completed_at"))}).drop("__status", "__at")
+        _store(routing.actual_metrics(now, planned), f"{path}/metrics", batch_id)
+        _store(batch.select(*columns), f"{path}/reports", batch_id)
 
     return sink
 
 
-def import_batches(path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: rows of arriving files, checked and stored by organization."""
+def import_batches(path: str, limit: int = files.MAX_ROWS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: rows of arriving files, checked against each other and what is stored, and stored by organization.
+
+    Files over ``limit`` rows are left out whole and named under ``path``/rejected. A reference in a valid stored row of the period is a duplicate.
+    """
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        intake.checked_rows(batch).withColumn("load_id", F.lit(batch_id)).write.mode("append").partitionBy("organization_id").parquet(path)
+        rows, over = files.enforce_row_cap(batch, limit)
+        stored = _stored(batch.sparkSession, f"{path}/rows", batch_id)
+        if stored is not None:
+            asked = batch.select("organization_id", "period").distinct()
+            stored = stored.join(asked, ["organization_id", "period"], "left_semi")
+        _store(intake.checked_rows(rows, stored), f"{path}/rows", batch_id, "organization_id")
+        _store(over, f"{path}/rejected", batch_id)
 
     return sink
 

@@ -2,7 +2,7 @@
 
 import itertools
 import math
-from datetime import date
+from datetime import date, datetime
 
 import numpy as np
 import pandas as pd
@@ -230,6 +230,73 @@ def test_stream_of_reports_equals_its_replay(spark, tmp_path):
     assert got == sorted(map(tuple, streams.replay_reports(rows).collect())) and len({r[2] for r in got}) > 2
 
 
+def test_moves_of_visits(spark):
+    days = spark.createDataFrame([(p, date(2026, 9, d), 2, 100, None, None) for p in range(1, 8) for d in (1, 2)], "plan_id int, date date, capacity_visits int, capacity_minutes int, window_start int, window_end int")
+    placed = spark.createDataFrame([(p, k, date(2026, 9, 1 + k // 2), "A", None) for p in range(1, 8) for k in (0, 1, 2)], "plan_id int, patient_id int, date date, zone_id string, code string")
+    visits = spark.createDataFrame([(p, k, "urban", True, 45, None, None) for p in range(1, 8) for k in (0, 1, 2)], "plan_id int, patient_id int, kind string, geocode_confirmed boolean, service_minutes int, window_start int, window_end int")
+    plans = spark.createDataFrame([(p, "published" if p == 6 else "draft", 4) for p in range(1, 8)], "plan_id int, status string, version int")
+    zones = spark.createDataFrame([(p, z, k) for p in range(1, 8) for z, k in (("A", "urban"), ("R", "rural"))], "plan_id int, zone_id string, kind string")
+    asked = [(1, 0, 2, "A", 4, True), (2, 0, 2, "A", 3, True), (3, 0, 5, "A", 4, True), (4, 0, 5, "A", 4, False), (5, 0, 2, "X", 4, True), (6, 0, 2, "A", 4, True), (7, 9, 2, "A", 4, True)]
+    moves = spark.createDataFrame([(p, k, date(2026, 9, d), z, v, c) for p, k, d, z, v, c in asked], "plan_id int, patient_id int, date date, zone_id string, expected_version int, confirm boolean")
+    out, after = planning.move_visits(plans, placed, moves, zones, visits, days)
+    got = {r.plan_id: (r.conflicts, r.reason, r.applied, r.version) for r in out.collect()}
+    assert got == {
+        1: (0, None, True, 5), 2: (None, "PLAN_VERSION_CONFLICT", False, 4), 3: (1, "PLAN_MOVE_CONFLICT", False, 4), 4: (1, None, False, 4),
+        5: (None, "ZONE_NOT_FOUND", False, 4), 6: (None, "PLAN_PUBLISHED", False, 4), 7: (None, "PATIENT_NOT_IN_PLAN", False, 4),
+    }
+    rows = {(r.plan_id, r.patient_id): r.date.day for r in after.collect()}
+    assert len(rows) == 21 and rows[1, 0] == 2 and all(d == 1 + k // 2 for (p, k), d in rows.items() if (p, k) != (1, 0))
+    rural = moves.where("plan_id = 1").withColumn("zone_id", F.lit("R"))  # there it takes 15 minutes more: 45 + 60 are over 100
+    (r,) = planning.move_visits(plans, placed, rural, zones, visits, days)[0].collect()
+    assert (r.conflicts, r.reason) == (1, "PLAN_MOVE_CONFLICT")
+
+
+def test_parts_of_a_crowded_place_are_compact(spark):
+    rng = np.random.default_rng(2)
+    lon, lat = np.concatenate([c + rng.normal(0, 0.001, (8, 2)) for c in ((-2.9, 43.2), (-2.8, 43.3), (-2.7, 43.2))]).T
+    labels = zoning.spread_split(lon, lat, 8)
+    assert [len(set(labels[i : i + 8])) for i in (0, 8, 16)] == [1, 1, 1] and np.bincount(labels).tolist() == [8, 8, 8]
+    rows = [(1, i, float(x), float(y), "T", "1") for i, (x, y) in enumerate(zip(lon, lat))] + [(1, 90, -2.9, 43.0, None, "1"), (1, 91, -2.9, 43.0, None, None), (1, 92, -2.9, 43.0, "", " "), (1, 93, None, 43.0, "T", "1"), (1, 94, -2.9, 43.0, "S", None)]
+    points = spark.createDataFrame(rows, "organization_id int, point_id int, longitude double, latitude double, municipality string, postal_code string")
+    got = {r.point_id: r.zone for r in zoning.geodesic_split(points, 8).collect()}
+    assert sorted(got) == [*range(24), 90, 91, 92, 94] and (got[90], got[91], got[92], got[94]) == ("/1", None, None, "S")
+    assert [len({got[k] for k in range(i, i + 8)}) for i in (0, 8, 16)] == [1, 1, 1] and len({got[k] for k in range(24)}) == 3
+    alone = zoning.geodesic_split(points, 1).where("point_id < 24")
+    assert alone.select("zone").distinct().count() == 24 and zoning.geodesic_split(points.where("1 = 0"), 8).count() == 0
+
+
+def test_reports_reach_the_live_metrics_and_a_retry_changes_nothing(spark, tmp_path):
+    stops = spark.createDataFrame([(1, 1, 1, "pending", None, 10), (2, 1, 2, "pending", None, 10), (3, 2, 1, "pending", None, 10)], "stop_id int, route_id int, sequence int, status string, completed_at timestamp_ntz, service_minutes int")
+    planned = spark.createDataFrame([(1, 600, 5.0), (2, 600, 5.0)], "route_id int, travel_seconds int, cost double")
+    sink = streams.live_metrics(stops, planned, str(tmp_path / "m"))
+    kind = "stop_id int, route_id int, status string, completed_at timestamp_ntz, reported_at timestamp_ntz, event_id int"
+    at = lambda h, m: datetime(2026, 1, 1, h, m)
+    one = spark.createDataFrame([(1, 1, "completed", at(10, 0), at(10, 1), 1)], kind)
+    two = spark.createDataFrame([(2, 1, "failed", at(10, 30), at(10, 31), 2)], kind)
+    for batch, k in ((one, 0), (two, 1), (two, 1)):
+        sink(batch, k)
+    rows = {(r.load_id, r.route_id): (r.completed, r.failed, r.pending, r.travel_seconds) for r in spark.read.parquet(str(tmp_path / "m" / "metrics")).collect()}
+    assert rows == {(0, 1): (1, 0, 1, 0), (1, 1): (1, 1, 0, 1200)}
+
+
+def test_imports_know_what_is_stored(spark, tmp_path):
+    sink = streams.import_batches(str(tmp_path / "i"), 3)
+    base = ("d", "Calle 1", "48001", "Bilbao", "Bizkaia")
+    rows = lambda b, refs, p="2026-01": spark.createDataFrame([(1, p, b, b, k, False, r, *base) for k, r in enumerate(refs, 1)], "organization_id int, period string, batch_id string, file string, row_number int, cancelled boolean, external_ref string, display_ref string, address string, postal_code string, municipality string, province string")
+    for batch, k in ((rows("a", ["P1", "P2"]), 0), (rows("b", ["p1 ", "P3", "P3"]).union(rows("big", ["x1", "x2", "x3", "x4"])), 1), (rows("b", ["p1 ", "P3", "P3"]), 1), (rows("c", ["P1"], "2026-02"), 2)):
+        sink(batch, k)
+    got = {(r.batch_id, r.row_number): [e.code for e in r.errors] for r in spark.read.parquet(str(tmp_path / "i" / "rows")).collect()}
+    assert got == {("a", 1): [], ("a", 2): [], ("b", 1): ["DUPLICATE_IN_PERIOD"], ("b", 2): [], ("b", 3): ["DUPLICATE_IN_BATCH"], ("c", 1): []}
+
+
+def test_names_of_a_house(spark):
+    kind = "address_id int, ordinal int, latitude double, longitude double, importance double, place_class string, house_number string, display_label string"
+    cands = spark.createDataFrame([(1, 1, 43.0, -2.0, 0.5, "house", "5A", "5A, Kalea Iparragirre, Bilbao"), (2, 1, 43.0, -2.0, 0.5, "house", "5", "5, Olabarrieta"), (2, 2, 43.0, -2.0, 0.5, "road", None, "Olabarrieta")], kind)
+    found = spark.createDataFrame([(1, "Otra", "Ángel|Calle Iparraguirre|IPARRAGIRRE", "5a", 43.1, -2.1), (2, "Barrio Bengoetxe", None, "5", 43.1, -2.1)], "address_id int, street string, aliases string, house_number string, latitude double, longitude double")
+    got = sorted((r.address_id, r.ordinal, r.place_class, r.latitude) for r in geocoding.augment_candidates(cands, found).collect())
+    assert got == [(1, 1, "house", 43.0), (2, 1, "house", 43.1), (2, 2, "house", 43.0)]
+
+
 def test_notifications_are_written_once(spark, tmp_path):
     sink = streams.notify({"a": "x"}, str(tmp_path / "n"))
     batch = spark.createDataFrame([(1, "a", [5, 5, 6]), (2, "b", [5])], "event_id int, event_type string, recipients array<int>")
