@@ -110,7 +110,7 @@ QUERIES = {
  FROM publish_requests q LEFT JOIN gate ON gate.revision_id = coalesce(q.revision_id, current_revision) LEFT JOIN lo ON lo.revision_id = coalesce(q.revision_id, current_revision)"""),
     "snapshot_stops": (lambda v: R.explode_snapshots(_documents(v)).select("revision_id", "sequence", "patient_id", "external_ref"), "SELECT s.revision_id, s.sequence, s.patient_id, p.external_ref FROM stops s LEFT JOIN patients p USING (patient_id)"),
     "published_documents": (lambda v: _documents(v).select("revision_id", *[F.get_json_object("document", f"$.{c}").alias(n) for n, c in (("origin", "origin"), ("objective", "objective"), ("dataset_version", "dataset_version"))], F.get_json_object("document", "$.metrics.original.travel_seconds").cast("long").alias("original_s"), F.get_json_object("document", "$.metrics.optimized.distance_m").cast("long").alias("optimized_m")),
-        f"WITH {TOT_SQL} SELECT t.route_id AS revision_id, 'A' AS origin, CASE WHEN t.route_id % 2 = 0 THEN 'time' ELSE 'cost' END AS objective, 'v1' AS dataset_version, t.travel_seconds AS original_s, b.distance_m AS optimized_m FROM t JOIN b USING (route_id)"),
+        f"WITH {TOT_SQL}, ids AS (SELECT DISTINCT route_id FROM stops) SELECT ids.route_id AS revision_id, 'A' AS origin, CASE WHEN ids.route_id % 2 = 0 THEN 'time' ELSE 'cost' END AS objective, 'v1' AS dataset_version, t.travel_seconds AS original_s, b.distance_m AS optimized_m FROM ids LEFT JOIN t ON t.route_id = ids.route_id LEFT JOIN b ON b.route_id = ids.route_id"),
     "reference_containment": (lambda v: R.holding_reference(_published(v), "PAC-77"), "SELECT DISTINCT revision_id FROM stops WHERE patient_id = 77"),
     "history_page": (lambda v: R.history_page(_published(v).select("revision_id", F.col("published_at")), 50).select("revision_id", F.date_format("published_at", "yyyy-MM-dd").alias("published")), "SELECT revision_id, CAST(CAST(max(service_date) AS DATE) AS STRING) AS published FROM stops GROUP BY revision_id ORDER BY max(service_date) DESC, revision_id DESC LIMIT 51"),
     "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("2000-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=5).select("revision_id"),
