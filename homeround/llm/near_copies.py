@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +38,32 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """For each of 512 slots whether an odd number of the hashes falls in it. Two sets differ by at least as many hashes as their bitmaps do by bits."""
-    odd = np.bincount(hashes & (64 * BITMAP - 1), minlength=64 * BITMAP) & 1
+def bitmap(hashes: np.ndarray, longs: int = BITMAP) -> np.ndarray:
+    """For each of ``64 * longs`` slots (a power of two) whether an odd number of the hashes falls in it.
+
+    Two sets differ by at least as many hashes as their bitmaps do by bits. The halves of a bitmap give, by XOR, the one of half its slots.
+    """
+    odd = np.bincount(hashes & (64 * longs - 1), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_bitmap(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap with a slot a hash at least: one of 512 slots is full for long texts and tells them no more apart."""
+    return bitmap(hashes, max(BITMAP, 1 << max(0, len(hashes) - 1).bit_length() >> 6))
+
+
+def _fine_apart(a: str, b: str) -> Column:
+    """By how many bits two fine bitmaps differ, the larger one folded to the slots of the smaller; sizes within a factor of two."""
+
+    def folded(x: str, other: str) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        halves = F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(x) > F.size(other), halves).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(bits, F.lit(0), lambda total, n: total + n)
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     """How many of n shingles, in an order that all texts share, hold one of any set that is similar enough; 0 where only an equal set is."""
     need = -(-n * percent // 100)
@@ -157,12 +177,13 @@ def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: s
     Nodes that share a prefix key are candidates. First those within three bits are compared, and each with its keys' leaders and
     the nodes before it; then, of the keys that still hold several components, the pairs of different components. A key counts
     for a pair only if what follows it on both sides can make them similar enough: of a similar pair the first common key always
-    does. Bitmaps with the parity of the shingles in each of 512 slots bound the difference of two sets from below.
+    does. Bitmaps with the parity of the shingles in each of 512 slots bound the difference of two sets from below, and before
+    any set is fetched those with a slot a shingle (an eighth to a quarter of a byte each) decide again on the pairs left.
     """
-    one = ("n", "prefix", "sim", "bits")
+    one = ("n", "prefix", "sim", "bits", "fine")
     nodes = written(marked.groupBy("fp").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in one]), "nodes")
     shared = written(_shared_keys(nodes.select("fp", "n", F.posexplode("prefix").alias("pos", "key"))), "shared")
-    there = written(nodes.drop("prefix", "n").join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
+    there = written(nodes.drop("prefix").join(shared.select("fp").distinct(), "fp", "left_semi"), "candidates")
     forget(nodes)
     total = F.col("na") + F.col("nb")
     need = F.ceil(total * percent / (100 + percent))  # common shingles that a similar pair has at least
@@ -171,7 +192,10 @@ def near_copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text_col: s
 
     def similar(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that are similar enough, by their sets."""
-        pairs = written(pairs.distinct(), name)
+        a, b = (there.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}")) for x in "ab")
+        alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent  # then a bitmap has at most twice the other's slots
+        possible = F.when(alike, total - _fine_apart("fa", "fb") >= 2 * need)
+        pairs = written(pairs.distinct().join(a, "a").join(b, "b").where(possible).select("a", "b"), name)
         ends = written(there.select("fp", "id").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"), f"{name}-ends")
         sets = written(_sets_of(docs, ends, id_col, text_col, shingle), f"{name}-sets")
         found = written(_verified(pairs, sets, percent), f"{name}-links")
@@ -209,7 +233,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, shingle))
 
     def compute(block: TextBlock) -> list:
-        fp, n, prefix, sim, bits = [], [], [], [], []
+        fp, n, prefix, sim, bits, fine = [], [], [], [], [], []
         for t in block.raw():
             h = shingle_hashes(t, shingle)
             own = np.unique(h.view(np.int64))
@@ -218,9 +242,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
             prefix.append(_rare_first(own, *known.value)[: prefix_size(len(own), percent)])
             sim.append(majority(h))
             bits.append(bitmap(own))
-        return [np.array(fp, np.int64), np.array(n, np.int64), _lists(prefix), np.array(sim, np.uint64).view(np.int64), _lists(bits)]
+            fine.append(fine_bitmap(own))
+        return [np.array(fp, np.int64), np.array(n, np.int64), _lists(prefix), np.array(sim, np.uint64).view(np.int64), _lists(bits), _lists(fine)]
 
-    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", LONGS), T.StructField("sim", T.LongType()), T.StructField("bits", LONGS)]
+    fields = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", LONGS), T.StructField("sim", T.LongType()), T.StructField("bits", LONGS), T.StructField("fine", LONGS)]
     marked = written(annotate(with_text_hash(docs, id_col, text_col), compute, fields, "text", ["id", "h"]), "shingles")
     found = components(near_copy_links(docs, marked, id_col, text_col, shingle, percent))
     return one_of_each(docs, marked.select("id", "h", "fp"), found, id_col, text_col)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from homeround.llm import bpe, language, pii
+from homeround.llm import bpe, language, near_copies, pii
 from homeround.llm.common import table, written
 from homeround.llm.queries import tokenizer
 
@@ -93,6 +93,38 @@ def test_stages_account_for_every_row(spark, folder):
     assert sum(r.length for r in packed) == want and max(r.offset + r.length for r in packed) <= 2048
 
 
+def test_near_copies_of_long_texts(spark):
+    """Pairs about the border of 80 %, with fine bitmaps of one size and of two, all with passages in common."""
+    rng = np.random.default_rng(1)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shared, texts = word(300), []
+    for n in (200, 705, 715, 1735, 3500):
+        base = shared + word(n)
+        for changed in np.linspace(0, 0.06, 9):
+            at = set(rng.choice(len(base), int(changed * len(base)), replace=False).tolist())
+            texts.append([w if i not in at else "changed" for i, w in enumerate(base)] + word(int(rng.integers(0, 40))))
+    texts = [" ".join(t) for t in texts]
+    sets, label = [runs(t) for t in texts], list(range(len(texts)))
+    alike = [[j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)] for a in sets]
+    sizes = {tuple(len(near_copies.fine_bitmap(near_copies.shingle_set(texts[i].encode()))) for i in (k, j)) for k, a in enumerate(alike) for j in a}
+    assert any(a != b for a, b in sizes) and 10 < sum(map(len, alike)) < 350
+    for _ in texts:
+        label = [min(label[j] for j in alike[i]) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = near_copies.keep_one(docs)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(label))
+
+
+def test_fine_bitmaps_fold():
+    for n in (0, 1, 512, 513, 1024, 1025, 5000):
+        h = np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)
+        fine = near_copies.fine_bitmap(h)
+        assert len(fine) * 64 >= max(n, 512)
+        while len(fine) > near_copies.BITMAP:
+            fine = fine[: len(fine) // 2] ^ fine[len(fine) // 2 :]
+            assert (fine == near_copies.bitmap(h, len(fine))).all()
+
+
 def test_run_and_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() > 100
     docs = table(spark, folder, "documents").where("1 = 0")
