@@ -35,6 +35,26 @@ def load(path: str) -> Tokenizer:
     return tokenizer
 
 
+@functools.cache
+def load_plain(path: str) -> Tokenizer:
+    """The same with the strings of special tokens as plain text."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """Byte-level decoding of each id; empty for ids without one."""
+    alphabet, vocab = byte_alphabet(), load(path).get_vocab()
+    out = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+    return out
+
+
 @functools.cache
 def specials(path: str) -> dict[str, int]:
     return {t.content: i for i, t in load(path).get_added_tokens_decoder().items()}
@@ -166,3 +186,14 @@ def ids(path: str, text: str, outside: str):
     if not text.isascii() and _search(outside)(text):
         return load(path).encode(text, add_special_tokens=False).ids
     return fast_encoder(path).encode_to_numpy(text, allowed_special="all")
+
+
+def has_exceptions(text: str, outside: str) -> bool:
+    return not text.isascii() and _search(outside)(text)
+
+
+def plain_ids(path: str, text: str, outside: str):
+    """Token ids of a whole text in which special strings are plain text; ``outside`` from :func:`exceptions`."""
+    if has_exceptions(text, outside):
+        return load_plain(path).encode(text, add_special_tokens=False).ids
+    return fast_encoder(path).encode_to_numpy(text, disallowed_special=())

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, graph_ann, language, licenses, packing, pii, repeats, simhash, token_counts, url_filter
-from .common import table
+from . import alignment, collocations, decontaminate, graph_ann, language, licenses, packing, pieces, pii, repeats, simhash, token_counts, url_filter
+from .common import table, written
 
 
 def tokenizer() -> str:
@@ -15,6 +15,12 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer(), keep=["doc_id"])
     return token_counts.over_limit(counted, 1024)
@@ -78,7 +84,28 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(docs, pii.fit(docs), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_graph_ann, op7_url_filter, op8_suffix_dedup, op9_simhash_dedup, op10_pii)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"]))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer(), piece_model(), keep=["doc_id"])
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    kept = written(aligned.select("*", digest).drop("groups"), "aligned")
+    return alignment.link_counts(kept)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_license_scan, op3_decontaminate, op4_language_id, op5_best_fit_packing, op6_graph_ann, op7_url_filter,
+        op8_suffix_dedup, op9_simhash_dedup, op10_pii, op11_collocations, op12_pieces, op13_alignment,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": f"""
