@@ -219,8 +219,9 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     asked = aligned.where(F.col("block_pairs").isNotNull()).select(F.col("block").alias("home"), F.posexplode("block_pairs").alias("at", "pair"))
     answers = asked.join(pair_counts(aligned), "pair").select("home", "at", "n_docs", "best")
     rows = aligned.drop("block_pairs", "block_docs")
-    kept = [f for f in rows.schema if f.name not in gone]
-    schema = T.StructType(kept + [T.StructField("n_best", T.LongType()), T.StructField("count_sum", T.LongType())])
+    made = ("n_best", "count_sum")
+    kept = [f for f in rows.schema if f.name.lower() not in (*gone, *made)]
+    schema = T.StructType(kept + [T.StructField(n, T.LongType()) for n in made])
 
     def finish(docs: pa.Table, found: pa.Table) -> pa.Table:
         size = found.num_rows
@@ -231,7 +232,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
         where, n = places.flatten().to_numpy(), times.flatten().to_numpy()
         edges = np.append(0, np.cumsum(np.asarray(places.value_lengths())))
         sums = [np.append(0, np.cumsum(x))[edges] for x in (n * best[where], n * count[where])]
-        made = [pa.array(np.diff(x)) for x in sums]
-        return pa.Table.from_arrays([*(docs.column(f.name) for f in kept), *made], names=[f.name for f in schema])
+        new = [pa.array(np.diff(x)) for x in sums]
+        return pa.Table.from_arrays([*(docs.column(f.name) for f in kept), *new], names=[f.name for f in schema])
 
     return rows.groupBy("block").cogroup(answers.groupBy("home")).applyInArrow(finish, schema)

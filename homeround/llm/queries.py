@@ -125,4 +125,32 @@ fits AS (
 )
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict
 FROM parts LEFT JOIN fits ON parts.n = fits.n AND fits.k = 1""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces
+), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS size),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM words, sizes WHERE len(w) >= size
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, size)) AS k FROM f WHERE size > 1
+), scored AS (
+  SELECT c.lang, c.size, c.phrase, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM weakest c WHERE NOT EXISTS (
+    SELECT 1 FROM f b WHERE b.lang = c.lang AND b.size > c.size AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * b.f >= 100 * c.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000""",
 }
