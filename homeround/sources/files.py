@@ -2,34 +2,86 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BYTES, MAX_ROWS = 10 << 20, 500
+#: Fixed value: the storage that holds the macros of a binary workbook; its name stands in the file in one or two bytes a character.
+VBA_NAME = "_VBA_PROJECT"
 
 
-def read_import_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV files with a header, all columns strings, plus ``file``; the delimiter is ``;`` if the first line has as many as commas.
+def _sheet(content: bytes) -> tuple[list[str], Iterator[list[str]]]:
+    """(header, rows) of a CSV file; the delimiter is ``;`` if the first line has as many as commas. Empty lines are no rows."""
+    text = content.decode("utf-8-sig", errors="replace")
+    first = next(iter(text[: text.find("\n") + 1 or None].splitlines()), "")
+    rows = (row for row in csv.reader(io.StringIO(text, newline=""), delimiter=";" if first.count(";") >= first.count(",") else ",") if row)
+    return next(rows, []), rows
 
-    Files are grouped by delimiter and header, so only one line per file reaches the driver.
+
+def parse_sheets(files: DataFrame, names: list[str], carry: list[str], limit: int | None = None) -> DataFrame:
+    """Rows of CSV files (``path``, ``content``, and the columns to ``carry``): carried columns, ``row_number`` from 1, ``names``, ``error``.
+
+    A task reads each file's header and streams its rows; a name that a header lacks is null, of a repeated one the last counts, and one
+    plan serves any number of headers. A file of more than ``limit`` rows, or one that cannot be parsed, gives one row: no number and an error.
+    """
+    head = [f for f in files.select(*carry).schema]
+    schema = T.StructType([*head, T.StructField("row_number", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in names), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made(file, rows: list[tuple], error: str | None) -> pd.DataFrame:
+            out = {c: [getattr(file, c)] * len(rows) for c in carry}
+            columns = list(zip(*rows))
+            out["row_number"] = pd.array([r[0] for r in rows], "Int32")
+            return pd.DataFrame(out | {n: columns[k] for k, n in enumerate(names, 1)} | {"error": error}, columns=schema.names)
+
+        csv.field_size_limit(MAX_BYTES)
+        for batch in batches:
+            for file in batch.itertuples(index=False):
+                refused, held = None, []
+                try:
+                    header, rows = _sheet(file.content)
+                    at = {h.strip(): k for k, h in enumerate(header)}
+                    where = [at.get(n) for n in names]
+                    for number, row in enumerate(rows, 1):
+                        held.append((number, *(row[k] if k is not None and k < len(row) else None for k in where)))
+                        if limit is not None and number > limit:
+                            refused = "TOO_MANY_ROWS"
+                            break
+                        if limit is None and len(held) == 10_000:
+                            yield made(file, held, None)
+                            held = []
+                except csv.Error:
+                    refused = "NOT_PARSED"
+                if refused:
+                    held = [(None, *[None] * len(names))]
+                if held:
+                    yield made(file, held, refused)
+
+    return files.select(*dict.fromkeys([*carry, "path", "content"])).mapInPandas(run, schema)
+
+
+def read_import_csv(spark: SparkSession, paths: list[str], names: list[str] | None = None) -> DataFrame:
+    """CSV files with a header of their own each, as strings: the asked columns, ``row_number``, ``file``, and ``error`` of a file that cannot be parsed.
+
+    One plan whatever the headers. Without ``names`` they are gathered from the headers first: what reaches the driver is each distinct
+    name once, as many as the result has columns. Files over the size limit are not read: :func:`screen_files` names them.
     """
-    head = F.regexp_replace(F.split("value", r"\r?\n")[0], "^﻿", "")
-    count = lambda c: F.length(head) - F.length(F.replace(head, F.lit(c)))
-    heads = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("file"), head.alias("head"), F.when(count(";") >= count(","), ";").otherwise(",").alias("sep")).collect()
-    groups: dict[tuple[str, str], list[str]] = {}
-    for r in heads:
-        groups.setdefault((r["sep"], r["head"]), []).append(r["file"])
-    out = None
-    for (sep, line), files in sorted(groups.items()):
-        names = [n.strip().strip('"') for n in line.split(sep)]
-        rows = spark.read.csv(files, header=True, sep=sep, multiLine=True, encoding="UTF-8").toDF(*names).withColumn("file", F.input_file_name())
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+    files = spark.read.format("binaryFile").load(paths).where(F.col("length") <= MAX_BYTES).select("path", "content", F.col("path").alias("file"))
+    if names is None:
+
+        def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                yield pd.DataFrame({"name": [h.strip() for content in batch["content"] for h in _sheet(content)[0]]})
+
+        names = [r["name"] for r in files.select("content").mapInPandas(heads, "name string").where("name <> ''").distinct().orderBy("name").collect()]
+    return parse_sheets(files, names, ["file"])
 
 
 def map_columns(rows: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -48,20 +100,26 @@ def _has_macros(content: pd.Series) -> pd.Series:
     return content.map(look)
 
 
-def screen_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, error): null if the file may be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def file_error() -> Column:
+    """What speaks against a file (``path``, ``length``, ``content``), or null."""
     kind = F.lower(F.element_at(F.split("path", r"\."), -1))
     starts = lambda magic: F.startswith("content", F.to_binary(F.lit(magic), F.lit("hex")))
-    error = (
+    holds = lambda text: F.contains("content", F.lit(text))
+    return (
         F.when(F.col("length") > MAX_BYTES, "FILE_TOO_LARGE")
         .when(~kind.isin("csv", "xlsx", "xls"), "UNSUPPORTED_EXTENSION")
         .when((kind == "xlsx") & ~starts("504B0304"), "BAD_SIGNATURE")
         .when((kind == "xls") & ~starts("D0CF11E0"), "BAD_SIGNATURE")
         .when((kind == "xlsx") & _has_macros("content"), "MACROS_REJECTED")
+        .when((kind == "xls") & (holds(VBA_NAME.encode()) | holds(VBA_NAME.encode("utf-16-le"))), "MACROS_REJECTED")
         .when((kind == "csv") & ~F.is_valid_utf8("content"), "NOT_UTF8")
     )
-    return files.select("path", "length", F.sha2("content", 256).alias("content_hash"), error.alias("error"))
+
+
+def screen_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, length, content_hash, error): a null error if the file may be read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", F.sha2("content", 256).alias("content_hash"), file_error().alias("error"))
 
 
 def enforce_row_cap(rows: DataFrame, limit: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:

@@ -1,4 +1,4 @@
-"""Structured Streaming: stop reports, notifications, live metrics, import micro-batches, report compaction."""
+"""Structured Streaming: reports of single stops, notifications, report compaction. Whole routes: ``routes``; arriving files: ``imports``."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from homeround.operators import intake, routing
-from homeround.sources import files
+from homeround.operators import routing
 
 OUTCOME = "stop_id long, event_id long, outcome string, status string, version int"
 STATE = "status string, version int, completed_at string, reason string"
@@ -98,46 +97,6 @@ def notify(types: dict[str, str], path: str) -> Callable[[DataFrame, int], None]
     return sink
 
 
-def live_metrics(stops: DataFrame, planned: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: metrics of the routes that a batch of reports (stop_id, route_id, status, completed_at, reported_at, event_id) touches.
-
-    The last report of a stop, of this batch or an earlier one, overlays the table of stops (stop_id, route_id, ...). Reports and
-    metrics are stored by batch under ``path``.
-    """
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        columns = ["stop_id", "route_id", "status", "completed_at", "reported_at", "event_id"]
-        reports = batch.select(*columns)
-        if (earlier := _stored(batch.sparkSession, f"{path}/reports", batch_id)) is not None:
-            reports = reports.unionByName(earlier.where(F.col("load_id") < batch_id).select(*columns))
-        touched = batch.select("route_id").distinct()
-        last = last_report_per_stop(reports.join(touched, "route_id", "left_semi")).select("stop_id", F.col("status").alias("__status"), F.col("completed_at").alias("__at"))
-        known = stops.join(touched, "route_id", "left_semi").join(last, "stop_id", "left")
-        now = known.withColumns({"status": F.coalesce("__status", "status"), "completed_at": F.when(F.col("__status").isNotNull(), F.col("__at")).otherwise(F.col("completed_at"))}).drop("__status", "__at")
-        _store(routing.actual_metrics(now, planned), f"{path}/metrics", batch_id)
-        _store(batch.select(*columns), f"{path}/reports", batch_id)
-
-    return sink
-
-
-def import_batches(path: str, limit: int = files.MAX_ROWS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: rows of arriving files, checked against each other and what is stored, and stored by organization.
-
-    Files over ``limit`` rows are left out whole and named under ``path``/rejected. A reference in a valid stored row of the period is a duplicate.
-    """
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        rows, over = files.enforce_row_cap(batch, limit)
-        stored = _stored(batch.sparkSession, f"{path}/rows", batch_id)
-        if stored is not None:
-            asked = batch.select("organization_id", "period").distinct()
-            stored = stored.join(asked, ["organization_id", "period"], "left_semi")
-        _store(intake.checked_rows(rows, stored), f"{path}/rows", batch_id, "organization_id")
-        _store(over, f"{path}/rejected", batch_id)
-
-    return sink
-
-
 def last_report_per_stop(reports: DataFrame) -> DataFrame:
     """Compaction of queued reports: the last one of each stop."""
     w = Window.partitionBy("stop_id").orderBy(F.desc("reported_at"), F.desc("event_id"))

@@ -265,30 +265,6 @@ def test_parts_of_a_crowded_place_are_compact(spark):
     assert alone.select("zone").distinct().count() == 24 and zoning.geodesic_split(points.where("1 = 0"), 8).count() == 0
 
 
-def test_reports_reach_the_live_metrics_and_a_retry_changes_nothing(spark, tmp_path):
-    stops = spark.createDataFrame([(1, 1, 1, "pending", None, 10), (2, 1, 2, "pending", None, 10), (3, 2, 1, "pending", None, 10)], "stop_id int, route_id int, sequence int, status string, completed_at timestamp_ntz, service_minutes int")
-    planned = spark.createDataFrame([(1, 600, 5.0), (2, 600, 5.0)], "route_id int, travel_seconds int, cost double")
-    sink = streams.live_metrics(stops, planned, str(tmp_path / "m"))
-    kind = "stop_id int, route_id int, status string, completed_at timestamp_ntz, reported_at timestamp_ntz, event_id int"
-    at = lambda h, m: datetime(2026, 1, 1, h, m)
-    one = spark.createDataFrame([(1, 1, "completed", at(10, 0), at(10, 1), 1)], kind)
-    two = spark.createDataFrame([(2, 1, "failed", at(10, 30), at(10, 31), 2)], kind)
-    for batch, k in ((one, 0), (two, 1), (two, 1)):
-        sink(batch, k)
-    rows = {(r.load_id, r.route_id): (r.completed, r.failed, r.pending, r.travel_seconds) for r in spark.read.parquet(str(tmp_path / "m" / "metrics")).collect()}
-    assert rows == {(0, 1): (1, 0, 1, 0), (1, 1): (1, 1, 0, 1200)}
-
-
-def test_imports_know_what_is_stored(spark, tmp_path):
-    sink = streams.import_batches(str(tmp_path / "i"), 3)
-    base = ("d", "Calle 1", "48001", "Bilbao", "Bizkaia")
-    rows = lambda b, refs, p="2026-01": spark.createDataFrame([(1, p, b, b, k, False, r, *base) for k, r in enumerate(refs, 1)], "organization_id int, period string, batch_id string, file string, row_number int, cancelled boolean, external_ref string, display_ref string, address string, postal_code string, municipality string, province string")
-    for batch, k in ((rows("a", ["P1", "P2"]), 0), (rows("b", ["p1 ", "P3", "P3"]).union(rows("big", ["x1", "x2", "x3", "x4"])), 1), (rows("b", ["p1 ", "P3", "P3"]), 1), (rows("c", ["P1"], "2026-02"), 2)):
-        sink(batch, k)
-    got = {(r.batch_id, r.row_number): [e.code for e in r.errors] for r in spark.read.parquet(str(tmp_path / "i" / "rows")).collect()}
-    assert got == {("a", 1): [], ("a", 2): [], ("b", 1): ["DUPLICATE_IN_PERIOD"], ("b", 2): [], ("b", 3): ["DUPLICATE_IN_BATCH"], ("c", 1): []}
-
-
 def test_names_of_a_house(spark):
     kind = "address_id int, ordinal int, latitude double, longitude double, importance double, place_class string, house_number string, display_label string"
     cands = spark.createDataFrame([(1, 1, 43.0, -2.0, 0.5, "house", "5A", "5A, Kalea Iparragirre, Bilbao"), (2, 1, 43.0, -2.0, 0.5, "house", "5", "5, Olabarrieta"), (2, 2, 43.0, -2.0, 0.5, "road", None, "Olabarrieta")], kind)
