@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
 from homeround.operators.graphs import components
-from homeround.storage import written
+from homeround.storage import forget, written
 
 DENSITY_M, URBAN_DENSITY = 500.0, 4
 RURAL_EPS_M, WIDE_M = 2500.0, 12_000.0
 SPEED_KMH = {"urban": 20.0, "rural": 35.0}
 #: Side of the smallest square, and how many times four squares a side make the next larger one.
 SQUARE_M, SQUARE_LEVELS = 75.0, 6
+#: How often squares are quartered in each direction while many of their places may be near.
+SQUARE_DEPTH = 6
 AREA_POINTS, AREA_ZONES, AREA_BORDER = 2_000, 500, 300
 
 
@@ -33,27 +35,136 @@ def projected(points: DataFrame) -> DataFrame:
     return points.withColumns({"x": x, "y": y})
 
 
-def _cells(points: DataFrame, size: float) -> DataFrame:
-    return points.withColumns({"cx": F.floor(F.col("x") / size), "cy": F.floor(F.col("y") / size)})
+def _boxes(places: DataFrame, side: float, name: str) -> DataFrame:
+    """Squares of a grid that hold places: their key, the box around their places, and how many there are."""
+    low, high = lambda c: F.min(c).alias(f"{name}_{c}0"), lambda c: F.max(c).alias(f"{name}_{c}1")
+    return places.groupBy("organization_id", F.floor(F.col("x") / side).alias(f"{name}x"), F.floor(F.col("y") / side).alias(f"{name}y")).agg(
+        low("x"), high("x"), low("y"), high("y"), F.count("*").alias(f"{name}_n")
+    )
+
+
+def _apart() -> tuple[Column, Column]:
+    """Squares of the least and the greatest distance that places of boxes a and b can have: rounding keeps the order of differences, squares and sums."""
+    least, most = [], []
+    for c in ("x", "y"):
+        left, right = F.col(f"b_{c}0") - F.col(f"a_{c}1"), F.col(f"a_{c}0") - F.col(f"b_{c}1")
+        least.append(F.pow(F.greatest(left, right, F.lit(0.0)), 2))
+        most.append(F.pow(F.greatest(F.col(f"b_{c}1") - F.col(f"a_{c}0"), F.col(f"a_{c}1") - F.col(f"b_{c}0")), 2))
+    return least[0] + least[1], most[0] + most[1]
+
+
+def linked_squares(places: DataFrame, radius: float) -> DataFrame:
+    """(organization, ax, ay, bx, by): squares of side ``radius`` / 1.4143, of which two places, one in each, are within ``radius``.
+
+    Places of one square are all within it. Two squares are compared by the boxes around their places, first whole, then by smaller squares, and
+    place by place only where boxes that hold few of them straddle the radius; a pair found near at any size is asked about no more. So rows
+    grow with the squares that hold places, not with pairs of places.
+    """
+    side, limit = radius / 1.4143, radius * radius
+    whole = ["organization_id", "ax", "ay", "bx", "by"]
+    a, b = _boxes(places, side, "a"), _boxes(places, side, "b")
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    around = F.explode(F.array(*[F.struct((F.col("ax") + i).alias("bx"), (F.col("ay") + j).alias("by")) for i, j in steps]))
+    open_ = a.withColumn("to", around).select("*", "to.bx", "to.by").drop("to").join(b, ["organization_id", "bx", "by"])
+    open_ = open_.withColumns({f"{n}{c}_now": F.col(f"{n}{c}") for n in "ab" for c in "xy"})
+    found, kept = None, []
+    for level in range(SQUARE_DEPTH):
+        least, most = _apart()
+        asked = written(open_.where(least <= limit).withColumn("sure", most <= limit), f"squares-{level}")
+        kept.append(asked)
+        sure = asked.where("sure").select(*whole).distinct()
+        rest = asked.where("NOT sure").join(sure, whole, "left_anti")
+        now = [f"{n}{c}_now" for n in "ab" for c in "xy"]
+        finest = level == SQUARE_DEPTH - 1
+        few = rest if finest else rest.where(F.col("a_n") * F.col("b_n") <= 64)
+        at = lambda c: F.floor(F.col(c) / (side / 4**level))  # noqa: B023, E731
+        ends = [places.select("organization_id", at("x").alias(f"{n}x_now"), at("y").alias(f"{n}y_now"), F.col("x").alias(f"{n}_px"), F.col("y").alias(f"{n}_py")) for n in "ab"]
+        seen = few.select(*whole, *now).join(ends[0], ["organization_id", "ax_now", "ay_now"]).join(ends[1], ["organization_id", "bx_now", "by_now"])
+        near = seen.where(F.pow(F.col("a_px") - F.col("b_px"), 2) + F.pow(F.col("a_py") - F.col("b_py"), 2) <= limit).select(*whole).distinct()
+        links = written(sure.union(near), f"links-{level}")
+        found = links if found is None else found.union(links)
+        if finest:
+            break
+        many = rest.where(F.col("a_n") * F.col("b_n") > 64).join(links, whole, "left_anti").select(*whole, *now)
+        for n in "ab":
+            parts = _boxes(places, side / 4 ** (level + 1), n).withColumns({f"{n}x_now": F.floor(F.col(f"{n}x") / 4), f"{n}y_now": F.floor(F.col(f"{n}y") / 4)})
+            parts = parts.withColumnsRenamed({f"{n}x": f"{n}x_part", f"{n}y": f"{n}y_part"})
+            many = many.join(parts, ["organization_id", f"{n}x_now", f"{n}y_now"])
+        open_ = many.drop(*now).withColumnsRenamed({f"{n}{c}_part": f"{n}{c}_now" for n in "ab" for c in "xy"})
+        if many.isEmpty():
+            break
+    forget(*kept)
+    return found
 
 
-def near_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """(organization, a, b) of points within ``radius``, itself included: an equi-join on grid cells, each point sent to its 9 cells."""
-    cells = _cells(points, radius)
-    right = cells.select("organization_id", F.col("point_id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), "cx", "cy")
-    around = F.explode(F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = cells.select("organization_id", F.col("point_id").alias("a"), "x", "y", around.alias("c")).select("*", "c.cx", "c.cy")
-    inside = F.pow(F.col("x") - F.col("bx"), 2) + F.pow(F.col("y") - F.col("by"), 2) <= radius * radius
-    return left.join(right, ["organization_id", "cx", "cy"]).where(inside).select("organization_id", "a", "b")
+def near_counts(x: np.ndarray, y: np.ndarray, weight: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
+    """Weight of the places within ``radius`` of each place of ``own``. Places are cut into strips sorted by x: of a strip the stretch that is surely inside is a
+    difference of running sums, and only the two rims are compared. Strips are as high as makes both cost about the same: root of the density work a place.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64)
+    area = max(np.ptp(x), radius / 8) * max(np.ptp(y), radius / 8)
+    height = float(np.clip(np.sqrt(50 * area / len(x)), radius / 512, radius))
+    strip = np.floor((y - y.min()) / height)
+    pace = np.ptp(x) + 8 * radius  # strips stand apart in one sorted key
+    x0, y0 = x.min(), y.min()
+    key = strip * pace + (x - x0)
+    order = np.argsort(key)
+    key, sx, sy = key[order], x[order], y[order]
+    total = np.append(0, np.cumsum(weight[order]))
+    out, limit = np.zeros(len(own), np.int64), radius * radius
+    px, py, ps = x[own], y[own], strip[own]
+    slack = 1e-6 * radius
+    reach = int(radius / height) + 2
+    for step in range(-reach, reach + 1):
+        s = ps + step
+        low = y0 + s * height - py
+        high = low + height
+        least = np.maximum(0, np.maximum(low, -high)) - slack
+        most = np.maximum(np.abs(low), np.abs(high)) + slack
+        here = np.flatnonzero((least < radius) & (s >= 0) & (s <= strip.max()))
+        if not len(here):
+            continue
+        outer = np.sqrt(limit - np.maximum(least[here], 0) ** 2) + slack
+        inner = np.sqrt(np.maximum(limit - most[here] ** 2, 0)) - slack
+        at = s[here] * pace + (px[here] - x0)
+        first, last = np.searchsorted(key, at - outer), np.searchsorted(key, at + outer, "right")
+        none = inner <= 0
+        start, stop = np.searchsorted(key, at - inner), np.searchsorted(key, at + inner, "right")
+        start, stop = np.where(none, last, start), np.where(none, last, stop)
+        out[here] += total[stop] - total[start]
+        for a, b in ((first, start), (stop, last)):
+            size = b - a
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), 4_000_000)[1:])
+            for part in np.split(np.arange(len(here)), cuts):
+                n = size[part]
+                rim = np.repeat(a[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                who = np.repeat(here[part], n)
+                near = (px[who] - sx[rim]) ** 2 + (py[who] - sy[rim]) ** 2 <= limit
+                out += np.bincount(who[near], weights=(total[rim + 1] - total[rim])[near], minlength=len(out)).astype(np.int64)
+    return out
 
 
 def density(points: DataFrame, radius: float = DENSITY_M) -> DataFrame:
-    """Number of points within ``radius``, itself included. Points at one place are counted once per place, with weights."""
-    places = points.groupBy("organization_id", "x", "y").agg(F.count("*").alias("w"), F.min("point_id").alias("point_id"))
-    pairs = near_pairs(places, radius)
-    weight = places.select("organization_id", F.col("point_id").alias("b"), "w")
-    sums = pairs.join(weight, ["organization_id", "b"]).groupBy("organization_id", "a").agg(F.sum("w").alias("density"))
-    by_place = places.join(sums.withColumnRenamed("a", "point_id"), ["organization_id", "point_id"]).select("organization_id", "x", "y", "density")
+    """Number of points within ``radius``, itself included.
+
+    Points at one place are counted once, with weight. Places are dealt to tiles of twice the radius, and to the neighbours whose rim they stand in: one shuffle,
+    a tile of places a task.
+    """
+    side = 2 * radius
+    places = points.groupBy("organization_id", "x", "y").agg(F.count("*").alias("w"))
+    tile = lambda c, d=0.0: F.floor((F.col(c) + d) / side)
+    halo = radius * (1 + 1e-6)
+    around = F.explode(F.array_distinct(F.array(*[F.struct(tile("x", i).alias("tx"), tile("y", j).alias("ty")) for i in (0.0, -halo, halo) for j in (0.0, -halo, halo)])))
+    dealt = places.withColumn("t", around).select("*", "t.tx", "t.ty", ((F.col("t.tx") == tile("x")) & (F.col("t.ty") == tile("y"))).alias("own")).drop("t")
+    kind = places.schema["organization_id"].dataType.simpleString()
+
+    def count(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.flatnonzero(part["own"].to_numpy())
+        n = near_counts(*(part[c].to_numpy() for c in ("x", "y", "w")), own, radius)
+        return pd.DataFrame({"organization_id": part["organization_id"].iloc[own], "x": part["x"].iloc[own], "y": part["y"].iloc[own], "density": n})
+
+    by_place = dealt.groupBy("organization_id", "tx", "ty").applyInPandas(count, f"organization_id {kind}, x double, y double, density long")
     return points.join(by_place, ["organization_id", "x", "y"])
 
 
@@ -78,11 +189,21 @@ def features(points: DataFrame) -> DataFrame:
 
 
 def rural_groups(points: DataFrame, eps: float = RURAL_EPS_M) -> DataFrame:
-    """(organization, point, group): connected components of points within ``eps``, named by their smallest point; a lone point has a null group."""
-    node = lambda c: F.struct("organization_id", F.col(c).alias("point_id"))
-    found = components(near_pairs(points, eps).where("a <> b").select(node("a").alias("a"), node("b").alias("b")))
-    groups = found.select("node.organization_id", "node.point_id", F.col("component.point_id").alias("group"))
-    return points.select("organization_id", "point_id").join(groups, ["organization_id", "point_id"], "left")
+    """(organization, point, group): connected components of points within ``eps``, named by their smallest point; a lone point has a null group.
+
+    The points of a small square are one group by construction, so components are found over squares.
+    """
+    side = eps / 1.4143
+    square = ["organization_id", "ax", "ay"]
+    at = points.select("organization_id", "point_id", F.floor(F.col("x") / side).alias("ax"), F.floor(F.col("y") / side).alias("ay"))
+    squares = written(at.groupBy(*square).agg(F.min("point_id").alias("point_id"), F.count("*").alias("n")), "squares")
+    links = linked_squares(points.select("organization_id", "x", "y").distinct(), eps)
+    node = F.struct("organization_id", "point_id")
+    ends = links.join(squares.select(*square, node.alias("a")), square).join(squares.select("organization_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), node.alias("b")), ["organization_id", "bx", "by"])
+    found = components(ends.select("a", "b"))
+    named = squares.withColumn("node", node).join(found, "node", "left")
+    group = F.coalesce("component.point_id", F.when(F.col("n") > 1, F.col("point_id")))
+    return at.join(named.select(*square, group.alias("group")), square).select("organization_id", "point_id", "group")
 
 
 def admin_seeds(points: DataFrame, max_visits: int) -> DataFrame:
