@@ -3,9 +3,9 @@
 Each word begins one window of the longest length, padded where its piece of text ends. Windows are counted, and Spark's ROLLUP sums
 those counts over ever shorter prefixes, which are all the n-grams of the corpus, so no n-gram of another length is ever emitted. A
 window is also padded where no phrase that is frequent enough can go on: a first pass counts words and pairs of words into a fixed
-number of counters by hash, and a counter never holds less than what it counts, so a word or pair whose counter stays below the
-threshold is surely rare. What is dropped from windows is thus in no candidate and in no part of one; all words still count in their
-language's total.
+number of counters by hash, a second one the longer grams all of whose pairs may be frequent, and a counter never holds less than what
+it counts, so what has a counter below the threshold is surely rare. What is dropped from windows is thus in no candidate and in no part of
+one; all words still count in their language's total.
 """
 
 from __future__ import annotations
@@ -60,15 +60,42 @@ class BlockWords:
         self.word = words.dictionary.take(pa.array(distinct % max(len(words.dictionary), 1)))
         self.count = np.bincount(self.ids, minlength=len(distinct))
 
-    def slots(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counters of each distinct word, and of each place's pair with the next word (meant where ``joined``)."""
+    def hashes(self) -> np.ndarray:
+        """One of each distinct word."""
         seeds = [xxhash.xxh64_intdigest(x, 1) for x in self.langs]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.word.to_pylist(), self.lang.tolist())), np.uint64, len(self.lang))
-        here = hashes[self.ids]
-        pair = here * _ODD[0] + np.append(here[1:], np.uint64(0))[: len(here)]
-        pair = (pair ^ pair >> np.uint64(32)) * _ODD[1]
-        shift = np.uint64(64 - bits)
-        return hashes >> shift, pair >> shift
+        return np.fromiter((xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(self.word.to_pylist(), self.lang.tolist())), np.uint64, len(self.lang))
+
+    def grams(self, hashes: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+        """Hashes of the grams of 2, 3 .. ``longest`` words that begin at each place (meant where the words are in one piece)."""
+        here = gram = hashes[self.ids]
+        for k in range(1, longest):
+            gram = gram * _ODD[0] + _ahead(here, k)
+            gram = (gram ^ gram >> np.uint64(32)) * _ODD[1]
+            yield gram
+
+
+def _ahead(values: np.ndarray, k: int) -> np.ndarray:
+    """What stands ``k`` places on; zero past the end."""
+    return np.append(values[k:], np.zeros(min(k, len(values)), values.dtype))
+
+
+class Slots:
+    """Which of 2^``bits`` counters, found by hash, reached the threshold."""
+
+    def __init__(self, reached: bytes, bits: int):
+        self.reached, self.shift = np.frombuffer(reached, np.uint8), np.uint64(64 - bits)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        slot = hashes >> self.shift
+        return (self.reached[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _alive(words: BlockWords, hashes: np.ndarray, pair: np.ndarray, frequent: Slots) -> tuple[np.ndarray, np.ndarray]:
+    """Places whose word may be frequent, and those whose pair with the next word may be."""
+    known = frequent[hashes][words.ids]
+    on = words.joined & known & _ahead(known, 1)
+    on[on] = frequent[pair[on]]
+    return known, on
 
 
 def _lang(docs: DataFrame, lang_col: str) -> Column:
@@ -91,9 +118,11 @@ def _merged(slots: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
     return slot[first], np.minimum(np.add.reduceat(count, first), 65_535) if len(slot) else count
 
 
-def frequent_slots(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang", bits: int = COUNTER_BITS) -> bytes:
+def frequent_slots(docs: DataFrame, least: int, text_col: str = "text", lang_col: str = "lang", bits: int = COUNTER_BITS, longest: int = 2, pairs=None) -> bytes:
     """One bit for each of 2^``bits`` counters: whether it reached ``least`` (at most 65,535) over all words and pairs of the corpus.
 
+    Given such bits as broadcast ``pairs``: over its grams of 3 to ``longest`` words all of whose words and pairs may be frequent.
+
     Tasks send the counters they used, chunk by chunk; chunks are summed as a sorted stream, one dense chunk at a time. The driver gets
     2^``bits`` bits.
     """
@@ -115,12 +144,25 @@ def frequent_slots(docs: DataFrame, least: int, text_col: str = "text", lang_col
                 yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 512], t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "slots", "counts"])
 
         held = 0
+        shift = np.uint64(64 - bits)
         for words in _read(batches):
-            single, pair = words.slots(bits)
-            slot, number = np.unique(pair[words.joined].astype(np.int64), return_counts=True)
-            slots += [single.astype(np.int64), slot]
-            counts += [words.count, number]
-            held += len(single) + len(slot)
+            hashes = words.hashes()
+            grams = words.grams(hashes, longest)
+            first = next(grams)
+            if pairs is None:
+                slots.append((hashes >> shift).astype(np.int64))
+                counts.append(words.count)
+                taken = [first[words.joined]]
+            else:
+                on = going = _alive(words, hashes, first, Slots(pairs.value, bits))[1]
+                taken = []
+                for k, gram in enumerate(grams, 1):
+                    going = going & _ahead(on, k)
+                    taken.append(gram[going])
+            slot, number = np.unique((np.concatenate(taken) >> shift).astype(np.int64), return_counts=True)
+            slots.append(slot)
+            counts.append(number)
+            held += sum(map(len, slots[-2:]))
             if held > 4_000_000:
                 slots[:], counts[:] = [[x] for x in _merged(slots, counts)]
                 held = len(slots[0])
@@ -158,30 +200,30 @@ def frequent_slots(docs: DataFrame, least: int, text_col: str = "text", lang_col
 def longest_windows(docs: DataFrame, least: int, longest: int = 5, text_col: str = "text", lang_col: str = "lang", bits: int = COUNTER_BITS) -> DataFrame:
     """(lang, w1 .. w``longest``, n): how often each padded window of lead words occurs; w1 is null for words that are surely rare."""
     spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_slots(docs, least, text_col, lang_col, bits))
+    sent = docs, least, text_col, lang_col, bits
+    frequent = spark.sparkContext.broadcast(frequent_slots(*sent))
+    longer = spark.sparkContext.broadcast(frequent_slots(*sent, longest, frequent) if longest > 2 else b"")
     names = ["lang", *(f"w{k}" for k in range(1, longest + 1)), "n"]
     schema = T.StructType([T.StructField(n, T.LongType() if n == "n" else T.StringType()) for n in names])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reached = np.frombuffer(frequent.value, np.uint8)
-        is_frequent = lambda slot: (reached[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        first, rest = Slots(frequent.value, bits), Slots(longer.value, bits)
         for words in _read(batches):
-            single, pair = words.slots(bits)
-            known = is_frequent(single)[words.ids]
-            on = words.joined & known
-            on[:-1] &= known[1:]
-            on[on] = is_frequent(pair[on])
+            hashes = words.hashes()
+            grams = words.grams(hashes, longest)
+            known, on = _alive(words, hashes, next(grams, hashes), first)
             # lead columns: the next words as far as the window goes on; 0 pads
             columns = [np.where(known, words.ids + 1, 0)]
             going = on
             for k in range(1, longest):
-                ahead = np.append(columns[0][k:], np.zeros(k, np.int64))[: len(known)]
-                columns.append(np.where(going, ahead, 0))
-                going = going & np.append(on[k:], np.zeros(k, bool))[: len(known)]
+                if k > 1:
+                    going = going & _ahead(on, k - 1)
+                    going[going] = rest[next(grams)[going]]
+                columns.append(np.where(going, _ahead(columns[0], k), 0))
             alone = columns[1] == 0 if longest > 1 else np.ones(len(known), bool)
             lang_of = words.lang[words.ids]
             # windows of one word, then those of more
-            one = np.bincount(columns[0][alone], minlength=len(single) + 1)
+            one = np.bincount(columns[0][alone], minlength=len(hashes) + 1)
             rare = np.bincount(lang_of[alone & ~known], minlength=len(words.langs))
             rows = np.stack([c[~alone] for c in columns], 1)
             several, n = np.unique(rows, axis=0, return_counts=True) if len(rows) else (np.zeros((0, longest), np.int64), np.zeros(0, np.int64))

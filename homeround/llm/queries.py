@@ -131,11 +131,11 @@ WITH pieces AS (
          unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\x0c\r]')) AS piece
   FROM documents
 ), words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), x -> x <> '') AS w FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces
 ), totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
 sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS size),
 grams AS (
-  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), i -> array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
   FROM words, sizes WHERE len(w) >= size
 ), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
 cuts AS (
