@@ -23,9 +23,10 @@ ABBREVIATIONS = (
 
 #: Way types and articles that are no part of a street key.
 WAY_WORDS = (
-    "calle cl c avenida avda avd av alameda aldea plaza pl pza paseo pso barrio carretera ctra gran via "
-    "kalea etorbidea zumarkalea zumardia auzoa errepidea de del la las el los"
-).split()
+    "calle", "cl", "c", "avenida", "avda", "avd", "av", "alameda", "aldea", "plaza", "pl", "pza", "paseo", "pso",
+    "barrio", "carretera", "ctra", "gran", "via", "kalea", "etorbidea", "zumarkalea", "zumardia", "auzoa",
+    "errepidea", "de", "del", "la", "las", "el", "los",
+)
 
 #: Spellings of whole street keys.
 KEY_ALIASES = {
@@ -73,13 +74,25 @@ def street_number(s: Column) -> Column:
 
 def street_key(s: Column) -> Column:
     words = F.split(F.regexp_replace(fold(s), r"[^a-z0-9\s-]", " "), r"[\s-]+")
-    key = F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(WAY_WORDS)), " ")
+    key = F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*WAY_WORDS)), " ")
     alias = F.create_map(*[F.lit(x) for pair in KEY_ALIASES.items() for x in pair])
     return F.coalesce(alias[key], key)
 
 
+def casefold(s: Column) -> Column:
+    """Unicode case folding: upper, then lower case, as ``ß`` and ligatures need, with the exceptions that this has.
+
+    Dotless i folds to itself, capital sharp s like the small one, any sigma to the inner one, Cherokee to capitals. (The step between also keeps the
+    optimizer from dropping the upper case.)
+    """
+    cherokee = lambda a, b: "".join(map(chr, range(a, b)))
+    upper = F.translate(F.upper(F.translate(s, "\u0131\u1e9e", "\ue131\u00df")), "\u03a3", "\u03c3")
+    back = F.translate(F.lower(upper), "\ue131" + cherokee(0xAB70, 0xABC0) + cherokee(0x13F8, 0x13FE), "\u0131" + cherokee(0x13A0, 0x13F0) + cherokee(0x13F0, 0x13F6))
+    return F.when(F.octet_length(s) == F.char_length(s), F.lower(s)).otherwise(back)
+
+
 def house_number_key(s: Column) -> Column:
-    return F.lower(F.trim(s))
+    return casefold(F.trim(s))
 
 
 def municipality_key(s: Column) -> Column:
@@ -87,5 +100,13 @@ def municipality_key(s: Column) -> Column:
 
 
 def text_hash(*parts: Column) -> Column:
-    """SHA-256 of trimmed lower-case parts joined by bars; null parts count as empty."""
-    return F.sha2(F.array_join(F.array(*[F.coalesce(F.lower(F.trim(p)), F.lit("")) for p in parts]), "|"), 256)
+    """SHA-256 of trimmed case-folded parts joined by bars; null parts count as empty."""
+    return F.sha2(F.array_join(F.array(*[F.coalesce(casefold(F.trim(p)), F.lit("")) for p in parts]), "|"), 256)
+
+
+def payload_hash(json: Column) -> Column:
+    """SHA-256 of a JSON text in canonical form: keys in order at every depth, no spaces, characters as they are. Null if it is no JSON.
+
+    Numbers are compared by value: 1.50 and 1.5 are one.
+    """
+    return F.sha2(F.to_json(F.try_parse_json(json)), 256)

@@ -106,6 +106,14 @@ def accept_rows(rows: DataFrame, batches: DataFrame, accepted: DataFrame) -> Dat
     )
 
 
+def commit_counts(rows: DataFrame, batches: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Per batch with accepted rows: how many were accepted, how many the commit takes, and how many it skips, for whatever reason."""
+    keys = ["batch_id", "row_number"]
+    taken = accept_rows(rows, batches, accepted).select(*keys, F.lit(True).alias("__taken"))
+    each = accepted.select(*keys).distinct().join(taken, keys, "left")
+    return each.groupBy("batch_id").agg(F.count("*").alias("accepted"), F.count("__taken").alias("committed"), F.count_if(F.col("__taken").isNull()).alias("skipped"))
+
+
 def row_page(rows: DataFrame, after: int, limit: int, status: str | None = None) -> DataFrame:
     """A page of every batch: its first ``limit`` rows after row ``after``, of one status if asked, and one row more where ``more`` follow."""
     if status is not None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from homeround.storage import written
+
 RURAL_BUFFER, DEFAULT_SERVICE, DAY_START = 15, 45, 480
 
 
@@ -65,61 +69,113 @@ def visit_service(visits_kind: Column, minutes: Column) -> Column:
     return F.coalesce(minutes, F.lit(DEFAULT_SERVICE)) + F.when(visits_kind == "rural", RURAL_BUFFER).otherwise(0)
 
 
-def visit_priority(visits: DataFrame) -> DataFrame:
-    """Visits in placement order per plan, with the conflict that keeps one out: unconfirmed first, then a repeated patient."""
+#: Placement order of the visits of a plan.
+ORDER = ("__late", "__length", "__rural", "zone_id", "patient_id")
+
+
+def _marked(visits: DataFrame) -> DataFrame:
+    """Visits with the conflict that keeps one out, unconfirmed first, then a repeated patient, and the columns of their order."""
     length = F.coalesce((F.col("window_end") - F.col("window_start")).cast("double"), F.lit(1e9))
     once = Window.partitionBy("plan_id", "patient_id").orderBy("zone_id")
     marked = visits.withColumn("__nth", F.when(F.col("geocode_confirmed"), F.count_if(F.col("geocode_confirmed")).over(once)))
     marked = marked.withColumn("conflict", F.when(~F.col("geocode_confirmed"), "ADDRESS_NOT_CONFIRMED").when(F.col("__nth") > 1, "DUPLICATE_PATIENT"))
-    order = Window.partitionBy("plan_id").orderBy(F.col("conflict").isNotNull(), length, F.when(F.col("kind") == "rural", 0).otherwise(1), "zone_id", "patient_id")
-    return marked.withColumn("priority", F.row_number().over(order)).drop("__nth")
+    return marked.drop("__nth").withColumns({"__late": F.col("conflict").isNotNull(), "__length": length, "__rural": F.when(F.col("kind") == "rural", 0).otherwise(1)})
+
+
+def visit_priority(visits: DataFrame) -> DataFrame:
+    """Visits numbered in placement order per plan, with the conflict that keeps one out.
+
+    A sort by ranges deals a large plan to many tasks; each numbers its part, and the parts before it are counted.
+    """
+    part = ["plan_id", "__part"]
+    ranged = written(_marked(visits).repartitionByRange("plan_id", *ORDER).withColumn("__part", F.spark_partition_id()), "visits")
+    earlier = F.sum("n").over(Window.partitionBy("plan_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    before = ranged.groupBy(*part).agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(earlier, F.lit(0)))
+    here = F.row_number().over(Window.partitionBy(*part).orderBy(*ORDER))
+    rows = ranged.withColumn("__here", here).join(before.select(*part, "__before"), part)
+    return rows.withColumn("priority", (F.col("__before") + F.col("__here")).cast("int")).drop(*ORDER[:3], "__part", "__here", "__before")
 
 
 PLACED = "plan_id {plan}, patient_id {patient}, zone_id string, date date, code string"
 
 
-def place_plan(visits: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
-    """Each visit in priority order takes the open day of least (zone affinity, visits left or placed, date), or a conflict code."""
-    days = days.sort_values("date")
-    state = [
-        {
-            "date": d.date, "visits": int(d.capacity_visits), "minutes": int(d.capacity_minutes), "cap": (int(d.capacity_visits), int(d.capacity_minutes)), "zones": [],
-            "from": DAY_START if pd.isna(d.window_start) else int(d.window_start),
-            "to": DAY_START + int(d.capacity_minutes) if pd.isna(d.window_end) else int(d.window_end),
-            "off": bool(getattr(d, "off", False)),
-        }
-        for d in days.itertuples()
-    ]
-    out = []
-    for v in visits.sort_values("priority").itertuples():
+class PlanDays:
+    """The working days of one plan with what is left of each: one record a day, however many visits are placed."""
+
+    def __init__(self) -> None:
+        self.state: list[dict] = []
+
+    def add(self, d) -> None:
+        self.state.append(
+            {
+                "date": d.date, "visits": int(d.capacity_visits), "minutes": int(d.capacity_minutes), "cap": (int(d.capacity_visits), int(d.capacity_minutes)), "zones": set(), "placed": 0,
+                "from": DAY_START if pd.isna(d.window_start) else int(d.window_start),
+                "to": DAY_START + int(d.capacity_minutes) if pd.isna(d.window_end) else int(d.window_end),
+                "off": getattr(d, "off", False) in (True, 1),
+            }
+        )
+
+    def place(self, v) -> tuple:
+        """(date, code): the open day of least (zone affinity, visits left or placed, date), or why there is none."""
         need = (DEFAULT_SERVICE if pd.isna(v.service_minutes) else int(v.service_minutes)) + (RURAL_BUFFER if v.kind == "rural" else 0)
         free = pd.isna(v.window_start) or pd.isna(v.window_end)
-        fit = [s for s in state if free or (v.window_start < s["to"] and s["from"] < v.window_end)]
+        fit = [s for s in self.state if free or (v.window_start < s["to"] and s["from"] < v.window_end)]
         there = [s for s in fit if not s["off"]]
         open_ = [s for s in there if s["visits"] >= 1 and s["minutes"] >= need]
         code = (
-            "UNSCHEDULABLE" if not state else "WINDOW_OUTSIDE_WORKDAY" if not fit else "VISITOR_UNAVAILABLE" if not there
+            "UNSCHEDULABLE" if not self.state else "WINDOW_OUTSIDE_WORKDAY" if not fit else "VISITOR_UNAVAILABLE" if not there
             else "CAPACITY_EXCEEDED" if all(need > s["cap"][1] or s["cap"][0] < 1 for s in there) else None if open_ else "UNSCHEDULABLE"
         )
-        day = None
-        if code is None:
-            rank = lambda s: (0, s["visits"]) if v.zone_id in s["zones"] else (2 if s["zones"] else 1, len(s["zones"]))
-            best = min(open_, key=lambda s: (*rank(s), s["date"]))
-            best["visits"] -= 1
-            best["minutes"] -= need
-            best["zones"].append(v.zone_id)
-            day = best["date"]
-        out.append((v.plan_id, v.patient_id, v.zone_id, day, code))
+        if code is not None:
+            return None, code
+        rank = lambda s: (0, s["visits"]) if v.zone_id in s["zones"] else (2 if s["placed"] else 1, s["placed"])
+        best = min(open_, key=lambda s: (*rank(s), s["date"]))
+        best["visits"] -= 1
+        best["minutes"] -= need
+        best["placed"] += 1
+        best["zones"].add(v.zone_id)
+        return best["date"], None
+
+
+def place_plan(visits: pd.DataFrame, days: pd.DataFrame) -> pd.DataFrame:
+    """One plan's visits in priority order."""
+    plan = PlanDays()
+    for d in days.sort_values("date").itertuples():
+        plan.add(d)
+    out = [(v.plan_id, v.patient_id, v.zone_id, *plan.place(v)) for v in visits.sort_values("priority").itertuples()]
     return pd.DataFrame(out, columns=["plan_id", "patient_id", "zone_id", "date", "code"])
 
 
 def place_visits(visits: DataFrame, days: DataFrame) -> DataFrame:
-    """Placement per plan: plans run in parallel, inside one the order decides. Conflicts found before placement are carried along."""
-    ranked = visit_priority(visits)
+    """Placement per plan. Conflicts found before placement are carried along.
+
+    Days and visits of a plan meet by one shuffle and are sorted, days first; a task streams through its plans and holds one batch of rows and the
+    days of one plan, so a plan of any size takes bounded memory. Plans run in parallel; inside one the order decides.
+    """
+    marked = _marked(visits)
     schema = PLACED.format(plan=visits.schema["plan_id"].dataType.simpleString(), patient=visits.schema["patient_id"].dataType.simpleString())
-    cols = ["plan_id", "date", "capacity_visits", "capacity_minutes", "window_start", "window_end"]
-    placed = ranked.where("conflict is null").groupBy("plan_id").cogroup(days.select(*cols).groupBy("plan_id")).applyInPandas(place_plan, schema)
-    before = ranked.where("conflict is not null").select("plan_id", "patient_id", "zone_id", F.lit(None).cast("date").alias("date"), F.col("conflict").alias("code"))
+    day = [c for c in ("date", "capacity_visits", "capacity_minutes", "window_start", "window_end", "off") if c in days.columns]
+    good = marked.where("conflict IS NULL").select("plan_id", F.lit(1).alias("__what"), *ORDER, "kind", "service_minutes", "window_start", "window_end")
+    rows = days.select("plan_id", F.lit(0).alias("__what"), *day).unionByName(good, allowMissingColumns=True)
+    rows = rows.repartition("plan_id").sortWithinPartitions("plan_id", "__what", "date", *ORDER)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, plan = None, PlanDays()
+        for batch in batches:
+            out = []
+            for r in batch.rename(columns={"__what": "what"}).itertuples(index=False):
+                if r.plan_id != now:
+                    now, plan = r.plan_id, PlanDays()
+                if r.what == 0:
+                    plan.add(r)
+                else:
+                    out.append((r.plan_id, r.patient_id, r.zone_id, *plan.place(r)))
+            if out:
+                made = pd.DataFrame(out, columns=["plan_id", "patient_id", "zone_id", "date", "code"])
+                yield made.astype({"patient_id": batch["patient_id"].dropna().infer_objects().dtype if batch["patient_id"].dtype == object else "int64"})
+
+    placed = rows.mapInPandas(run, schema)
+    before = marked.where("conflict IS NOT NULL").select("plan_id", "patient_id", "zone_id", F.lit(None).cast("date").alias("date"), F.col("conflict").alias("code"))
     return placed.unionByName(before)
 
 

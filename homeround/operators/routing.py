@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -190,25 +192,93 @@ def proven_infeasible(checked: DataFrame, pairs: DataFrame, vehicles: int = 1) -
     return alone.union(pairs.select("route_id")).distinct() if vehicles == 1 else alone.distinct()
 
 
-def tour(cost: np.ndarray) -> list[int]:
-    """Order of all nodes from 0 and back: nearest arc from the depot, then 2-opt moves while they help."""
-    n = len(cost)
-    order, left = [0], set(range(1, n))
-    while left:
-        order.append(min(left, key=lambda j: (cost[order[-1], j], j)))
-        left.remove(order[-1])
-    total = lambda o: cost[o, [*o[1:], o[0]]].sum()
-    best, better = total(order), True
+#: Exchanges of four arcs that a tour tries after it has settled.
+KICKS = 1
+
+
+@functools.cache
+def _orders(n: int) -> np.ndarray:
+    """All orders of n nodes from node 0."""
+    return np.array([(0, *rest) for rest in itertools.permutations(range(1, n))])
+
+
+def _turn(cost: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """2-opt: a stretch is turned round wherever that helps, first come, until none does. Running sums of arcs both ways give each change in one step."""
+    n = len(order)
+    better = True
     while better:
         better = False
         for i in range(1, n - 1):
-            for j in range(i + 1, n):
-                new = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
-                if (t := total(new)) < best - 1e-9:
-                    order, best, better = new, t, True
+            j = i + 1
+            while j < n:
+                after = np.append(order[1:], order[0])
+                ahead = np.cumsum(cost[order, after] - cost[after, order])  # ahead[k]: arcs up to k there, less those back
+                ends = order[j:]
+                change = cost[order[i - 1], ends] - cost[order[i - 1], order[i]] + cost[order[i], after[j:]] - cost[ends, after[j:]] - (ahead[j - 1 : n - 1] - ahead[i - 1])
+                helps = np.flatnonzero(change < -1e-9)
+                if not len(helps):
+                    break
+                j += int(helps[0])
+                order = np.concatenate([order[:i], order[i : j + 1][::-1], order[j + 1 :]])
+                better = True
+                j += 1
     return order
 
 
+def _shift(cost: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Stretches of up to three nodes move to the best place, turned or not, while that helps."""
+    n, moved = len(order), False
+    for size in (1, 2, 3):
+        i = 1
+        while i + size <= n:
+            part, rest = order[i : i + size], np.concatenate([order[:i], order[i + size :]])
+            to = np.append(rest[1:], rest[0])
+            gain = cost[order[i - 1], part[0]] + cost[part[-1], order[(i + size) % n]] - cost[order[i - 1], order[(i + size) % n]]
+            inner = cost[part[:-1], part[1:]].sum() - cost[part[1:], part[:-1]].sum()
+            straight = cost[rest, part[0]] + cost[part[-1], to] - cost[rest, to]
+            turned = cost[rest, part[-1]] + cost[part[0], to] - cost[rest, to] - inner
+            k = int(np.minimum(straight, turned).argmin())
+            if min(straight[k], turned[k]) - gain < -1e-9:
+                order = np.concatenate([rest[: k + 1], part if straight[k] <= turned[k] else part[::-1], rest[k + 1 :]])
+                moved = True
+            else:
+                i += 1
+    return order, moved
+
+
+def _settle(cost: np.ndarray, order: np.ndarray) -> np.ndarray:
+    moved = True
+    while moved:
+        order, moved = _shift(cost, _turn(cost, order))
+    return order
+
+
+def tour(cost: np.ndarray) -> list[int]:
+    """Order of all nodes from 0 and back, of low cost: the best of all orders up to 7 nodes; beyond, nearest arcs, then stretches turned and
+    moved until nothing helps, then a few exchanges of four arcs, each settled in the same way and kept if it is better.
+    """
+    n = len(cost)
+    if n <= 2:
+        return list(range(n))
+    if n <= 7:
+        every = _orders(n)
+        return every[cost[every, np.roll(every, -1, axis=1)].sum(axis=1).argmin()].tolist()
+    order, left = [0], np.ones(n, bool)
+    left[0] = False
+    while len(order) < n:
+        order.append(int(np.where(left, cost[order[-1]], np.inf).argmin()))
+        left[order[-1]] = False
+    total = lambda o: cost[o, np.append(o[1:], o[0])].sum()
+    best = _settle(cost, np.array(order))
+    rng = np.random.default_rng(n)
+    for _ in range(KICKS):
+        a, b, c = np.sort(rng.choice(np.arange(1, n), 3, replace=False))
+        new = _settle(cost, np.concatenate([best[:a], best[b:c], best[a:b], best[c:]]))
+        if total(new) < total(best) - 1e-9:
+            best = new
+    return best.tolist()
+
+
 def sequence_routes(matrix: DataFrame) -> DataFrame:
     """Visiting order per route from its long matrix; node of least number is the depot.
 
@@ -374,10 +444,18 @@ def sequence_timed_routes(matrix: DataFrame, stops: DataFrame, objective: str =
     return _route_by_route(rows, solve, "position int, node long, status string")
 
 
-def navigation_link(points: Column, base: str = "https://maps.example/dir") -> Column:
-    """Points with coordinates as lat,lon at five decimals after the base."""
-    known = F.filter(points, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
-    return F.concat(F.lit(base + "/"), F.array_join(F.transform(known, lambda p: F.format_string("%.5f,%.5f", p["lat"], p["lon"])), "/"))
+def navigation_link(points: Column, origin: Column | None = None, destination: Column | None = None, base: str = "https://maps.example/dir") -> Column:
+    """Origin, points and destination with coordinates as lat,lon at five decimals after the base; a destination that is the last point is not repeated."""
+    place = lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))
+    known = lambda a: F.filter(a, lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    way = F.transform(known(points), place)
+    if origin is not None:
+        way = F.concat(known(F.array(place(origin))), way)
+    if destination is not None:
+        last = F.try_element_at(way, F.lit(-1))
+        end = F.filter(known(F.array(place(destination))), lambda p: ~p.eqNullSafe(last))
+        way = F.concat(way, end)
+    return F.concat(F.lit(base + "/"), F.array_join(F.transform(way, lambda p: F.format_string("%.5f,%.5f", p["lat"], p["lon"])), "/"))
 
 
 def snapshots(stops: DataFrame, patients: DataFrame) -> DataFrame:
@@ -467,6 +545,20 @@ def visible_routes(members: DataFrame, routes: DataFrame, shares: DataFrame) ->
     return editor.union(field).union(shares.where("active").select("user_id", "route_id")).distinct()
 
 
+def may_see(asked: DataFrame, members: DataFrame, routes: DataFrame, shares: DataFrame) -> DataFrame:
+    """Asked (user_id, route_id) pairs with the reason why the user sees the route: editor, assignee or share; null if not.
+
+    The rule is looked up for what is asked: no table of all users and routes is made. A user who is no member of the route's
+    organization sees nothing; an unknown route is seen by nobody.
+    """
+    role = lambda name: F.bool_or(F.col("role") == name).alias(f"__{name}")
+    m = members.groupBy("organization_id", "user_id").agg(role("editor"), role("field"))
+    shared = shares.where("active").select("user_id", "route_id", F.lit(True).alias("__share")).distinct()
+    rows = asked.join(routes.select("route_id", "organization_id", "assignee"), "route_id", "left").join(m, ["organization_id", "user_id"], "left").join(shared, ["user_id", "route_id"], "left")
+    reason = F.when(F.col("__editor"), "editor").when(F.col("__field") & (F.col("assignee") == F.col("user_id")), "assignee").when(F.col("__field").isNotNull() & F.col("__share"), "share")
+    return rows.select(*asked.columns, reason.alias("reason"))
+
+
 def next_revisions(revisions: DataFrame) -> DataFrame:
     w = Window.partitionBy("route_id")
     return revisions.withColumn("is_current", F.row_number().over(w.orderBy(F.desc("revision_no"))) == 1).withColumn("next_no", F.max("revision_no").over(w) + 1)
@@ -483,6 +575,23 @@ def reorder(stops: DataFrame, requested: DataFrame) -> DataFrame:
     return rows.withColumns(new).select(*stops.columns, "reason")
 
 
+def replace_stops(stops: DataFrame, requested: DataFrame, minutes: int = 45) -> DataFrame:
+    """Routes with a request (route_id, patients) get its patients as stops, 1..n, a version more; service minutes carry over from before, ``minutes`` for new ones.
+
+    Columns route_id, patient_id, sequence, service_minutes, version, reason. A request that names a patient twice, or nobody, changes nothing and
+    has its reason on the old stops; other routes stay.
+    """
+    keys = ["route_id", "patient_id"]
+    bad = F.when(F.size("patients") == 0, "NO_STOPS").when(F.size(F.array_distinct("patients")) < F.size("patients"), "DUPLICATE_PATIENT")
+    judged = requested.withColumn("reason", bad)
+    before = stops.groupBy(*keys).agg(F.max_by("service_minutes", "sequence").alias("__minutes"))
+    versions = stops.groupBy("route_id").agg(F.max("version").alias("__version"))
+    new = judged.where("reason IS NULL").select("route_id", F.posexplode("patients").alias("__at", "patient_id")).join(before, keys, "left").join(versions, "route_id", "left")
+    made = new.select(*keys, (F.col("__at") + 1).alias("sequence"), F.coalesce("__minutes", F.lit(minutes)).alias("service_minutes"), (F.coalesce("__version", F.lit(0)) + 1).alias("version"), F.lit(None).cast("string").alias("reason"))
+    old = stops.join(judged.where("reason IS NULL").select("route_id"), "route_id", "left_anti").join(judged.where("reason IS NOT NULL").select("route_id", "reason"), "route_id", "left")
+    return old.select(*keys, "sequence", "service_minutes", "version", "reason").unionByName(made)
+
+
 def mark_stale(metrics: DataFrame, reordered: DataFrame) -> DataFrame:
     """Metrics (revision_id) whose route was reordered are stale until they are computed again."""
     return metrics.join(reordered.select("revision_id", F.lit(True).alias("__new")).distinct(), "revision_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)) | F.coalesce("__new", F.lit(False))).drop("__new")
@@ -501,8 +610,14 @@ def published_documents(order: DataFrame, metrics: DataFrame, revisions: DataFra
 
 
 def shared_view(shares: DataFrame, stops: DataFrame) -> DataFrame:
-    """What an active share shows of its route: stops in order with service minutes and status, no patient."""
-    return shares.where("active").select("share_id", "route_id").join(stops.select("route_id", "sequence", "service_minutes", "status"), "route_id")
+    """What an active share shows of its route: its day, how many stops it has, and their sequences; no person, place, service or status.
+
+    ``permission`` and ``expires_at`` of the share stay where it has them. A route without stops has 0 and an empty list.
+    """
+    per = stops.groupBy("route_id").agg(F.max("service_date").alias("service_date"), F.count("*").alias("stop_count"), F.sort_array(F.collect_list("sequence")).alias("sequences"))
+    kept = [c for c in ("permission", "expires_at") if c in shares.columns]
+    rows = shares.where("active").select("share_id", "route_id", *kept).join(per, "route_id", "left")
+    return rows.withColumns({"stop_count": F.coalesce("stop_count", F.lit(0)), "sequences": F.coalesce("sequences", F.array().cast("array<int>"))})
 
 
 def foreign_patients(requested: DataFrame, patients: DataFrame) -> DataFrame:

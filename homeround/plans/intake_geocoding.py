@@ -37,6 +37,11 @@ def _accepted(v):
     return I.accept_rows(rows, I.batch_summary(rows), picked)
 
 
+def _commits(v):
+    rows = I.checked_rows(v("import_rows"))
+    return I.commit_counts(rows, I.batch_summary(rows), rows.where("row_number % 3 <> 0").select("batch_id", "row_number"))
+
+
 def _fixes(v):
     rows = v("import_rows").where("length(postal_code) <> 5")
     return rows.select("batch_id", "row_number", F.lit("48001").alias("postal_code"), *[F.lit(None).cast("string").alias(f) for f in I.FIELDS if f != "postal_code"])
@@ -97,6 +102,7 @@ QUERIES = {
         "WITH t AS (SELECT address_id, trim(split_part(address, ',', 1)) AS a FROM addresses) SELECT address_id, CASE WHEN regexp_matches(a, '^.+?\\s+[0-9]+[A-Za-z]?$') THEN trim(regexp_extract(a, '^(.+?)\\s+([0-9]+[A-Za-z]?)$', 1)) ELSE a END AS street, CASE WHEN regexp_matches(a, '^.+?\\s+[0-9]+[A-Za-z]?$') THEN regexp_extract(a, '^(.+?)\\s+([0-9]+[A-Za-z]?)$', 2) END AS number FROM t"),
     "street_keys": (lambda v: v("addresses").select("address_id", text.street_key(F.col("address")).alias("street_key")),
         "SELECT address_id, trim(regexp_replace(" + KEY_SQL.format("replace(address, 'º', 'o')") + ", ' +', ' ', 'g')) AS street_key FROM addresses"),
+    "commit_counts": (_commits, f"WITH {ERRORS_SQL} SELECT batch_id, count(*) AS accepted, count(*) FILTER (errors = '') AS committed, count(*) FILTER (errors <> '') AS skipped FROM rows_ WHERE row_number % 3 <> 0 GROUP BY 1"),
     "query_hashes": (lambda v: v("addresses").select("address_id", text.text_hash(F.col("address"), F.col("postal_code"), F.col("municipality")).alias("query_hash")),
         "SELECT address_id, sha256(lower(trim(address)) || '|' || postal_code || '|' || lower(municipality)) AS query_hash FROM addresses"),
     "gazetteer_lookup": (lambda v: _lookup(v).select("p_partkey", "point_no", "with_postal_code"),

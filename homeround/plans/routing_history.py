@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from homeround.functions import text
 from homeround.operators import routing as R
 
 
@@ -42,6 +43,30 @@ def _shares(v):
         F.when(F.col("event_id") % 5 == 0, F.col("ts")).alias("revoked_at"), F.when(F.col("event_id") % 3 == 0, F.col("ts")).alias("expires_at")), F.to_timestamp_ntz(F.lit("2024-01-15")))
 
 
+def _members(v):
+    return v("customer").select(F.col("c_nationkey").alias("organization_id"), F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 97 == 0, "editor").otherwise("field").alias("role"))
+
+
+def _routes(v):
+    return v("orders").join(v("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("organization_id"), F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("assignee"))
+
+
+def _access(v):
+    """Each event asks for a route of its user: the one of its own number, or one shared."""
+    asked = v("events").select("event_id", "user_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 4).otherwise(F.col("event_id")).alias("route_id"))
+    own = v("orders").where("o_orderkey % 3 = 0").select((-F.col("o_orderkey")).alias("event_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("route_id"))
+    return R.may_see(asked.unionByName(own), _members(v), _routes(v), _shares(v))
+
+
+def _replaced(v):
+    """Every third route keeps its first two patients, the other way round, before a new one; every fifth asks for one patient twice."""
+    stops = v("stops").select("route_id", "patient_id", "sequence", "service_minutes", F.lit(1).alias("version"))
+    first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("sequence", "patient_id"))), 1, 2), lambda s: s["patient_id"])
+    asked = stops.where("route_id % 3 = 0 OR route_id % 5 = 0").groupBy("route_id").agg(first.alias("p"))
+    patients = F.when(F.col("route_id") % 5 == 0, F.array(F.col("p")[0], F.col("p")[0])).otherwise(F.concat(F.reverse(F.array_distinct("p")), F.array(-F.col("route_id"))))
+    return R.replace_stops(stops, asked.select("route_id", patients.alias("patients")))
+
+
 def _visible(v):
     members = v("customer").select("c_nationkey", F.col("c_custkey").alias("user_id"), F.when(F.col("c_custkey") % 97 == 0, "editor").otherwise("field").alias("role")).withColumnRenamed("c_nationkey", "organization_id")
     routes = v("orders").join(v("customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("organization_id"), F.col("o_orderkey").alias("route_id"), F.col("o_custkey").alias("assignee"))
@@ -116,8 +141,24 @@ QUERIES = {
     "history_search": (lambda v: R.history_page(_published(v), 20, since=F.lit("1995-01-01").cast("timestamp_ntz"), until=F.lit("2000-12-31").cast("timestamp_ntz"), reference="PAC-7", organization_id=5).select("revision_id"),
         "SELECT revision_id FROM stops WHERE organization_id = 5 GROUP BY 1 HAVING max(service_date) BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '2000-12-31' AND bool_or(patient_id = 7) ORDER BY max(service_date) DESC, revision_id DESC LIMIT 21"),
     "active_shares": (lambda v: _shares(v).select("share_id", "reason", "active"), f"WITH {SHARE_SQL} SELECT share_id, reason, reason IS NULL AS active FROM sh"),
-    "shared_minimal_view": (lambda v: R.shared_view(_shares(v), v("stops")).groupBy("share_id", "route_id").agg(F.count("*").alias("n_stops"), F.array_join(F.sort_array(F.collect_list("sequence")), ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
+    "shared_minimal_view": (lambda v: R.shared_view(_shares(v), v("stops")).where("stop_count > 0").select("share_id", "route_id", F.col("stop_count").alias("n_stops"), F.array_join("sequences", ",").alias("sequences")), f"WITH {SHARE_SQL} SELECT share_id, route_id, count(*) AS n_stops, string_agg(CAST(sequence AS STRING), ',' ORDER BY sequence) AS sequences FROM sh JOIN stops USING (route_id) WHERE reason IS NULL GROUP BY ALL"),
     "route_visibility": (_visible, f"WITH {SHARE_SQL}, r AS (SELECT c_nationkey AS org, o_orderkey AS route_id, o_custkey AS assignee FROM orders JOIN customer ON o_custkey = c_custkey) SELECT c_custkey AS user_id, route_id FROM customer JOIN r ON org = c_nationkey WHERE c_custkey % 97 = 0 UNION SELECT assignee, route_id FROM r WHERE assignee % 97 <> 0 UNION SELECT user_id, route_id FROM sh WHERE reason IS NULL"),
+    "route_access": (_access, f"""WITH {SHARE_SQL}, r AS (SELECT c_nationkey AS org, o_orderkey AS route_id, o_custkey AS assignee FROM orders JOIN customer ON o_custkey = c_custkey),
+ a AS (SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN event_id * 4 ELSE event_id END AS route_id FROM events UNION ALL SELECT -o_orderkey, o_custkey, o_orderkey FROM orders WHERE o_orderkey % 3 = 0)
+ SELECT event_id, a.user_id, a.route_id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 97 = 0 THEN 'editor' WHEN assignee = a.user_id THEN 'assignee' WHEN EXISTS (SELECT 1 FROM sh WHERE sh.user_id = a.user_id AND sh.route_id = a.route_id AND reason IS NULL) THEN 'share' END AS reason
+ FROM a LEFT JOIN r ON r.route_id = a.route_id LEFT JOIN customer ON c_custkey = a.user_id AND c_nationkey = r.org"""),
+    "replace_stops": (_replaced, """WITH k AS (SELECT route_id, patient_id, max_by(service_minutes, sequence) AS m FROM stops GROUP BY ALL), p AS (SELECT route_id, list(patient_id ORDER BY sequence)[1:2] AS p FROM stops GROUP BY 1),
+ q AS (SELECT route_id, CASE WHEN route_id % 5 = 0 THEN NULL WHEN len(p) = 2 AND p[1] <> p[2] THEN [p[2], p[1], -route_id] ELSE [p[1], -route_id] END AS p FROM p WHERE route_id % 3 = 0 OR route_id % 5 = 0),
+ n AS (SELECT route_id, unnest(p) AS patient_id, unnest(range(1, len(p) + 1)) AS sequence FROM q WHERE p IS NOT NULL)
+ SELECT n.route_id, n.patient_id, CAST(n.sequence AS INT) AS sequence, coalesce(m, 45) AS service_minutes, 2 AS version, NULL AS reason FROM n LEFT JOIN k USING (route_id, patient_id)
+ UNION ALL SELECT route_id, patient_id, sequence, service_minutes, 1, CASE WHEN route_id % 5 = 0 THEN 'DUPLICATE_PATIENT' END FROM stops WHERE route_id % 5 = 0 OR route_id % 3 <> 0"""),
+    "payload_hashes": (lambda v: v("orders").select(F.col("o_orderkey").alias("id"), text.payload_hash(F.when(F.col("o_orderkey") % 7 == 0, F.lit("{broken")).when(
+        F.col("o_orderkey") % 2 == 0, F.format_string('{ "b" : {"y":[1, {"d":2,"c":"%s"}], "x": null}, "a":%d}', "o_orderpriority", "o_orderkey")).otherwise(F.format_string('{"a":%d,"b":{"x":null, "y":[1,{"c":"%s", "d":2}]}}', "o_orderkey", "o_orderpriority"))).alias("request_hash")),
+        """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN sha256(format('{{"a":{},"b":{{"x":null,"y":[1,{{"c":"{}","d":2}}]}}}}', o_orderkey, o_orderpriority)) END AS request_hash FROM orders"""),
+    "navigation_tours": (lambda v: v("stops").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("sequence", F.col("latitude").alias("lat"), F.col("longitude").alias("lon")))).alias("p")).select("route_id", R.navigation_link(F.col("p"),
+        F.struct(F.when(F.col("route_id") % 2 == 0, 43.25).alias("lat"), F.lit(-2.5).alias("lon")), F.when(F.col("route_id") % 3 == 0, F.struct(F.try_element_at("p", F.lit(-1))["lat"].alias("lat"), F.try_element_at("p", F.lit(-1))["lon"].alias("lon"))).otherwise(F.struct(F.lit(43.5).alias("lat"), F.lit(-2.25).alias("lon")))).alias("link")),
+        """WITH w AS (SELECT route_id, list(printf('%.5f,%.5f', latitude, longitude) ORDER BY sequence) FILTER (longitude IS NOT NULL) AS p FROM stops GROUP BY 1)
+ SELECT route_id, 'https://maps.example/dir/' || array_to_string(list_concat(CASE WHEN route_id % 2 = 0 THEN ['43.25000,-2.50000'] ELSE [] END, coalesce(p, []), CASE WHEN route_id % 3 = 0 THEN [] ELSE ['43.50000,-2.25000'] END), '/') AS link FROM w"""),
     "revisions": (lambda v: R.next_revisions(v("orders").select(F.col("o_custkey").alias("route_id"), F.row_number().over(R.Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("revision_no"))), "WITH r AS (SELECT o_custkey AS route_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS revision_no FROM orders) SELECT *, revision_no = max(revision_no) OVER (PARTITION BY route_id) AS is_current, max(revision_no) OVER (PARTITION BY route_id) + 1 AS next_no FROM r"),
     "reorder_stops": (lambda v: R.reorder(v("stops").select("route_id", "patient_id", "sequence", "service_minutes", F.lit(1).alias("version")), v("stops").groupBy("route_id").agg(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("sequence", "patient_id")))), lambda s: s["patient_id"]).alias("p"), F.count("*").alias("n")).select("route_id", F.when(F.col("n") % 3 == 0, F.slice("p", 1, 1)).otherwise(F.col("p")).alias("patients"))).groupBy("route_id", "reason").agg(F.sum(F.col("sequence") * F.col("patient_id")).alias("checksum"), F.sum(F.col("version") * F.col("service_minutes")).alias("minutes")),
         "WITH n AS (SELECT *, count(*) OVER w AS n FROM stops WINDOW w AS (PARTITION BY route_id)), d AS (SELECT route_id, count(DISTINCT patient_id) AS d FROM stops GROUP BY 1) SELECT route_id, CASE WHEN NOT (n % 3 <> 0 AND d = n OR n = 1) THEN 'STOP_ORDER_NOT_PERMUTATION' END AS reason, CAST(sum(CASE WHEN n % 3 <> 0 AND d = n THEN (n + 1 - sequence) * patient_id ELSE sequence * patient_id END) AS BIGINT) AS checksum, CAST(sum(service_minutes * CASE WHEN n % 3 <> 0 AND d = n OR n = 1 THEN 2 ELSE 1 END) AS BIGINT) AS minutes FROM n JOIN d USING (route_id) GROUP BY route_id, n, d"),

@@ -1,10 +1,15 @@
 """Operators on crowded inputs: the same results as plain versions, with work that does not grow with pairs."""
 
+import hashlib
+import json
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from homeround.operators import zoning
+from homeround.functions import text
+from homeround.operators import planning, routing, zoning
 
 
 def plain_counts(x, y, w, own, r):
@@ -67,3 +72,94 @@ def test_a_dense_town_has_as_many_links_as_squares(spark):
     squares = town.select(F.floor(F.col("x") / (zoning.RURAL_EPS_M / 1.4143)), F.floor(F.col("y") / (zoning.RURAL_EPS_M / 1.4143))).distinct().count()
     assert links.count() <= 12 * squares < 500
     assert zoning.rural_groups(town).select("group").distinct().count() == 1
+
+
+def old_tour(cost):
+    """Nearest arcs, then any stretch turned round while the whole tour gets shorter."""
+    n = len(cost)
+    order, left = [0], set(range(1, n))
+    while left:
+        order.append(min(left, key=lambda j: (cost[order[-1], j], j)))
+        left.remove(order[-1])
+    total = lambda o: cost[o, [*o[1:], o[0]]].sum()
+    best, better = total(order), True
+    while better:
+        better = False
+        for i in range(1, n - 1):
+            for j in range(i + 1, n):
+                new = order[:i] + order[i : j + 1][::-1] + order[j + 1 :]
+                if (t := total(new)) < best - 1e-9:
+                    order, best, better = new, t, True
+    return order
+
+
+@pytest.mark.parametrize("kind", ["plane", "one way", "whole numbers"])
+def test_tours_are_never_worse_than_turning_alone(kind):
+    rng = np.random.default_rng(3)
+    better = 0
+    for n in (1, 2, 3, 5, 7, 8, 9, 12, 25, 25, 40):
+        xy = rng.random((n, 2))
+        cost = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2)) if kind == "plane" else rng.random((n, n)) if kind == "one way" else rng.integers(1, 9, (n, n)).astype(float)
+        new, old = routing.tour(cost), old_tour(cost)
+        assert new[0] == 0 and sorted(new) == list(range(n)) and routing.tour(cost) == new
+        total = lambda o: cost[o, [*o[1:], o[0]]].sum()  # noqa: B023, E731
+        assert total(new) <= total(old) + 1e-9
+        better += total(new) < total(old) - 1e-9
+    assert better >= 2
+
+
+def test_long_tours_are_quick():
+    xy = np.random.default_rng(6).random((120, 2))
+    cost = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+    start = time.process_time()
+    routing.tour(cost)
+    assert time.process_time() - start < 1.5  # some 0.1 s on a free core
+
+
+def test_one_large_plan_is_placed_as_a_stream(spark):
+    """The same days as one pass in memory gives, with batches of 100 rows, for a plan whose visits come as many."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        visits = spark.range(6_000).select(
+            F.when(F.col("id") < 5_000, 1).otherwise(F.col("id") % 3).cast("int").alias("plan_id"), F.col("id").alias("patient_id"), F.concat(F.lit("Z"), F.col("id") % 7).alias("zone_id"),
+            F.when(F.col("id") % 4 == 0, "rural").otherwise("urban").alias("kind"), (F.col("id") % 19 != 0).alias("geocode_confirmed"), F.when(F.col("id") % 5 != 0, 20 + F.col("id") % 40).cast("int").alias("service_minutes"),
+            F.when(F.col("id") % 6 == 0, 480 + 60 * (F.col("id") % 5)).cast("int").alias("window_start"), F.when(F.col("id") % 6 == 0, 600 + 60 * (F.col("id") % 7)).cast("int").alias("window_end"),
+        )
+        days = spark.range(40).select(F.when(F.col("id") < 20, 1).otherwise(2).cast("int").alias("plan_id"), F.date_add(F.lit("2026-09-01").cast("date"), (F.col("id") % 20).cast("int")).alias("date"), F.lit(150).alias("capacity_visits"), F.lit(6_000).alias("capacity_minutes"), F.lit(None).cast("int").alias("window_start"), F.lit(None).cast("int").alias("window_end"))
+        got = sorted((tuple(r) for r in planning.place_visits(visits, days).collect()), key=str)
+        ranked, per_day = planning.visit_priority(visits).toPandas(), days.toPandas()
+        none = {c: None for c in ("date",)}
+        expected = []
+        for plan, part in ranked.groupby("plan_id"):
+            placed = planning.place_plan(part[part.conflict.isna()], per_day[per_day.plan_id == plan])
+            expected += [tuple(r) for r in placed.itertuples(index=False)]
+            expected += [(plan, v.patient_id, v.zone_id, none["date"], v.conflict) for v in part[part.conflict.notna()].itertuples()]
+        plain = lambda r: (int(r[0]), int(r[1]), r[2], r[3] if r[3] is not None and r[3] == r[3] else None, r[4])
+        assert got == sorted((plain(r) for r in expected), key=str)
+        assert {r[4] for r in got} >= {None, "UNSCHEDULABLE", "ADDRESS_NOT_CONFIRMED"} and len(got) == 6_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_case_folding(spark):
+    texts = ["Straße", "ΟΔΟΣ ΣΑΣ", "ﬁx ŉ ǰ", "İstanbul ISPARTA ı", "ẞ ᾳ ᾼ", "ꭰᎠᏸ", "Plain ABC", "ÑÜ Å"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.casefold(F.col("t")).alias("got")).collect()
+    assert [r.got for r in rows] == [t.casefold() for t in texts]
+    every = "".join(chr(i) for i in range(0x20, 0x1F000) if chr(i).isalpha() and not 0xD800 <= i < 0xE000 and len(chr(i).casefold()) and chr(i) != "Σ")
+    chars = spark.createDataFrame([(c,) for c in every], "t string").select("t", text.casefold(F.col("t")).alias("got")).where("t <> got OR t = got").collect()
+    assert [r.t for r in chars if r.got != r.t.casefold()] == []
+
+
+def test_payload_hashes(spark):
+    same = ['{"b":[1,{"d":"é","c":null}],"a":"x\\ty"}', '{ "a" : "x\\ty",\n "b" : [1, {"c":null, "d":"\\u00e9"}] }']
+    other = ['{"b":[1,{"d":"e","c":null}],"a":"x\\ty"}', '{"b":[{"d":"é","c":null},1],"a":"x\\ty"}', "{", None]
+    got = [r.h for r in spark.createDataFrame([(t,) for t in same + other], "t string").select(text.payload_hash(F.col("t")).alias("h")).collect()]
+    canonical = json.dumps(json.loads(same[0]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert got[0] == got[1] == hashlib.sha256(canonical.encode()).hexdigest() and len({*got[1:4]}) == 3 and got[4:] == [None, None]
+
+
+def test_plan_counts_and_hulls(spark):
+    rows = [(1, None), (1, "A"), (1, "A"), (1, "B"), (2, None)]
+    placed = spark.createDataFrame(rows, "plan_id int, code string")
+    assert sorted(map(tuple, planning.plan_metrics(placed).collect())) == [(1, 1, 3), (2, 1, 0)]
+    assert sorted(map(tuple, planning.conflict_counts(placed).collect())) == [(1, "A", 2), (1, "B", 1)]
