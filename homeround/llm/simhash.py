@@ -207,16 +207,17 @@ def _then_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEAR, shingle: int = SHINGLE) -> DataFrame:
     """(id, ``fp``, ``component_id``) per row: documents linked, directly or through others, at ``near`` or fewer differing bits.
 
-    Equal fingerprints collapse to one node, the smallest id, before any pairing, so a group of copies
-    of any size costs one node. ``component_id`` is the smallest id of the component. Documents without
-    words have fingerprint 0 and link like any other. A row with a null id takes the component of the
-    rows with its fingerprint, null if all their ids are null. Repeated rows each get their row.
+    Equal fingerprints collapse to one node before any pairing, so a group of copies of any size costs one node; ids come in afterwards.
+    ``component_id`` is the smallest id of the component. Documents without words have fingerprint 0 and link like any other. A row
+    with a null id links like any other and takes its component's id, null if all ids of the component are null. Repeated rows each get
+    their row.
     """
     fp = written(fingerprints(docs, text_col, [id_col], shingle), "fingerprints")
-    nodes = written(fp.groupBy("fp").agg(F.min(id_col).alias("node")).where("node is not null"), "nodes")
-    found = components(near_links(nodes, near))
-    labels = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fp.join(labels, "fp", "left").select(id_col, "fp", "component_id")
+    nodes = written(fp.groupBy("fp").agg(F.min(id_col).alias("id")), "nodes")
+    found = components(near_links(nodes.select(F.col("fp").alias("node"), "fp"), near))
+    labels = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    smallest = labels.groupBy("component").agg(F.min("id").alias("component_id"))
+    return fp.join(labels.join(smallest, "component").select("fp", "component_id"), "fp", "left").select(id_col, "fp", "component_id")
 
 
 def with_text_hash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
