@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TextBlock, Words, annotate
+from .common import TextBlock, Words, annotate, forget, written
 
 BASE = 0x9E3779B97F4A7C15
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -290,22 +290,28 @@ def _spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
 def _passes(items: DataFrame, window: int, part_bytes: int, pass_bytes: int) -> list:
     """Broadcast lists of automata; a list takes about ``pass_bytes`` at most, an automaton holds about ``part_bytes`` of item text."""
     spark = items.sparkSession
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = written(items.groupBy("text").agg(F.collect_set("id").alias("ids")), "items")  # a text's ids stay together, however many they are
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
+    if parts > 1:  # a file a part, so that each is read by itself
+        dealt = texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts))).repartitionByRange(min(parts, 1000), "part")
+        forget_after, texts = texts, written(dealt.sortWithinPartitions("part"), "item-parts")
+        forget(forget_after)
     out, held = [], []
     for k in range(parts):
-        part = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        ids, texts = [], []
-        for r in part.collect():  # one part, at most about ``part_bytes``
-            ids.append(r["id"])
-            texts.append(r["text"])
-        words = Words(TextBlock(pa.array(texts, pa.string())))
+        part = texts if parts == 1 else texts.where(F.col("part") == k)
+        ids, texts_of = [], []
+        for r in part.collect():  # one part, at most about ``part_bytes`` and its ids
+            ids.append(tuple(r["ids"]))
+            texts_of.append(r["text"])
+        words = Words(TextBlock(pa.array(texts_of, pa.string())))
         cut = [words.norm[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist())]
         made = Automaton([(i, cut[words.first[k] : words.first[k + 1]]) for k, i in enumerate(ids)], window)
         if held and sum(a.nbytes() for a in [*held, made]) > pass_bytes:
             out.append(spark.sparkContext.broadcast(held))
             held = []
         held.append(made)
+    forget(texts)
     return [*out, spark.sparkContext.broadcast(held)]
 
 
@@ -332,7 +338,7 @@ def _scan(docs: DataFrame, items: DataFrame, window: int, text_col: str, keep: l
                 for i, found in enumerate(_match(words, h, automaton)):
                     if found:
                         spans[i] += [(a, b) for a, b, _ in found]
-                        ids[i] |= {automaton.names[x] for _, _, own in found for x in own}
+                        ids[i].update(*(automaton.names[x] for _, _, own in found for x in own))
             spans, ids = [merged(s) for s in spans], [sorted(x - {None}) for x in ids]
             return finish(block, words, spans, ids) if final else [_spans(spans), pa.array(ids, pa.list_(pa.string()))]
 
@@ -351,7 +357,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = 10, text_col: st
     windows; ``hit_spans``, maximal hit runs of words; ``hit_bytes``, the same in bytes of the text.
 
     The automata are broadcast. Items are dealt by a hash of their texts into parts of about ``part_bytes`` (2 MB), one
-    automaton each (ten times its text in memory); automata of more than ``pass_bytes`` (160 MB) in all make further passes.
+    automaton each (ten times its text in memory); automata of more than ``pass_bytes`` (160 MB) in all make further passes. Each Python worker
+    holds the automata of one pass: an executor with four workers takes four times ``pass_bytes`` at most. Ids of one text are held together, once.
     ``item_id`` and ``item_text`` in ``how`` name the columns of ``items``. Null or
     empty texts have no words; items without words have no window; an item with a null id hits but is not
     listed. Repeated item rows count once, repeated documents each get their row. Input columns named like a result, in any case, are replaced.
