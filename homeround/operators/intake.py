@@ -42,21 +42,17 @@ def mark_duplicates(rows: DataFrame, stored: DataFrame | None = None) -> DataFra
     """Adds DUPLICATE_IN_BATCH (a later row of the batch with that reference), else DUPLICATE_IN_PERIOD.
 
     The second: the reference is in a valid row of another, not cancelled batch of the period, among ``rows`` or ``stored`` (rows checked
-    before, with validation_status). Blank references are
-    set apart by their own row, so that they form no skewed key. Both windows share one exchange by (organization, period, hash).
+    before, with validation_status). References are counted before the rows meet the counts, and only those found more than once are
+    kept, so a reference that very many rows share is a skewed join, which the adaptive planner splits; blank ones are set apart by their own row.
     """
     key = F.coalesce("reference_hash", F.concat(F.lit("row|"), F.col("batch_id"), F.lit("|"), F.col("row_number")))
-    by_period = Window.partitionBy("organization_id", "period", key)
-    in_batch = Window.partitionBy("organization_id", "period", key, "batch_id").orderBy("row_number")
+    by = ["organization_id", "period", "__key"]
     counts = (F.size("errors") == 0) & ~F.col("cancelled")
-    holder = F.when(counts, F.col("batch_id"))
-    marked = rows.withColumns(
-        {
-            "__low": F.min(holder).over(by_period),
-            "__high": F.max(holder).over(by_period),
-            "__nth": F.row_number().over(in_batch),
-        }
-    )
+    keyed = rows.withColumn("__key", key)
+    each = keyed.groupBy(*by, "batch_id").agg(F.count("*").alias("__rows"), F.min("row_number").alias("__first_row"), F.max(F.when(counts, F.col("batch_id"))).alias("__holder"))
+    per = each.groupBy(*by).agg(F.sum("__rows").alias("__all"), F.min("__holder").alias("__low"), F.max("__holder").alias("__high")).where("__all > 1").drop("__all")
+    repeated = each.join(per, by).select(*by, "batch_id", "__first_row", "__low", "__high")
+    marked = keyed.join(repeated, [*by, "batch_id"], "left").drop("__key").withColumn("__nth", F.when(F.col("row_number") > F.col("__first_row"), 2).otherwise(1)).drop("__first_row").select(*rows.columns, "__low", "__high", "__nth")
     if stored is not None:
         held = stored.where(F.col("validation_status").isin("valid", "corrected") & ~F.col("cancelled"))
         before = held.groupBy("organization_id", "period", "reference_hash").agg(F.min("batch_id").alias("__first"), F.max("batch_id").alias("__last"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from homeround.operators import routing
 
 OUTCOME = "stop_id long, event_id long, outcome string, status string, version int"
 STATE = "status string, version int, completed_at string, reason string"
@@ -68,33 +66,15 @@ def replay_reports(reports: DataFrame) -> DataFrame:
     return reports.groupBy("stop_id").applyInPandas(run, OUTCOME)
 
 
-def _stored(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What other batches have stored; None before the first."""
-    try:
-        return spark.read.option("basePath", path).parquet(path).where(F.col("load_id") != batch_id)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        return None
+def notification_stream(events: DataFrame, types: dict[str, str], at: str = "ts", delay: str = "7 days") -> DataFrame:
+    """One row an event and recipient, each once: an event that comes again within ``delay`` of its time changes nothing.
 
-
-def _store(rows: DataFrame, path: str, batch_id: int, *by: str) -> None:
-    """A batch has a folder of its own, which a retry replaces."""
-    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/load_id={batch_id}")
-
-
-def notify(types: dict[str, str], path: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: (event, recipient) rows that no other batch holds, so a rerun changes nothing. Of the table only files with these events are read."""
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        rows = routing.notifications(batch, types)
-        if (done := _stored(batch.sparkSession, path, batch_id)) is not None:
-            low, high = batch.agg(F.min("event_id"), F.max("event_id")).first()
-            done = done.where(F.col("event_id").between(low, high)).select("event_id", "recipient_id")
-            rows = rows.join(done, ["event_id", "recipient_id"], "left_anti")
-        _store(rows, path, batch_id)
-
-    return sink
+    What was sent is keyed state, dropped when the watermark has passed it, so nothing stored is read again; a file sink writes each batch once.
+    """
+    kind = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
+    rows = events.withWatermark(at, delay).withColumn("type", kind[F.col("event_type")]).where("type IS NOT NULL")
+    each = rows.select("event_id", "type", at, F.explode(F.array_distinct("recipients")).alias("recipient_id"))
+    return each.dropDuplicatesWithinWatermark(["event_id", "recipient_id"])
 
 
 def last_report_per_stop(reports: DataFrame) -> DataFrame:

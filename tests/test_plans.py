@@ -273,14 +273,6 @@ def test_names_of_a_house(spark):
     assert got == [(1, 1, "house", 43.0), (2, 1, "house", 43.1), (2, 2, "house", 43.0)]
 
 
-def test_notifications_are_written_once(spark, tmp_path):
-    sink = streams.notify({"a": "x"}, str(tmp_path / "n"))
-    batch = spark.createDataFrame([(1, "a", [5, 5, 6]), (2, "b", [5])], "event_id int, event_type string, recipients array<int>")
-    sink(batch, 0)
-    sink(batch, 1)
-    assert spark.read.parquet(str(tmp_path / "n")).count() == 2
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("﻿id_paciente;direccion\nPAC-1;C/ Mayor 1, 2\n", encoding="utf-8")
     (tmp_path / "b.csv").write_text("id_paciente,extra\nPAC-2,x\n", encoding="utf-8")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import time
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from homeround.functions import text
-from homeround.operators import planning, routing, zoning
+from homeround.operators import intake, planning, routing, zoning
 
 
 def plain_counts(x, y, w, own, r):
@@ -158,8 +159,46 @@ def test_payload_hashes(spark):
     assert got[0] == got[1] == hashlib.sha256(canonical.encode()).hexdigest() and len({*got[1:4]}) == 3 and got[4:] == [None, None]
 
 
-def test_plan_counts_and_hulls(spark):
+def test_plan_counts(spark):
     rows = [(1, None), (1, "A"), (1, "A"), (1, "B"), (2, None)]
     placed = spark.createDataFrame(rows, "plan_id int, code string")
     assert sorted(map(tuple, planning.plan_metrics(placed).collect())) == [(1, 1, 3), (2, 1, 0)]
     assert sorted(map(tuple, planning.conflict_counts(placed).collect())) == [(1, "A", 2), (1, "B", 1)]
+
+
+def corners(points):
+    """Those that see all others within less than half a turn."""
+    out = set()
+    for p in points:
+        turns = sorted(math.atan2(q[1] - p[1], q[0] - p[0]) for q in points if q != p)
+        gaps = [b - a for a, b in zip(turns, turns[1:])] + [turns[0] + 2 * math.pi - turns[-1]]
+        if max(gaps) > math.pi + 1e-9:
+            out.add(p)
+    return out
+
+
+def test_hulls_are_the_corners_in_turn():
+    rng = np.random.default_rng(8)
+    for n in (3, 4, 9, 40):
+        points = {(float(x), float(y)) for x, y in rng.integers(0, 8, (n, 2))} | {(0.0, 0.0), (7.0, 1.0), (2.0, 9.0)}
+        text = zoning.hull_wkt(*np.array(sorted(points)).T)
+        ring = [tuple(map(float, p.split())) for p in text.removeprefix("POLYGON ((").removesuffix("))").split(", ")]
+        assert ring[0] == ring[-1] and set(ring) == corners(points) and len(ring) == len(set(ring)) + 1
+        area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:]))
+        assert area > 0  # one turn to the left all the way
+    assert zoning.hull_wkt(np.array([0.0, 1.0, 2.0]), np.array([0.0, 1.0, 2.0])) is None
+
+
+def test_a_reference_that_most_rows_share(spark):
+    rows = spark.range(3_000).select(
+        F.lit(1).alias("organization_id"), F.lit("2026-01").alias("period"), F.concat(F.lit("b"), F.col("id") % 7).alias("batch_id"), F.floor(F.col("id") / 7).cast("int").alias("row_number"), (F.col("id") % 7 == 6).alias("cancelled"),
+        F.when(F.col("id") % 5 == 0, F.concat(F.lit("own"), F.col("id"))).when(F.col("id") % 11 != 0, "shared").alias("reference_hash"), F.array().cast("array<struct<field:string,code:string>>").alias("errors"),
+    )
+    got = {(r.batch_id, r.row_number): [e.code for e in r.errors] for r in intake.mark_duplicates(rows).collect()}
+    first = {}
+    for i in range(3_000):
+        if i % 5 and i % 11:
+            first.setdefault(i % 7, i // 7)
+    for i in range(3_000):
+        shared = i % 5 != 0 and i % 11 != 0
+        assert got[f"b{i % 7}", i // 7] == (["DUPLICATE_IN_BATCH" if i // 7 > first[i % 7] else "DUPLICATE_IN_PERIOD"] if shared else [])

@@ -174,3 +174,21 @@ def test_one_plan_reads_files_of_many_headers(spark, tmp_path):
     assert plan.count("Scan binaryFile") == 1 or plan.count("FileScan binaryFile") == 1
     every = files.read_import_csv(spark, [folder])
     assert set(every.columns) == {"file", "row_number", "id", "calle", "error", *(f"h{k}" for k in range(39))} and every.count() == 240
+
+
+def test_notifications_are_written_once(spark, tmp_path):
+    from homeround.operators import routing
+    from homeround.streaming import streams
+
+    kind = "event_id int, event_type string, ts timestamp, recipients array<int>"
+    arrivals = [[(1, "a", minute(0), [5, 5, 6]), (2, "b", minute(1), [5])], [(1, "a", minute(0), [5, 6, 7]), (3, "a", minute(2), None)], [(1, "a", minute(0), [5]), (4, "a", minute(3), [5])]]
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for rows in arrivals:  # started anew each time
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.notification_stream(spark.readStream.schema(kind).parquet(source), {"a": "x"})
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
+        query.awaitTermination(200)
+        assert query.exception() is None
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("event_id", "recipient_id", "type").collect())
+    every = spark.createDataFrame([r for rows in arrivals for r in rows], kind)
+    assert got == sorted(tuple(r) for r in routing.notifications(every, {"a": "x"}).select("event_id", "recipient_id", "type").collect()) == [(1, 5, "x"), (1, 6, "x"), (1, 7, "x"), (4, 5, "x")]
