@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from homeround.storage import written
+from homeround.operators.ranges import numbered
 
 RURAL_BUFFER, DEFAULT_SERVICE, DAY_START = 15, 45, 480
 
@@ -85,15 +85,9 @@ def _marked(visits: DataFrame) -> DataFrame:
 def visit_priority(visits: DataFrame) -> DataFrame:
     """Visits numbered in placement order per plan, with the conflict that keeps one out.
 
-    A sort by ranges deals a large plan to many tasks; each numbers its part, and the parts before it are counted.
+    A large plan is numbered by many tasks, see :func:`ranges.numbered`.
     """
-    part = ["plan_id", "__part"]
-    ranged = written(_marked(visits).repartitionByRange("plan_id", *ORDER).withColumn("__part", F.spark_partition_id()), "visits")
-    earlier = F.sum("n").over(Window.partitionBy("plan_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    before = ranged.groupBy(*part).agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(earlier, F.lit(0)))
-    here = F.row_number().over(Window.partitionBy(*part).orderBy(*ORDER))
-    rows = ranged.withColumn("__here", here).join(before.select(*part, "__before"), part)
-    return rows.withColumn("priority", (F.col("__before") + F.col("__here")).cast("int")).drop(*ORDER[:3], "__part", "__here", "__before")
+    return numbered(_marked(visits), ["plan_id"], list(ORDER), "priority").drop(*ORDER[:3])
 
 
 PLACED = "plan_id {plan}, patient_id {patient}, zone_id string, date date, code string"

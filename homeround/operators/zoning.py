@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
 from homeround.operators.graphs import components
+from homeround.operators.ranges import numbered
 from homeround.storage import forget, written
 
 DENSITY_M, URBAN_DENSITY = 500.0, 4
@@ -401,8 +402,8 @@ def label_clusters(members: DataFrame) -> DataFrame:
     per = members.groupBy("organization_id", "kind", "cluster").agg(
         F.count("*").alias("n"), F.bround(F.avg("x"), 3).alias("cx"), F.bround(F.avg("y"), 3).alias("cy"), F.min("point_id").alias("first_member")
     )
-    order = Window.partitionBy("organization_id", "kind").orderBy("cx", "cy", "first_member")
-    return per.withColumn("label", F.concat_ws("-", "kind", F.row_number().over(order) - 1))
+    placed = numbered(per, ["organization_id", "kind"], ["cx", "cy", "first_member"], "__number")
+    return placed.withColumn("label", F.concat_ws("-", "kind", F.col("__number") - 1)).drop("__number")
 
 
 def cluster_summary(members: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from homeround.functions import text
-from homeround.operators import intake, planning, routing, zoning
+from homeround.operators import intake, planning, ranges, routing, zoning
 
 
 def plain_counts(x, y, w, own, r):
@@ -202,3 +202,13 @@ def test_a_reference_that_most_rows_share(spark):
     for i in range(3_000):
         shared = i % 5 != 0 and i % 11 != 0
         assert got[f"b{i % 7}", i // 7] == (["DUPLICATE_IN_BATCH" if i // 7 > first[i % 7] else "DUPLICATE_IN_PERIOD"] if shared else [])
+
+
+def test_numbers_by_ranges(spark):
+    rows = spark.range(5_000).select(F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("id") % 10 < 9).alias("g"), (F.col("id") * 7919 % 5_003).alias("k"), "id")
+    got = ranges.numbered(rows, ["g"], ["k"], "n").collect()
+    plain = {}
+    for g, k, i in sorted(((r.g, r.k, r.id) for r in rows.collect()), key=lambda r: (str(r[0]), r[1])):
+        plain[i] = plain.get(("last", g), 0) + 1
+        plain["last", g] = plain[i]
+    assert len(got) == 5_000 and all(r.n == plain[r.id] for r in got)
