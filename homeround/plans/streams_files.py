@@ -158,6 +158,21 @@ FROM t WHERE completed + failed > 0""",
     "flatten_candidates": (lambda v: G.flatten_candidates(_replies(v)).select("address_id", "ordinal", "latitude", "place_class", "municipality"), "SELECT p_partkey AS address_id, 1 AS ordinal, 43.2e0 AS latitude, CASE WHEN p_size % 2 = 0 THEN 'house' ELSE 'highway' END AS place_class, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_type END AS municipality FROM part"),
     "row_cap": (lambda v: files.enforce_row_cap(v("import_rows").withColumn("file", F.col("batch_id")), 3)[1], "SELECT batch_id AS file, count(*) AS n FROM import_rows GROUP BY 1 HAVING count(*) > 3"),
     "dedupe_files": (_files, "WITH b AS (SELECT organization_id, period, batch_id, count(*) % 3 AS h FROM import_rows GROUP BY ALL), l AS (SELECT DISTINCT organization_id, period, 1 AS h, true AS known FROM import_rows WHERE organization_id % 2 = 0 AND row_number = 1 AND NOT cancelled) SELECT batch_id, coalesce(known, false) OR row_number() OVER (PARTITION BY organization_id, period, h ORDER BY batch_id) > 1 AS duplicate FROM b LEFT JOIN l USING (organization_id, period, h)"),
-    "stop_execution": (lambda v: streams.replay_reports(reports(v)), None),
+    "stop_execution": (lambda v: streams.replay_reports(reports(v)), """
+WITH RECURSIVE rep AS (
+  SELECT event_id, stop_id, status, 1 + CAST(json_extract_string(props, '$.k') AS INT) % 4 AS expected, CASE WHEN status <> 'pending' THEN reported_at END AS done,
+    CASE WHEN status = 'failed' AND event_id % 3 <> 0 THEN 'absent' END AS given, row_number() OVER (PARTITION BY stop_id ORDER BY reported_at, event_id) AS n
+  FROM reports
+), run AS (
+  SELECT stop_id, CAST(0 AS BIGINT) AS n, 'pending' AS status, CAST(1 AS INT) AS version, CAST(NULL AS TIMESTAMP) AS done, CAST(NULL AS VARCHAR) AS given, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS outcome
+  FROM (SELECT DISTINCT stop_id FROM rep)
+  UNION ALL
+  SELECT stop_id, n, CASE WHEN o = 'applied' THEN st ELSE status END, version + CASE WHEN o = 'applied' THEN 1 ELSE 0 END, CASE WHEN o = 'applied' THEN new_done ELSE done END, CASE WHEN o = 'applied' THEN why ELSE given END, event_id, o
+  FROM (
+    SELECT r.stop_id, q.n, r.status, r.version, r.done, r.given, q.event_id, q.status AS st, q.done AS new_done, q.given AS why,
+      CASE WHEN q.expected IS DISTINCT FROM r.version THEN 'conflict' WHEN q.status = 'failed' AND q.given IS NULL THEN 'reason_required'
+        WHEN q.status = r.status AND q.done IS NOT DISTINCT FROM r.done AND q.given IS NOT DISTINCT FROM r.given THEN 'replay' ELSE 'applied' END AS o
+    FROM run r JOIN rep q ON q.stop_id = r.stop_id AND q.n = r.n + 1))
+SELECT stop_id, event_id, outcome, status, version FROM run WHERE n > 0"""),
     "last_report_per_stop": (lambda v: streams.last_report_per_stop(reports(v)).select("stop_id", "event_id"), "SELECT stop_id, event_id FROM reports QUALIFY row_number() OVER (PARTITION BY stop_id ORDER BY reported_at DESC, event_id DESC) = 1"),
 }

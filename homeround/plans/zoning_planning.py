@@ -24,6 +24,43 @@ DAYS_SQL = """d AS (SELECT c.*, CAST(unnest(generate_series(CAST(period || '-01'
 ASSIGNED_SQL = "assigned AS (SELECT plan_id, patient_id, zone_id, make_date(2026, 1 + plan_id % 12, CAST(1 + patient_id % 28 AS INT)) AS date FROM visits)"
 
 
+#: Placement visit by visit: the state is a list of days. ``@DAYS@`` says which days there are.
+PLACE_SQL = DAYS_SQL + """, st AS (
+  SELECT plan_id, list({'date': date, 'v': least(max_visits, capacity_minutes // (d.service_minutes + CASE zone_kind WHEN 'rural' THEN 15 ELSE 0 END)), 'm': capacity_minutes,
+    'cv': least(max_visits, capacity_minutes // (d.service_minutes + CASE zone_kind WHEN 'rural' THEN 15 ELSE 0 END)), 'cm': capacity_minutes, 'z': CAST([] AS VARCHAR[]), 'p': 0,
+    'lo': coalesce(window_start, 480), 'hi': coalesce(window_end, 480 + capacity_minutes)} ORDER BY date) AS s
+  FROM days d JOIN (SELECT plan_id, window_start, window_end FROM constraints) USING (plan_id) WHERE @DAYS@ GROUP BY plan_id
+), v AS (
+  SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY coalesce(window_end - window_start, 1000000000), CASE kind WHEN 'rural' THEN 0 ELSE 1 END, zone_id, patient_id) AS n,
+    coalesce(service_minutes, 45) + CASE kind WHEN 'rural' THEN 15 ELSE 0 END AS need
+  FROM visits WHERE geocode_confirmed
+), run AS (
+  SELECT plan_id, CAST(0 AS BIGINT) AS n, s, CAST(NULL AS BIGINT) AS patient_id, CAST(NULL AS VARCHAR) AS zone_id, CAST(NULL AS DATE) AS date, CAST(NULL AS VARCHAR) AS code
+  FROM (SELECT DISTINCT plan_id FROM v) LEFT JOIN st USING (plan_id)
+  UNION ALL
+  SELECT plan_id, n, list_transform(s, lambda x: CASE WHEN code IS NULL AND x.date = best.date
+      THEN {'date': x.date, 'v': x.v - 1, 'm': x.m - need, 'cv': x.cv, 'cm': x.cm, 'z': list_append(x.z, zone_id), 'p': x.p + 1, 'lo': x.lo, 'hi': x.hi} ELSE x END) AS s,
+    patient_id, zone_id, CASE WHEN code IS NULL THEN best.date END AS date, code
+  FROM (
+    SELECT *, CASE WHEN s IS NULL THEN 'UNSCHEDULABLE' WHEN len(fit) = 0 THEN 'WINDOW_OUTSIDE_WORKDAY' WHEN len(list_filter(fit, lambda x: NOT (need > x.cm OR x.cv < 1))) = 0 THEN 'CAPACITY_EXCEEDED' WHEN len(ways) = 0 THEN 'UNSCHEDULABLE' END AS code,
+      list_sort(ways)[1] AS best
+    FROM (
+      SELECT *, list_transform(list_filter(fit, lambda x: x.v >= 1 AND x.m >= need),
+        lambda x: {'a': CASE WHEN list_contains(x.z, zone_id) THEN 0 WHEN x.p > 0 THEN 2 ELSE 1 END, 'b': CASE WHEN list_contains(x.z, zone_id) THEN x.v ELSE x.p END, 'date': x.date}) AS ways
+      FROM (
+        SELECT r.plan_id, v.n, r.s, v.patient_id, v.zone_id, v.need,
+          list_filter(r.s, lambda x: v.window_start IS NULL OR v.window_end IS NULL OR (v.window_start < x.hi AND x.lo < v.window_end)) AS fit
+        FROM run r JOIN v ON v.plan_id = r.plan_id AND v.n = r.n + 1))))
+, placed AS (
+  SELECT plan_id, patient_id, zone_id, CAST(date AS VARCHAR) AS date, code FROM run WHERE n > 0
+  UNION ALL SELECT plan_id, patient_id, zone_id, NULL, 'ADDRESS_NOT_CONFIRMED' FROM visits WHERE NOT geocode_confirmed
+)"""
+
+
+#: Few working days, and none at all in some plans, so that visits are left over.
+FEW = "day(date) <= 5 + plan_id % 4 AND plan_id % 9 <> 0"
+
+
 def _plans(v):
     day = lambda n: F.to_date(F.concat("period", F.lit("-"), F.lpad(n.cast("string"), 2, "0")))
     return v("constraints").withColumns(
@@ -176,9 +213,10 @@ QUERIES = {
         "SELECT p.patient_id, h.zone_id, CASE WHEN NOT coalesce(a.geocode_status IN ('matched', 'manual'), false) THEN 'ADDRESS_NOT_CONFIRMED' WHEN h.zone_id IS NULL THEN 'UNSCHEDULABLE' END AS conflict FROM patients p LEFT JOIN addresses a ON a.patient_id = p.patient_id AND a.is_active LEFT JOIN zone_history h ON h.patient_id = p.patient_id AND h.valid_to IS NULL WHERE p.status = 'active'"),
     "visit_priority": (lambda v: P.visit_priority(v("visits")).select("patient_id", "conflict", "priority"),
         "SELECT patient_id, CASE WHEN NOT geocode_confirmed THEN 'ADDRESS_NOT_CONFIRMED' END AS conflict, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY NOT geocode_confirmed, coalesce(window_end - window_start, 1000000000), CASE kind WHEN 'rural' THEN 0 ELSE 1 END, zone_id, patient_id) AS INT) AS priority FROM visits"),
-    "place_visits": (lambda v: _placed(v).withColumn("date", F.date_format("date", "yyyy-MM-dd")), None),
-    "plan_metrics": (lambda v: P.plan_metrics(_placed(v)), None),
-    "plan_conflicts": (lambda v: P.conflict_counts(_placed(v)), None),
+    "place_visits": (lambda v: _placed(v).withColumn("date", F.date_format("date", "yyyy-MM-dd")), "WITH RECURSIVE " + PLACE_SQL.replace("@DAYS@", "true") + " SELECT * FROM placed"),
+    "place_visits_in_few_days": (lambda v: P.place_visits(v("visits"), _days(v).where(FEW)).withColumn("date", F.date_format("date", "yyyy-MM-dd")), f"WITH RECURSIVE {PLACE_SQL.replace('@DAYS@', FEW)} SELECT * FROM placed"),
+    "plan_metrics": (lambda v: P.plan_metrics(P.place_visits(v("visits"), _days(v).where(FEW))), f"WITH RECURSIVE {PLACE_SQL.replace('@DAYS@', FEW)} SELECT plan_id, count(*) FILTER (code IS NULL) AS n_assigned, count(*) FILTER (code IS NOT NULL) AS n_conflicts FROM placed GROUP BY 1"),
+    "plan_conflicts": (lambda v: P.conflict_counts(P.place_visits(v("visits"), _days(v).where(FEW))), f"WITH RECURSIVE {PLACE_SQL.replace('@DAYS@', FEW)} SELECT plan_id, code, count(*) AS n FROM placed WHERE code IS NOT NULL GROUP BY 1, 2"),
     "validate_assignments": (lambda v: P.validate_assignments(_assigned(v), v("visits"), _days(v)).withColumn("date", F.date_format("date", "yyyy-MM-dd")),
         f"""WITH RECURSIVE {DAYS_SQL}, {ASSIGNED_SQL}, capd AS (SELECT plan_id, date, capacity_minutes, least(max_visits, capacity_minutes // (service_minutes + CASE zone_kind WHEN 'rural' THEN 15 ELSE 0 END)) AS capacity_visits FROM days), r AS (
  SELECT a.plan_id, a.patient_id, a.date, a.zone_id, c.capacity_minutes, c.capacity_visits, v.service_minutes + CASE v.kind WHEN 'rural' THEN 15 ELSE 0 END AS need, CASE WHEN c.capacity_minutes IS NULL THEN 'NOT_A_WORKING_DAY' WHEN NOT v.geocode_confirmed THEN 'ADDRESS_NOT_CONFIRMED' WHEN NOT (v.window_start IS NULL OR v.window_start < coalesce(k.window_end, 480 + c.capacity_minutes) AND coalesce(k.window_start, 480) < v.window_end) THEN 'WINDOW_OUTSIDE_WORKDAY' END AS code
