@@ -228,5 +228,16 @@ QUERIES = {
     "resolve_assignees": (_assignees, f"WITH {ASSIGNEES_SQL} SELECT * FROM asg"),
     "publish_payload": (lambda v: P.publish_payload(P.route_groups(_assigned(v).withColumn("code", F.lit(None).cast("string"))), _assignees(v)),
         f"WITH {ASSIGNED_SQL}, {ASSIGNEES_SQL}, gr AS (SELECT DISTINCT plan_id, date, zone_id FROM assigned) SELECT plan_id, count(*) AS routes, coalesce(array_to_string(list_sort(list(DISTINCT assignee) FILTER (assignee IS NOT NULL)), ','), '') AS assignees, count(DISTINCT date) AS dates, count(DISTINCT zone_id) AS zones FROM gr LEFT JOIN asg USING (plan_id, zone_id) GROUP BY plan_id"),
-    "move_visits": (_moves, None),
+    "move_visits": (_moves, f"""WITH RECURSIVE {PLACE_SQL.replace("@DAYS@", "true")}, now AS (SELECT plan_id, patient_id, CAST(date AS DATE) AS date, zone_id FROM placed WHERE code IS NULL),
+ asked AS (SELECT plan_id, min(patient_id) AS patient_id, make_date(2026, CAST(1 + plan_id % 12 AS INT), 15) AS date, CASE WHEN plan_id % 7 = 5 THEN '9-NONE' ELSE '2-HIGH' END AS zone_id, plan_id % 2 = 0 AS confirm, CAST(1 + plan_id % 3 AS INT) AS version FROM visits GROUP BY plan_id),
+ j AS (SELECT a.*, CASE WHEN plan_id % 9 = 4 THEN 'PLAN_PUBLISHED' WHEN plan_id % 5 = 3 THEN 'PLAN_VERSION_CONFLICT' WHEN plan_id % 7 = 5 THEN 'ZONE_NOT_FOUND' WHEN n.patient_id IS NULL THEN 'PATIENT_NOT_IN_PLAN' END AS why FROM asked a LEFT JOIN now n USING (plan_id, patient_id)),
+ moved AS (SELECT n.plan_id, n.patient_id, CASE WHEN n.patient_id = j.patient_id THEN j.date ELSE n.date END AS date, CASE WHEN n.patient_id = j.patient_id THEN j.zone_id ELSE n.zone_id END AS zone_id, n.patient_id = j.patient_id AS urban FROM now n JOIN j USING (plan_id) WHERE why IS NULL),
+ capd AS (SELECT plan_id, date, capacity_minutes, least(max_visits, capacity_minutes // (service_minutes + CASE zone_kind WHEN 'rural' THEN 15 ELSE 0 END)) AS capacity_visits FROM days), r AS (
+ SELECT a.plan_id, a.patient_id, a.date, a.zone_id, c.capacity_minutes, c.capacity_visits, v.service_minutes + CASE WHEN NOT a.urban AND v.kind = 'rural' THEN 15 ELSE 0 END AS need, CASE WHEN c.capacity_minutes IS NULL THEN 'NOT_A_WORKING_DAY' WHEN NOT (v.window_start IS NULL OR v.window_start < coalesce(k.window_end, 480 + c.capacity_minutes) AND coalesce(k.window_start, 480) < v.window_end) THEN 'WINDOW_OUTSIDE_WORKDAY' END AS code
+ FROM moved a JOIN visits v USING (plan_id, patient_id) LEFT JOIN capd c USING (plan_id, date) JOIN constraints k USING (plan_id)), o AS (SELECT *, row_number() OVER (PARTITION BY plan_id, date ORDER BY zone_id, patient_id) AS n FROM r WHERE code IS NULL), f AS (
+ SELECT plan_id, date, patient_id, n, capacity_visits >= 1 AND capacity_minutes >= need AS fit, capacity_visits - CASE WHEN capacity_visits >= 1 AND capacity_minutes >= need THEN 1 ELSE 0 END AS vis, capacity_minutes - CASE WHEN capacity_visits >= 1 AND capacity_minutes >= need THEN need ELSE 0 END AS mins FROM o WHERE n = 1
+ UNION ALL SELECT o.plan_id, o.date, o.patient_id, o.n, f.vis >= 1 AND f.mins >= o.need, f.vis - CASE WHEN f.vis >= 1 AND f.mins >= o.need THEN 1 ELSE 0 END, f.mins - CASE WHEN f.vis >= 1 AND f.mins >= o.need THEN o.need ELSE 0 END FROM f JOIN o ON o.plan_id = f.plan_id AND o.date = f.date AND o.n = f.n + 1),
+ bad AS (SELECT r.plan_id, count(*) FILTER (r.code IS NOT NULL OR NOT f.fit) AS conflicts FROM r LEFT JOIN f ON f.plan_id = r.plan_id AND f.date = r.date AND f.patient_id = r.patient_id GROUP BY 1),
+ done AS (SELECT j.plan_id, CAST(1 AS BIGINT) AS moves, conflicts, coalesce(why, CASE WHEN confirm AND conflicts > 0 THEN 'PLAN_MOVE_CONFLICT' END) AS reason, confirm, version FROM j LEFT JOIN bad USING (plan_id))
+ SELECT plan_id, moves, conflicts, reason, confirm AND reason IS NULL AS applied, CAST(version + CASE WHEN confirm AND reason IS NULL THEN 1 ELSE 0 END AS INT) AS version FROM done"""),
 }

@@ -1,6 +1,7 @@
 """Operators on crowded inputs: the same results as plain versions, with work that does not grow with pairs."""
 
 import hashlib
+import itertools
 import json
 import math
 import time
@@ -109,6 +110,14 @@ def test_tours_are_never_worse_than_turning_alone(kind):
     assert better >= 2
 
 
+def test_short_tours_are_the_best():
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 4, 5, 6, 7):
+        cost = rng.integers(1, 50, (n, n)).astype(float)
+        total = lambda o: cost[list(o), [*o[1:], o[0]]].sum()  # noqa: B023, E731
+        assert total(routing.tour(cost)) == min(total((0, *p)) for p in itertools.permutations(range(1, n)))
+
+
 def test_long_tours_are_quick():
     xy = np.random.default_rng(6).random((120, 2))
     cost = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
