@@ -146,14 +146,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
     """(fp, set) of the nodes (``id``, null where no row has one). A bitmap of their ids' slots picks the texts, without a shuffle; others that it lets pass do no harm."""
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    taken = np.zeros(SLOTS, bool)
-    taken[[r.s for r in nodes.select(slot("id").alias("s")).distinct().toLocalIterator()]] = True
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(taken))
+    place = slot("id") + 1  # Spark's bitmaps count from 1
+    parts = nodes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    taken = np.zeros((SLOTS >> 15, 4096), np.uint8)
+    for r in parts.collect():  # made in tasks: at most 512 bitmaps of 4 KB
+        taken[r["part"] - 1] = np.frombuffer(r["bits"], np.uint8)
+    bits = docs.sparkSession.sparkContext.broadcast(taken.ravel())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # picks and hashes in one worker a task
         for batch in batches:
             at = np.asarray(batch.column(0))
-            batch = batch.filter(pa.array((bits.value[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            batch = batch.filter(pa.array((bits.value[at >> 3] >> (at & 7) & 1).astype(bool)))
             for part in blocks(batch, 1):
                 rows = [shingle_set(t, shingle) for t in TextBlock(part.column(1)).raw()]
                 yield pa.RecordBatch.from_arrays([pa.array([set_hash(r) for r in rows], pa.int64()), _lists(rows)], names=["fp", "set"])
