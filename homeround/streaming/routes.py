@@ -141,7 +141,7 @@ class Route:
 COLUMNS = [x.split()[0] for x in RESULT.split(", ")]
 
 
-def _fold(route_id: int, route: Route, rows: Iterable[Row], keep_us: int) -> pd.DataFrame:
+def _results(route_id: int, route: Route, rows: Iterable[Row], keep_us: int) -> list[tuple]:
     """An outcome row for each report, then the route's metrics if any report was applied."""
     out, touched = [], None
     for row in sorted(rows):
@@ -153,7 +153,11 @@ def _fold(route_id: int, route: Route, rows: Iterable[Row], keep_us: int) -> pd.
             touched = row.at_us if outcome == "applied" else touched
     if touched is not None:
         out.append((route_id, "metrics", touched, None, None, None, None, None, route.status, *route.metrics()))
-    frame = pd.DataFrame(out, columns=COLUMNS)
+    return out
+
+
+def _frame(results: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(results, columns=COLUMNS)
     whole = ("at_us", "event_id", "stop_id", "version", "completed", "failed", "skipped", "pending", "service_seconds", "travel_seconds")
     return frame.astype({c: "Int64" for c in whole} | {"estimated_cost": "Float64"})
 
@@ -200,7 +204,7 @@ class RouteProcessor(StatefulProcessor):
         route = Route(*(known or ()))
         before = {k[0]: Stop(*v) for k, v in self.stops.iterator()} if known else {}
         route.stops = dict(before)
-        out = _fold(key[0], route, due, self.keep_us)
+        out = _frame(_results(key[0], route, due, self.keep_us))
         self.waiting.clear()
         if left := [tuple(r) for r in waiting if r.at_us > passed]:
             self.waiting.appendList(left)
@@ -235,12 +239,24 @@ def execute_routes(rows: DataFrame, delay: str = "10 minutes", keep_us: int = DA
 
 
 def replay_routes(rows: DataFrame, keep_us: int = DAY_US) -> DataFrame:
-    """The same in batch: all outcomes, and each route's metrics after its last report that was applied."""
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return _fold(int(key[0]), Route(), _rows(frame), keep_us)
-
-    return rows.where("at IS NOT NULL").groupBy("route_id").applyInPandas(run, RESULT)
+    """The same in batch: all outcomes, and each route's metrics after its last report that was applied. A task streams through sorted rows and holds one route."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for batch in batches:
+            out = []
+            for route_id, row in zip(batch["route_id"].tolist(), _rows(batch)):
+                if route_id != now:
+                    out += _results(now, Route(), held, keep_us)
+                    now, held = route_id, []
+                held.append(row)
+            if out:
+                yield _frame(out)
+        if held:
+            yield _frame(_results(now, Route(), held, keep_us))
+
+    ordered = rows.where("at IS NOT NULL AND route_id IS NOT NULL").drop("at").repartition("route_id")
+    return ordered.sortWithinPartitions("route_id", "at_us", "rank", "event_id").mapInPandas(run, RESULT)
 
 
 def outcomes(results: DataFrame) -> DataFrame:
