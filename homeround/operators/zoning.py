@@ -161,11 +161,33 @@ def density(points: DataFrame, radius: float = DENSITY_M) -> DataFrame:
     kind = places.schema["organization_id"].dataType.simpleString()
 
     def count(part: pd.DataFrame) -> pd.DataFrame:
-        own = np.flatnonzero(part["own"].to_numpy())
-        n = near_counts(*(part[c].to_numpy() for c in ("x", "y", "w")), own, radius)
-        return pd.DataFrame({"organization_id": part["organization_id"].iloc[own], "x": part["x"].iloc[own], "y": part["y"].iloc[own], "density": n})
-
-    by_place = dealt.groupBy("organization_id", "tx", "ty").applyInPandas(count, f"organization_id {kind}, x double, y double, density long")
+        """Whole tiles, one after the other."""
+        x, y, w, mine = (part[c].to_numpy() for c in ("x", "y", "w", "own"))
+        out = np.zeros(len(part), np.int64)
+        cut = np.flatnonzero(np.any([part[c].to_numpy()[1:] != part[c].to_numpy()[:-1] for c in ("organization_id", "tx", "ty")], axis=0)) + 1
+        for a, b in zip([0, *cut], [*cut, len(part)]):
+            own = np.flatnonzero(mine[a:b])
+            if len(own) and b - a <= 64:
+                near = (x[a:b][own, None] - x[None, a:b]) ** 2 + (y[a:b][own, None] - y[None, a:b]) ** 2 <= radius * radius
+                out[a + own] = near @ w[a:b]
+            elif len(own):
+                out[a + own] = near_counts(x[a:b], y[a:b], w[a:b], own, radius)
+        return part.assign(density=out)[mine][["organization_id", "x", "y", "density"]]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if len(held):
+                last = np.all([held[c] == held[c].iloc[-1] for c in ("organization_id", "tx", "ty")], axis=0)  # it may go on
+                if not last.all():
+                    yield count(held[~last])
+                    held = held[last]
+        if held is not None and len(held):
+            yield count(held)
+
+    tiles = dealt.repartition("organization_id", "tx", "ty").sortWithinPartitions("organization_id", "tx", "ty")
+    by_place = tiles.mapInPandas(run, f"organization_id {kind}, x double, y double, density long")
     return points.join(by_place, ["organization_id", "x", "y"])
 
 
