@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeround.functions.geo import haversine_m
+from homeround.operators import tours
 
 #: What to do about each diagnostic.
 ACTIONS = {
@@ -192,8 +193,8 @@ def proven_infeasible(checked: DataFrame, pairs: DataFrame, vehicles: int = 1) -
     return alone.union(pairs.select("route_id")).distinct() if vehicles == 1 else alone.distinct()
 
 
-#: Exchanges of four arcs that a tour tries after it has settled.
-KICKS = 1
+#: Exchanges of four arcs that a tour tries after it has settled; stops up to which a timed route without tour is searched completely.
+KICKS, EXACT = 1, 10
 
 
 @functools.cache
@@ -279,45 +280,74 @@ def tour(cost: np.ndarray) -> list[int]:
     return best.tolist()
 
 
+#: Rows that a task gathers before it solves the routes in them, and the largest routes that are solved many at once.
+GATHER, TOGETHER = 1 << 18, 20
+
+
+def _places(route: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (route, node) rows: each row's place among the distinct nodes of its route, and the distinct nodes by route with their routes."""
+    by = np.lexsort((node, route))
+    r, k = route[by], node[by]
+    new = np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1])]
+    number = np.cumsum(new) - 1
+    first = np.searchsorted(r[new], np.arange(route.max() + 1))
+    place = np.empty(len(by), int)
+    place[by] = number - first[r]
+    return place, r[new], k[new]
+
+
 def sequence_routes(matrix: DataFrame) -> DataFrame:
     """Visiting order per route from its long matrix; node of least number is the depot.
 
-    Routes are dealt by id and sorted; a task streams through many of them and holds one batch and one open route.
+    Routes are dealt by id and sorted; a task streams through many of them and holds some batches and one open route. Routes of one size are solved together.
     """
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, i, j, s = (part[c].to_numpy() for c in ("route_id", "i", "j", "duration_s"))
-        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        routes, positions, found = [], [], []
-        for a, b in zip([0, *cut], [*cut, len(ids)]):
-            nodes = np.unique(np.concatenate([i[a:b], j[a:b]]))
-            cost = np.zeros((len(nodes), len(nodes)))
-            cost[np.searchsorted(nodes, i[a:b]), np.searchsorted(nodes, j[a:b])] = s[a:b]
-            order = tour(cost)
-            routes.append(np.repeat(ids[a], len(order)))
-            positions.append(np.arange(len(order)))
-            found.append(nodes[order])
-        return pd.DataFrame({"route_id": np.concatenate(routes), "position": np.concatenate(positions), "node": np.concatenate(found)})
+        route = np.r_[0, np.cumsum(ids[1:] != ids[:-1])]
+        heads = ids[np.r_[True, route[1:] != route[:-1]]]
+        place, owner, node = _places(np.r_[route, route], np.r_[i, j])
+        sizes = np.bincount(owner)
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        position = np.arange(len(owner)) - first[owner]
+        found = np.empty(len(owner), node.dtype)
+        for n in np.unique(sizes):
+            which = np.flatnonzero(sizes == n)
+            rows = np.flatnonzero(sizes[route] == n)
+            seat = np.searchsorted(which, route[rows])
+            for at in range(0, len(which), max(1, tours.ROOM // int(n * n))):
+                own = which[at : at + max(1, tours.ROOM // int(n * n))]
+                lo, hi = np.searchsorted(seat, [at, at + len(own)])
+                cost = np.zeros((len(own), n, n))
+                cost[seat[lo:hi] - at, place[rows[lo:hi]], place[len(route) + rows[lo:hi]]] = s[rows[lo:hi]]
+                order = tours.tours(cost, _orders, KICKS) if n <= TOGETHER else np.array([tour(c) for c in cost])
+                to = first[own][:, None] + np.arange(n)
+                found[to] = node[first[own][:, None] + order]
+        return pd.DataFrame({"route_id": heads[owner], "position": position, "node": found})
 
     rows = matrix.select("route_id", "i", "j", "duration_s").repartition("route_id").sortWithinPartitions("route_id", "i", "j")
     return _route_by_route(rows, solve, "position int, node int")
 
 
 def _route_by_route(rows: DataFrame, solve, columns: str) -> DataFrame:
-    """``solve`` on whole routes of rows that are dealt and sorted by route_id: a task holds one batch and one open route."""
+    """``solve`` on whole routes of rows that are dealt and sorted by route_id: a task holds ``GATHER`` rows, a batch and one open route."""
 
     def run(batches):
-        held = None
+        held, n, enough = [], 0, GATHER
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(held):
+            held.append(batch)
+            n += len(batch)
+            if n < enough:
                 continue
-            last = held["route_id"] == held["route_id"].iloc[-1]  # it may go on in the next batch
+            part = pd.concat(held, ignore_index=True)
+            last = part["route_id"] == part["route_id"].iloc[-1]  # it may go on in the next batch
             if not last.all():
-                yield solve(held[~last])
-                held = held[last]
-        if held is not None and len(held):
-            yield solve(held)
+                yield solve(part[~last])
+                part = part[last]
+            held, n = [part], len(part)
+            enough = max(GATHER, 2 * n)
+        if n:
+            yield solve(pd.concat(held, ignore_index=True))
 
     kind = rows.schema["route_id"].dataType.simpleString()
     return rows.mapInPandas(run, f"route_id {kind}, {columns}")
@@ -350,7 +380,7 @@ def earliest_order(seconds: list, start: list, end: list, service: list, shift:
     return out[::-1]
 
 
-def timed_tour(seconds: list, cost: list, start: list, end: list, service: list, shift: float, exact: int = 10) -> list[int] | None:
+def timed_tour(seconds: list, cost: list, start: list, end: list, service: list, shift: float, exact: int = EXACT) -> list[int] | None:
     """Order of nodes 1.. from depot 0 and back within windows and shift, of low cost; None if none is found.
 
     Stops enter one by one at their cheapest place that keeps every window, by closing time, opening time and slack in
@@ -415,31 +445,58 @@ def sequence_timed_routes(matrix: DataFrame, stops: DataFrame, objective: str =
     rows = arcs.where("i <> j").union(marks).repartition("route_id").sortWithinPartitions("route_id", "i", "j")
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        ids = part["route_id"].to_numpy()
-        cut = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-        out = []
-        for a, b in zip([0, *cut], [*cut, len(ids)]):
-            route = part.iloc[a:b]
-            i, j = route["i"].to_numpy(), route["j"].to_numpy()
-            mark = route[i == j]
-            nodes = [depot, *(k for k in mark["i"].tolist() if k != depot)]
-            mark = mark[mark["i"] != depot]
-            if len(nodes) == 1:
-                continue
-            known = np.sort(nodes)
-            usable = np.isin(i, known) & np.isin(j, known) & (i != j)
-            place = np.argsort(nodes)  # known[p] is nodes[place[p]]
-            y, x = place[np.searchsorted(known, i[usable])], place[np.searchsorted(known, j[usable])]
-            seconds, weights = np.full((2, len(nodes), len(nodes)), np.inf)
-            seconds[y, x], weights[y, x] = route["duration_s"].to_numpy()[usable], route["weight"].to_numpy()[usable]
-            seconds, weights = np.nan_to_num(seconds, nan=np.inf, posinf=np.inf), np.nan_to_num(weights, nan=np.inf, posinf=np.inf)
-            column = lambda c, empty: [empty, *mark[c].fillna(empty).tolist()]
-            shift = mark["shift_s"].min()
-            order = timed_tour(seconds.tolist(), weights.tolist(), column("start_s", 0.0), column("end_s", math.inf), column("service_s", 0.0), math.inf if math.isnan(shift) else shift)
-            found = range(1, len(nodes)) if order is None else order
-            out += [(ids[a], None if order is None else p, nodes[k], "infeasible" if order is None else "feasible") for p, k in enumerate(found, 1)]
-        made = pd.DataFrame(out, columns=["route_id", "position", "node", "status"])
-        return made.astype({"route_id": part["route_id"].dtype, "position": "Int32", "node": "int64"})
+        ids, i, j = (part[c].to_numpy() for c in ("route_id", "i", "j"))
+        route = np.r_[0, np.cumsum(ids[1:] != ids[:-1])]
+        heads = ids[np.r_[True, route[1:] != route[:-1]]]
+        is_stop = (i == j) & (i != depot)
+        stops = part[is_stop]
+        owner, node = route[is_stop], i[is_stop]  # by route and node
+        if not len(owner):
+            return pd.DataFrame({"route_id": ids[:0], "position": pd.array([], "Int32"), "node": i[:0], "status": np.array([], object)})
+        sizes = np.bincount(owner, minlength=len(heads))
+        first = np.r_[0, np.cumsum(sizes)[:-1]]
+        # places of both ends of each arc: 0 for the depot, else 1 and more; -1 if the route has no such stop
+        codes = np.unique(np.r_[node, i, j], return_inverse=True)[1].ravel()
+        width = int(codes.max()) + 1
+        keys = owner * width + codes[: len(node)]
+        arc = np.flatnonzero(i != j)
+
+        def place(side: int, values: np.ndarray) -> np.ndarray:
+            key = route[arc] * width + codes[len(node) + side * len(i) :][arc]
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            return np.where(values[arc] == depot, 0, np.where(keys[at] == key, at - first[route[arc]] + 1, -1))
+
+        y, x = place(0, i), place(1, j)
+        arc, y, x = (a[(y >= 0) & (x >= 0)] for a in (arc, y, x))
+        own_seconds, own_weights = (part[c].to_numpy()[arc] for c in ("duration_s", "weight"))
+        values = {c: stops[c].fillna(empty).to_numpy() for c, empty in (("start_s", 0.0), ("end_s", math.inf), ("service_s", 0.0))}
+        shifts = np.full(len(heads), math.inf)
+        np.minimum.at(shifts, owner, stops["shift_s"].fillna(math.inf).to_numpy())
+        position, found, solved = np.arange(len(owner)) - first[owner] + 1, node.copy(), np.zeros(len(heads), bool)
+        for m in np.unique(sizes[sizes > 0]):
+            n, each = int(m) + 1, max(1, tours.ROOM // int((m + 1) * (m + 1)))
+            which = np.flatnonzero(sizes == m)
+            rows = np.flatnonzero(sizes[route[arc]] == m)
+            seat = np.searchsorted(which, route[arc[rows]])
+            for at in range(0, len(which), each):
+                own = which[at : at + each]
+                lo, hi = np.searchsorted(seat, [at, at + len(own)])
+                seconds, weights = np.full((2, len(own), n, n), np.inf)
+                spot = seat[lo:hi] - at, y[rows[lo:hi]], x[rows[lo:hi]]
+                seconds[spot], weights[spot] = own_seconds[rows[lo:hi]], own_weights[rows[lo:hi]]
+                seconds, weights = np.nan_to_num(seconds, nan=np.inf, posinf=np.inf), np.nan_to_num(weights, nan=np.inf, posinf=np.inf)
+                to = first[own][:, None] + np.arange(m)
+                start, end, service = (np.concatenate([np.full((len(own), 1), empty), values[c][to]], axis=1) for c, empty in (("start_s", 0.0), ("end_s", math.inf), ("service_s", 0.0)))
+                if n <= TOGETHER:
+                    order, has = tours.timed_tours(seconds, weights, start, end, service, shifts[own], EXACT, earliest_order)
+                else:
+                    each_order = [timed_tour(*(a[r].tolist() for a in (seconds, weights, start, end, service)), float(shifts[own[r]]), EXACT) for r in range(len(own))]
+                    has = np.array([o is not None for o in each_order])
+                    order = np.array([range(1, n) if o is None else o for o in each_order])
+                found[to[has]] = node[first[own[has]][:, None] + order[has] - 1]
+                solved[own] = has
+        ok = solved[owner]
+        return pd.DataFrame({"route_id": heads[owner], "position": pd.Series(position, dtype="Int32").mask(~ok), "node": found, "status": np.where(ok, "feasible", "infeasible")})
 
     return _route_by_route(rows, solve, "position int, node long, status string")
 

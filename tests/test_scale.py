@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from homeround.functions import text
-from homeround.operators import intake, planning, ranges, routing, zoning
+from homeround.operators import intake, planning, ranges, routing, tours, zoning
 
 
 def plain_counts(x, y, w, own, r):
@@ -221,3 +221,35 @@ def test_numbers_by_ranges(spark):
         plain[i] = plain.get(("last", g), 0) + 1
         plain["last", g] = plain[i]
     assert len(got) == 5_000 and all(r.n == plain[r.id] for r in got)
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_routes_of_one_size_are_solved_together(n):
+    """Many routes at once get the tours that each gets alone, with and without windows."""
+    rng = np.random.default_rng(n)
+    cost = np.round(rng.random((40, n, n)) * 90) / 10
+    assert tours.tours(cost, routing._orders, routing.KICKS).tolist() == [routing.tour(c) for c in cost]
+    if n == 1:
+        return
+    for wide, shift in ((90, 14_400.0), (900, np.inf)):
+        seconds = rng.integers(60, 960, (40, n, n)).astype(float)
+        seconds[rng.random(seconds.shape) < 0.05] = np.inf
+        start = rng.integers(0, 60 * n, (40, n)) * 60.0
+        end, service, shifts = start + rng.integers(5, wide, (40, n)) * 60.0, rng.integers(1, 20, (40, n)) * 60.0, np.full(40, shift)
+        order, has = tours.timed_tours(seconds, cost, start, end, service, shifts, routing.EXACT, routing.earliest_order)
+        alone = [routing.timed_tour(*(a[r].tolist() for a in (seconds, cost, start, end, service)), shift) for r in range(40)]
+        assert [o.tolist() if ok else None for o, ok in zip(order, has)] == alone
+
+
+def test_sequenced_routes_keep_their_order_over_batches(spark, monkeypatch):
+    """Routes of all sizes, cut by batches and gathered in any number, are the tours of their own matrices."""
+    rows = [(r, i, j, float(60 + (r * 37 + i * 13 + j * 29) % 900)) for r in range(40) for i in range(1, 2 + r % 9) for j in range(1, 2 + r % 9) if i != j]
+    matrix = spark.createDataFrame(rows, "route_id long, i int, j int, duration_s double")
+    monkeypatch.setattr(routing, "GATHER", 64)
+    got = {}
+    for r in routing.sequence_routes(matrix).collect():
+        got.setdefault(r.route_id, {})[r.position] = r.node
+    for r in range(40):
+        n = 1 + r % 9
+        cost = np.array([[0.0 if i == j else float(60 + (r * 37 + i * 13 + j * 29) % 900) for j in range(1, n + 1)] for i in range(1, n + 1)])
+        assert n == 1 or [got[r][p] for p in range(n)] == [k + 1 for k in routing.tour(cost)]
