@@ -253,3 +253,17 @@ def test_sequenced_routes_keep_their_order_over_batches(spark, monkeypatch):
         n = 1 + r % 9
         cost = np.array([[0.0 if i == j else float(60 + (r * 37 + i * 13 + j * 29) % 900) for j in range(1, n + 1)] for i in range(1, n + 1)])
         assert n == 1 or [got[r][p] for p in range(n)] == [k + 1 for k in routing.tour(cost)]
+
+
+def test_visible_routes_without_a_shuffle_of_pairs(spark):
+    """Once each, also where an editor has a share, a route is in two organizations, or something is null; only pairs of assignees and shares are made distinct."""
+    members = spark.createDataFrame([(o, u, "editor" if u % 3 == 0 else "field") for o in range(3) for u in range(o, 9 + o)] + [(0, None, "editor"), (1, 3, "editor")], "organization_id int, user_id int, role string")
+    routes = spark.createDataFrame([(r % 3, r, r % 10) for r in range(40)] + [(1, 0, 4), (2, 6, 3), (0, None, 3), (1, None, 5)], "organization_id int, route_id int, assignee int")
+    shares = spark.createDataFrame([(u, r, (u + r) % 4 != 0) for u in range(8) for r in (0, 5, 6, 39, 77)] + [(None, 3, True), (3, None, True), (3, 3, True)], "user_id int, route_id int, active boolean")
+    got = routing.visible_routes(members, routes, shares)
+    r = routes.select("organization_id", "route_id", "assignee")
+    plain = members.where("role = 'editor'").join(r, "organization_id").select("user_id", "route_id").union(
+        members.where("role = 'field'").join(r, "organization_id").where("assignee = user_id").select("user_id", "route_id")).union(shares.where("active").select("user_id", "route_id")).distinct()
+    key = lambda t: tuple((v is None, v or 0) for v in t)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
+    assert got._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "Union"
