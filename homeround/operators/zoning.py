@@ -216,11 +216,12 @@ def rural_groups(points: DataFrame, eps: float = RURAL_EPS_M) -> DataFrame:
 
     The points of a small square are one group by construction, so components are found over squares.
     """
+    points = written(points.select("organization_id", "point_id", "x", "y"), "rural")  # read at every step; the density behind it is not cheap
     side = eps / 1.4143
     square = ["organization_id", "ax", "ay"]
     at = points.select("organization_id", "point_id", F.floor(F.col("x") / side).alias("ax"), F.floor(F.col("y") / side).alias("ay"))
     squares = written(at.groupBy(*square).agg(F.min("point_id").alias("point_id"), F.count("*").alias("n")), "squares")
-    links = linked_squares(points.select("organization_id", "x", "y").distinct(), eps)
+    links = linked_squares(written(points.select("organization_id", "x", "y").distinct(), "places"), eps)
     node = F.struct("organization_id", "point_id")
     ends = links.join(squares.select(*square, node.alias("a")), square).join(squares.select("organization_id", F.col("ax").alias("bx"), F.col("ay").alias("by"), node.alias("b")), ["organization_id", "bx", "by"])
     found = components(ends.select("a", "b"))

@@ -267,3 +267,12 @@ def test_visible_routes_without_a_shuffle_of_pairs(spark):
     key = lambda t: tuple((v is None, v or 0) for v in t)
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, plain.collect()), key=key)
     assert got._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "Union"
+
+
+def test_rural_groups_count_neighbours_once(spark):
+    """What stands behind the points is worked out once, not at every step."""
+    rows = [(1, i, 500_000.0 + 700 * i, 4_790_000.0) for i in range(20)]
+    points = zoning.density(spark.createDataFrame(rows, "organization_id int, point_id long, x double, y double"))
+    got = zoning.rural_groups(points)
+    assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.group for r in got.collect()} == {0}
