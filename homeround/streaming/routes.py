@@ -163,9 +163,16 @@ def _frame(results: list[tuple]) -> pd.DataFrame:
 
 
 def _rows(frame: pd.DataFrame) -> list[Row]:
-    plain = lambda v: None if pd.isna(v) else v.item() if hasattr(v, "item") else v
     whole = {"at_us", "rank", "event_id", "stop_id", "expected_version", "completed_us", "sequence", "service_minutes", "plan_seconds"}
-    columns = [[None if (x := plain(v)) is None else int(x) if c in whole else x for v in frame[c]] for c in Row._fields]
+
+    def plain(c: str) -> list:
+        """A column's values, null as None; nulls are found for the whole column at once."""
+        values, lost = frame[c].tolist(), frame[c].isna().tolist()
+        if c in whole:
+            return [None if gone else int(v) for v, gone in zip(values, lost)]
+        return [None if gone else v for v, gone in zip(values, lost)]
+
+    columns = [plain(c) for c in Row._fields]
     return [Row(*values) for values in zip(*columns)]
 
 

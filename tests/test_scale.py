@@ -7,11 +7,13 @@ import math
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from homeround.functions import text
 from homeround.operators import intake, planning, ranges, routing, tours, zoning
+from homeround.streaming import routes
 
 
 def plain_counts(x, y, w, own, r):
@@ -276,3 +278,16 @@ def test_rural_groups_count_neighbours_once(spark):
     got = zoning.rural_groups(points)
     assert "MapInPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert {r.group for r in got.collect()} == {0}
+
+
+def test_rows_of_routes_look_for_nulls_by_column(monkeypatch):
+    """Values and nulls as they are; nothing is asked cell by cell."""
+    asked = []
+    monkeypatch.setattr(pd, "isna", lambda v, f=pd.isna: asked.append(1) or f(v))
+    n = 500
+    frame = pd.DataFrame({c: [None if (i + k) % 3 == 0 else i + k for i in range(n)] for k, c in enumerate(routes.Row._fields)}).assign(rank=np.arange(n) % 3)
+    asked.clear()
+    got = routes._rows(frame)
+    assert len(asked) <= len(frame.columns)
+    want = [[i % 3 if c == "rank" else None if (i + k) % 3 == 0 else i + k for k, c in enumerate(routes.Row._fields)] for i in range(n)]
+    assert [list(r) for r in got] == want
