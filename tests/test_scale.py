@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from homeround.functions import text
 from homeround.operators import intake, planning, ranges, routing, tours, zoning
+from homeround.sources import domain
 from homeround.streaming import routes
 
 
@@ -291,3 +292,12 @@ def test_rows_of_routes_look_for_nulls_by_column(monkeypatch):
     assert len(asked) <= len(frame.columns)
     want = [[i % 3 if c == "rank" else None if (i + k) % 3 == 0 else i + k for k, c in enumerate(routes.Row._fields)] for i in range(n)]
     assert [list(r) for r in got] == want
+
+
+def test_stops_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 1000)
+    stops = domain.view(spark, "/root/testdata/sf0.001", "stops")
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert stops.rdd.getNumPartitions() == math.ceil(rows / 1000) > spark.sparkContext.defaultParallelism
+    per = stops.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.collect_set("route_id").alias("routes")).collect()
+    assert max(r.n for r in per) < 2000 and sum(len(r.routes) for r in per) == len({x for r in per for x in r.routes})
