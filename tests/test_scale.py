@@ -301,3 +301,27 @@ def test_stops_are_dealt_by_their_number(spark, monkeypatch):
     assert stops.rdd.getNumPartitions() == math.ceil(rows / 1000) > spark.sparkContext.defaultParallelism
     per = stops.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.collect_set("route_id").alias("routes")).collect()
     assert max(r.n for r in per) < 2000 and sum(len(r.routes) for r in per) == len({x for r in per for x in r.routes})
+
+
+def test_totals_meet_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 1000)
+    v = lambda name: domain.view(spark, "/root/testdata/sf0.001", name)
+    order = v("stops").select("route_id", F.col("sequence").alias("node"), F.col("sequence").alias("position"))
+    for frame in (routing.route_totals(order, v("arcs"), v("stops")), routing.tour_cost(order, v("arcs"))):
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moved = [line for line in plan.splitlines() if " Exchange hashpartitioning(" in line and ("route_id" in line or "i#" in line)]
+        assert not moved
+
+
+def test_totals_of_several_orders_repeated_cells_and_missing_arcs(spark):
+    order = [("r", w, n, p) for w, nodes in (("there", [1, 2, 3]), ("back", [3, 2, 1])) for p, n in enumerate(nodes)] + [("lone", "there", 1, 0), ("gap", "there", 1, 0), ("gap", "there", 2, 1)]
+    order = spark.createDataFrame(order, "route_id string, variant string, node int, position int")
+    cells = [("r", 1, 2, 60.0, 1000.0), ("r", 2, 3, 30.0, None), ("r", 2, 3, 31.0, 500.0), ("r", 2, 1, 90.0, 10.0), ("r", None, 2, 7.0, 7.0), ("gap", 2, 1, 1.0, 1.0)]
+    cells = spark.createDataFrame(cells, "route_id string, i int, j int, duration_s double, distance_m double")
+    stops = spark.createDataFrame([("r", 5), ("r", 6), ("gap", 1), ("lone", 1)], "route_id string, service_minutes int")
+    got = {(r.route_id, r.variant): tuple(r)[2:] for r in routing.route_totals(order, cells, stops).collect()}
+    assert got == {("r", "there"): (121, 1500, 0.7533, 660), ("r", "back"): (90, 10, 0.303, 660)}
+    one = order.where("variant = 'there'").drop("variant")
+    assert [tuple(r) for r in routing.route_totals(one, cells, stops).collect()] == [("r", 121, 1500, 0.7533, 660)]
+    assert {r.route_id: r.cost for r in routing.tour_cost(one, cells).collect()} == {"r": 0.7533, "lone": 0.0, "gap": 0.0036}
