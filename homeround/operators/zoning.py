@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ SQUARE_M, SQUARE_LEVELS = 75.0, 6
 #: How often squares are quartered in each direction while many of their places may be near.
 SQUARE_DEPTH = 6
 AREA_POINTS, AREA_ZONES, AREA_BORDER = 2_000, 500, 300
+#: Rows that a task gets when areas are dealt to tasks: a few areas.
+ROWS_A_TASK = {"points": 1 << 13, "zones": 1 << 11}
 
 
 def confirmed_points(addresses: DataFrame) -> DataFrame:
@@ -205,7 +209,7 @@ def catalogue_hint(points: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def features(points: DataFrame) -> DataFrame:
     """Projection, density, kind, distance and minutes to the depot."""
-    rows = density(projected(points)).withColumn("kind", kind_of(F.col("density"), F.col("municipality_kind")))
+    rows = density(written(projected(points), "projected")).withColumn("kind", kind_of(F.col("density"), F.col("municipality_kind")))
     far = haversine_m(F.col("longitude"), F.col("latitude"), F.lit(DEPOT[0]), F.lit(DEPOT[1]))
     speed = F.when(F.col("kind") == "urban", SPEED_KMH["urban"]).otherwise(SPEED_KMH["rural"])
     return rows.withColumns({"depot_distance_m": far, "depot_time_minutes": far / 1000 / speed * 60})
@@ -297,7 +301,12 @@ def areas(rows: DataFrame, keys: list[str], limit: int, id_col: str, weight: Col
     return placed.join(chosen, [*keys, "__x", "__y"]).withColumn("area", name).drop("__x", "__y", "__s", "__n")
 
 
-def _split(rows: DataFrame, keys: list[str], max_visits: int, least: str | None = None) -> DataFrame:
+def _tasks(table: DataFrame, kind: str) -> int:
+    """How many tasks the areas of a written table ask for. The planner goes by bytes, of which an area has few, and would put hundreds into one task."""
+    return max(1, math.ceil(table.count() / ROWS_A_TASK[kind]))
+
+
+def _split(rows: DataFrame, keys: list[str], max_visits: int, tasks: int, least: str | None = None) -> DataFrame:
     """``rows`` with ``cluster``: each group of ``keys``, which is small, in clusters of at most ``max_visits``; ``least`` names how many at least."""
     kept = ["organization_id", "kind", "point_id", "x", "y"]
     fields = [rows.schema[c] for c in kept]
@@ -310,14 +319,14 @@ def _split(rows: DataFrame, keys: list[str], max_visits: int, least: str | None
         part["cluster"] = [f"{name}:{j}" for j in labels]
         return part[[*kept, "cluster"]]
 
-    return rows.select(*dict.fromkeys([*kept, *keys, *([least] if least else [])])).groupBy(*keys).applyInPandas(run, schema)
+    return rows.select(*dict.fromkeys([*kept, *keys, *([least] if least else [])])).repartition(tasks, *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def cluster_points(features: DataFrame, max_visits: int) -> DataFrame:
     """Capacity-limited clusters per (organization, kind): (organization, kind, point, x, y, cluster). More than 2,000 points are cut into areas first."""
     keys = ["organization_id", "kind"]
     points = written(features.select(*keys, "point_id", "x", "y"), "points")  # read twice; the density behind it is not cheap
-    return _split(areas(points, keys, AREA_POINTS, "point_id"), [*keys, "area"], max_visits)
+    return _split(areas(points, keys, AREA_POINTS, "point_id"), [*keys, "area"], max_visits, _tasks(points, "points"))
 
 
 def _zones(members: DataFrame) -> DataFrame:
@@ -363,7 +372,10 @@ def merge_nearest(n: np.ndarray, xy: np.ndarray, cap: int, merges: int) -> np.nd
 
 
 def merge_plan(zones: DataFrame, surplus: DataFrame, max_visits: int) -> DataFrame:
-    """(organization, cluster, merged): unions of the nearest zones that fit, ``surplus`` of them. Over 500 zones, areas share them by their zones."""
+    """(organization, cluster, merged): unions of the nearest zones that fit, ``surplus`` of them. Over 500 zones, areas share them by their zones.
+
+    ``zones`` is counted, so it is best a written table.
+    """
     rows = areas(zones.join(surplus, "organization_id"), ["organization_id"], AREA_ZONES, "cluster")
     sizes = rows.groupBy("organization_id", "surplus", "area").agg(F.count("*").alias("c"))
     w = Window.partitionBy("organization_id")
@@ -378,17 +390,18 @@ def merge_plan(zones: DataFrame, surplus: DataFrame, max_visits: int) -> DataFra
         return part[["organization_id", "cluster", "merged"]]
 
     org = zones.schema["organization_id"].dataType.simpleString()
-    return rows.select("organization_id", "area", "cluster", "n", "x", "y", "due").groupBy("organization_id", "area").applyInPandas(run, f"organization_id {org}, cluster string, merged string")
+    dealt = rows.select("organization_id", "area", "cluster", "n", "x", "y", "due").repartition(_tasks(zones, "zones"), "organization_id", "area")
+    return dealt.groupBy("organization_id", "area").applyInPandas(run, f"organization_id {org}, cluster string, merged string")
 
 
 def fit_target(members: DataFrame, targets: DataFrame, max_visits: int) -> DataFrame:
     """Zones of one kind brought to the ``k`` zones an organization asks for: the largest split, or the nearest that fit joined. Capacity wins."""
-    zones = _zones(members)
+    zones = written(_zones(members), "sizes")
     gap = zones.groupBy("organization_id").agg(F.count("*").alias("c")).join(targets, "organization_id").withColumn("gap", F.col("k") - F.col("c"))
     pieces = split_plan(zones, gap.where("gap > 0").select("organization_id", F.col("gap").alias("missing")))
     merged = merge_plan(zones, gap.where("gap < 0").select("organization_id", (-F.col("gap")).alias("surplus")), max_visits)
     rows = members.join(pieces, ["organization_id", "cluster"], "left").join(merged, ["organization_id", "cluster"], "left")
-    cut = _split(rows.where("pieces > 1"), ["organization_id", "kind", "cluster"], max_visits, "pieces")
+    cut = _split(rows.where("pieces > 1"), ["organization_id", "kind", "cluster"], max_visits, _tasks(members, "points"), "pieces")
     return rows.where("pieces is null").select(*cut.columns[:-1], F.coalesce("merged", "cluster").alias("cluster")).unionByName(cut)
 
 
@@ -407,15 +420,15 @@ def propose_zones(features: DataFrame, max_visits: int, target: int | None = Non
     small = grouped.where(F.col("n") <= max_visits).select(*kept, F.concat(F.lit("r:"), "group").alias("cluster"))
     large = areas(grouped.where(F.col("n") > max_visits), ["organization_id", "kind", "group"], AREA_POINTS, "point_id")
     urban = located.where("kind = 'urban'")
-    seeded = urban.select(*kept).join(admin_seeds(urban, max_visits), ["organization_id", "point_id"])
+    seeded = written(urban.select(*kept).join(admin_seeds(urban, max_visits), ["organization_id", "point_id"]), "seeded")
     zones = seeded.where("seed is not null").select(*kept, F.concat(F.lit("s:"), "seed").alias("cluster")).unionByName(cluster_points(seeded.where("seed is null"), max_visits))
-    country = written(small.unionByName(_split(large, ["organization_id", "kind", "group", "area"], max_visits)), "country")
+    country = written(small.unionByName(_split(large, ["organization_id", "kind", "group", "area"], max_visits, _tasks(groups, "points"))), "country")
     if target is not None:
         zones = written(zones, "zones")
         there = country.groupBy("organization_id").agg(F.count_distinct("cluster").alias("there"))
         floor = zones.groupBy("organization_id").agg(F.ceil(F.count("*") / max_visits).alias("floor"))
         k = F.greatest("floor", F.lit(target) - F.coalesce("there", F.lit(0)))
-        zones = fit_target(zones, floor.join(there, "organization_id", "left").select("organization_id", k.alias("k")), max_visits)
+        zones = written(fit_target(zones, floor.join(there, "organization_id", "left").select("organization_id", k.alias("k")), max_visits), "fitted")
     lone = groups.where("group is null").select(*kept, F.lit(None).cast("string").alias("cluster"))
     return zones.unionByName(country).unionByName(lone)
 
