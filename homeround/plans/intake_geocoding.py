@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from homeround.functions import text
 from homeround.operators import geocoding as G
 from homeround.operators import intake as I
+from homeround.storage import written
 
 ERRORS_SQL = """checked AS (
   SELECT *, CASE WHEN trim(coalesce(external_ref, '')) = '' THEN NULL ELSE sha256(lower(trim(external_ref))) END AS h,
@@ -31,14 +32,21 @@ def import_summary(v):
     return I.batch_summary(I.checked_rows(v("import_rows"))).select("batch_id", "total_rows", "valid_rows", "invalid_rows", "status")
 
 
+def _checked(v):
+    """Checked import rows with what commits read of them. They are read several times, and numbering and marking them is not cheap: each is written once."""
+    kept = ["organization_id", "period", "batch_id", "row_number", "external_ref", "display_ref"]
+    checked = written(I.validate_rows(v("import_rows")).select(*kept, "cancelled", "errors", "reference_hash"), "validated")
+    return written(I.with_status(I.mark_duplicates(checked)).select(*kept, "validation_status"), "checked")
+
+
 def _accepted(v):
-    rows = I.checked_rows(v("import_rows"))
+    rows = _checked(v)
     picked = rows.where("row_number % 3 <> 0").select("batch_id", "row_number")
     return I.accept_rows(rows, I.batch_summary(rows), picked)
 
 
 def _commits(v):
-    rows = I.checked_rows(v("import_rows"))
+    rows = _checked(v)
     return I.commit_counts(rows, I.batch_summary(rows), rows.where("row_number % 3 <> 0").select("batch_id", "row_number"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from homeround.functions import text
 from homeround.operators import intake, planning, ranges, routing, tours, zoning
+from homeround.plans import catalog
 from homeround.sources import domain
 from homeround.streaming import routes
 
@@ -58,6 +59,11 @@ def test_areas_are_shared_among_tasks(spark):
     assert sum(r["count"] for r in used) == zones.count()
 
 
+def test_commits_read_import_rows_once_written(spark):
+    for name in ("version_addresses", "commit_addresses", "upsert_patients", "commit_counts", "accept_rows"):
+        assert not [f for f in catalog.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles() if "orders.parquet" in f]
+
+
 def plain_groups(xy, eps):
     group = list(range(len(xy)))
     find = lambda i: i if group[i] == i else find(group[i])
