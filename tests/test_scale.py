@@ -50,12 +50,12 @@ def test_areas_are_shared_among_tasks(spark):
     n = 20_000
     points = spark.range(n).select(F.lit(1).alias("organization_id"), F.lit("urban").alias("kind"), F.col("id").alias("point_id"), (F.col("id") % 150 * 40.0).alias("x"), (F.col("id") % 143 * 40.0).alias("y"))
     cut = zoning.cluster_points(points, 12)
-    assert cut.rdd.getNumPartitions() == math.ceil(n / zoning.ROWS_A_TASK["points"])
+    assert cut.rdd.getNumPartitions() == math.ceil(n / 8192)
     zones = zoning._zones(cut)
     surplus = spark.createDataFrame([(1, 100)], "organization_id int, surplus long")
     merged = zoning.merge_plan(zoning.written(zones, "sizes"), surplus, 12)
     used = merged.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert merged.rdd.getNumPartitions() == math.ceil(zones.count() / zoning.ROWS_A_TASK["zones"])
+    assert merged.rdd.getNumPartitions() == math.ceil(zones.count() / 2048)
     assert sum(r["count"] for r in used) == zones.count()
 
 
