@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that a task gets when a table is dealt by key.
 ROWS_A_TASK = 1 << 17
+#: Rows that it gets at most where it does no more than sort them and gather them by key.
+ROWS_A_LIGHT_TASK = 1 << 21
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -129,22 +131,29 @@ def needed(sql: str) -> list[str]:
     return [n for n in VIEWS if n in seen]
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
+def dealt(df: DataFrame, key: str, light: bool = False) -> DataFrame:
     """``df`` dealt by key to as many tasks as its rows ask for, so that what a task sorts stays the same however many rows there are.
 
     Left to itself, Spark puts together what falls under its advisory size, which grows with the table up to 64 MB of packed columns, some 2 million rows a sort.
+    With more tasks than ``spark.shuffle.sort.bypassMergeThreshold``, those that write the shuffle hold all rows of their split; so ``light`` work, which takes
+    little more memory for more rows, first fills that number of tasks up to ``ROWS_A_LIGHT_TASK``.
     """
-    return df.repartition(max(1, math.ceil(df.count() / ROWS_A_TASK)), key)
+    rows = df.count()
+    tasks = math.ceil(rows / ROWS_A_TASK)
+    if light:
+        unheld = int(df.sparkSession.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+        tasks = min(tasks, max(unheld, math.ceil(rows / ROWS_A_LIGHT_TASK)))
+    return df.repartition(max(1, tasks), key)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain view, or a driver table, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, light: bool = False) -> DataFrame:
+    """A domain view, or a driver table, as a DataFrame; ``light`` says that the stops are only gathered by route (see :func:`dealt`)."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in [*TABLES, *VIEWS] if n != name and re.search(rf"(?:FROM|JOIN) {n}\b", sql)}
     if name == "stops":
-        parts["lineitem"] = dealt(parts["lineitem"], "l_orderkey")
+        parts["lineitem"] = dealt(parts["lineitem"], "l_orderkey", light)
     for n in parts:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}} AS {n}" if not re.search(rf"(?:FROM|JOIN) {n} \w\b(?! *=)", sql) else rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **parts)

@@ -323,6 +323,18 @@ def test_stops_are_dealt_by_their_number(spark, monkeypatch):
     assert max(r.n for r in per) < 2000 and sum(len(r.routes) for r in per) == len({x for r in per for x in r.routes})
 
 
+@pytest.mark.parametrize("name", ["matrix_hash", "stop_fingerprint", "route_status"])
+def test_light_tasks_are_filled_before_writers_hold_rows(spark, monkeypatch, name):
+    """sf0.001 has some 6,000 stops; up to 200 parts, Spark's default, the writers of a shuffle hold no rows."""
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 20)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 200
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    monkeypatch.setattr(domain, "ROWS_A_LIGHT_TASK", 25)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == math.ceil(rows / 25) > 200
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 1000)
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == math.ceil(rows / 1000)
+
+
 def test_totals_meet_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(domain, "ROWS_A_TASK", 1000)
     v = lambda name: domain.view(spark, "/root/testdata/sf0.001", name)
