@@ -168,9 +168,12 @@ def _serve(t: Column, start: Column, end: Column, service: Column) -> tuple[Colu
     return begin + service, begin <= end
 
 
-def stop_diagnostics(stops: DataFrame, depot: DataFrame) -> DataFrame:
-    """ISOLATED_STOP if the window closes before arrival from the depot, INSUFFICIENT_SHIFT if the tour of it alone is too long."""
-    rows = stops.join(depot, ["route_id", "node"])
+def stop_diagnostics(stops: DataFrame, depot: DataFrame | None = None) -> DataFrame:
+    """ISOLATED_STOP if the window closes before arrival from the depot, INSUFFICIENT_SHIFT if the tour of it alone is too long.
+
+    Without ``depot``, the stops themselves hold out_s and back_s, and nothing is joined.
+    """
+    rows = stops if depot is None else stops.join(depot, ["route_id", "node"])
     after, in_time = _serve(F.col("out_s"), F.col("start_s"), F.col("end_s"), F.col("service_s"))
     fits = (after <= F.col("shift_s")) & (after + F.col("back_s") <= F.col("shift_s"))
     code = F.when(~in_time, "ISOLATED_STOP").when(~F.coalesce(fits, F.lit(True)), "INSUFFICIENT_SHIFT")
@@ -337,8 +340,12 @@ def sequence_routes(matrix: DataFrame) -> DataFrame:
                 found[to] = node[first[own][:, None] + order]
         return pd.DataFrame({"route_id": heads[owner], "position": position, "node": found})
 
-    rows = matrix.select("route_id", "i", "j", "duration_s").repartition("route_id").sortWithinPartitions("route_id", "i", "j")
-    return _route_by_route(rows, solve, "position int, node int")
+    return _route_by_route(_by_route(matrix.select("route_id", "i", "j", "duration_s")), solve, "position int, node int")
+
+
+def _by_route(rows: DataFrame) -> DataFrame:
+    """Rows dealt and sorted by route. A window asks for that, so rows that are dealt by route already are not shuffled again; its number goes with them."""
+    return rows.withColumn("__row", F.row_number().over(Window.partitionBy("route_id").orderBy("i", "j")))
 
 
 def _route_by_route(rows: DataFrame, solve, columns: str) -> DataFrame:
@@ -454,7 +461,7 @@ def sequence_timed_routes(matrix: DataFrame, stops: DataFrame, objective: str =
     weight = F.col("duration_s") if objective == "time" else arc_cost(F.col("distance_m"), F.col("duration_s"), F.lit(per_km), F.lit(per_hour))
     arcs = matrix.select("route_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("duration_s").cast("double").alias("duration_s"), weight.cast("double").alias("weight"), *limits)
     marks = stops.select("route_id", F.col("node").cast("long").alias("i"), F.col("node").cast("long").alias("j"), F.lit(0.0).alias("duration_s"), F.lit(0.0).alias("weight"), *[F.col(c).cast("double").alias(c) for c in ("start_s", "end_s", "service_s", "shift_s")])
-    rows = arcs.where("i <> j").union(marks).repartition("route_id").sortWithinPartitions("route_id", "i", "j")
+    rows = _by_route(marks.union(arcs.where("i <> j")))  # the marks first: the planner asks the first of a union how it is dealt, and cannot tell of a join
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, i, j = (part[c].to_numpy() for c in ("route_id", "i", "j"))

@@ -146,6 +146,13 @@ def dealt(df: DataFrame, key: str, light: bool = False) -> DataFrame:
     return df.repartition(max(1, tasks), key)
 
 
+#: The same inner joins, for Spark: an order meets its customer before its stops do, which stay dealt by route where customers are too many to be broadcast.
+ORDERS_FIRST = (
+    "FROM lineitem JOIN orders o ON o.o_orderkey = l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey",
+    "FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN lineitem ON o.o_orderkey = l_orderkey",
+)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str, light: bool = False) -> DataFrame:
     """A domain view, or a driver table, as a DataFrame; ``light`` says that the stops are only gathered by route (see :func:`dealt`)."""
     if name in TABLES:
@@ -153,7 +160,8 @@ def view(spark: SparkSession, sf_dir: str, name: str, light: bool = False) -> Da
     sql = VIEWS[name]
     parts = {n: view(spark, sf_dir, n) for n in [*TABLES, *VIEWS] if n != name and re.search(rf"(?:FROM|JOIN) {n}\b", sql)}
     if name == "stops":
-        parts["lineitem"] = dealt(parts["lineitem"], "l_orderkey", light)
+        parts["lineitem"] = dealt(parts["lineitem"], "l_orderkey", light).hint("merge")  # else the planner, which takes joined orders for more, broadcasts few stops
+        sql = sql.replace(*ORDERS_FIRST)
     for n in parts:
         sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}} AS {n}" if not re.search(rf"(?:FROM|JOIN) {n} \w\b(?! *=)", sql) else rf"\1 {{{n}}}", sql)
     return spark.sql(sql, **parts)

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import re
 import time
 
 import numpy as np
@@ -357,3 +358,15 @@ def test_totals_of_several_orders_repeated_cells_and_missing_arcs(spark):
     one = order.where("variant = 'there'").drop("variant")
     assert [tuple(r) for r in routing.route_totals(one, cells, stops).collect()] == [("r", 121, 1500, 0.7533, 660)]
     assert {r.route_id: r.cost for r in routing.tour_cost(one, cells).collect()} == {"r": 0.7533, "lone": 0.0, "gap": 0.0036}
+
+
+@pytest.mark.parametrize("name", ["sequence_timed_routes", "sequence_routes"])
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_arcs_are_not_shuffled_to_be_sequenced(spark, name, limit):
+    """Arcs are made where the stops of their route are: only given tables are dealt anew, also where customers and orders cannot be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) <= {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey"}
