@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from homeround.functions.geo import DEPOT, haversine_m, project_utm30n
+from homeround.operators import joining
 from homeround.operators.graphs import components
 from homeround.operators.ranges import numbered
 from homeround.storage import forget, written
@@ -21,7 +23,7 @@ SPEED_KMH = {"urban": 20.0, "rural": 35.0}
 SQUARE_M, SQUARE_LEVELS = 75.0, 6
 #: How often squares are quartered in each direction while many of their places may be near.
 SQUARE_DEPTH = 6
-AREA_POINTS, AREA_ZONES, AREA_BORDER = 2_000, 500, 300
+AREA_POINTS, AREA_ZONES, AREA_BORDER = 2_000, 2_000, 300
 #: Rows that a task gets when areas are dealt to tasks: a few areas.
 ROWS_A_TASK = {"points": 1 << 13, "zones": 1 << 11}
 
@@ -371,27 +373,75 @@ def merge_nearest(n: np.ndarray, xy: np.ndarray, cap: int, merges: int) -> np.nd
     return into
 
 
+def _squared(rows: DataFrame, limit: int, turn: int) -> DataFrame:
+    """``rows`` with ``area``, a square of few zones, and ``edge``, the way to its end; squares lie elsewhere at every turn. Inside no square (too many zones in the smallest) it is 0."""
+    off = [SQUARE_M * 4 ** (SQUARE_LEVELS - 1) * (turn * f % 1) for f in (0.6180339887, 0.7548776662)]
+    moved = rows.withColumns({"__px": F.col("x"), "__py": F.col("y"), "x": F.col("x") + off[0], "y": F.col("y") + off[1]})
+    name = F.split("area", ":")
+    side = SQUARE_M * F.pow(F.lit(4.0), F.try_element_at(name, F.lit(1)).try_cast("int"))
+    ways = [w for c, k in (("x", 2), ("y", 3)) for low in [F.try_element_at(name, F.lit(k)).try_cast("long") * side] for w in (F.col(c) - low, low + side - F.col(c))]
+    inside = F.greatest(F.least(*ways) - 1e-6, F.lit(0.0))
+    edge = F.when(name[0] == str(SQUARE_LEVELS), F.lit(math.inf)).when(name[0] == "-", F.lit(0.0)).otherwise(inside)
+    return areas(moved, ["organization_id"], limit, "num").withColumn("edge", edge).withColumns({"x": F.col("__px"), "y": F.col("__py")}).drop("__px", "__py")
+
+
 def merge_plan(zones: DataFrame, surplus: DataFrame, max_visits: int) -> DataFrame:
-    """(organization, cluster, merged): unions of the nearest zones that fit, ``surplus`` of them. Over 500 zones, areas share them by their zones.
+    """(organization, cluster, merged): ``surplus`` unions of an organization's nearest zones that fit, as :func:`merge_nearest` makes them, however many zones there are.
 
-    ``zones`` is counted, so it is best a written table.
+    Squares make the unions that are sure whatever happens elsewhere (:mod:`joining`), at every turn other squares, until no two zones fit; the first
+    ``surplus`` of all are the plan. So where squares lie and what a task holds (``AREA_ZONES``) has no part in the result. ``zones`` is counted, so it is best a written table.
     """
-    rows = areas(zones.join(surplus, "organization_id"), ["organization_id"], AREA_ZONES, "cluster")
-    sizes = rows.groupBy("organization_id", "surplus", "area").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("organization_id")
-    upto, total = F.sum("c").over(w.orderBy("area")), F.sum("c").over(w)
-    due = F.floor(F.col("surplus") * upto / total) - F.floor(F.col("surplus") * (upto - F.col("c")) / total)
-    rows = rows.join(sizes.select("organization_id", "area", due.alias("due")), ["organization_id", "area"])
+    org = "organization_id"
+    kind = zones.schema[org].dataType.simpleString()
+    asked = written(numbered(zones.join(surplus, org), [org], ["cluster"], "num"), "asked")
+    schema = f"{org} {kind}, num long, n double, x double, y double, born double, code long, nth long, history array<long>"
+    none = {"born": F.lit(0.0), "code": F.lit(-1).cast("long"), "nth": F.lit(0).cast("long"), "history": F.array().cast("array<long>")}
+    state = asked.where("surplus > 0 and x is not null and y is not null").select(org, F.col("num").cast("long"), F.col("n").cast("double"), "x", "y", *[c.alias(k) for k, c in none.items()])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cluster").reset_index(drop=True)
-        into = merge_nearest(part["n"].to_numpy(), part[["x", "y"]].to_numpy(), max_visits, int(part["due"].iloc[0]))
-        part["merged"] = part["cluster"].to_numpy()[into]
-        return part[["organization_id", "cluster", "merged"]]
-
-    org = zones.schema["organization_id"].dataType.simpleString()
-    dealt = rows.select("organization_id", "area", "cluster", "n", "x", "y", "due").repartition(_tasks(zones, "zones"), "organization_id", "area")
-    return dealt.groupBy("organization_id", "area").applyInPandas(run, f"organization_id {org}, cluster string, merged string")
+        part = part.sort_values("num").reset_index(drop=True)
+        num, n, born, code, nth, edge = (part[c].to_numpy(copy=True) for c in ("num", "n", "born", "code", "nth", "edge"))
+        xy, history, stays = part[["x", "y"]].to_numpy(copy=True), [list(h) for h in part["history"]], np.ones(len(part), bool)
+        for i, j, event in joining.unions(num, n, xy, born, code, nth, edge, max_visits):
+            history[i] += history[j] + event
+            stays[j] = False
+        out = pd.DataFrame({org: part[org], "num": num, "n": n, "x": xy[:, 0], "y": xy[:, 1], "born": born, "code": code, "nth": nth, "history": history})
+        return out[stays]
+
+    finished, limit, turn = [], AREA_ZONES, 0
+    while True:
+        sizes = state.groupBy(org, "n").agg(F.count("*").alias("c")).groupBy(org).agg(F.array_sort(F.collect_list(F.struct("n", "c"))).alias("__sizes"))
+        least = F.col("__sizes")[0]
+        other = F.when((F.col("n") == least["n"]) & (least["c"] == 1), F.try_element_at("__sizes", F.lit(2))["n"]).otherwise(least["n"])
+        marked = state.join(sizes, org).withColumn("__open", F.coalesce(F.col("n") + other <= max_visits, F.lit(False))).drop("__sizes")
+        finished.append(marked.where("not __open and size(history) > 0").drop("__open"))
+        open_ = written(marked.where("__open").drop("__open"), "open")
+        left = open_.count()
+        if not left:
+            break
+        dealt = _squared(open_, limit, turn).repartition(max(1, math.ceil(left / ROWS_A_TASK["zones"])), org, "area")
+        state = written(dealt.groupBy(org, "area").applyInPandas(run, schema), "unions")
+        forget(open_)
+        if state.count() > 0.9 * left:  # these squares decide little
+            limit *= 2
+        turn += 1
+
+    ends = functools.reduce(DataFrame.union, finished)
+    each = ends.select(org, "history", F.explode(F.sequence(F.lit(0), F.size("history") - 1, F.lit(joining.EVENT))).alias("k"))
+    when = ["__at", "__pair", "__nth"]
+    events = numbered(each.select(org, *[F.col("history")[F.col("k") + i].alias(c) for i, c in enumerate(when)]), [org], when, "__rank")
+    last = events.join(surplus.select(org, "surplus"), org).where("__rank = surplus").select(org, *when)
+
+    def land(parts):
+        for part in parts:
+            found = [(o, *pair) for o, root, history, *until in part[[org, "num", "history", *when]].itertuples(index=False) for pair in zip(*joining.landed(root, history, tuple(until)))]
+            yield pd.DataFrame(found, columns=[org, "num", "into"])
+
+    known = ends.join(last, org, "left").select(org, "num", "history", *[F.coalesce(c, F.lit((1 << 63) - 1)).alias(c) for c in when])
+    moved = known.mapInPandas(land, f"{org} {kind}, num int, into int").where("num <> into")
+    names = asked.select(org, F.col("num").alias("into"), F.col("cluster").alias("merged"))
+    plan = asked.join(moved.join(names, [org, "into"]), [org, "num"], "left")
+    return plan.select(org, "cluster", F.coalesce("merged", "cluster").alias("merged")).repartition(_tasks(zones, "zones"), org, "cluster")
 
 
 def fit_target(members: DataFrame, targets: DataFrame, max_visits: int) -> DataFrame:

@@ -370,3 +370,21 @@ def test_arcs_are_not_shuffled_to_be_sequenced(spark, name, limit):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", plan)) <= {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey"}
+
+
+@pytest.mark.parametrize("limit", [40, 2_000])
+def test_merge_plan_is_the_plain_rule_whatever_a_task_holds(spark, monkeypatch, limit):
+    """Organizations over the limit are cut into squares, with the unions of the whole: nearest first, ties by name, as many as asked or as fit."""
+    monkeypatch.setattr(zoning, "AREA_ZONES", limit)
+    monkeypatch.setattr(zoning, "SQUARE_M", 8.0)
+    rng = np.random.default_rng(11)
+    groups = {1: rng.random((150, 2)) * 900, 2: rng.integers(0, 12, (130, 2)) * 40.0, 3: np.tile(rng.random((1, 2)) * 50, (40, 1)), 4: rng.random((5, 2)), 5: rng.random((90, 2)) * 1e5}
+    asked = {1: 60, 2: 1000, 3: 7, 4: 0, 5: 1}
+    rows = [(o, f"z{k:03d}", int(rng.integers(1, 7)), *map(float, p)) for o, xy in groups.items() for k, p in enumerate(xy)]
+    zones = zoning.written(spark.createDataFrame(rows, "organization_id int, cluster string, n long, x double, y double"), "sizes")
+    surplus = spark.createDataFrame(list(asked.items()), "organization_id int, surplus long")
+    got = {(r.organization_id, r.cluster): r.merged for r in zoning.merge_plan(zones, surplus, 12).collect()}
+    for o, m in asked.items():
+        own = [r for r in rows if r[0] == o]
+        into = zoning.merge_nearest(np.array([r[2] for r in own]), np.array([r[3:] for r in own]), 12, m)
+        assert [got[r[:2]] for r in own] == [own[k][1] for k in into]
