@@ -388,3 +388,18 @@ def test_merge_plan_is_the_plain_rule_whatever_a_task_holds(spark, monkeypatch,
         own = [r for r in rows if r[0] == o]
         into = zoning.merge_nearest(np.array([r[2] for r in own]), np.array([r[3:] for r in own]), 12, m)
         assert [got[r[:2]] for r in own] == [own[k][1] for k in into]
+
+
+def test_editors_meet_routes_in_as_many_tasks_as_pairs(spark, monkeypatch, tmp_path):
+    """Routes are few bytes, so the planner would put all of an organization's pairs into one task; runs of routes make the pairs' file small."""
+    monkeypatch.setattr(routing, "PAIRS_A_PART", 1 << 11, raising=False)
+    monkeypatch.setattr(routing, "PAIRS_A_TASK", 1 << 14, raising=False)
+    members = spark.range(60).select((F.col("id") % 2).alias("organization_id"), F.col("id").alias("user_id"), F.lit("editor").alias("role"))
+    routes = spark.range(5000).select((F.col("id") % 2).alias("organization_id"), (F.col("id") * 7).alias("route_id"), F.lit(0).cast("long").alias("assignee"))
+    shares = spark.createDataFrame([], "user_id long, route_id long, active boolean")
+    got = routing.visible_routes(members, routes, shares)
+    got.write.parquet(str(tmp_path / "pairs"))
+    back = spark.read.parquet(str(tmp_path / "pairs"))
+    assert back.count() == back.distinct().count() == 150_000 == back.where("user_id < 60 and route_id % 7 = 0 and route_id < 35000 and (user_id + route_id) % 2 = 0").count()
+    files = [f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet") if f.stat().st_size > 2000]
+    assert len(files) > 5 and sum(files) < 150_000
