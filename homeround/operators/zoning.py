@@ -427,7 +427,7 @@ def merge_plan(zones: DataFrame, surplus: DataFrame, max_visits: int) -> DataFra
         turn += 1
 
     ends = functools.reduce(DataFrame.union, finished)
-    each = ends.select(org, "history", F.explode(F.sequence(F.lit(0), F.size("history") - 1, F.lit(joining.EVENT))).alias("k"))
+    each = ends.select(org, "history", F.explode(F.filter(F.sequence(F.lit(0), F.size("history"), F.lit(joining.EVENT)), lambda k: k < F.size("history"))).alias("k"))
     when = ["__at", "__pair", "__nth"]
     events = numbered(each.select(org, *[F.col("history")[F.col("k") + i].alias(c) for i, c in enumerate(when)]), [org], when, "__rank")
     last = events.join(surplus.select(org, "surplus"), org).where("__rank = surplus").select(org, *when)

@@ -403,3 +403,10 @@ def test_editors_meet_routes_in_as_many_tasks_as_pairs(spark, monkeypatch, tmp_p
     assert back.count() == back.distinct().count() == 150_000 == back.where("user_id < 60 and route_id % 7 = 0 and route_id < 35000 and (user_id + route_id) % 2 = 0").count()
     files = [f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet") if f.stat().st_size > 2000]
     assert len(files) > 5 and sum(files) < 150_000
+
+
+def test_merge_plan_with_nothing_to_join(spark):
+    zones = zoning.written(spark.createDataFrame([(1, "a", 9, 0.0, 0.0), (1, "b", 8, 1.0, 1.0)], "organization_id int, cluster string, n long, x double, y double"), "sizes")
+    for surplus in ([(1, 1)], [(1, 0)], [(2, 1)], []):
+        got = zoning.merge_plan(zones, spark.createDataFrame(surplus, "organization_id int, surplus long"), 12).collect()
+        assert sorted((r.cluster, r.merged) for r in got) == ([("a", "a"), ("b", "b")] if surplus[:1] and surplus[0][0] == 1 else [])
